@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .tokens import ChunkCoder, slices_by_bytes
+from .tokens import coder_of, slices_by_bytes
 
 #: (length, copies) pairs, longest first.
 Pattern = tuple[tuple[int, int], ...]
@@ -158,7 +158,7 @@ def encode_pieces(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, e
     """Encode each text, append ``end_id`` and cut what is longer than ``capacity`` into pieces; the first may be shorter."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer_path)
+        coder = coder_of(tokenizer_path)
         for batch in batches:
             keys, n_bytes, texts = batch.columns
             for part in slices_by_bytes(n_bytes.to_numpy(), group_bytes):

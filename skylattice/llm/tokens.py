@@ -7,6 +7,7 @@ count operator.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -111,6 +112,12 @@ class ChunkCoder:
         return ids, np.concatenate([[0], ends])[offsets]
 
 
+@functools.cache
+def coder_of(path: str) -> ChunkCoder:
+    """This worker's coder: what one task has learnt serves the next."""
+    return ChunkCoder(path)
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, group_bytes: int = 8 << 20) -> DataFrame:
     """``id_col, n_bytes, n_tokens, over_limit`` for each row of ``df``.
 
@@ -121,7 +128,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load_tokenizer(tokenizer_path) if tokenizer_path.endswith(".model") else ChunkCoder(tokenizer_path)
+        coder = load_tokenizer(tokenizer_path) if tokenizer_path.endswith(".model") else coder_of(tokenizer_path)
         for batch in batches:
             ids, n_bytes, texts = batch.columns
             totals = []
