@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python workers import it by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_skylattice_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        packed = Path(tempfile.mkdtemp(prefix="spark-")) / "skylattice.zip"
+        with zipfile.ZipFile(packed, "w") as out:
+            for source in sorted((root / "skylattice").rglob("*.py")):
+                out.write(source, source.relative_to(root))
+        context.addPyFile(str(packed))
+        context._skylattice_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,15 +57,3 @@ def materialise(df: DataFrame, label: str, partition_by: Iterable[str] = ()) ->
     path = scratch(df.sparkSession, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def by_bytes(texts: list[str], budget: int) -> Iterator[slice]:
-    """Consecutive slices of ``texts`` of about ``budget`` characters each, so that no batch is much dearer than another."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > budget:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
