@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, packing, tokens
+from . import dedup, packing, quality, secrets, tokens
 from .common import table
 
 
@@ -24,6 +24,15 @@ def op3_pack_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -31,6 +40,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_odd_sketch_dedup": op2_odd_sketch_dedup,
     "op3_pack_swap": op3_pack_swap,
+    "op5_crf_quality": op5_crf_quality,
+    "op10_secret_layers": op10_secret_layers,
     "op7_token_counts": op7_token_counts,
 }
 
