@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, packing, quality, secrets, tokens
+from . import dedup, licenses, packing, quality, secrets, tokens
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -41,8 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_odd_sketch_dedup": op2_odd_sketch_dedup,
     "op3_pack_swap": op3_pack_swap,
     "op5_crf_quality": op5_crf_quality,
+    "op9_license_dice": op9_license_dice,
     "op10_secret_layers": op10_secret_layers,
     "op7_token_counts": op7_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_license_dice": licenses.oracle()}
