@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, licenses, packing, quality, secrets, tokens
+from . import dedup, licenses, packing, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_pack_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +48,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_odd_sketch_dedup": op2_odd_sketch_dedup,
     "op3_pack_swap": op3_pack_swap,
+    "op4_warc_salvage": op4_warc_salvage,
     "op5_crf_quality": op5_crf_quality,
     "op9_license_dice": op9_license_dice,
     "op10_secret_layers": op10_secret_layers,
