@@ -3,13 +3,15 @@
 Documents with equal shingle sets are one class from the start. Each class has a MinHash signature. Bands of it bring
 classes together; the whole signature, folded into a parity bitmap (an *odd sketch*), lets a pair be judged by the
 population count of an XOR; what that lets through is confirmed on the full shingle sets. A bucket is never expanded
-into all its pairs: its members are first held against its smallest member, and only classes that are still in
-different components are then compared, through the components' representatives and at last one by one.
+into all its pairs: its members are first held against its smallest member. Where a bucket then still spans several
+components, sketches are compared inside the bucket, in blocks of bounded size, and only pairs across components that
+look alike leave it: at first the nearest few of each member, and what is still apart then in full.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch
 from .tokens import slices_by_bytes
 from .words import mix, split_words, windows
 
-#: Signature: BANDS bands of ROWS values. A pair at similarity 0.8 shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
+#: Signature: SAMPLES values, the first of which make BANDS bands of ROWS. A pair at similarity 0.8 shares no band with
+#: probability 3e-6.
+BANDS, ROWS, SAMPLES = 32, 5, 320
 #: Bits of an odd sketch.
-BITS = 512
+BITS = 1024
+#: Members of a bucket that are compared with one another in one block.
+BLOCK = 4096
 _rng = np.random.default_rng(20240229)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -51,7 +56,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """MinHash values of a non-empty set."""
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(shingles), 2048):
             part = shingles[i : i + 2048]
@@ -66,13 +71,13 @@ def odd_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def estimate(differing_bits: float, samples: int = BANDS * ROWS, bits: int = BITS) -> float:
+def estimate(differing_bits: float, samples: int = SAMPLES, bits: int = BITS) -> float:
     """Similarity that an XOR population count of two odd sketches stands for."""
     left = 1 - 2 * differing_bits / bits
     return 1 + bits / (4 * samples) * math.log(left) if left > 0 else 0.0
 
 
-def most_differing_bits(threshold: float, deviations: float = 5.0, samples: int = BANDS * ROWS, bits: int = BITS) -> int:
+def most_differing_bits(threshold: float, deviations: float = 5.0, samples: int = SAMPLES, bits: int = BITS) -> int:
     """A count that pairs at ``threshold`` exceed only ``deviations`` standard deviations away."""
     apart = 2 * samples * (1 - threshold)
     mean = bits / 2 * (1 - math.exp(-2 * apart / bits))
@@ -97,7 +102,7 @@ def fingerprints(df: DataFrame, *, k: int, id_col: str = "doc_id", text_col: str
                     values = signature(shingles)
                     bands = np.zeros(BANDS, np.uint64)
                     with np.errstate(over="ignore"):
-                        for row in values.reshape(BANDS, ROWS).T:
+                        for row in values[: BANDS * ROWS].reshape(BANDS, ROWS).T:
                             bands = mix(bands * np.uint64(31) + row)
                         bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
                     rows.append((len(shingles), (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), odd_sketch(values).tolist(), bands.view(np.int64).tolist()))
@@ -109,22 +114,21 @@ def fingerprints(df: DataFrame, *, k: int, id_col: str = "doc_id", text_col: str
     return picked.mapInArrow(work, f"doc {kind}, n_shingles long, set_hi long, set_lo long, sketch array<bigint>, bands array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, width: int) -> DataFrame:
     """``node, comp``: each node of ``edges(a, b)`` with the smallest node it is connected to.
 
     Large-star and small-star rounds in turn, each a partial aggregate and an equi-join, until the edges no longer
-    change; every round is a table in the shared folder.
+    change; every round is a table in the shared folder, of at most ``width`` files.
     """
-    star = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    star = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().coalesce(width), "edges")
     seen = None
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        star = materialise(small, "edges")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        star = materialise(small.distinct().coalesce(width), "edges")
         now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -133,14 +137,74 @@ def components(edges: DataFrame) -> DataFrame:
     return labelled.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that the odd sketches let through and the full shingle sets confirm."""
-    most = most_differing_bits(percent / 100)
-    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= most).select("a", "b")
-    text = lambda x: texts.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"), F.col("size").alias(f"size_{x}"))
+def _alike(placed: DataFrame, most: int, nearest: int | None) -> DataFrame:
+    """Pairs ``a, b`` of members ``key, rep, comp, sketch`` of one bucket that are in different components and differ in at
+    most ``most`` bits; of each member, the ``nearest`` of every other component (None: all)."""
+    kind = placed.schema["rep"].dataType.simpleString()
+    blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = placed.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep")
+
+    def compare(own: np.ndarray, reps: list, comps: list, sketch: np.ndarray, same_block: bool) -> Iterator[tuple]:
+        names = {c: n for n, c in enumerate(dict.fromkeys(comps))}
+        comp = np.array([names[c] for c in comps])
+        for r in range(len(reps)):
+            rest = np.arange(r + 1, len(reps)) if nearest is None or not same_block else np.arange(len(reps))
+            rest = rest[(comp[rest] != comp[r]) & (same_block | (own[rest] != own[r]))]
+            if not len(rest):
+                continue
+            apart = np.bitwise_count(sketch[rest] ^ sketch[r]).sum(axis=1)
+            rest, apart = rest[apart <= most], apart[apart <= most]
+            if nearest is not None:
+                order = np.lexsort((apart, comp[rest]))
+                rest = rest[order]
+                begins = np.flatnonzero(np.diff(comp[rest], prepend=-1))
+                nth = np.arange(len(rest)) - np.repeat(begins, np.diff(np.append(begins, len(rest))))
+                rest = rest[nth < nearest]
+            for x in rest.tolist():
+                yield (min(reps[r], reps[x]), max(reps[r], reps[x]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            marks = np.stack([table[x].to_numpy() for x in ("key", "i", "j")], axis=1)
+            starts = [*np.flatnonzero(np.any(np.diff(marks, axis=0, prepend=marks[:1] - 1) != 0, axis=1)).tolist(), len(marks)]
+            own = table["own"].to_numpy()
+            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            reps, comps = table["rep"].to_pylist(), table["comp"].to_pylist()
+            pairs = [x for a, b in zip(starts, starts[1:], strict=False) for x in compare(own[a:b], reps[a:b], comps[a:b], sketch[a:b], marks[a, 1] == marks[a, 2])]
+            for i in range(0, len(pairs), 1 << 16):
+                some = list(zip(*pairs[i : i + (1 << 16)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, table.schema.field("rep").type) for x in some], ["a", "b"])
+
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = np.stack([batch[x].to_numpy() for x in ("key", "i", "j")], axis=1)
+            cut = int(np.flatnonzero(np.any(marks != marks[-1], axis=1)).max(initial=-1)) + 1  # the last group may go on
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield from close()
+                rows = 0
+            held.append(batch.slice(cut))
+            rows += batch.num_rows - cut
+        if held:
+            yield from close()
+
+    return dealt.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, bucketed: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that the full shingle sets confirm. ``bucketed`` is ``texts`` dealt by ``rep`` already; the
+    side of the leaders, whose keys may be hot, is joined from ``texts``, so that Spark can split them."""
     kind = pairs.schema["a"].dataType.simpleString()
+    text = lambda t, x: t.select(F.col("rep").alias(x), F.col("text").alias(f"text_{x}"), F.col("size").alias(f"size_{x}"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +220,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, perce
                     keep.append(100 * common >= percent * (len(left[i]) + len(right) - common))
                 yield own.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    return likely.join(text("a"), "a").join(text("b"), "b").mapInArrow(exact, f"a {kind}, b {kind}")
+    return pairs.join(text(bucketed, "b"), "b").join(text(texts, "a"), "a").mapInArrow(exact, f"a {kind}, b {kind}")
 
 
 def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +232,11 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     are linked with nothing. A row with a null id is linked with nothing: its component is null and it is kept. Rows that
     share an id count as one document. Other columns of ``df`` are not read.
     """
+    spark = df.sparkSession
+    most = most_differing_bits(percent / 100)
     prints = materialise(fingerprints(df, k=k, id_col=id_col, text_col=text_col), "prints")
+    # Tables of ids are far smaller than the input: one file for some ten thousand documents.
+    width = max(12, prints.count() // 20_000)
     full = prints.where("n_shingles > 0 and doc is not null")
     same = ["set_hi", "set_lo", "n_shingles"]
     nodes = materialise(full.groupBy(*same).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
@@ -177,32 +245,31 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     crowded = materialise(rows.join(crowds, "key").select("key", "rep", "leader"), "crowded")
     wanted = crowded.select("rep").distinct()
     source = df.select(F.col(id_col).alias("rep"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(text_col).alias("text"))
-    texts = materialise(source.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-
-    tried = materialise(crowded.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "tried")
-    links = materialise(_confirm(tried, nodes, texts, k, percent), "links")
-    comp = materialise(components(links), "components")
-    for whole in (False, True):
+    source = source.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    path, name = scratch(spark, "texts"), f"texts_{uuid.uuid4().hex}"
+    source.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "rep").sortBy("rep").option("path", path).saveAsTable(name)
+    bucketed, texts = spark.table(name), spark.read.schema(source.schema).parquet(path)
+    sketches = nodes.select("rep", "sketch")
+
+    apart = F.aggregate(F.zip_with("sketch", "sketch_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    led = crowded.where("rep <> leader").select(F.col("leader").alias("a"), "rep").distinct()
+    led = led.join(sketches, "rep").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").where(apart <= most)
+    tried = materialise(led.select("a", F.col("rep").alias("b")).coalesce(width), "tried")
+    links = materialise(_confirm(tried, texts, bucketed, k, percent).coalesce(width), "links")
+    comp = materialise(components(links, width).coalesce(width), "components")
+    for nearest in (3, None):
         placed = crowded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.min("rep").alias("lead"))
-        several = parts.groupBy("key").count().where("count > 1").select("key")
-        parts = materialise(parts.join(several, "key", "left_semi"), "parts")
-        placed = materialise(placed.join(several, "key", "left_semi"), "placed")
-        other = parts.select("key", F.col("comp").alias("comp_b"), F.col("lead").alias("lead_b"))
-        if whole:
-            meet = parts.select("key", "comp").join(other.select("key", "comp_b"), "key").where("comp < comp_b")
-            pairs = meet.join(placed, ["key", "comp"]).select("key", F.col("rep").alias("x"), F.col("comp_b").alias("comp"))
-            pairs = pairs.join(placed.withColumnRenamed("rep", "y"), ["key", "comp"]).select("x", "y")
-        else:
-            pairs = placed.join(other, "key").where("comp <> comp_b").select(F.col("rep").alias("x"), F.col("lead_b").alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "fresh")
-        found = materialise(_confirm(fresh, nodes, texts, k, percent), "links")
-        tried = tried.unionByName(fresh)
-        if found.isEmpty():
+        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        placed = materialise(placed.join(several, "key", "left_semi").join(sketches, "rep"), "placed")
+        fresh = materialise(_alike(placed, most, nearest).join(tried, ["a", "b"], "left_anti").coalesce(width), "fresh")
+        if fresh.isEmpty():
             continue
-        links = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
-        comp = materialise(components(links), "components")
+        found = materialise(_confirm(fresh, texts, bucketed, k, percent).coalesce(width), "links")
+        tried = tried.unionByName(fresh)
+        if not found.isEmpty():
+            links = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
+            comp = materialise(components(links, width).coalesce(width), "components")
+    spark.sql(f"drop table {name}")
 
     reps = nodes.select(*same, "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
     linked = full.select("doc", *same).join(reps, same).select("doc", "n_shingles", F.col("comp").alias("component_id"))
