@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, licenses, packing, quality, secrets, tokens, warc
+from . import dedup, html_text, licenses, packing, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_swap": op3_pack_swap,
     "op4_warc_salvage": op4_warc_salvage,
     "op5_crf_quality": op5_crf_quality,
+    "op8_host_suffix_text": op8_host_suffix_text,
     "op9_license_dice": op9_license_dice,
     "op10_secret_layers": op10_secret_layers,
     "op7_token_counts": op7_token_counts,
