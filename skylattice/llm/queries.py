@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, html_text, licenses, packing, quality, secrets, tokens, warc
+from . import dedup, html_text, licenses, neighbours, packing, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op6_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), queries="vec_id % 20 = 0")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_suffix_text": op8_host_suffix_text,
     "op9_license_dice": op9_license_dice,
     "op10_secret_layers": op10_secret_layers,
+    "op6_multiprobe": op6_multiprobe,
     "op7_token_counts": op7_token_counts,
 }
 
