@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, html_text, licenses, neighbours, packing, quality, secrets, tokens, warc
+from . import dedup, html_text, licenses, neighbours, packing, pieces, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.n_best(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n=4, with_ids=False)
+
+
 def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -54,6 +58,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_n_best": op1_piece_n_best,
     "op2_odd_sketch_dedup": op2_odd_sketch_dedup,
     "op3_pack_swap": op3_pack_swap,
     "op4_warc_salvage": op4_warc_salvage,
