@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import search
+
+QUERIES = {**search.QUERIES}
+ORACLES = {**search.ORACLES}
