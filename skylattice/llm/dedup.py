@@ -4,8 +4,9 @@ Documents with equal shingle sets are one class from the start. Each class has a
 classes together; the whole signature, folded into a parity bitmap (an *odd sketch*), lets a pair be judged by the
 population count of an XOR; what that lets through is confirmed on the full shingle sets. A bucket is never expanded
 into all its pairs: its members are first held against its smallest member. Where a bucket then still spans several
-components, sketches are compared inside the bucket, in blocks of bounded size, and only pairs across components that
-look alike leave it: at first the nearest few of each member, and what is still apart then in full.
+components, sketches are compared inside the bucket, in blocks of bounded size. Members that look like a member of another
+component are fetched with their texts and confirmed there, nearest first, until no pair across components is left
+untried; only the links found leave the bucket, fewer than it has members.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ BANDS, ROWS, SAMPLES = 32, 5, 320
 #: Bits of an odd sketch.
 BITS = 1024
 #: Members of a bucket that are compared with one another in one block.
-BLOCK = 4096
+BLOCK = 2048
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -137,67 +138,110 @@ def components(edges: DataFrame, width: int) -> DataFrame:
     return labelled.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
 
 
-def _alike(placed: DataFrame, most: int, nearest: int | None) -> DataFrame:
-    """Pairs ``a, b`` of members ``key, rep, comp, sketch`` of one bucket that are in different components and differ in at
-    most ``most`` bits; of each member, the ``nearest`` of every other component (None: all)."""
-    kind = placed.schema["rep"].dataType.simpleString()
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``key, i, j`` together, from batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch[x].to_numpy() for x in ("key", "i", "j")], axis=1)
+        starts = [0, *(np.flatnonzero(np.any(np.diff(marks, axis=0) != 0, axis=1)) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], len(marks)], strict=True):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1][x][0] != part[x][0] for x in ("key", "i", "j")):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Bucket:
+    """Members of a bucket's block, or of two blocks that meet."""
+
+    def __init__(self, rows: pa.Table):
+        matrix = lambda x: rows[x].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).view(np.uint64)
+        self.sketch, self.bands, self.own = matrix("sketch"), matrix("bands"), rows["own"].to_numpy()
+        self.same_block = rows["i"][0] == rows["j"][0]
+        names: dict = {}
+        self.comp = np.array([names.setdefault(c, len(names)) for c in rows["comp"].to_pylist()])
+        key = np.array([rows["key"][0].as_py()], np.int64).view(np.uint64)[0]
+        self.band = int(np.flatnonzero(self.bands[0] == key)[0])
+
+    def alike(self, r: int, most: int) -> np.ndarray:
+        """Later members of other components that differ from member ``r`` in at most ``most`` bits, nearest first; pairs
+        that an earlier band brings together are left to it."""
+        rest = np.arange(r + 1, len(self.comp))
+        rest = rest[(self.comp[rest] != self.comp[r]) & (self.same_block | (self.own[rest] != self.own[r]))]
+        if not len(rest):
+            return rest
+        apart = np.bitwise_count(self.sketch[rest] ^ self.sketch[r]).sum(axis=1)
+        rest, apart = rest[apart <= most], apart[apart <= most]
+        if self.band and len(rest):
+            fresh = ~(self.bands[rest, : self.band] == self.bands[r, : self.band]).any(axis=1)
+            rest, apart = rest[fresh], apart[fresh]
+        return rest[np.argsort(apart, kind="stable")]
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """Members ``key, rep, comp, sketch, bands`` with the blocks ``i <= j`` they meet in; a crowded bucket has several."""
     blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = placed.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep")
-
-    def compare(own: np.ndarray, reps: list, comps: list, sketch: np.ndarray, same_block: bool) -> Iterator[tuple]:
-        names = {c: n for n, c in enumerate(dict.fromkeys(comps))}
-        comp = np.array([names[c] for c in comps])
-        for r in range(len(reps)):
-            rest = np.arange(r + 1, len(reps)) if nearest is None or not same_block else np.arange(len(reps))
-            rest = rest[(comp[rest] != comp[r]) & (same_block | (own[rest] != own[r]))]
-            if not len(rest):
-                continue
-            apart = np.bitwise_count(sketch[rest] ^ sketch[r]).sum(axis=1)
-            rest, apart = rest[apart <= most], apart[apart <= most]
-            if nearest is not None:
-                order = np.lexsort((apart, comp[rest]))
-                rest = rest[order]
-                begins = np.flatnonzero(np.diff(comp[rest], prepend=-1))
-                nth = np.arange(len(rest)) - np.repeat(begins, np.diff(np.append(begins, len(rest))))
-                rest = rest[nth < nearest]
-            for x in rest.tolist():
-                yield (min(reps[r], reps[x]), max(reps[r], reps[x]))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch", "bands")
+
+
+def _involved(placed: DataFrame, most: int) -> DataFrame:
+    """Those members, in their blocks, that look like a member of another component."""
+    dealt = _in_blocks(placed).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            marks = np.stack([table[x].to_numpy() for x in ("key", "i", "j")], axis=1)
-            starts = [*np.flatnonzero(np.any(np.diff(marks, axis=0, prepend=marks[:1] - 1) != 0, axis=1)).tolist(), len(marks)]
-            own = table["own"].to_numpy()
-            sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
-            reps, comps = table["rep"].to_pylist(), table["comp"].to_pylist()
-            pairs = [x for a, b in zip(starts, starts[1:], strict=False) for x in compare(own[a:b], reps[a:b], comps[a:b], sketch[a:b], marks[a, 1] == marks[a, 2])]
-            for i in range(0, len(pairs), 1 << 16):
-                some = list(zip(*pairs[i : i + (1 << 16)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, table.schema.field("rep").type) for x in some], ["a", "b"])
-
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([batch[x].to_numpy() for x in ("key", "i", "j")], axis=1)
-            cut = int(np.flatnonzero(np.any(marks != marks[-1], axis=1)).max(initial=-1)) + 1  # the last group may go on
-            if cut:
-                held.append(batch.slice(0, cut))
-                yield from close()
-                rows = 0
-            held.append(batch.slice(cut))
-            rows += batch.num_rows - cut
-        if held:
-            yield from close()
-
-    return dealt.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+        for rows in _grouped(batches):
+            bucket = _Bucket(rows)
+            marked = np.zeros(rows.num_rows, bool)
+            for r in range(rows.num_rows):
+                found = bucket.alike(r, most)
+                if len(found):
+                    marked[r] = True
+                    marked[found] = True
+            if marked.any():
+                yield from rows.filter(pa.array(marked)).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(work, dealt.schema)
+
+
+def _links_within(involved: DataFrame, bucketed: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """Confirmed links ``a, b`` across components between members of one block, as few as join what can be joined."""
+    kind = involved.schema["rep"].dataType.simpleString()
+    dealt = involved.join(bucketed, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            bucket = _Bucket(rows)
+            sets = [x for part in slices_by_bytes(rows["size"].to_numpy(), 4 << 20) for x in shingle_sets(rows["text"].combine_chunks()[part].fill_null(""), k)]
+            root = list(range(int(bucket.comp.max()) + 1))
+
+            def find(c: int, root: list[int] = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            comp, reps, links = bucket.comp.tolist(), rows["rep"].to_pylist(), []
+            for r in range(rows.num_rows):
+                for x in bucket.alike(r, most).tolist():
+                    a, b = find(comp[r]), find(comp[x])
+                    small, large = sorted((sets[r], sets[x]), key=len)
+                    if a == b or 100 * len(small) < percent * len(large):
+                        continue
+                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                    if 100 * common >= percent * (len(small) + len(large) - common):
+                        root[a] = b
+                        links.append((reps[r], reps[x]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, rows.schema.field("rep").type) for x in zip(*links, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(work, f"a {kind}, b {kind}")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, bucketed: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,18 +301,14 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     tried = materialise(led.select("a", F.col("rep").alias("b")).coalesce(width), "tried")
     links = materialise(_confirm(tried, texts, bucketed, k, percent).coalesce(width), "links")
     comp = materialise(components(links, width).coalesce(width), "components")
-    for nearest in (3, None):
-        placed = crowded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        placed = materialise(placed.join(several, "key", "left_semi").join(sketches, "rep"), "placed")
-        fresh = materialise(_alike(placed, most, nearest).join(tried, ["a", "b"], "left_anti").coalesce(width), "fresh")
-        if fresh.isEmpty():
-            continue
-        found = materialise(_confirm(fresh, texts, bucketed, k, percent).coalesce(width), "links")
-        tried = tried.unionByName(fresh)
-        if not found.isEmpty():
-            links = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
-            comp = materialise(components(links, width).coalesce(width), "components")
+    placed = crowded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    placed = placed.join(several, "key", "left_semi").join(nodes.select("rep", "sketch", "bands"), "rep")
+    involved = materialise(_involved(placed, most).coalesce(width), "involved")
+    found = materialise(_links_within(involved, bucketed, k, percent, most).coalesce(width), "links")
+    if not found.isEmpty():
+        links = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))
+        comp = materialise(components(links, width).coalesce(width), "components")
     spark.sql(f"drop table {name}")
 
     reps = nodes.select(*same, "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("comp"))
