@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search
+from . import search, shapes
 
-QUERIES = {**search.QUERIES}
-ORACLES = {**search.ORACLES}
+QUERIES = {**search.QUERIES, **shapes.QUERIES}
+ORACLES = {**search.ORACLES, **shapes.ORACLES}
