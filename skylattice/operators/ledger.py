@@ -49,7 +49,8 @@ def retry_plan(attempts: DataFrame, rules: RetryRules = DOWNLOAD, *, file: str =
     delay = F.lit(rules.first_delay) * F.pow(F.lit(rules.growth), F.col("failed_before").cast("double"))
     delay = F.least(delay, F.lit(rules.most_delay)) if rules.most_delay else delay
     asked = F.col("retry_after").cast("double")
-    asked = F.least(asked, F.lit(float(rules.most_retry_after))) if rules.most_retry_after else asked
+    # least() skips nulls, so an absent header must be kept apart from the cap.
+    asked = F.when(asked.isNotNull(), F.least(asked, F.lit(float(rules.most_retry_after)))) if rules.most_retry_after else asked
     wait = F.when(kind == "rate_limited", F.coalesce(asked, delay)).when(spent, delay).otherwise(F.lit(0.0))
     rows = rows.withColumn("verdict", verdict).withColumn("wait", wait)
     ended = F.coalesce(F.count_if(F.col("verdict") != "retry").over(before), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search, shapes
+from . import search, shapes, transfer
 
-QUERIES = {**search.QUERIES, **shapes.QUERIES}
-ORACLES = {**search.ORACLES, **shapes.ORACLES}
+QUERIES = {**search.QUERIES, **shapes.QUERIES, **transfer.QUERIES}
+ORACLES = {**search.ORACLES, **shapes.ORACLES, **transfer.ORACLES}
