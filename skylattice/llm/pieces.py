@@ -162,7 +162,7 @@ class WordCoder:
 
     def _hash(self, piece: str) -> int:
         out = 0
-        for c in mix(np.array([ord(c) for c in piece], np.uint64)).tolist():
+        for c in mix(np.array([ord(c) + 1 for c in piece], np.uint64)).tolist():
             out = (out * int(self.base) + c) % (1 << 64)
         return out
 
@@ -180,7 +180,7 @@ class WordCoder:
         edge = np.full((width + 1, long + 1, n), -np.inf)
         odd = np.zeros(n, bool)
         with np.errstate(over="ignore"):
-            mixed = mix(chars.astype(np.uint64))
+            mixed = mix(chars.astype(np.uint64) + np.uint64(1))  # no character counts as nothing
             for e in range(1, width + 1):
                 live = int(np.searchsorted(-sizes, -e, "right"))
                 prefix[:live, e] = prefix[:live, e - 1] * self.base + mixed[:live, e - 1]
