@@ -33,6 +33,10 @@ def retry_stream(attempts: DataFrame, rules: RetryRules = DOWNLOAD) -> DataFrame
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    # Plain values only: the workers that run the processor need not have this package.
+    tries, first_delay, growth = rules.attempts, rules.first_delay, rules.growth
+    most_delay, most_after, most_refreshes = rules.most_delay or float("inf"), rules.most_retry_after, rules.refreshes
+
     class Retry(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("state", "refreshes int, spent int, failed int, ended boolean")
@@ -43,20 +47,20 @@ def retry_stream(attempts: DataFrame, rules: RetryRules = DOWNLOAD) -> DataFrame
             for row in pd.concat(list(rows)).sort_values("seq").itertuples():
                 if ended:
                     break
-                delay, verdict, wait = min(rules.first_delay * rules.growth**failed, rules.most_delay or float("inf")), "retry", 0.0
+                delay, verdict, wait = min(first_delay * growth**failed, most_delay), "retry", 0.0
                 if row.status in (200, 206, 416):
                     verdict = "ok"
                 elif row.status == 401:
                     refreshes += 1
-                    verdict = "refresh_limit" if refreshes > rules.refreshes else "retry"
+                    verdict = "refresh_limit" if refreshes > most_refreshes else "retry"
                 else:
                     spent += 1
                     wait = delay
                     if row.status == 429 and not pd.isna(row.retry_after):
-                        wait = float(min(row.retry_after, rules.most_retry_after))
+                        wait = float(min(row.retry_after, most_after))
                     elif row.status != 429 and not 500 <= row.status < 600:
                         failed += 1
-                    verdict = "exhausted" if spent >= rules.attempts else "retry"
+                    verdict = "exhausted" if spent >= tries else "retry"
                 ended = verdict != "retry"
                 out.append((key[0], row.seq, verdict, wait))
             self.state.update((refreshes, spent, failed, ended))
