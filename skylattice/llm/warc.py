@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialise, scratch
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -64,6 +64,8 @@ def records(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pay
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("hex", F.sha1(F.col("payload").cast("binary")))
     firsts = rows.where((F.octet_length("payload") >= least_revisit_bytes) & F.col("id").isNotNull()).groupBy("hex").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hex", "first")
+    # As a table of known size: while it is small Spark sends it to the payloads, and beyond that deals both out by digest.
+    firsts = materialise(firsts, "firsts")
     known = rows.join(firsts, "hex", "left").withColumn("revisit", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     size = F.octet_length("payload")
