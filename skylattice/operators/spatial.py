@@ -11,39 +11,45 @@ from skylattice.functions import geometry as G
 MOST_CELLS = 1000
 
 
+#: Cells of the coarse grid are this many times as wide.
+COARSE = 64
+
+
 def _cell(x: Column, y: Column, size: float) -> Column:
     return F.floor(x / size).cast("long") * 1_000_003 + F.floor(y / size).cast("long")
 
 
-def _cells(box: Column, size: float) -> Column:
+def _cells(box: Column, size: float, tag: int) -> Column:
+    """Keys of the cells that a box covers; keys of different tags never meet."""
     span = lambda a, b: F.sequence(F.floor(a / size).cast("long"), F.floor(b / size).cast("long"))
-    return F.flatten(F.transform(span(box.xmin, box.xmax), lambda x: F.transform(span(box.ymin, box.ymax), lambda y: x * 1_000_003 + y)))
+    return F.flatten(F.transform(span(box.xmin, box.xmax), lambda x: F.transform(span(box.ymin, box.ymax), lambda y: (x * 1_000_003 + y) * 4 + tag)))
 
 
-def _many(box: Column, size: float) -> Column:
+def _wide(box: Column, size: float) -> Column:
     return (F.floor(box.xmax / size) - F.floor(box.xmin / size) + 1) * (F.floor(box.ymax / size) - F.floor(box.ymin / size) + 1) > MOST_CELLS
 
 
 def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring", right_ring: str = "ring", cell: float = 2.0, exact: bool = True) -> DataFrame:
     """Pairs of rows whose polygons (``exact``) or boxes meet; all columns of both sides but the rings, whose names must
-    differ otherwise.
+    differ otherwise. Null rings and rings of fewer than four points meet nothing.
 
-    Both sides go to the grid cells that their boxes cover and meet by an equi-join; a pair is kept only in the cell of
+    Both sides go to the grid cells that their boxes cover and meet by one equi-join; a pair is kept only in the cell of
     its boxes' lower left common corner, so nothing needs to be made distinct. The predicate stands behind a CASE, since
-    the optimiser may put its dear part before the cheap one. Boxes of more than ``MOST_CELLS`` cells (a few areas that
-    span continents) meet the other side by their coarse cells, a grid as wide as the globe.
+    the optimiser may put its dear part before the cheap one. A box of more than ``MOST_CELLS`` cells (an area that spans
+    continents) takes the cells of a grid ``COARSE`` times wider instead, where the other side's boxes also wait for it:
+    tag 0 is narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with wide.
     """
-    mark = lambda df, r, p: df.where(F.size(r) > 3).withColumns({f"{p}_box": G.bounds(F.col(r)), f"{p}_edges": G.edges(F.col(r))}).drop(r)
-    a, b = mark(left, left_ring, "l"), mark(right, right_ring, "r")
-
-    def meet(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-        a = a.withColumn("_cell", F.explode(_cells(F.col("l_box"), size)))
-        b = b.withColumn("_cell", F.explode(_cells(F.col("r_box"), size)))
-        near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & (F.col("_cell") == _cell(F.greatest("l_box.xmin", "r_box.xmin"), F.greatest("l_box.ymin", "r_box.ymin"), size))
-        rest = G.polygons_meet(F.col("l_edges"), F.col("r_edges")) if exact else F.lit(True)
-        return a.join(b, "_cell").where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_cell", "l_box", "r_box", "l_edges", "r_edges")
-
-    wide_a, wide_b = _many(F.col("l_box"), cell), _many(F.col("r_box"), cell)
-    fine = meet(a.where(~wide_a), b.where(~wide_b), cell)
-    coarse = cell * 64
-    return fine.unionByName(meet(a.where(wide_a), b, coarse)).unionByName(meet(a.where(~wide_a), b.where(wide_b), coarse))
+    coarse = cell * COARSE
+
+    def dealt(df: DataFrame, r: str, side: str, mixed: int, other: int) -> DataFrame:
+        box = F.col(f"{side}_box")
+        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_edges": G.edges(F.col(r))}).drop(r)
+        keys = F.when(_wide(box, cell), F.concat(_cells(box, coarse, other), _cells(box, coarse, 3))).otherwise(F.concat(_cells(box, cell, 0), _cells(box, coarse, mixed)))
+        return rows.withColumn("_key", F.explode(keys))
+
+    pairs = dealt(left, left_ring, "l", 1, 2).join(dealt(right, right_ring, "r", 2, 1), "_key")
+    x, y, tag = F.greatest("l_box.xmin", "r_box.xmin"), F.greatest("l_box.ymin", "r_box.ymin"), F.pmod("_key", F.lit(4))
+    corner = F.when(tag == 0, _cell(x, y, cell) * 4).otherwise(_cell(x, y, coarse) * 4 + tag)
+    near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & (F.col("_key") == corner)
+    rest = G.polygons_meet(F.col("l_edges"), F.col("r_edges")) if exact else F.lit(True)
+    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_edges", "r_edges")
