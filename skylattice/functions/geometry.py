@@ -94,10 +94,13 @@ def _on(e: Column, x: Column, y: Column) -> Column:
 
 
 def edges_meet(e: Column, f: Column) -> Column:
-    """Closed intersection of two segments."""
+    """Closed intersection of two segments; most pairs are settled by their boxes."""
+    low, high = F.least, F.greatest
+    apart = (low(e.ax, e.bx) > high(f.ax, f.bx)) | (low(f.ax, f.bx) > high(e.ax, e.bx)) | (low(e.ay, e.by) > high(f.ay, f.by)) | (low(f.ay, f.by) > high(e.ay, e.by))
     a, b = _turn(f.ax, f.ay, f.bx, f.by, e.ax, e.ay), _turn(f.ax, f.ay, f.bx, f.by, e.bx, e.by)
     c, d = _turn(e.ax, e.ay, e.bx, e.by, f.ax, f.ay), _turn(e.ax, e.ay, e.bx, e.by, f.bx, f.by)
-    return ((a * b < 0) & (c * d < 0)) | ((a == 0) & _on(f, e.ax, e.ay)) | ((b == 0) & _on(f, e.bx, e.by)) | ((c == 0) & _on(e, f.ax, f.ay)) | ((d == 0) & _on(e, f.bx, f.by))
+    meet = ((a * b < 0) & (c * d < 0)) | ((a == 0) & _on(f, e.ax, e.ay)) | ((b == 0) & _on(f, e.bx, e.by)) | ((c == 0) & _on(e, f.ax, f.ay)) | ((d == 0) & _on(e, f.bx, f.by))
+    return F.when(apart, F.lit(False)).otherwise(meet)
 
 
 def holds_point(sides: Column, x: Column, y: Column) -> Column:
@@ -111,8 +114,10 @@ def holds_point(sides: Column, x: Column, y: Column) -> Column:
 
 
 def polygons_meet(e: Column, f: Column) -> Column:
-    """Closed intersection of two polygons given by their edges: an edge pair meets or one holds a corner of the other."""
-    return F.exists(e, lambda x: F.exists(f, lambda y: edges_meet(x, y))) | holds_point(f, e[0].ax, e[0].ay) | holds_point(e, f[0].ax, f[0].ay)
+    """Closed intersection of two polygons given by their edges: an edge pair meets or one holds a corner of the other.
+    The corners come first: they are cheaper and settle most pairs that meet."""
+    inside = holds_point(f, e[0].ax, e[0].ay) | holds_point(e, f[0].ax, f[0].ay)
+    return F.when(inside, F.lit(True)).otherwise(F.exists(e, lambda x: F.exists(f, lambda y: edges_meet(x, y))))
 
 
 def reproject(r: Column, srid: Column) -> Column:
