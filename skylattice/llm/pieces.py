@@ -141,7 +141,7 @@ class WordCoder:
     WIDEST = 32
     BATCH = 4096
 
-    def __init__(self, model: Model, most: int = 800_000):
+    def __init__(self, model: Model, most: int = 500_000):
         self.model, self.most = model, most
         rng = np.random.default_rng(11)
         self.base = np.uint64(rng.integers(1 << 62, 1 << 63) | 1)

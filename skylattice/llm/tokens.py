@@ -56,7 +56,7 @@ class ChunkCoder:
     it, are cut by ``SAFE`` instead, which looks at both neighbours. ``most`` bounds the chunks remembered by a worker.
     """
 
-    def __init__(self, path: str, most: int = 800_000, batch: int = 8192):
+    def __init__(self, path: str, most: int = 600_000, batch: int = 8192):
         self.tokenizer, self.most, self.batch = load_tokenizer(path), most, batch
         self.forget()
 
