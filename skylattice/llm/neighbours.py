@@ -123,9 +123,11 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     n, scale = nodes.agg(F.count("*"), F.max(norm)).first()
     scale = float(scale or 1.0)
     if probes is None:
-        picked = nodes.where(F.size("vector") == nodes.select(F.size("vector").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()[0]["d"]) if n else nodes
-        sample = picked.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks() if n else None
-        probes = fit_probes(_vectors(sample), scale, n, k, tables=tables, hashes=hashes, width=width) if n > 1 else 1
+        probes = 1
+        if n > 1:
+            common = nodes.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()["size"]
+            sample = nodes.where(F.size("vector") == common).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("vector").toArrow()
+            probes = fit_probes(_vectors(sample["vector"].combine_chunks()), scale, n, k, tables=tables, hashes=hashes, width=width)
 
     def groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
         """The batch's nodes by length of vector."""
