@@ -75,11 +75,11 @@ def test_read_lists_gaps(spark, tmp_path):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li>Menu<li>More</ul></nav>
-<div class="cookie-notice">We use cookies</div><article><header><h1>A &amp; B</h1></header><p><b>One  two<br>three<p>Four <i>five</i>.</p><form><p>Mail</p></form><div id="comments"><p>First!</div><aside>See also</aside><p>Last</article><footer>Foot</footer>"""
+<div class="cookie-notice">We use cookies</div><div class="site-header">Brand</div><article class="post"><div class="post-header">By A</div><header><h1>A &amp; B</h1></header><p><b>One  two<br>three<p>Four <i>five</i>.</p><form><p>Mail</p></form><div id="comments"><p>First!</div><aside>See also</aside><p>Last</article><footer>Foot</footer>"""
 
 
 def test_main_text_by_structure():
-    assert html_text.texts_of([PAGE], 8) == ["A & B\n\nOne two three\n\nFour five.\n\nLast"]
+    assert html_text.texts_of([PAGE], 8) == ["By A\n\nA & B\n\nOne two three\n\nFour five.\n\nLast"]
 
 
 def test_main_text_by_repetition():
