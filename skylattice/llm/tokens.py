@@ -58,6 +58,10 @@ class ChunkCoder:
 
     def __init__(self, path: str, most: int = 600_000, batch: int = 8192):
         self.tokenizer, self.most, self.batch = load_tokenizer(path), most, batch
+        # Byte-level vocabularies write a space as U+0120 and a line feed as U+010A.
+        begins = [(self.tokenizer.id_to_token(i) or "")[:1] in ("\u0120", "\u010a") for i in range(self.tokenizer.get_vocab_size())]
+        drops_spaces = not self.tokenizer.encode(" ", add_special_tokens=False).ids
+        self.opens = None if drops_spaces or not any(begins) else np.array(begins)
         self.forget()
 
     def forget(self) -> None:
@@ -65,8 +69,31 @@ class ChunkCoder:
         self.starts, self.ids = [np.zeros(1, np.int64)], [np.zeros(0, np.uint32)]
         self.size = 0
 
-    def encode_chunks(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for i in range(0, len(texts), self.batch) for x in self.tokenizer.encode_batch_fast(texts[i : i + self.batch], add_special_tokens=False)]
+    def encode_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, and how many each has."""
+        found = [x.ids for i in range(0, len(texts), self.batch) for x in self.tokenizer.encode_batch_fast(texts[i : i + self.batch], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def encode_spaced(self, texts: list[str], group: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that begin with their only space or line feed. Put one after another they are a text that
+        falls apart into them, so a group is encoded in one call, and a chunk's first id is one that such a byte begins."""
+        if self.opens is None:
+            return self.encode_chunks(texts)
+        groups = [texts[i : i + group] for i in range(0, len(texts), group)]
+        ids, sizes = [], []
+        for i in range(0, len(groups), self.batch):
+            some = groups[i : i + self.batch]
+            for chunks, x in zip(some, self.tokenizer.encode_batch_fast(list(map("".join, some)), add_special_tokens=False), strict=True):
+                own = np.array(x.ids, np.uint32)
+                starts = np.flatnonzero(self.opens[own])
+                if len(starts) == len(chunks) and starts[0] == 0:
+                    ids.append(own)
+                    sizes.append(np.diff(starts, append=len(own)))
+                else:
+                    for part, kept in zip(self.encode_chunks(chunks), (ids, sizes), strict=True):
+                        kept.append(part)
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
     def places(self, keys: list[str]) -> np.ndarray:
         """The places of ``keys`` among the remembered chunks; a key is a chunk without its space, or behind NUL as it stands."""
@@ -75,11 +102,12 @@ class ChunkCoder:
         index = self.index
         new = [k for k in keys if k not in index]
         if new:
-            found = self.encode_chunks([k[1:] if k[:1] == "\0" else k if k[:1] == "\n" else " " + k for k in new])
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            new.sort(key=lambda k: k[:1] == "\0")
+            alone = next((i for i, k in enumerate(new) if k[:1] == "\0"), len(new))
+            ids, sizes = map(np.concatenate, zip(self.encode_spaced([k if k[:1] == "\n" else " " + k for k in new[:alone]]), self.encode_chunks([k[1:] for k in new[alone:]]), strict=True))
             self.starts.append(self.size + np.cumsum(sizes))
-            self.ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())))
-            self.size += int(sizes.sum())
+            self.ids.append(ids)
+            self.size += len(ids)
             index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
             self.starts, self.ids = [np.concatenate(self.starts)], [np.concatenate(self.ids)]
         return np.fromiter(map(index.__getitem__, keys), np.int64, len(keys))
