@@ -9,8 +9,10 @@ coordinate. Equal vectors are one node, so copies never crowd a bucket; a bucket
 from __future__ import annotations
 
 import heapq
+import itertools
+import logging
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 TABLES, HASHES, WIDTH = 8, 8, 2.0
-#: Nodes that the number of probes is fitted on, at most, and queries among them.
-SAMPLE, SAMPLE_QUERIES = 4096, 256
+#: Queries that the number of probes is fitted on, at most, and groups of them by density.
+SAMPLE_QUERIES, STRATA = 256, 8
+#: Nodes that are scored in about the time that one probe takes to be made, sent and looked up.
+WORTH = 600
+#: Components of the queries that are searched exactly in one pass over the nodes.
+BLOCK = 1 << 19
 #: Rows of an index shard, about; more in one bucket are salted.
 SHARD = 8192
 
@@ -73,41 +79,117 @@ def probe_sequence(fraction: np.ndarray, count: int) -> list[np.ndarray]:
     return out
 
 
-def fit_probes(sample: np.ndarray, scale: float, nodes: int, k: int, *, recall: float = 0.96, most: int = 1024, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> int:
-    """Probes a table that find ``recall`` of pairs as near as the k nearest of ``nodes`` are, judged on a sample."""
-    queries = sample[:SAMPLE_QUERIES]
-    scores = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ sample.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    flat = np.sort(scores[np.isfinite(scores)])[::-1]
-    pairs = max(min(len(flat), 64), round(len(flat) * k / max(nodes - 1, 1)))
-    q, v = np.nonzero(scores >= flat[min(pairs, len(flat)) - 1])
-    picked = np.random.default_rng(5).permutation(len(q))[:400]
-    pq, pv = places(queries, scale, True, tables, hashes, width), places(sample, scale, False, tables, hashes, width)
-    rank = np.full(len(picked), most + 1)
-    for n, i in enumerate(picked.tolist()):
-        for t in range(tables):
-            cell = np.floor(pq[q[i], t])
-            gap = np.floor(pv[v[i], t]) - cell
-            if np.abs(gap).max() <= 1:
-                for r, move in enumerate(probe_sequence(pq[q[i], t] - cell, int(rank[n]))):
-                    if np.array_equal(move, gap):
-                        rank[n] = r + 1
-                        break
-    return int(min(most, np.quantile(rank, recall, method="higher"))) if len(rank) else 1
+def wall_costs(fraction: np.ndarray, most: int) -> np.ndarray:
+    """Costs of the perturbations of each table (tables, hashes), in order; of the first ``most`` if there are very many."""
+    hashes = fraction.shape[1]
+    if 3**hashes > 20_000:
+        return np.array([[sum((f[i] if x < 0 else 1 - f[i]) ** 2 for i, x in enumerate(move) if x) for move in probe_sequence(f, most)] for f in fraction])
+    moves = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
+    return np.sort(fraction**2 @ (moves < 0).T + (1 - fraction) ** 2 @ (moves > 0).T, axis=1)
+
+
+def probe_ranks(query: np.ndarray, found: np.ndarray, scale: float, *, most: int, tables: int, hashes: int, width: float) -> np.ndarray:
+    """The probe that meets each of the vectors ``found`` first in any table; ``most + 1`` if none does."""
+    at = places(query[None], scale, True, tables, hashes, width)[0]
+    cells = np.floor(at)
+    gap = np.floor(places(found, scale, False, tables, hashes, width)) - cells
+    fraction = at - cells
+    cost = ((gap < 0) * fraction**2 + (gap > 0) * (1 - fraction) ** 2).sum(axis=2)
+    costs = wall_costs(fraction, most)
+    rank = np.stack([np.searchsorted(costs[t], cost[:, t] - 1e-12) + 1 for t in range(tables)], axis=1)
+    return np.minimum(np.where(np.abs(gap).max(axis=2) <= 1, rank, most + 1).min(axis=1), most + 1)
+
+
+def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, nodes: int, *, recall: float = 0.96, most: int = 1024, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> tuple[int, float]:
+    """Probes a table that find ``recall`` of the nearest vectors ``found`` for each of the ``queries``, and a floor.
+
+    Queries are put into groups by the score of their last answer, over their length, and every group must reach
+    ``recall``. Where that takes more than ``most`` probes, or more than scoring all ``nodes`` is worth, the floor is the
+    best such score of the group: a query whose last answer is no better is not served by the probes (minus infinity if
+    there is no such group).
+    """
+    most = min(most, max(1, nodes // (WORTH * tables)))
+    some = [i for i in range(len(queries)) if len(found[i])]
+    if not some:
+        return 1, -np.inf
+    ranks = {i: probe_ranks(queries[i], found[i], scale, most=most, tables=tables, hashes=hashes, width=width) for i in some}
+    last = {i: float((found[i] @ queries[i]).min() / np.linalg.norm(queries[i])) for i in some}
+    some.sort(key=lambda i: last[i])
+    probes, floor = 1, -np.inf
+    for group in np.array_split(np.array(some), min(STRATA, len(some))):
+        need = int(np.quantile(np.concatenate([ranks[i] for i in group.tolist()]), recall, method="higher"))
+        if need > most:
+            floor = max(floor, *(last[i] for i in group.tolist()), -np.inf)
+        else:
+            probes = max(probes, need)
+    if floor > -np.inf:
+        logging.getLogger(__name__).warning("More than %d probes a table would be needed for queries whose last answer scores %.6g or less; these are searched exactly", most, floor)
+    return probes, floor
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The batch's nodes by length of vector."""
+    sizes = np.diff(batch["vector"].offsets.to_numpy())
+    for size in np.unique(sizes).tolist():
+        own = batch.take(pa.array(np.flatnonzero(sizes == size)))
+        yield own, _vectors(own["vector"])
+
+
+def exactly(nodes: DataFrame, asking: pa.Table, k: int) -> DataFrame:
+    """``query, node, score``: each task's best ``k + 1`` nodes for each row of ``asking`` (node, vector; all of one
+    length and few, as they are sent to every task), by inner products with all nodes of that length."""
+    names, queries = asking["node"].combine_chunks(), _vectors(asking["vector"].combine_chunks())
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, what, score = np.zeros(0, np.int64), None, np.zeros(0)
+        least = np.full(len(queries), -np.inf)
+        slack = 1e-9 * np.linalg.norm(queries, axis=1)
+        for batch in batches:
+            for own, vectors in _groups(batch):
+                if vectors.shape[1] != queries.shape[1]:
+                    continue
+                ids = own["node"].to_numpy(zero_copy_only=False)
+                for a in range(0, len(vectors), 1024):
+                    some = vectors[a : a + 1024]
+                    parts = []
+                    for b in range(0, len(queries), 1024):
+                        rough = queries[b : b + 1024] @ some.T
+                        low = least[b : b + 1024]
+                        if len(some) > k and np.isinf(low).any():
+                            low = np.maximum(low, np.partition(rough, len(some) - k - 1, axis=1)[:, len(some) - k - 1])
+                        q, v = np.nonzero(rough >= (low - slack[b : b + 1024] * np.linalg.norm(some, axis=1).max())[:, None])
+                        parts.append((q + b, v))
+                    q, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    if not len(q):
+                        continue
+                    who = np.concatenate([who, q])
+                    what = ids[a + v] if what is None else np.concatenate([what, ids[a + v]])
+                    score = np.concatenate([score, np.einsum("ij,ij->i", some[v], queries[q])])
+                    order = np.lexsort((what, -score, who))
+                    place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+                    order, place = order[place <= k], place[place <= k]
+                    who, what, score = who[order], what[order], score[order]
+                    least[who[place == k]] = score[place == k]
+        if what is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), pa.array(what, names.type), pa.array(score)], ["query", "node", "score"])
+
+    return nodes.select("node", "vector").mapInArrow(search, f"query {kind}, node {kind}, score double")
+
+
 def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int | None = None) -> DataFrame:
     """``query_id, rank, id_col, score``: the ``k`` nearest rows found for each row that the SQL condition ``queries`` picks.
 
     Score is the inner product in double precision; ties go to the smaller id; a query is not its own neighbour. Vectors
     that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; only
     vectors of one length are compared with one another. Repeated rows with one id count once. All rows are indexed; the
-    number of probes is fitted on a sample of at most ``SAMPLE`` nodes (if ``probes`` is not given). An empty table gives
-    an empty result. Other columns are not read.
+    number of probes (if ``probes`` is not given) is fitted on the true neighbours of at most ``SAMPLE_QUERIES`` queries,
+    so that each group of them by density reaches the recall. Queries beyond the reach of the probes are searched exactly. An empty table gives an empty result.
+    Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -122,30 +204,31 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     n, scale = nodes.agg(F.count("*"), F.max(norm)).first()
     scale = float(scale or 1.0)
+    asking = nodes.select("node", "vector").join(asked.select("node").distinct(), "node", "left_semi")
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    floor, fitted = -np.inf, None
     if probes is None:
         probes = 1
-        if n > 1:
-            common = nodes.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()["size"]
-            sample = nodes.where(F.size("vector") == common).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("vector").toArrow()
-            probes = fit_probes(_vectors(sample["vector"].combine_chunks()), scale, n, k, tables=tables, hashes=hashes, width=width)
-
-    def groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """The batch's nodes by length of vector."""
-        sizes = np.diff(batch["vector"].offsets.to_numpy())
-        for size in np.unique(sizes).tolist():
-            own = batch.take(pa.array(np.flatnonzero(sizes == size)))
-            yield own, _vectors(own["vector"])
+        common = asking.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+        if common:
+            fitted = common["size"]
+            sample = asking.where(F.size("vector") == fitted).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE_QUERIES).toArrow()
+            known = exactly(nodes, sample, k).where(F.col("query") != F.col("node")).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k)
+            known = known.join(nodes.select("node", "vector"), "node").select("query", "vector").toArrow()
+            known_of, known_vectors = np.array(known["query"].to_pylist(), object), _vectors(known["vector"].combine_chunks()) if known.num_rows else None
+            found = [known_vectors[np.flatnonzero(known_of == q)] if known.num_rows else np.zeros((0, fitted)) for q in sample["node"].to_pylist()]
+            probes, floor = fit_probes(_vectors(sample["vector"].combine_chunks()), found, scale, n, tables=tables, hashes=hashes, width=width)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, vectors in groups(batch):
+            for own, vectors in _groups(batch):
                 cells = np.floor(places(vectors, scale, False, tables, hashes, width))
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(keys_of(cells[:, t], t, vectors.shape[1], hashes, tables, width)), own["node"], own["vector"]], ["key", "node", "vector"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, vectors in groups(batch):
+            for own, vectors in _groups(batch):
                 at = places(vectors, scale, True, tables, hashes, width)
                 cells = np.floor(at)
                 for i in range(0, len(vectors), 256):
@@ -162,7 +245,6 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     shard = F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int")
     salts = F.coalesce("salts", F.lit(1))
     entries = entries.join(crowded, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select(shard.alias("shard"), "key", "node", "vector")
-    asking = nodes.select("node", "vector").join(asked.select("node").distinct(), "node", "left_semi")
     probing = asking.mapInArrow(ask, f"query {kind}, key long").join(crowded, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     probing = probing.select("query", "key", shard.alias("shard")).groupBy("shard", "query").agg(F.collect_list("key").alias("keys"))
     probing = probing.join(asking.select(F.col("node").alias("query"), "vector"), "query")
@@ -206,8 +288,24 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
         return pa.table([right["query"].combine_chunks().take(pa.array(who)), pa.array(what, schema.field("node").type), pa.array(score)], schema=schema)
 
     scored = entries.groupBy("shard").cogroup(probing.groupBy("shard")).applyInArrow(meet, f"query {kind}, node {kind}, score double")
-    by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    best = scored.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1)
+    top = lambda x: x.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1)
+    best = materialise(top(scored), "best")
+    # Queries that the probes do not serve are searched exactly, block by block.
+    copies = nodes.select("node", F.size("ids").alias("copies"))
+    rest = best.join(copies, "node").groupBy("query").agg((F.sum("copies") - F.max((F.col("query") == F.col("node")).cast("int"))).alias("found"), F.min(F.when(F.col("query") != F.col("node"), F.col("score"))).alias("last"))
+    rows_of = nodes.groupBy(F.size("vector").alias("size")).agg(F.sum(F.size("ids")).alias("rows"))
+    state = asking.withColumn("size", F.size("vector")).join(rows_of, "size").join(rest.withColumnRenamed("query", "node"), "node", "left")
+    poor = F.coalesce(F.col("last") / norm <= F.lit(floor), F.lit(False)) if floor > -np.inf else F.lit(False)
+    unfitted = F.col("size") != fitted if fitted is not None else F.lit(False)
+    again = materialise(state.where((F.col("rows") > 1) & (poor | unfitted)).select("node", "vector", "size"), "again")
+    answers = [best.select("query", "node", "score")]
+    for size, count in again.groupBy("size").count().orderBy("size").collect():
+        blocks = -(-count * size // BLOCK)
+        for block in range(blocks):
+            own = again.where((F.col("size") == size) & (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)) == block)).select("node", "vector").toArrow()
+            if own.num_rows:
+                answers.append(materialise(exactly(nodes, own, k), "exact"))
+    best = top(reduce(DataFrame.unionByName, answers))
     # Answers in nodes, then in rows: a node's ids share its score.
     listed = asked.join(best, asked["node"] == best["query"]).select("query_id", best["node"].alias("found"), "score")
     listed = listed.join(nodes.select(F.col("node").alias("found"), "ids"), "found").select("query_id", F.explode("ids").alias(id_col), "score").where(F.col("query_id") != F.col(id_col))

@@ -151,6 +151,26 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.where("vec_id = 20"), queries="vec_id % 20 = 0").count() == 0
 
 
+def test_neighbours_with_a_dense_third(spark):
+    ship(spark)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[:1000] = vectors[0] + rng.normal(size=(1000, 64)) * 0.02
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, queries="vec_id % 20 = 0").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for stratum in (range(0, 1000, 20), range(1000, 3000, 20)):
+        hits = 0
+        for q in stratum:
+            scores = vectors @ vectors[q]
+            scores[q] = -np.inf
+            hits += len(set(got[q]) & set(np.argsort(-scores)[:20].tolist()))
+        assert hits >= 0.92 * 20 * len(stratum)
+
+
 def test_probes_come_in_order_of_cost():
     rng = np.random.default_rng(0)
     fraction = rng.uniform(size=5)
