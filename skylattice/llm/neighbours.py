@@ -188,7 +188,8 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; only
     vectors of one length are compared with one another. Repeated rows with one id count once. All rows are indexed; the
     number of probes (if ``probes`` is not given) is fitted on the true neighbours of at most ``SAMPLE_QUERIES`` queries,
-    so that each group of them by density reaches the recall. Queries beyond the reach of the probes are searched exactly. An empty table gives an empty result.
+    so that each group of them by density reaches the recall. Queries beyond the reach of the probes, and those left with
+    fewer than ``k`` answers though there are more rows, are searched exactly. An empty table gives an empty result.
     Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -295,9 +296,10 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     rest = best.join(copies, "node").groupBy("query").agg((F.sum("copies") - F.max((F.col("query") == F.col("node")).cast("int"))).alias("found"), F.min(F.when(F.col("query") != F.col("node"), F.col("score"))).alias("last"))
     rows_of = nodes.groupBy(F.size("vector").alias("size")).agg(F.sum(F.size("ids")).alias("rows"))
     state = asking.withColumn("size", F.size("vector")).join(rows_of, "size").join(rest.withColumnRenamed("query", "node"), "node", "left")
+    short = F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("rows") - 1)
     poor = F.coalesce(F.col("last") / norm <= F.lit(floor), F.lit(False)) if floor > -np.inf else F.lit(False)
     unfitted = F.col("size") != fitted if fitted is not None else F.lit(False)
-    again = materialise(state.where((F.col("rows") > 1) & (poor | unfitted)).select("node", "vector", "size"), "again")
+    again = materialise(state.where((F.col("rows") > 1) & (short | poor | unfitted)).select("node", "vector", "size"), "again")
     answers = [best.select("query", "node", "score")]
     for size, count in again.groupBy("size").count().orderBy("size").collect():
         blocks = -(-count * size // BLOCK)

@@ -171,6 +171,16 @@ def test_neighbours_with_a_dense_third(spark):
         assert hits >= 0.92 * 20 * len(stratum)
 
 
+def test_neighbours_of_small_tables_are_all_rows(spark):
+    ship(spark)
+    rows = [(i, [(1.0 if i % 2 else -1.0) * (1 + i / 100), 0.5 * (i % 3)]) for i in range(21)]
+    for some in (rows, rows[:2]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<float>")
+        for probes in (None, 1):
+            got = neighbours.nearest(df, queries="vec_id % 20 = 0", probes=probes).collect()
+            assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in (0, 20) for i, _ in some if i != q and q < len(some)}
+
+
 def test_probes_come_in_order_of_cost():
     rng = np.random.default_rng(0)
     fraction = rng.uniform(size=5)
