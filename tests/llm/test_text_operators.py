@@ -260,6 +260,18 @@ def test_hidden_secrets(hidden):
     assert hidden not in secrets.masked(text, spans, "[SECRET]")
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda x: base64.b64encode(x)], ids=["plain", "gzip", "twice"])
+def test_secrets_in_layers_that_are_not_clean_text(pack):
+    secret = "token: abcdefghijklmnop"
+    for raw in (f"é\xa0 {secret}".encode(), f"\u3000{secret}\u200b\ufeff".encode(), b"\x0c\x00" + secret.encode(), b"\xff\xd8\xfe\x80 " + secret.encode(), secret.encode("utf-16"), f"{secret} \U0001f600".encode("utf-16-be"), secret.encode("utf-16-le") + b"\x00\xd8"):
+        hidden = base64.b64encode(pack(raw)).decode()
+        text = f"before {hidden} after"
+        (kind, a, b), *more = secrets.find_secrets(text)[1]
+        assert kind == "assign" and 7 <= a < b <= 7 + len(hidden) and not more
+        assert hidden not in secrets.masked(text, [(kind, a, b)], "[SECRET]")
+    assert secrets.find_secrets("x " + base64.b64encode(random.Random(1).randbytes(400)).decode())[1] == []
+
+
 def test_secret_bases(spark, edge, empty):
     def brute(text):
         out = [("assign", *m.span()) for m in re.finditer(r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
