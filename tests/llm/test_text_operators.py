@@ -272,6 +272,35 @@ def test_secrets_in_layers_that_are_not_clean_text(pack):
     assert secrets.find_secrets("x " + base64.b64encode(random.Random(1).randbytes(400)).decode())[1] == []
 
 
+def test_secrets_in_wrapped_and_large_layers():
+    rng = random.Random(2)
+    noise = lambda n: base64.b32encode(rng.randbytes(n)).decode().lower().replace("=", "")
+    for end in ("\n", "\r\n", "\n  "):
+        for width in (64, 76):
+            for pack in (bytes, gzip.compress, zlib.compress):
+                whole = base64.b64encode(pack(f"{' '.join(noise(5) for _ in range(width // 9 + 2))} {SECRET} {' '.join(noise(5) for _ in range(9))}".encode())).decode()
+                hidden = end.join(whole[i : i + width] for i in range(0, len(whole), width))
+                text = f"Hello\n\n{hidden}\n\nplain prose after it"
+                spans = secrets.find_secrets(text)[1]
+                assert any(k == "assign" and 7 <= a < b <= 7 + len(hidden) for k, a, b in spans), (end, width, pack)
+                assert hidden not in secrets.masked(text, spans, "[SECRET]") and "plain prose after it" in secrets.masked(text, spans, "[SECRET]")
+    hidden = base64.b64encode(gzip.compress(b"first member ") + gzip.compress(SECRET.encode())).decode()
+    assert ("assign", 0, len(hidden)) in secrets.find_secrets(hidden)[1]
+
+
+def test_secrets_beyond_the_first_piece_of_a_large_layer(monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1 << 18)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 12, raising=False)
+    for place in (3 << 20, (1 << 20) - 9):
+        large = bytearray(b"words of prose, " * (4 << 16))
+        large[place : place + len(SECRET)] = SECRET.encode()
+        for pack in (gzip.compress, zlib.compress, zstandard.compress):
+            hidden = base64.b64encode(pack(bytes(large))).decode()
+            assert ("assign", 2, 2 + len(hidden)) in secrets.find_secrets(f"x {hidden} y")[1]
+
+
 def test_secret_bases(spark, edge, empty):
     def brute(text):
         out = [("assign", *m.span()) for m in re.finditer(r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
