@@ -37,6 +37,8 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 #: Score of a path and its ids as little-endian unsigned 32-bit numbers.
 Path = tuple[float, bytes]
+#: The same, and whether decoding the ids gives the word back.
+Checked = tuple[float, bytes, bool]
 
 
 @dataclass
@@ -69,6 +71,10 @@ class Model:
         ids = [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.processor.unk_id()]
         return self.unknown, struct.pack(f"<{len(ids)}I", *ids)
 
+    @functools.cached_property
+    def byte_sizes(self) -> np.ndarray:
+        return np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+
     @functools.cached_property
     def bytes_of(self) -> list[bytes]:
         """The bytes that each id stands for."""
@@ -114,32 +120,47 @@ def lattice_n_best(model: Model, word: str, n: int) -> list[Path]:
     return out
 
 
+def restores(model: Model, words: list[str], ids: list[np.ndarray]) -> np.ndarray:
+    """Whether decoding its ids gives each word back: all at once where they do, one by one otherwise."""
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+    plain = [w.encode() for w in words]
+    ends = np.concatenate([[0], np.cumsum(model.byte_sizes[flat])])[np.cumsum([0, *map(len, ids)])]
+    if (np.diff(ends) == np.fromiter(map(len, plain), np.int64, len(plain))).all() and b"".join(map(model.bytes_of.__getitem__, flat.tolist())) == b"".join(plain):
+        return np.ones(len(words), bool)
+    return np.fromiter((decode_ids(model, x.tolist()) == w for w, x in zip(words, ids, strict=True)), bool, len(words))
+
+
 class WordLists(dict):
-    """Word -> its n best paths; emptied when ``most`` words are held."""
+    """Word -> its n best paths, each checked by decoding; emptied when ``most`` words are held."""
 
     def __init__(self, model: Model, n: int, most: int = 50_000):
         self.model, self.n, self.most = model, n, most
 
-    def __missing__(self, word: str) -> list[Path]:
+    def __missing__(self, word: str) -> list[Checked]:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = lattice_n_best(self.model, word, self.n)
+        paths = lattice_n_best(self.model, word, self.n)
+        whole = restores(self.model, [word] * len(paths), [np.frombuffer(ids, "<u4") for _, ids in paths]).tolist()
+        found = self[word] = [(*path, x) for path, x in zip(paths, whole, strict=True)]
         return found
 
 
-def combine(lists: list[list[Path]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+def combine(lists: list[list[Checked]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The ``n`` best choices of one path from each list: how much less than the best, and which path of each list."""
     best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
     for paths in lists:
-        best = heapq.nsmallest(n, ((cost + paths[0][0] - score, (*chosen, j)) for cost, chosen in best for j, (score, _) in enumerate(paths[:n])))
+        best = heapq.nsmallest(n, ((cost + paths[0][0] - score, (*chosen, j)) for cost, chosen in best for j, (score, *_) in enumerate(paths[:n])))
     return best
 
 
 class WordCoder:
-    """Best path, its score and the gap to the second best path of many words at once, remembered for ``most`` words."""
+    """Best path, its score, the gap to the second best path and whether decoding restores the word, of many words at once,
+    remembered for ``most`` words."""
 
     WIDEST = 32
     BATCH = 4096
+    #: Bits of the first table of pieces by hash; pieces whose place is taken go to the next table, of other bits.
+    TABLE = 20
 
     def __init__(self, model: Model, most: int = 500_000):
         self.model, self.most = model, most
@@ -149,6 +170,15 @@ class WordCoder:
         self.hashes = np.array([x[0] for x in hashed], np.uint64)
         self.scores = np.array([x[1] for x in hashed])
         self.ids_of = np.array([x[2] for x in hashed], np.uint32)
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        rest = np.arange(len(self.hashes))
+        while len(rest):
+            factor = np.uint64(rng.integers(1 << 62, 1 << 63) | 1)
+            table = np.zeros(1 << self.TABLE, np.int32)
+            place = self._place(self.hashes[rest], factor)
+            table[place] = rest
+            self.tables.append((factor, table))
+            rest = rest[table[place] != rest]
         self.powers = np.ones(self.WIDEST + 1, np.uint64)
         with np.errstate(over="ignore"):
             for i in range(self.WIDEST):
@@ -157,7 +187,7 @@ class WordCoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.best, self.gaps = np.zeros(0), np.zeros(0)
+        self.best, self.gaps, self.whole = np.zeros(0), np.zeros(0), np.zeros(0, bool)
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _hash(self, piece: str) -> int:
@@ -166,6 +196,22 @@ class WordCoder:
             out = (out * int(self.base) + c) % (1 << 64)
         return out
 
+    def _place(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * factor) >> np.uint64(64 - self.TABLE)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the piece of each hash is, and whether there is one."""
+        at = self.tables[0][1][self._place(keys, self.tables[0][0])]
+        hit = self.hashes[at] == keys
+        for factor, table in self.tables[1:]:
+            rest = np.flatnonzero(~hit)
+            more = table[self._place(keys[rest], factor)]
+            good = self.hashes[more] == keys[rest]
+            at[rest[good]] = more[good]
+            hit[rest[good]] = True
+        return at, hit
+
     def _many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """Scores, gaps and ids of ``words`` in order of falling length, and which of them need a search of their own."""
         model, width, long = self.model, max(map(len, words)), self.model.longest
@@ -186,8 +232,7 @@ class WordCoder:
                 prefix[:live, e] = prefix[:live, e - 1] * self.base + mixed[:live, e - 1]
                 for k in range(1, min(long, e) + 1):
                     key = prefix[:live, e] - prefix[:live, e - k] * self.powers[k]
-                    at = np.minimum(np.searchsorted(self.hashes, key), len(self.hashes) - 1)
-                    hit = self.hashes[at] == key
+                    at, hit = self._find(key)
                     score, ids = np.where(hit, self.scores[at], -np.inf), self.ids_of[at]
                     if k == 1:
                         code = chars[:live, e - 1]
@@ -223,9 +268,13 @@ class WordCoder:
         return best, best - second, [row[len(path) - c :] for row, c in zip(table, count.tolist(), strict=True)], odd
 
     def learn(self, words: list[str]) -> None:
-        new = sorted((w for w in words if w not in self.index), key=len, reverse=True)
+        new = [w for w in words if w not in self.index]
         if not new:
             return
+        if len(self.index) + len(new) > self.most:
+            self.forget()
+            new = list(words)
+        new.sort(key=len, reverse=True)
         best, gaps, ids = np.zeros(len(new)), np.zeros(len(new)), []
         alone = next((i for i, w in enumerate(new) if len(w) <= self.WIDEST), len(new))
         own = list(range(alone))
@@ -241,12 +290,11 @@ class WordCoder:
             ids[i] = np.frombuffer(paths[0][1], "<u4")
         self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
         self.best, self.gaps = np.concatenate([self.best, best]), np.concatenate([self.gaps, gaps])
+        self.whole = np.concatenate([self.whole, restores(self.model, new, ids)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
         self.flat = np.concatenate([self.flat, *ids])
 
     def places(self, words: list[str]) -> np.ndarray:
-        if len(self.index) + len(words) > self.most:
-            self.forget()
         self.learn(words)
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
@@ -267,8 +315,9 @@ def normalised(model: Model, text: str) -> list[str]:
     return WORD.findall(model.processor.normalize(text)) if text else []
 
 
-def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
-    """For each text, given as its words, the scores and ids of its ``n`` best segmentations."""
+def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: int) -> Iterator[list[tuple[float, np.ndarray, bool]]]:
+    """For each text, given as its words, the scores and ids of its ``n`` best segmentations, and whether decoding gives the
+    text back: no piece crosses words, so it does if each word's ids give that word back."""
     flat = pa.array([w for words in texts for w in words], pa.string()).dictionary_encode()
     distinct = flat.dictionary.to_pylist()
     at = coder.places(distinct)[flat.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
@@ -278,18 +327,20 @@ def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: i
         gaps, starts, sizes = coder.gaps[own], coder.starts[own], coder.starts[own + 1] - coder.starts[own]
         stops = np.cumsum(sizes)
         ids = coder.flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - stops + sizes, sizes)]
-        total = float(coder.best[own].sum())
+        total, whole = float(coder.best[own].sum()), coder.whole[own]
+        broken = int(len(whole) - whole.sum())
         close = np.sort(np.argsort(gaps, kind="stable")[: n - 1])
         close = close[np.isfinite(gaps[close])]
         found = [lists[words[i]] for i in close]
         out = []
         for cost, chosen in combine(found, n):
-            parts, last = [], 0
+            parts, last, wrong = [], 0, broken
             for i, paths, j in zip(close.tolist(), found, chosen, strict=True):
                 if j:
+                    wrong += int(whole[i]) - int(paths[j][2])
                     parts += [ids[last : stops[i] - sizes[i]], np.frombuffer(paths[j][1], "<u4")]
                     last = stops[i]
-            out.append((total - cost, np.concatenate([*parts, ids[last:]])))
+            out.append((total - cost, np.concatenate([*parts, ids[last:]]) if parts else ids, not wrong))
         yield out
 
 
@@ -310,16 +361,16 @@ def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id"
                 rows, row_of, all_ids = [], [], []
                 words = [normalised(model, x) for x in texts[part].fill_null("").to_pylist()]
                 for r, found in enumerate(text_n_best(coder, lists, words, n)):
-                    plain = "".join(words[r])
-                    for rank, (score, ids) in enumerate(found, 1):
-                        rows.append((rank, score, len(ids), zlib.crc32(ids.astype("<u4").data), decode_ids(model, ids.tolist()) == plain))
+                    for rank, (score, ids, whole) in enumerate(found, 1):
+                        rows.append((rank, score, len(ids), zlib.crc32(ids.astype("<u4", copy=False).data), whole))
                         row_of.append(r)
                         if with_ids:
-                            all_ids.append(ids.astype(np.int32))
+                            all_ids.append(ids)
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 names = [id_col, "rank", "score", "n_pieces", "ids_crc32", "restored"]
                 if with_ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([keys[part].take(pa.array(row_of, pa.int64())), *columns], names)
 

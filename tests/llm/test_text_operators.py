@@ -354,8 +354,17 @@ def test_n_best_paths():
         assert [s for s, _ in found] == brute_paths(model, word)[:5]
     texts = [pieces.normalised(model, "".join(rng.choice(["the", "on", " ", "  ", "é", "ing", "\n", "😀"]) for _ in range(rng.randint(0, 5)))) for _ in range(150)]
     for words, found in zip(texts, pieces.text_n_best(coder, lists, texts, 5), strict=True):
-        assert [round(s, 6) for s, _ in found] == [round(s, 6) for s in brute_paths(model, "".join(words))[:5]]
-        assert all(pieces.decode_ids(model, ids.tolist()) == "".join(words) for _, ids in found)
+        assert [round(s, 6) for s, *_ in found] == [round(s, 6) for s in brute_paths(model, "".join(words))[:5]]
+        assert all(whole and pieces.decode_ids(model, ids.tolist()) == "".join(words) for _, ids, whole in found)
+
+
+def test_words_that_decoding_does_not_restore():
+    model = pieces.Model.load(path("piece_bpe_32k.model"))
+    model.bytes_at = []  # without byte pieces an unknown character decodes to a replacement character
+    coder, lists = pieces.WordCoder(model), pieces.WordLists(model, 3)
+    texts = [["▁the", "▁\U000f1234", "▁theon"], ["▁the", "▁theon"], []]
+    for words, found in zip(texts, pieces.text_n_best(coder, lists, texts, 3), strict=True):
+        assert [whole for *_, whole in found] == [pieces.decode_ids(model, ids.tolist()) == "".join(words) for _, ids, _ in found]
 
 
 def test_pieces_round_trip(spark, edge, empty):
