@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -78,15 +79,97 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="cookie-notice">We use cookies</div><div class="site-header">Brand</div><article class="post"><div class="post-header">By A</div><header><h1>A &amp; B</h1></header><p><b>One  two<br>three<p>Four <i>five</i>.</p><form><p>Mail</p></form><div id="comments"><p>First!</div><aside>See also</aside><p>Last</article><footer>Foot</footer>"""
 
 
+def structured(page):
+    return "\n\n".join(text for _, text in html_text.blocks_of(page))
+
+
 def test_main_text_by_structure():
-    assert html_text.texts_of([PAGE], 8) == ["By A\n\nA & B\n\nOne two three\n\nFour five.\n\nLast"]
+    assert structured(PAGE) == "By A\n\nA & B\n\nOne two three\n\nFour five.\n\nLast"
 
 
-def test_main_text_by_repetition():
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p>Hello world <span class="share">x</span> more</p>', "Hello world more"),
+        ('<p>Text before <a class="ad">ad</a> and after.</p>', "Text before and after."),
+        ("<p>One <script>var x</script>two <button>b</button>three", "One two three"),
+        ('<div class="no-sidebar"><article><p>In</article></div>', "In"),
+        ('<div id="content-with-sidebar"><p>In</div>', "In"),
+        ('<article><p class="related-work">In<div class="related-posts">Out</div></article>', "In"),
+        ('<div class="banner"><main><p>In</main></div><div class="sidebar"><article>Out</article></div>', "In"),
+        ('<div class="sidebarLeft site-menu">Out</div><div class="comment-list"><article>Out</article></div><p>In', "In"),
+        ("<head><title>Out</title><meta charset=x><body><p>In", "In"),
+        ("<ul><li class=ad><a>Out<li>In</ul>", "In"),
+        ("<p>a<![foo[x]]>b", "ab"),
+        ("<p>a<![ x", "a"),
+        ("<p>a<!-- x", "a"),
+        ("<p>a<!-->b<!--x--!>c<!doctype x>d", "abcd"),
+        ("<p>a<a href='x", "a"),
+        ("<p>a &lt; b &amp;c &#x41;", "a < b &c A"),
+    ],
+)
+def test_marks_and_malformed_markup(page, text):
+    assert structured(page) == text
+
+
+def test_any_markup_is_read():
+    rng = np.random.default_rng(8)
+    bits = ["<", ">", "<!", "<![", "]]>", "<!--", "-->", "</", "<p", "<div class=", '"', "'", "=", "<?", "&", "&#", "&#x", ";", "ad", " ", "x", "\0", "<script", "</script>", "<article>", "</p>", "\n", "<title>", "<svg", "/>"]
+    for _ in range(3000):
+        html_text.blocks_of("".join(rng.choice(bits, rng.integers(1, 25))))
+
+
+def brute_texts(rows, run):
+    """Main texts by comparing every window of an open block with every other page of the host."""
+    found = [(urlsplit(url).netloc, tuple(html_text.blocks_of(html or ""))) for _, url, html in rows]
+    grams = {}
+    for host, blocks in found:
+        words = [w for _, t in blocks for w in t.split(" ")]
+        for i in range(len(words) - run + 1):
+            grams.setdefault((host, tuple(words[i : i + run])), set()).add(blocks)
+    out = []
+    for host, blocks in found:
+        words = [w for _, t in blocks for w in t.split(" ")]
+        covered = [False] * len(words)
+        for i in range(len(words) - run + 1):
+            if len(grams[host, tuple(words[i : i + run])]) > 1:
+                covered[i : i + run] = [True] * run
+        at, kept = 0, []
+        for state, text in blocks:
+            own, marks = text.split(" "), covered[at : at + len(text.split(" "))]
+            at += len(own)
+            if state == html_text.OPEN:
+                own = html_text.unique_words(own, marks, run)
+            if own:
+                kept.append(" ".join(own))
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_main_text_by_repetition(spark):
+    """Small and large hosts against brute force; the result does not depend on how a host is dealt into groups."""
+    ship(spark)
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(200)}"
+    passages = [" ".join(word() for _ in range(rng.integers(5, 30))) for _ in range(40)]
+    rows = []
+    for i in range(500):
+        blocks = []
+        for _ in range(rng.integers(1, 6)):
+            text = " ".join(word() for _ in range(rng.integers(1, 20)))
+            if rng.random() < 0.4:
+                text = f"{text} {passages[rng.integers(40)]} {word()}"
+            blocks.append(f"<article>{text}</article>" if rng.random() < 0.3 else f"<div>{text}</div>")
+        rows.append((i, f"http://{'large' if i < 350 else f'h{i % 40}'}.example/{i}", "".join(blocks)))
+    rows += [(600 + i, rows[i][1] + "copy", rows[i][2]) for i in range(0, 500, 25)]
+    expected = dict(zip([r[0] for r in rows], brute_texts(rows, 8), strict=True))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group_bytes in (1 << 20, 2000):
+        assert {r.page_id: r.text for r in html_text.main_texts(df, group_bytes=group_bytes).collect()} == expected
+    assert any(expected[i] != structured(html) for i, _, html in rows)
     shared = "This site belongs to nobody and all text on it is free"
-    texts = html_text.texts_of([f"<div>{shared}</div><p>page {i} tells its own story" for i in ("one", "two", "three")] + ["<div>alone here</div>"], 8)
-    assert texts == [f"page {i} tells its own story" for i in ("one", "two", "three")] + ["alone here"]
-    assert html_text.texts_of(["<p>" + shared] * 3, 8) == [shared] * 3  # equal pages are one page
+    same = spark.createDataFrame([(i, "http://a/", f"<p>{shared}") for i in range(3)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.main_texts(same).collect()} == {shared}  # equal pages are one page
 
 
 def test_suffix_array_covers_what_windows_do():
@@ -99,7 +182,7 @@ def test_suffix_array_covers_what_windows_do():
         for i in range(200 - run + 1):
             if any(page[j] != page[i] and (tokens[j : j + run] == tokens[i : i + run]).all() for j in range(200 - run + 1)):
                 covered[i : i + run] = True
-        assert (html_text.repeated(tokens, page, run) == covered).all()
+        assert (html_text.covering(html_text.repeated(tokens, page, run), 200, run) == covered).all()
         order, _ = html_text.suffix_order(tokens, 200)
         assert [tuple(tokens[i:]) for i in order] == sorted(tuple(tokens[i:]) for i in range(200))
 
