@@ -344,11 +344,12 @@ def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: i
         yield out
 
 
-def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, group_bytes: int = 4 << 20) -> DataFrame:
-    """``id_col, rank, score, n_pieces, ids_crc32, restored`` (and ``ids``, if asked for): up to ``n`` rows a text.
+def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_as: str | None = "array", group_bytes: int = 4 << 20) -> DataFrame:
+    """``id_col, rank, score, n_pieces, ids_crc32, restored, ids``: up to ``n`` rows a text.
 
-    Rank 1 is the best segmentation. ``ids_crc32`` is of the ids as little-endian unsigned 32-bit numbers; ``restored``
-    tells whether decoding the ids gives the normalised text back. A null or empty text has one empty segmentation. Null
+    Rank 1 is the best segmentation. ``ids`` is an array, or with ``ids_as="binary"`` the ids as little-endian unsigned
+    32-bit numbers, which Spark writes and reads several times faster; it is left out for None. ``ids_crc32`` is of those
+    bytes; ``restored`` tells whether decoding the ids gives the normalised text back. A null or empty text has one empty segmentation. Null
     ids and repeated rows pass through. Whole texts are segmented; other columns are not read.
     """
 
@@ -364,19 +365,22 @@ def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id"
                     for rank, (score, ids, whole) in enumerate(found, 1):
                         rows.append((rank, score, len(ids), zlib.crc32(ids.astype("<u4", copy=False).data), whole))
                         row_of.append(r)
-                        if with_ids:
+                        if ids_as:
                             all_ids.append(ids)
                 columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 names = [id_col, "rank", "score", "n_pieces", "ids_crc32", "restored"]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_ids).view(np.int32))))
+                if ids_as:
+                    ends, flat = np.cumsum([0, *map(len, all_ids)]), np.concatenate(all_ids).astype("<u4", copy=False)
+                    if ids_as == "binary":
+                        columns.append(pa.Array.from_buffers(pa.binary(), len(all_ids), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat)]))
+                    else:
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([keys[part].take(pa.array(row_of, pa.int64())), *columns], names)
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(text_col))
-    return picked.mapInArrow(work, f"`{id_col}` {kind}, rank int, score double, n_pieces long, ids_crc32 long, restored boolean" + ", ids array<int>" * with_ids)
+    return picked.mapInArrow(work, f"`{id_col}` {kind}, rank int, score double, n_pieces long, ids_crc32 long, restored boolean" + {"array": ", ids array<int>", "binary": ", ids binary", None: ""}[ids_as])
 
 
 def decode_ids(model: Model, ids: list[int]) -> str:
@@ -385,11 +389,11 @@ def decode_ids(model: Model, ids: list[int]) -> str:
 
 
 def decode(df: DataFrame, model_path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``df`` with the text of ``ids_col`` in ``text_col``: spaces for the space mark, without the one put before the
+    """``df`` with the text of ``ids_col`` (an array or bytes, as of ``n_best``) in ``text_col``: spaces for the space mark, without the one put before the
     text. Null ids give a null text, no ids an empty one."""
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:
         model = model_of(model_path)
-        return pd.Series([None if x is None else decode_ids(model, x).replace(SPACE, " ").removeprefix(" ") for x in ids])
+        return pd.Series([None if x is None else decode_ids(model, np.frombuffer(x, "<u4").tolist() if isinstance(x, bytes) else x).replace(SPACE, " ").removeprefix(" ") for x in ids])
 
     return df.withColumn(text_col, text_of(ids_col))

@@ -17,7 +17,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_piece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.n_best(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n=4)
+    return pieces.n_best(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), n=4, ids_as="binary")
 
 
 def op2_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,8 +370,10 @@ def test_words_that_decoding_does_not_restore():
 def test_pieces_round_trip(spark, edge, empty):
     model_path = path("piece_bpe_32k.model")
     for df in (documents(spark), edge):
-        back = pieces.decode(pieces.n_best(df, model_path, n=2), model_path, text_col="plain").collect()
         texts = by_id(df.collect())
-        assert all(r.restored and r.plain == (texts[r.doc_id][0] or "") for r in back)
-        assert {r.doc_id for r in back} == set(texts)
+        for ids_as in ("array", "binary"):
+            back = pieces.decode(pieces.n_best(df, model_path, n=2, ids_as=ids_as), model_path, text_col="plain").collect()
+            assert all(r.restored and r.plain == (texts[r.doc_id][0] or "") for r in back)
+            assert all(r.n_pieces == len(r.ids) // (4 if ids_as == "binary" else 1) for r in back)
+            assert {r.doc_id for r in back} == set(texts)
     assert pieces.n_best(empty, model_path).count() == 0
