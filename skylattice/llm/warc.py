@@ -25,8 +25,11 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n")
-#: Headers of a record are looked for within this many bytes of its version line.
-MOST_HEADER = 1 << 16
+#: The end of headers is first looked for within this many bytes of the version line, then within four times as many, and
+#: so on up to the next version line.
+USUAL_HEADER = 1 << 16
+#: Records of up to so many bytes go to archives of at most so many records; larger ones have an archive each.
+ARCHIVES = ((1 << 14, 4096), (1 << 17, 512), (1 << 20, 64), (1 << 23, 8))
 MEMBER = b"\x1f\x8b\x08"
 
 
@@ -55,14 +58,19 @@ def base32(hexes: Column) -> Column:
     return F.concat(*(letter(i, j) for i in range(4) for j in range(8)))
 
 
-def records(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
-    """A column ``record`` with one WARC record a row of ``df``.
+def _class(url: Column, payload: Column) -> Column:
+    """The place in ``ARCHIVES`` of a record's size."""
+    size = F.octet_length(url).cast("long") + F.octet_length(payload)
+    found = F.lit(len(ARCHIVES))
+    for i in range(len(ARCHIVES) - 1, -1, -1):
+        found = F.when(size <= ARCHIVES[i][0], i).otherwise(found)
+    return found
 
-    Of rows whose payloads are equal and of ``least_revisit_bytes`` or more, those with the smallest id are responses and
-    the others revisits that refer to it. A null payload is empty. A row with a null id is a response, as no other can
-    refer to it. Rows that share the smallest id are all responses.
-    """
+
+def _records(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit_bytes: int = 0) -> tuple[DataFrame, list[int]]:
+    """``record, class`` of each row of ``df``, and the classes of sizes that occur."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")).withColumn("hex", F.sha1(F.col("payload").cast("binary")))
+    rows = rows.withColumn("class", _class(F.col("url"), F.col("payload")))
     firsts = rows.where((F.octet_length("payload") >= least_revisit_bytes) & F.col("id").isNotNull()).groupBy("hex").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("hex", "first")
     # As a table of known size: while it is small Spark sends it to the payloads, and beyond that deals both out by digest.
     firsts = materialise(firsts, "firsts")
@@ -83,24 +91,52 @@ def records(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", pay
         F.lit("\r\n" + HTTP),
         F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")),
     )
-    return known.select(head.alias("record"))
+    return known.select(head.alias("record"), "class"), [x["class"] for x in rows.select("class").distinct().collect()]
+
 
+def records(df: DataFrame, **columns: str | int) -> DataFrame:
+    """A column ``record`` with one WARC record a row of ``df``.
 
-def write(df: DataFrame, path: str, *, rows_per_file: int = 4096, compression: str = "none", **columns: str | int) -> None:
-    """Write ``records(df, **columns)`` as archives of at most ``rows_per_file`` records under ``path``."""
-    records(df, **columns).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", rows_per_file).text(path)
+    Of rows whose payloads are equal and of ``least_revisit_bytes`` or more, those with the smallest id are responses and
+    the others revisits that refer to it. A null payload is empty. A row with a null id is a response, as no other can
+    refer to it. Rows that share the smallest id are all responses.
+    """
+    return _records(df, **columns)[0].select("record")
+
+
+def write(df: DataFrame, path: str, *, compression: str = "none", **columns: str | int) -> None:
+    """Write ``records(df, **columns)`` as archives under ``path``, of about 64 MB at most unless a record is larger: records
+    of each class of sizes that occurs are written by themselves, with its bound on the records of an archive."""
+    known, classes = _records(df, **columns)
+    for i in sorted(classes):
+        some = known if len(classes) == 1 else known.where(F.col("class") == i)
+        rows_per_file = ARCHIVES[i][1] if i < len(ARCHIVES) else 1
+        some.select("record").write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def _head_end(data: bytes, at: int) -> tuple[int, str]:
+    """Where the headers of the record at ``at`` end, or why they do not. However long, they end before the next version
+    line, so that damaged archives are not searched to their ends again and again."""
+    reach = USUAL_HEADER
+    while True:
+        stop = min(len(data), at + reach)
+        end = data.find(b"\r\n\r\n", at, stop)
+        next_one = VERSION.search(data, at + 1, end if end >= 0 else stop)
+        if next_one:
+            return -1, "headers cut short"
+        if end >= 0 or stop == len(data):
+            return end, "" if end >= 0 else "headers do not end"
+        reach *= 4
 
 
 def _parse(data: bytes, at: int) -> tuple[Record | None, int, str]:
     """The record at ``at`` of plain bytes, its end, or why there is none."""
     if not VERSION.match(data, at):
         return None, at, "no version line"
-    body = data.find(b"\r\n\r\n", at, at + MOST_HEADER)
-    if body < 0:
-        return None, at, "headers do not end"
+    body, why = _head_end(data, at)
+    if why:
+        return None, at, why
     head = data[at : body + 2]
-    if VERSION.search(head, 1):
-        return None, at, "headers cut short"
     sizes = LENGTH.findall(head)
     if len(sizes) != 1:
         return None, at, "no single Content-Length"
@@ -191,10 +227,11 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 FIELDS = "archive string, start long, end long, type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, quarantined string"
 
 
-def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """One row a record recovered and one a gap (``quarantined`` tells why; its other record columns are null).
+def read(spark: SparkSession, path: str, *, with_payload: bool = True, strict: bool = False) -> DataFrame:
+    """One row a record recovered and one a gap (``quarantined`` tells why; its other record columns are null); a gap is an
+    error if ``strict``.
 
-    An archive is held in memory while it is read, so archives are best kept small; ``write`` bounds their records.
+    An archive is held in memory while it is read, so archives are best kept small; ``write`` bounds their bytes.
     ``payload_bytes`` and ``payload_digest`` are worked out from a response's bytes and stated in a revisit's headers.
     """
     named = re.compile(r"<urn:page:(.*)>")
@@ -205,6 +242,8 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFr
             for i in range(batch.num_rows):
                 archive, rows, size = batch[0][i].as_py(), [], 0
                 for x in salvage(batch[1][i].as_py()):
+                    if isinstance(x, Gap) and strict:
+                        raise ValueError(f"{archive}: bytes {x.start} to {x.end}: {x.reason}")
                     if isinstance(x, Gap):
                         rows.append((archive, x.start, x.end, None, None, None, None, None, None, None, x.reason))
                     else:
@@ -225,11 +264,19 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFr
     return files.mapInArrow(work, FIELDS)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Archive ``df`` in the shared folder and list what the reader finds there: ``id_col, payload_bytes, payload_digest,
-    record_type, refers_to``, one row for each row of ``df``. An empty table writes no archive and gives no rows."""
+    record_type, refers_to``, one row for each row of ``df``: what the reader cannot read of an archive written here is an
+    error. An empty table writes no archive and gives no rows."""
     path = scratch(df.sparkSession, "warc")
     write(df, path, id_col=id_col, url_col=url_col, payload_col=payload_col)
     kind = df.schema[id_col].dataType.simpleString()
-    found = read(df.sparkSession, path, with_payload=False).where("quarantined is null")
+    if not _exists(df.sparkSession, path):
+        return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    found = read(df.sparkSession, path, with_payload=False, strict=True)
     return found.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))

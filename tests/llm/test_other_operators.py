@@ -29,6 +29,22 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_keeps_long_urls_and_large_pages(spark, tmp_path):
+    """A header beyond any usual length, records of every class of sizes, and archives that stay small."""
+    ship(spark)
+    rows = [(1, "http://x/" + "u" * 1_000_000, "a"), (2, "http://x/" + "v" * 70_000, "WARC/1.1\r\nx\r\n\r\n")]
+    rows += [(10 + i, "u", f"{i} " + "m" * n) for n in (10, 20_000, 200_000, 2_000_000, 9_000_000) for i in range(n // 1_000_000 + 1)]
+    df = spark.createDataFrame([(100 * k + i, u, h) for k, (i, u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(df).collect()}
+    assert {i: r.payload_bytes for i, r in got.items()} == {r.page_id: len(r.html) for r in df.collect()}
+    warc.write(df, str(tmp_path / "w"))
+    back = {int(r.page_id): (r.url, r.payload.decode()) for r in warc.read(spark, str(tmp_path / "w"), strict=True).collect()}
+    assert back == {r.page_id: (r.url, r.html) for r in df.collect()}
+    (tmp_path / "w" / "x.warc").write_bytes(b"junk")
+    with pytest.raises(Exception, match="no version line"):
+        warc.read(spark, str(tmp_path / "w"), strict=True).count()
+
+
 def record(i, payload):
     head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{warc.digest_of(payload)}\r\nContent-Length: {len(payload) + len(warc.HTTP)}\r\n\r\n"
     return (head + warc.HTTP).encode() + payload + b"\r\n\r\n"
