@@ -1,5 +1,11 @@
 """Operator 5: quality rules with a line labeller. A linear-chain conditional random field marks each line as content or
-boilerplate; Viterbi decoding and the share of words in content lines decide whether a document stays."""
+boilerplate; Viterbi decoding and the share of words in content lines decide whether a document stays.
+
+Labels are known for documents only. Labels of lines are latent: at first each line bears its document's, then a model of
+single lines and the labels are fitted in turn, under the constraint that most words of a document bear its label. The
+field is fitted on the sample's own sequences and on mixed ones, in which lines of one kind stand between those of the
+other, so that it learns how kinds follow one another within a document.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +20,9 @@ from pyspark.sql import functions as F
 from .tokens import slices_by_bytes
 from .words import Words, mix, split_words, windows
 
-#: Labelled documents that the field is fitted on, at most: the ones whose hashed ids come first.
-SAMPLE = 2000
+#: Labelled documents that the field is fitted on, at most (the ones whose hashed ids come first), and bytes of each, at most:
+#: longer documents are not in the sample, others are in it whole.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
 FEATURES = ("bias", "log_words", "word_length", "symbols", "other_marks", "capitals", "digits", "few_distinct", "seen_before", "no_stop", "short", "bars")
 
 
@@ -146,27 +153,77 @@ class LineField:
         return labels
 
 
-def fit_field(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, sample_chars: int = 20_000, longest: int = 48) -> LineField | None:
-    """A field fitted on the lines of at most ``sample`` labelled documents, each line bearing its document's label. The
-    sample is bounded: ``sample`` documents and, of each, ``sample_chars`` characters; long ones are cut into sequences of
-    ``longest`` lines. Only fitting is bounded: ``judge`` reads every text whole. None if the sample lacks one of the two labels."""
+def line_targets(features: np.ndarray, offsets: np.ndarray, words: np.ndarray, quality: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """Latent labels of lines (1: content), given those of their documents.
+
+    In turn a model of single lines is fitted to the labels, both kinds of equal weight, and lines take the label it gives
+    them; a document most of whose words would then not bear its own label keeps that for all its lines.
+    """
+    n_lines = np.diff(offsets)
+    doc = np.repeat(np.arange(len(n_lines)), n_lines)
+    own = (quality > 0).astype(np.int64)[doc]
+    y, theta = own, np.zeros(features.shape[1])
+    counts = words > 0
+    for _ in range(rounds):
+        weight = np.where(y == 1, 1 / max(1, (counts & (y == 1)).sum()), 1 / max(1, (counts & (y == 0)).sum())) * counts
+        for _ in range(12):  # Newton steps of a penalised logistic regression
+            p = 1 / (1 + np.exp(-np.clip(features @ theta, -30, 30)))
+            slope = features.T @ (weight * (y - p)) - 1e-3 * theta
+            bend = (features * (weight * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(len(theta))
+            theta = theta + np.linalg.solve(bend, slope)
+        y = np.where(counts, features @ theta >= 0, own).astype(np.int64)
+        agree = np.bincount(doc, words * (y == own), len(n_lines)) * 2 >= np.bincount(doc, words, len(n_lines))
+        y = np.where(agree[doc], y, own)
+    return y
+
+
+def mixed(cuts: list[np.ndarray], y: np.ndarray, kinds: np.ndarray, most: int = 8) -> list[np.ndarray]:
+    """Sequences of lines (given as places in ``y``) into each of which a run of up to ``most`` lines of the other kind is put."""
+    rng = np.random.default_rng(7)
+    of_kind = [[c[y[c] == k] for c, own in zip(cuts, kinds.tolist(), strict=True) if own == k] for k in (0, 1)]
+    out = []
+    for kind in (0, 1):
+        hosts, guests = of_kind[kind], of_kind[1 - kind]
+        for i in range(min(len(hosts), len(guests))):
+            host, guest = hosts[rng.integers(len(hosts))], guests[rng.integers(len(guests))]
+            if len(host) and len(guest):
+                a, at = rng.integers(len(guest)), rng.integers(len(host) + 1)
+                out.append(np.concatenate([host[:at], guest[a : a + rng.integers(1, most + 1)], host[at:]]))
+    return out
+
+
+def fit_field(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, longest: int = 48) -> LineField | None:
+    """A field fitted on the lines of at most ``sample`` labelled documents of at most ``sample_bytes`` bytes (so that no more
+    than their product reaches the driver), in sequences of ``longest`` lines. Only fitting is bounded: ``judge`` reads
+    every text whole. None if the sample lacks one of the two labels."""
     known = labels.where(F.col(quality_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(quality_col).cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc"), "doc", "quality").limit(sample)
-    rows = df.select(F.col(id_col).alias("doc"), F.substring(F.coalesce(text_col, F.lit("")), 1, sample_chars).alias("text")).join(F.broadcast(chosen), "doc").orderBy("doc", "text").limit(sample).select("text", "quality").toArrow()
+    # Twice as many as are wanted, as some may be too long or absent.
+    chosen = known.orderBy(F.xxhash64("doc"), "doc", "quality").limit(2 * sample)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.where(F.octet_length(text) <= sample_bytes).select(F.col(id_col).alias("doc"), text.alias("text")).join(F.broadcast(chosen), "doc").orderBy(F.xxhash64("doc"), "doc", "text").limit(sample).select("text", "quality").toArrow()
     quality = rows["quality"].to_numpy().astype(np.int64)
     if len(set((quality > 0).tolist())) < 2:
         return None
     _, features, offsets = line_table(rows["text"].combine_chunks())
-    cuts = [(a, min(a + longest, end), q) for start, end, q in zip(offsets, offsets[1:], quality, strict=False) for a in range(start, end, longest)]
-    width = max(b - a for a, b, _ in cuts)
-    x, mask, y = np.zeros((len(cuts), width, len(FEATURES))), np.zeros((len(cuts), width), bool), np.zeros((len(cuts), width), np.int64)
-    for i, (a, b, q) in enumerate(cuts):
-        x[i, : b - a], mask[i, : b - a], y[i, : b - a] = features[a:b], True, int(q > 0)
-    return LineField().fit(x, mask, y)
+    y = line_targets(features, offsets, words_of(features), quality)
+    parts = [(np.arange(a, min(a + longest, end)), q > 0) for start, end, q in zip(offsets, offsets[1:], quality, strict=False) for a in range(start, end, longest)]
+    cuts = [c for c, _ in parts]
+    cuts += mixed(cuts, y, np.array([int(k) for _, k in parts]))
+    width = max(map(len, cuts))
+    x, mask, gold = np.zeros((len(cuts), width, len(FEATURES))), np.zeros((len(cuts), width), bool), np.zeros((len(cuts), width), np.int64)
+    for i, c in enumerate(cuts):
+        x[i, : len(c)], mask[i, : len(c)], gold[i, : len(c)] = features[c], True, y[c]
+    return LineField().fit(x, mask, gold)
+
+
+def words_of(features: np.ndarray) -> np.ndarray:
+    """Words of each line, from its features."""
+    return np.rint(np.expm1(features[:, 1] * 4))
 
 
-def judge(df: DataFrame, field: LineField | None, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, group_bytes: int = 4 << 20) -> DataFrame:
-    """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept`` a row.
+def judge(df: DataFrame, field: LineField | None, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, with_lines: bool = False, group_bytes: int = 4 << 20) -> DataFrame:
+    """``id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept`` a row, and the
+    labels of its lines in ``lines``, if asked for (true: content).
 
     A null text has no words, fails the base rules and is not kept. Null ids and repeated rows pass through. Without a
     field (no labelled documents of both kinds) the base rules decide alone. Whole texts are read; other columns are not.
@@ -181,18 +238,17 @@ def judge(df: DataFrame, field: LineField | None, *, id_col: str = "doc_id", tex
                 counts, features, offsets = line_table(some)
                 words = counts["n_words"]
                 failed = (words < 10) | (100 * counts["n_repeat_words"] > 20 * words)
-                if field is None:
-                    content = np.ones(len(some))
-                else:
-                    label = field.decode(features, offsets)
-                    in_line = np.rint(np.expm1(features[:, 1] * 4))
-                    content = np.diff(np.concatenate([[0], np.cumsum(in_line * label)])[offsets]) / np.maximum(words, 1)
+                label = np.ones(len(features), bool) if field is None else field.decode(features, offsets)
+                content = np.diff(np.concatenate([[0], np.cumsum(words_of(features) * label)])[offsets]) / np.maximum(words, 1)
                 kept = ~failed & (content >= share)
-                yield pa.RecordBatch.from_arrays([ids[part], *(pa.array(counts[x], pa.int64()) for x in names), pa.array(failed), pa.array(content), pa.array(kept)], [id_col, *names, "base_failed", "content_share", "kept"])
+                columns = [ids[part], *(pa.array(counts[x], pa.int64()) for x in names), pa.array(failed), pa.array(content), pa.array(kept)]
+                if with_lines:
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(label)))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, *names, "base_failed", "content_share", "kept", "lines"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(text_col))
-    return picked.mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, content_share double, kept boolean")
+    return picked.mapInArrow(work, f"`{id_col}` {kind}, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, content_share double, kept boolean" + ", lines array<boolean>" * with_lines)
 
 
 def keep_good(df: DataFrame, field: LineField | None, *, text_col: str = "text", share: float = 0.5) -> DataFrame:
@@ -207,8 +263,7 @@ def keep_good(df: DataFrame, field: LineField | None, *, text_col: str = "text",
                 words = counts["n_words"]
                 good = ~((words < 10) | (100 * counts["n_repeat_words"] > 20 * words))
                 if field is not None:
-                    in_line = np.rint(np.expm1(features[:, 1] * 4))
-                    good &= np.diff(np.concatenate([[0], np.cumsum(in_line * field.decode(features, offsets))])[offsets]) >= share * np.maximum(words, 1)
+                    good &= np.diff(np.concatenate([[0], np.cumsum(words_of(features) * field.decode(features, offsets))])[offsets]) >= share * np.maximum(words, 1)
                 yield batch.slice(part.start, part.stop - part.start).filter(pa.array(good))
 
     return df.mapInArrow(work, schema)

@@ -225,6 +225,34 @@ def test_quality_counts_and_held_out_accuracy(spark, edge, empty):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_boilerplate_lines_within_good_text_are_marked(spark):
+    """Lines of low quality put between those of good documents, neither of which the field was fitted on."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    field = quality.fit_field(docs, labels.where("doc_id % 2 = 0"))
+    assert field.steps[0, 0] > field.steps[0, 1] and field.steps[1, 1] > field.steps[1, 0]
+    held = {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 1").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in held}
+    junk = [x for i, t in texts.items() if not held[i] for x in t.split("\n") if re.search(r"(!! .*){5}|(\| .*){5}|([#*$%&]{3} .*){5}", x)]
+    good = [t.split("\n") for i, t in texts.items() if held[i] and 6 <= t.count("\n") <= 30 and not re.search("!!|[|#*$%&<>]", t)]
+    assert len(junk) > 20 and len(good) > 20
+    rng, rows, gold = random.Random(4), [], {}
+    for i, lines in enumerate(good):
+        at = rng.randint(1, len(lines) - 1)
+        put = [rng.choice(junk) for _ in range(rng.randint(1, 3))]
+        rows.append((i, "\n".join([*lines[:at], *put, *lines[at:]])))
+        gold[i] = [True] * at + [False] * len(put) + [True] * (len(lines) - at)
+    right = {True: [], False: []}
+    between = 0
+    for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), field, with_lines=True).collect():
+        assert len(r.lines) == len(gold[r.doc_id])
+        for text, want, got in zip(rows[r.doc_id][1].split("\n"), gold[r.doc_id], r.lines, strict=True):
+            if text.strip():
+                right[want].append(want == got)
+        between += 0 < r.content_share < 1
+    assert np.mean(right[True]) >= 0.95 and np.mean(right[False]) >= 0.9 and between >= 0.9 * len(rows)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     field = quality.LineField(rng.normal(size=(2, len(quality.FEATURES))), rng.normal(size=(2, 2)))
