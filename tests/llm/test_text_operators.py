@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -329,6 +331,25 @@ def test_secrets_beyond_the_first_piece_of_a_large_layer(monkeypatch):
             assert ("assign", 2, 2 + len(hidden)) in secrets.find_secrets(f"x {hidden} y")[1]
 
 
+def test_long_layers_take_bounded_memory():
+    """A layer of 20 MB, plain and in escapes: a few bytes of memory a character."""
+    code = """
+import base64, resource
+from skylattice.llm import secrets
+body = ("words of prose \u00e9, " * 500_000 + "password=b8afebf33dd8eac10b9 " + "more " * 1_500_000).encode()
+text = "x " + base64.b64encode(body).decode() + " y"
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+base, spans = secrets.find_secrets(text)
+at = body.index(b"password")
+assert spans[0] == ("assign", 2 + at * 4 // 3, 2 + -(-(at + 28) * 4 // 3)) and [k for k, *_ in spans] == ["assign", "hex"], spans
+url = "".join(f"%{b:02x}" for b in body[-3_000_000:]) + "%70assword=b8afebf33dd8eac10b9"
+assert [k for k, *_ in secrets.find_secrets(url)[1]] == ["assign", "hex"]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=120).stdout)
+    assert used < 400_000
+
+
 def test_secret_bases(spark, edge, empty):
     def brute(text):
         out = [("assign", *m.span()) for m in re.finditer(r"""(?a:(?i:(password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
