@@ -133,7 +133,7 @@ def restores(model: Model, words: list[str], ids: list[np.ndarray]) -> np.ndarra
 class WordLists(dict):
     """Word -> its n best paths, each checked by decoding; emptied when ``most`` words are held."""
 
-    def __init__(self, model: Model, n: int, most: int = 50_000):
+    def __init__(self, model: Model, n: int, most: int = 30_000):
         self.model, self.n, self.most = model, n, most
 
     def __missing__(self, word: str) -> list[Checked]:
@@ -158,11 +158,11 @@ class WordCoder:
     remembered for ``most`` words."""
 
     WIDEST = 32
-    BATCH = 4096
+    BATCH = 2048
     #: Bits of the first table of pieces by hash; pieces whose place is taken go to the next table, of other bits.
     TABLE = 20
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, most
         rng = np.random.default_rng(11)
         self.base = np.uint64(rng.integers(1 << 62, 1 << 63) | 1)
@@ -344,7 +344,7 @@ def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: i
         yield out
 
 
-def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_as: str | None = "array", group_bytes: int = 4 << 20) -> DataFrame:
+def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id", text_col: str = "text", ids_as: str | None = "array", group_bytes: int = 2 << 20) -> DataFrame:
     """``id_col, rank, score, n_pieces, ids_crc32, restored, ids``: up to ``n`` rows a text.
 
     Rank 1 is the best segmentation. ``ids`` is an array, or with ``ids_as="binary"`` the ids as little-endian unsigned
