@@ -3,7 +3,9 @@
 Each table hashes a vector by the cells of a few Gaussian projections. A query visits its own cell and then perturbed
 ones in the order of their estimated success (the squared distances to the walls crossed), and all candidates of all
 tables are reranked by exact inner products. Largest inner product becomes nearest in Euclidean distance by one more
-coordinate. Equal vectors are one node, so copies never crowd a bucket; a bucket that is crowded all the same is salted.
+coordinate. Equal vectors are one node, so copies never crowd a bucket; a bucket that is crowded all the same is dealt, with
+its queries, over a grid of shards. How many hashes a table has and how wide their cells are is chosen by the number of
+rows and by the distances in a sample, so that buckets do not grow with the table.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import logging
+import math
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -21,15 +24,19 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-TABLES, HASHES, WIDTH = 8, 8, 2.0
+TABLES = 8
+#: Hashes of a table and cell widths to choose from.
+CHOICES = tuple(itertools.product((6, 8, 10, 12), (1.0, 2.0)))
 #: Queries that the number of probes is fitted on, at most, and groups of them by density.
 SAMPLE_QUERIES, STRATA = 256, 8
 #: Nodes that are scored in about the time that one probe takes to be made, sent and looked up.
 WORTH = 600
 #: Components of the queries that are searched exactly in one pass over the nodes.
 BLOCK = 1 << 19
-#: Rows of an index shard, about; more in one bucket are salted.
-SHARD = 8192
+#: Rows of an index shard, and queries of one, about; where one bucket has more, a grid of shards shares them.
+SHARD, ASKED = 8192, 16384
+#: Nodes whose distances to the sampled queries tell how large buckets are, at most.
+SAMPLE_NODES = 4096
 
 
 @cache
@@ -79,13 +86,16 @@ def probe_sequence(fraction: np.ndarray, count: int) -> list[np.ndarray]:
     return out
 
 
-def wall_costs(fraction: np.ndarray, most: int) -> np.ndarray:
-    """Costs of the perturbations of each table (tables, hashes), in order; of the first ``most`` if there are very many."""
-    hashes = fraction.shape[1]
-    if 3**hashes > 20_000:
-        return np.array([[sum((f[i] if x < 0 else 1 - f[i]) ** 2 for i, x in enumerate(move) if x) for move in probe_sequence(f, most)] for f in fraction])
-    moves = np.array(list(itertools.product((-1, 0, 1), repeat=hashes)))
-    return np.sort(fraction**2 @ (moves < 0).T + (1 - fraction) ** 2 @ (moves > 0).T, axis=1)
+def cheaper(fraction: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """How many perturbations (-1, 0 or 1 for each hash) cross walls at less than each ``cost``. Those of the first half of
+    the hashes and of the second are summed up apart; pairs of them are counted by search."""
+    halves = []
+    for f in np.array_split(fraction, 2):
+        sums = np.zeros(1)
+        for x in f.tolist():
+            sums = np.concatenate([sums, sums + x * x, sums + (1 - x) ** 2])
+        halves.append(np.sort(sums))
+    return np.searchsorted(halves[1], cost[:, None] - halves[0][None, :]).sum(axis=1)
 
 
 def probe_ranks(query: np.ndarray, found: np.ndarray, scale: float, *, most: int, tables: int, hashes: int, width: float) -> np.ndarray:
@@ -95,12 +105,18 @@ def probe_ranks(query: np.ndarray, found: np.ndarray, scale: float, *, most: int
     gap = np.floor(places(found, scale, False, tables, hashes, width)) - cells
     fraction = at - cells
     cost = ((gap < 0) * fraction**2 + (gap > 0) * (1 - fraction) ** 2).sum(axis=2)
-    costs = wall_costs(fraction, most)
-    rank = np.stack([np.searchsorted(costs[t], cost[:, t] - 1e-12) + 1 for t in range(tables)], axis=1)
+    rank = np.stack([cheaper(fraction[t], cost[:, t] - 1e-12) + 1 for t in range(tables)], axis=1)
     return np.minimum(np.where(np.abs(gap).max(axis=2) <= 1, rank, most + 1).min(axis=1), most + 1)
 
 
-def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, nodes: int, *, recall: float = 0.96, most: int = 1024, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH) -> tuple[int, float]:
+def share_a_cell(distance: np.ndarray, width: float) -> np.ndarray:
+    """Probability that one hash puts two points at each distance into one cell."""
+    r = width / np.maximum(distance, 1e-9)
+    tail = np.array([math.erfc(x / math.sqrt(2)) for x in r.ravel().tolist()]).reshape(r.shape)
+    return 1 - tail - math.sqrt(2 / math.pi) / r * (1 - np.exp(-(r**2) / 2))
+
+
+def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, nodes: int, *, recall: float = 0.96, most: int = 1024, tables: int, hashes: int, width: float) -> tuple[int, float]:
     """Probes a table that find ``recall`` of the nearest vectors ``found`` for each of the ``queries``, and a floor.
 
     Queries are put into groups by the score of their last answer, over their length, and every group must reach
@@ -122,11 +138,35 @@ def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, nodes
             floor = max(floor, *(last[i] for i in group.tolist()), -np.inf)
         else:
             probes = max(probes, need)
-    if floor > -np.inf:
-        logging.getLogger(__name__).warning("More than %d probes a table would be needed for queries whose last answer scores %.6g or less; these are searched exactly", most, floor)
     return probes, floor
 
 
+def fit(queries: np.ndarray, found: list[np.ndarray], others: np.ndarray, scale: float, nodes: int, *, tables: int, hashes: int | None, width: float | None) -> tuple[int, float, int, int | float]:
+    """Hashes and width (where they are not given), probes and floor that make the sample's queries cheapest, in nodes scored:
+    those that the probes serve make, send and look these up and score what is in their buckets, as many of all ``nodes``
+    as of the sample ``others``; the rest are held against all nodes."""
+    lengths = np.linalg.norm(queries, axis=1)
+    last = np.array([(found[i] @ queries[i]).min() / lengths[i] if len(found[i]) else np.inf for i in range(len(queries))])
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (queries @ others.T) / (lengths[:, None] * scale))) if len(others) else np.zeros((len(queries), 0))
+    best: tuple | None = None
+    one_hash = {w: share_a_cell(apart, w) for w in {w for _, w in CHOICES} | ({width} if width else set())}
+    for m, w in CHOICES:
+        m, w = hashes or m, width or w
+        probes, floor = fit_probes(queries, found, scale, nodes, tables=tables, hashes=m, width=w)
+        met = np.minimum(1, tables * probes * (one_hash[w] ** m).mean(axis=1)) if apart.shape[1] else np.zeros(len(queries))
+        cost = np.where(last <= floor, nodes, 0) + tables * probes * WORTH + met * nodes
+        if best is None or cost.sum() < best[0]:
+            best = (cost.sum(), probes, floor, m, w)
+        if hashes and width:
+            break
+    _, probes, floor, m, w = best
+    log = logging.getLogger(__name__)
+    log.info("%d hashes of width %g, %d probes", m, w, probes)
+    if floor > -np.inf:
+        log.warning("Probes do not serve queries whose last answer scores %.6g or less; these are searched exactly", floor)
+    return probes, floor, m, w
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -181,14 +221,14 @@ def exactly(nodes: DataFrame, asking: pa.Table, k: int) -> DataFrame:
     return nodes.select("node", "vector").mapInArrow(search, f"query {kind}, node {kind}, score double")
 
 
-def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, hashes: int | None = None, width: float | None = None, probes: int | None = None) -> DataFrame:
     """``query_id, rank, id_col, score``: the ``k`` nearest rows found for each row that the SQL condition ``queries`` picks.
 
     Score is the inner product in double precision; ties go to the smaller id; a query is not its own neighbour. Vectors
     that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; only
-    vectors of one length are compared with one another. Repeated rows with one id count once. All rows are indexed; the
-    number of probes (if ``probes`` is not given) is fitted on the true neighbours of at most ``SAMPLE_QUERIES`` queries,
-    so that each group of them by density reaches the recall. Queries beyond the reach of the probes, and those left with
+    vectors of one length are compared with one another. Repeated rows with one id count once. All rows are indexed. Hashes,
+    width and probes (where they are not given) are fitted on the true neighbours of at most ``SAMPLE_QUERIES`` queries, so
+    that each group of them by density reaches the recall at the least cost. Queries beyond the reach of the probes, and those left with
     fewer than ``k`` answers though there are more rows, are searched exactly. An empty table gives an empty result.
     Other columns are not read.
     """
@@ -218,7 +258,9 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
             known = known.join(nodes.select("node", "vector"), "node").select("query", "vector").toArrow()
             known_of, known_vectors = np.array(known["query"].to_pylist(), object), _vectors(known["vector"].combine_chunks()) if known.num_rows else None
             found = [known_vectors[np.flatnonzero(known_of == q)] if known.num_rows else np.zeros((0, fitted)) for q in sample["node"].to_pylist()]
-            probes, floor = fit_probes(_vectors(sample["vector"].combine_chunks()), found, scale, n, tables=tables, hashes=hashes, width=width)
+            others = nodes.where(F.size("vector") == fitted).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(max(256, min(SAMPLE_NODES, (1 << 23) // fitted))).select("vector").toArrow()
+            probes, floor, hashes, width = fit(_vectors(sample["vector"].combine_chunks()), found, _vectors(others["vector"].combine_chunks()), scale, n, tables=tables, hashes=hashes, width=width)
+    hashes, width = hashes or 8, width or 2.0
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,12 +283,15 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     vector_kind = nodes.schema["vector"].dataType.simpleString()
     shards = max(1, n * tables // SHARD)
     entries = nodes.select("node", "vector").mapInArrow(index, f"key long, node {kind}, vector {vector_kind}")
-    crowded = nodes.select("node", "vector").mapInArrow(index, f"key long, node {kind}, vector {vector_kind}").groupBy("key").count().where(F.col("count") > SHARD).select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("salts"))
-    crowded = materialise(crowded, "crowded")
-    shard = F.pmod(F.xxhash64("key", "salt"), F.lit(shards)).cast("int")
-    salts = F.coalesce("salts", F.lit(1))
-    entries = entries.join(crowded, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select(shard.alias("shard"), "key", "node", "vector")
-    probing = asking.mapInArrow(ask, f"query {kind}, key long").join(crowded, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    crowded = materialise(entries.groupBy("key").count().where(F.col("count") > SHARD).select("key", F.ceil(F.col("count") / SHARD).cast("int").alias("salts")), "crowded")
+    probing = asking.mapInArrow(ask, f"query {kind}, key long")
+    asked_of = probing.join(crowded.select("key"), "key").groupBy("key").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    crowded = materialise(crowded.join(asked_of, "key"), "grid")
+    # Entries of a crowded bucket are dealt over its rows of shards and sent to each column, queries the other way round.
+    shard = F.pmod(F.xxhash64("key", "salt", "part"), F.lit(shards)).cast("int")
+    salts, parts = F.coalesce("salts", F.lit(1)), F.coalesce("parts", F.lit(1))
+    entries = entries.join(crowded, "key", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(shard.alias("shard"), "key", "node", "vector")
+    probing = probing.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("query"), parts).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     probing = probing.select("query", "key", shard.alias("shard")).groupBy("shard", "query").agg(F.collect_list("key").alias("keys"))
     probing = probing.join(asking.select(F.col("node").alias("query"), "vector"), "query")
 

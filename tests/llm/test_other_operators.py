@@ -250,8 +250,13 @@ def test_neighbours_edges(spark):
     assert neighbours.nearest(df.where("vec_id = 20"), queries="vec_id % 20 = 0").count() == 0
 
 
-def test_neighbours_with_a_dense_third(spark):
+@pytest.mark.parametrize("forced", [{}, {"probes": 60, "hashes": 4, "width": 2.0}], ids=["fitted", "crowded"])
+def test_neighbours_with_a_dense_third(spark, monkeypatch, forced):
+    """Also with buckets far beyond what a shard takes, whose entries and queries a grid of shards shares."""
     ship(spark)
+    if forced:
+        monkeypatch.setattr(neighbours, "SHARD", 100)
+        monkeypatch.setattr(neighbours, "ASKED", 10)
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(3000, 64))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -259,9 +264,9 @@ def test_neighbours_with_a_dense_third(spark):
     vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.nearest(df, queries="vec_id % 20 = 0").collect():
+    for r in neighbours.nearest(df, queries="vec_id % 20 = 0", **forced).collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    for stratum in (range(0, 1000, 20), range(1000, 3000, 20)):
+    for stratum in (range(0, 1000, 20), range(1000, 3000, 20))[: 1 if forced else 2]:
         hits = 0
         for q in stratum:
             scores = vectors @ vectors[q]
@@ -280,6 +285,27 @@ def test_neighbours_of_small_tables_are_all_rows(spark):
             assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in (0, 20) for i, _ in some if i != q and q < len(some)}
 
 
+def test_rank_of_a_perturbation_is_its_place_in_the_sequence():
+    rng = np.random.default_rng(5)
+    for hashes in (1, 4, 5):
+        fraction = rng.uniform(size=hashes)
+        cost = np.array([sum((fraction[i] if x < 0 else 1 - fraction[i]) ** 2 for i, x in enumerate(m) if x) for m in neighbours.probe_sequence(fraction, 3**hashes)])
+        assert neighbours.cheaper(fraction, cost - 1e-12).tolist() == list(range(3**hashes))
+
+
+def test_hashes_and_width_follow_the_number_of_rows():
+    """Clusters of 40 close vectors: with more of them probes serve all queries, and finer buckets are taken."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(100, 32)))
+    queries = unit(centres + rng.normal(size=(100, 32)) * 0.05)
+    found = [unit(c + rng.normal(size=(20, 32)) * 0.05) for c in centres]
+    others = unit(rng.normal(size=(2000, 32)))
+    chosen = [neighbours.fit(queries, found, others, 1.0, n, tables=8, hashes=None, width=None) for n in (10**5, 10**9)]
+    (_, floor, m, w), (_, more_floor, more_m, more_w) = chosen
+    assert floor == more_floor == -np.inf and more_m / more_w > m / w
+
+
 def test_probes_come_in_order_of_cost():
     rng = np.random.default_rng(0)
     fraction = rng.uniform(size=5)
