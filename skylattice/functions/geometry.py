@@ -56,9 +56,9 @@ def counter_clockwise(r: Column) -> Column:
 
 
 def number(v: Column) -> Column:
-    """Canonical text of a coordinate: no exponent, no ``.0``."""
-    text = F.when(F.abs(v) < 1e-3, F.format_string("%.12f", v)).otherwise(v.cast("string"))
-    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    """Canonical text of a coordinate: no exponent, no ``.0``, no negative zero."""
+    text = F.when((F.abs(v) < 1e-3) | (F.abs(v) >= 1e7), F.format_string("%.12f", v)).otherwise(v.cast("string"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""), "^-0$", "0")
 
 
 def to_pairs(r: Column) -> Column:

@@ -89,8 +89,12 @@ def daily_requests(start: Column, end: Column) -> Column:
 
 def progress(line: Column) -> Column:
     """``name, percent, done, total`` of a progress line, null for any other line."""
-    batch = r"^Concurrent Downloads:\s*(\d+)%\|\s*[^|]*\|\s*(\d+)/(\d+)\s*\[\s*[0-9:?]+<[^\]]+\]"
-    single = r"^Downloading\s+(.+?):\s*(\d+)%\|\s*.*?\|\s*([\d.]+[kMGTP]?)/([\d.]+[kMGTP]?)\s*\[[0-9:]+<[0-9:?-]+\]"
-    part = lambda p, i: F.regexp_extract(line, p, i)
-    row = lambda name, p, i: F.struct(name.alias("name"), part(p, i).cast("int").alias("percent"), part(p, i + 1).alias("done"), part(p, i + 2).alias("total"))
-    return F.when(F.rlike(line, F.lit(batch)), row(F.lit("Concurrent Downloads"), batch, 1)).when(F.rlike(line, F.lit(single)), row(F.trim(part(single, 1)), single, 2))
+    # Both kinds of line: description, percent, bar, counts, and times in brackets with a speed behind them at most.
+    bar = r"^([^|]*\S) *: *(\d{1,3})%\|[^\[]*\| *([^\s/|]+)/([^\s/|]+) *\[ *([0-9:?]+)<([^\]]*)\](.*)$"
+    part = lambda i: F.regexp_extract(line, bar, i)
+    counts, sizes = r"^\d+$", r"^[0-9.]+[kMGTP]?$"
+    both = lambda kind: F.rlike(part(3), F.lit(kind)) & F.rlike(part(4), F.lit(kind))
+    batch = (part(1) == "Concurrent Downloads") & both(counts) & (part(6) != "") & F.rlike(part(7), F.lit(r"^\s*\S*$"))
+    single = F.startswith(part(1), F.lit("Downloading ")) & both(sizes) & F.rlike(part(6), F.lit(r"^[0-9:?-]+(,.*)?$")) & ~F.contains(part(5), F.lit("?"))
+    row = lambda name: F.struct(name.alias("name"), part(2).cast("int").alias("percent"), part(3).alias("done"), part(4).alias("total"))
+    return F.when(batch, row(part(1))).when(single, row(F.trim(F.substr(part(1), F.lit(13)))))

@@ -40,8 +40,16 @@ def mask_cells(cells: DataFrame, headers: DataFrame, areas: DataFrame, *, nodata
 
 
 def flatten_cube(cubes: DataFrame, axes: tuple[str, str, str] = ("time", "lat", "lon"), values: str = "values") -> DataFrame:
-    """One row a cell of each cube: the axes' values and the variable at ``(t * n_lat + i) * n_lon + j``."""
+    """One row a cell of each cube: the axes' values and the variable at ``(t * n_lat + i) * n_lon + j``. Axis by axis, each
+    with its slices of the values, so that no row bears more than its own slice."""
     t, y, x = axes
-    out = cubes.select("*", F.posexplode(t).alias("_t", f"{t}_value")).select("*", F.posexplode(y).alias("_y", f"{y}_value")).select("*", F.posexplode(x).alias("_x", f"{x}_value"))
-    index = (F.col("_t") * F.size(y) + F.col("_y")) * F.size(x) + F.col("_x")
-    return out.withColumn("value", F.get(values, index)).drop(t, y, x, values, "_t", "_y", "_x")
+    rest = [F.col(c) for c in cubes.columns if c not in (t, y, x, values)]
+
+    def slices(axis: str, array: str, size: Column, name: str) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.size(axis) - 1), lambda i: F.slice(array, i * size + 1, size))
+        return F.inline(F.arrays_zip(F.col(axis).alias(f"{axis}_value"), parts.alias(name)))
+
+    some = cubes.where((F.size(t) > 0) & (F.size(y) > 0) & (F.size(x) > 0))
+    planes = some.select(*rest, y, x, slices(t, values, F.size(y) * F.size(x), "_plane"))
+    rows = planes.select(*rest, f"{t}_value", x, slices(y, "_plane", F.size(x), "_row"))
+    return rows.select(*rest, f"{t}_value", f"{y}_value", F.inline(F.arrays_zip(F.col(x).alias(f"{x}_value"), F.col("_row").alias("value"))))

@@ -29,27 +29,42 @@ def _wide(box: Column, size: float) -> Column:
     return (F.floor(box.xmax / size) - F.floor(box.xmin / size) + 1) * (F.floor(box.ymax / size) - F.floor(box.ymin / size) + 1) > MOST_CELLS
 
 
-def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring", right_ring: str = "ring", cell: float = 2.0, exact: bool = True) -> DataFrame:
+def _extent(df: DataFrame, r: str) -> tuple[float, float, float]:
+    """Median of the longer sides of the boxes, and the largest width and height."""
+    box = G.bounds(F.col(r))
+    sides = df.where(F.size(r) > 3).select((box.xmax - box.xmin).alias("w"), (box.ymax - box.ymin).alias("h"))
+    found = sides.agg(F.percentile_approx(F.greatest("w", "h"), F.lit(0.5)), F.max("w"), F.max("h")).first()
+    return found[0] or 0.0, found[1] or 0.0, found[2] or 0.0
+
+
+def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring", right_ring: str = "ring", cell: float | None = None, exact: bool = True) -> DataFrame:
     """Pairs of rows whose polygons (``exact``) or boxes meet; all columns of both sides but the rings, whose names must
     differ otherwise. Null rings and rings of fewer than four points meet nothing.
 
     Both sides go to the grid cells that their boxes cover and meet by one equi-join; a pair is kept only in the cell of
     its boxes' lower left common corner, so nothing needs to be made distinct. The predicate stands behind a CASE, since
-    the optimiser may put its dear part before the cheap one. A box of more than ``MOST_CELLS`` cells (an area that spans
-    continents) takes the cells of a grid ``COARSE`` times wider instead, where the other side's boxes also wait for it:
-    tag 0 is narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with wide.
+    the optimiser may put its dear part before the cheap one, and edges are made of the rings of those pairs alone. Cells
+    are as wide as the larger side's median box, whatever the units, if ``cell`` is not given; a look at the extents of
+    both sides comes first. A box of more than ``MOST_CELLS`` cells (an area that spans continents) takes the cells of a
+    grid ``COARSE`` times wider instead, where the other side's boxes also wait for it if there are such boxes: tag 0 is
+    narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with wide.
     """
+    extents = _extent(left, left_ring), _extent(right, right_ring)
+    cell = cell or max(extents[0][0], extents[1][0]) or 1.0
     coarse = cell * COARSE
+    wide = [(w / cell + 2) * (h / cell + 2) > MOST_CELLS for _, w, h in extents]
 
-    def dealt(df: DataFrame, r: str, side: str, mixed: int, other: int) -> DataFrame:
+    def dealt(df: DataFrame, r: str, side: str, mixed: int, other: int, own_wide: bool, others_wide: bool) -> DataFrame:
         box = F.col(f"{side}_box")
-        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_edges": G.edges(F.col(r))}).drop(r)
-        keys = F.when(_wide(box, cell), F.concat(_cells(box, coarse, other), _cells(box, coarse, 3))).otherwise(F.concat(_cells(box, cell, 0), _cells(box, coarse, mixed)))
+        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_ring": F.col(r)}).drop(r)
+        keys = F.concat(_cells(box, cell, 0), _cells(box, coarse, mixed)) if others_wide else _cells(box, cell, 0)
+        if own_wide:
+            keys = F.when(_wide(box, cell), F.concat(_cells(box, coarse, other), _cells(box, coarse, 3))).otherwise(keys)
         return rows.withColumn("_key", F.explode(keys))
 
-    pairs = dealt(left, left_ring, "l", 1, 2).join(dealt(right, right_ring, "r", 2, 1), "_key")
+    pairs = dealt(left, left_ring, "l", 1, 2, *wide).join(dealt(right, right_ring, "r", 2, 1, *wide[::-1]), "_key")
     x, y, tag = F.greatest("l_box.xmin", "r_box.xmin"), F.greatest("l_box.ymin", "r_box.ymin"), F.pmod("_key", F.lit(4))
     corner = F.when(tag == 0, _cell(x, y, cell) * 4).otherwise(_cell(x, y, coarse) * 4 + tag)
     near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & (F.col("_key") == corner)
-    rest = G.polygons_meet(F.col("l_edges"), F.col("r_edges")) if exact else F.lit(True)
-    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_edges", "r_edges")
+    rest = G.polygons_meet(G.edges(F.col("l_ring")), G.edges(F.col("r_ring"))) if exact else F.lit(True)
+    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_ring", "r_ring")

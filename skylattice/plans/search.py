@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 from skylattice.operators import catalog as C
 from skylattice.operators.spatial import spatial_join
+from skylattice.sources import adapters, readers
+from skylattice.sources.readers import scratch
 
-from .views import ctes, meets_sql, table, view
+from .views import ctes, meets_sql, table, view, wkt_sql
 
 FIRST, LAST = "1995-01-01", "2001-08-01"
 PRODUCTS = [("SENTINEL-1", "GRD"), ("SENTINEL-2", "S2MSI1C"), ("SENTINEL-2", "S2MSI2A"), ("landsat_ot_c2_l2", "8L1TP"), ("landsat_ot_c2_l2", "8L2SP")]
@@ -36,7 +38,7 @@ def bbox_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiles_for_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = view(spark, sf_dir, "tiles")
-    names = spatial_join(tiles.select("name", "ring"), view(spark, sf_dir, "aois").select("aoi_id", "ring"), cell=6.0).select("name").distinct()
+    names = spatial_join(tiles.select("name", "ring"), view(spark, sf_dir, "aois").select("aoi_id", "ring")).select("name").distinct()
     return tiles.join(names, "name", "left_semi").select("name", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
@@ -88,51 +90,92 @@ def image_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cap_granules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty granules, then the links of those."""
-    links = view(spark, sf_dir, "granule_links")
-    first = links.select("granule_id").distinct().orderBy("granule_id").limit(50)
-    return links.join(first, "granule_id", "left_semi").select("granule_id", "link_no", "href")
+    """The first fifty granules of each area, by id, then the links of those."""
+    pairs = spatial_join(scenes(spark, sf_dir).select(F.col("scene_id").alias("granule_id"), "ring"), view(spark, sf_dir, "aois").select("aoi_id", "ring"))
+    first = pairs.withColumn("n", F.row_number().over(Window.partitionBy("aoi_id").orderBy("granule_id"))).where("n <= 50").drop("n")
+    return view(spark, sf_dir, "granule_links").join(first, "granule_id").select("aoi_id", "granule_id", "link_no", "href")
+
+
+def _answers(spark: SparkSession, df: DataFrame, body: Column, label: str) -> str:
+    """A folder of answers, one a line, as a crawl of a service leaves them behind."""
+    folder = scratch(spark, label)
+    df.select(body.alias("value")).write.text(folder)
+    return folder
+
+
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products by way of pages of answers; every tenth page is an error."""
+    rows = scenes(spark, sf_dir).where("collection <> 'landsat_ot_c2_l2'").withColumn("page", F.expr("scene_id div 100"))
+    named = lambda name, value: F.struct(F.lit(name).alias("Name"), value.alias("Value"))
+    product = F.struct(
+        F.col("scene_id").cast("string").alias("Id"),
+        F.concat(F.lit("P"), F.col("scene_id").cast("string")).alias("Name"),
+        F.struct(F.col("collection").alias("Name")).alias("Collection"),
+        (F.col("scene_id") * 3).alias("ContentLength"),
+        G.to_geography(F.col("ring")).alias("Footprint"),
+        F.struct(F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Start")).alias("ContentDate"),
+        F.filter(F.array(named("productType", F.col("product_type")), named("tileId", F.col("tile_id"))), lambda a: a["Value"].isNotNull()).alias("Attributes"),
+    )
+    pages = rows.groupBy("page").agg(F.collect_list(product).alias("value"))
+    body = F.when(F.col("page") % 10 == 3, F.to_json(F.struct(F.lit("none").alias("error")))).otherwise(F.to_json(F.struct("value")))
+    return readers.products(spark, _answers(spark, pages, body, "products"), lines=True)
+
+
+def _scene_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes by way of search answers; every fourth returned none."""
+    rows = view(spark, sf_dir, "scene_meta").withColumn("page", F.expr("entity_id div 50"))
+    metadata = F.array(F.struct(F.lit("Satellite").alias("fieldName"), F.col("satellite").alias("value")))
+    scene = F.struct(F.col("entity_id").cast("string").alias("entityId"), F.col("display_id").alias("displayId"), F.struct("bulk").alias("options"), metadata.alias("metadata"))
+    answers = rows.groupBy("page").agg(F.collect_list(scene).alias("results"), F.count("*").alias("n"))
+    body = F.to_json(F.struct(F.col("n").alias("totalHits"), F.when(F.col("page") % 4 != 1, F.col("n")).alias("recordsReturned"), "results"))
+    return readers.scenes(spark, _answers(spark, answers, body, "scenes"), lines=True)
+
+
+def _granule_feeds(spark: SparkSession, sf_dir: str) -> str:
+    """Feeds of a hundred granules each, with their links in order."""
+    rows = view(spark, sf_dir, "granule_links").groupBy("granule_id").agg(F.sort_array(F.collect_list(F.struct("link_no", "href", "rel"))).alias("links"))
+    entry = F.struct(F.col("granule_id").cast("string").alias("id"), F.transform("links", lambda x: F.struct(x["href"].alias("href"), x["rel"].alias("rel"))).alias("links"))
+    feeds = rows.groupBy(F.expr("granule_id div 100").alias("page")).agg(F.collect_list(entry).alias("entry"))
+    return _answers(spark, feeds, F.to_json(F.struct(F.struct("entry").alias("feed"))), "granules")
 
 
 def granule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links nested in their granules, unnested again: data links to files that end in ``.hdf``."""
-    nested = view(spark, sf_dir, "granule_links").groupBy("granule_id").agg(F.collect_list(F.struct("link_no", "href", "rel")).alias("links"))
-    flat = nested.select("granule_id", F.inline("links"))
-    return flat.where(F.contains(F.coalesce("rel", F.lit("")), F.lit("data#")) & F.endswith("href", F.lit(".hdf"))).select("granule_id", "link_no", "href")
+    """Links of granules read from feeds: data links to files that end in ``.hdf``."""
+    flat = readers.granule_links(spark, _granule_feeds(spark, sf_dir), lines=True)
+    return flat.where(F.contains(F.coalesce("rel", F.lit("")), F.lit("data#")) & F.endswith("href", F.lit(".hdf"))).select(F.col("id").cast("long").alias("granule_id"), F.col("link_no").cast("long").alias("link_no"), "href")
 
 
 def download_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "download_options")
-    good = F.col("available") & (F.coalesce(F.col("entity_id"), F.lit(0)) != 0) & (F.coalesce(F.col("option_id"), F.lit(0)) != 0) & F.contains("product_name", F.lit("Bundle"))
-    return rows.where(good).select("entity_id", F.col("option_id").cast("long").alias("product_id"))
+    """Options read from answers of both shapes, of which those stay that can be asked for."""
+    option = F.struct("available", F.col("entity_id").cast("string").alias("entityId"), F.col("option_id").cast("string").alias("id"), F.col("product_name").alias("productName"))
+    answers = view(spark, sf_dir, "download_options").groupBy(F.expr("entity_id div 100").alias("page")).agg(F.collect_list(option).alias("options"))
+    body = F.when(F.col("page") % 2 == 0, F.to_json("options")).otherwise(F.to_json(F.struct("options")))
+    rows = readers.download_options(spark, _answers(spark, answers, body, "options"), lines=True)
+    given = lambda c: ~F.coalesce(F.col(c), F.lit("")).isin("", "0")
+    return rows.where(F.col("available") & given("entityId") & given("id") & F.contains("productName", F.lit("Bundle"))).select(F.col("entityId").cast("long").alias("entity_id"), F.col("id").cast("long").alias("product_id"))
 
 
 def catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product pages as JSON text, read with a declared schema; pages without ``value`` give nothing."""
-    rows = scenes(spark, sf_dir).withColumn("page", F.expr("scene_id div 100"))
-    product = F.struct(F.col("scene_id").cast("string").alias("Id"), F.concat(F.lit("P"), F.col("scene_id").cast("string")).alias("Name"), F.struct(F.col("start_ts").cast("string").alias("Start")).alias("ContentDate"))
-    pages = rows.groupBy("page").agg(F.collect_list(product).alias("value")).select(F.when(F.col("page") % 10 == 3, F.to_json(F.struct(F.lit("none").alias("error")))).otherwise(F.to_json(F.struct("value"))).alias("body"))
-    read = F.from_json("body", "value array<struct<Id:string,Name:string,ContentDate:struct<Start:string>>>")
-    return pages.select(F.explode(read["value"]).alias("p")).select("p.Id", "p.Name", F.col("p.ContentDate.Start").alias("start_ts"))
+    """Products read from pages with a declared schema; pages without ``value`` give nothing."""
+    return _product_pages(spark, sf_dir).select("Id", "Name", F.col("ContentDate.Start").cast("string").alias("start_ts"), F.col("ContentLength").alias("content_length"))
 
 
 def scene_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search answers as JSON text: rows only where some were returned; missing counters are 0."""
-    rows = view(spark, sf_dir, "scene_meta").withColumn("page", F.expr("entity_id div 50"))
-    answers = rows.groupBy("page").agg(F.collect_list(F.struct("entity_id", "display_id")).alias("results"), F.count("*").alias("n"))
-    body = F.to_json(F.struct(F.col("n").alias("totalHits"), F.when(F.col("page") % 4 != 1, F.col("n")).alias("recordsReturned"), "results"))
-    read = answers.select(F.from_json(body, "totalHits long, recordsReturned long, results array<struct<entity_id:long,display_id:string>>").alias("a"))
-    return read.where(F.coalesce("a.recordsReturned", F.lit(0)) > 0).select(F.explode("a.results").alias("r")).select("r.*")
+    """Scenes read from search answers: rows only where some were returned; missing counters are 0."""
+    return _scene_pages(spark, sf_dir).select(F.col("entityId").cast("long").alias("entity_id"), F.col("displayId").alias("display_id"))
 
 
 def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Providers' tables normalised and appended."""
-    s, m = scenes(spark, sf_dir), view(spark, sf_dir, "scene_meta")
-    g = view(spark, sf_dir, "granule_links").select("granule_id").distinct()
-    one = s.where("collection <> 'landsat_ot_c2_l2'").select(F.lit("copernicus").alias("provider"), F.col("scene_id").alias("product_id"), "collection", "product_type")
-    two = m.select(F.lit("usgs").alias("provider"), F.col("entity_id").alias("product_id"), F.lit("landsat_ot_c2_l2").alias("collection"), F.split_part("display_id", F.lit("_"), F.lit(2)).alias("product_type"))
-    three = g.select(F.lit("modis").alias("provider"), F.col("granule_id").alias("product_id"))
-    return one.unionByName(two).unionByName(three, allowMissingColumns=True)
+    """Answers of all six providers, read from files or made from requests, in the one normalised catalogue."""
+    images = scenes(spark, sf_dir).where("scene_id % 11 = 0").select(F.concat(F.lit("collections/"), "collection", F.lit("/"), F.col("scene_id").cast("string")).alias("id"), "collection", "start_ts")
+    days = table(spark, sf_dir, "orders").where("o_orderkey % 13 = 0").select(F.col("o_orderdate").cast("date").alias("day"), F.lit("ozone").alias("variable")).distinct()
+    climate = days.withColumn("file_name", F.concat(F.lit("CAMS_"), F.date_format("day", "yyyy-MM-dd"), F.lit(".nc")))
+    heights = view(spark, sf_dir, "aois").select(F.lit("SRTM").alias("demtype"), "ring", F.concat(F.lit("http://d.example/"), F.col("aoi_id").cast("string")).alias("url"), F.concat(F.lit("SRTM_"), F.col("aoi_id").cast("string"), F.lit(".tif")).alias("file_name"))
+    rows = adapters.catalogue(copernicus=_product_pages(spark, sf_dir), usgs=_scene_pages(spark, sf_dir), modis=readers.granules(spark, _granule_feeds(spark, sf_dir), lines=True), gee=images, cds=climate, opentopography=heights)
+    # As text, which every engine compares alike.
+    attrs = F.array_join(F.transform("attrs", lambda a: F.concat_ws("=", a["name"], a["value"])), ";")
+    links = F.array_join(F.transform("links", lambda x: x["href"]), ";")
+    return rows.select("provider", "collection", "product_id", "name", "product_type", "tile_id", F.col("start_ts").cast("string").alias("start_ts"), G.to_wkt(F.col("ring")).alias("wkt"), "bbox.xmin", "bbox.ymax", "bulk", attrs.alias("attrs"), links.alias("links"), "content_length")
 
 
 def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,12 +224,18 @@ ORACLES = {
     "scene_filter": ctes("scene_meta") + "select entity_id, display_id from scene_meta where bulk and contains(display_id, 'L2SP') and satellite in ('8', '08')",
     "topk_global": ctes("scenes") + "select scene_id, start_ts::varchar as start_ts from (select * from scenes where collection = 'SENTINEL-2' order by start_ts desc, scene_id limit 1000)",
     "image_search": ctes("scenes") + f"select collection, scene_id, n, total from (select collection, scene_id, row_number() over (partition by collection order by scene_id) as n, count(*) over (partition by collection) as total from scenes where start_ts >= timestamp '{FIRST}' and start_ts < timestamp '{LAST}') where n <= 100",
-    "cap_granules": ctes("granule_links") + "select granule_id, link_no, href from granule_links where granule_id in (select distinct granule_id from granule_links order by granule_id limit 50)",
-    "granule_links": ctes("granule_links") + "select granule_id, link_no, href from granule_links where contains(coalesce(rel, ''), 'data#') and ends_with(href, '.hdf')",
+    "cap_granules": SCENE_AREA.replace("with ", "with " + ctes("granule_links").removeprefix("with ").rstrip() + ",\n", 1) + "select aoi_id, granule_id, link_no, href from granule_links join (select b as aoi_id, a as granule_id, row_number() over (partition by b order by a) as n from hit) using (granule_id) where n <= 50",
+    "granule_links": ctes("granule_links") + "select granule_id::bigint as granule_id, row_number::bigint as link_no, href from (select *, row_number() over (partition by granule_id order by link_no, href, rel nulls first) as row_number from granule_links) where contains(coalesce(rel, ''), 'data#') and ends_with(href, '.hdf')",
     "download_options": ctes("download_options") + "select entity_id, option_id::bigint as product_id from download_options where available and entity_id <> 0 and option_id <> 0 and contains(product_name, 'Bundle')",
-    "catalog_scan": ctes("scenes") + "select scene_id::varchar as Id, 'P' || scene_id as Name, start_ts::varchar as start_ts from scenes where (scene_id // 100) % 10 <> 3",
+    "catalog_scan": ctes("scenes") + "select scene_id::varchar as Id, 'P' || scene_id as Name, start_ts::varchar as start_ts, (scene_id * 3)::bigint as content_length from scenes where collection <> 'landsat_ot_c2_l2' and (scene_id // 100) % 10 <> 3",
     "scene_scan": ctes("scene_meta") + "select entity_id, display_id from scene_meta where (entity_id // 50) % 4 <> 1",
-    "catalog_union": ctes("scenes", "scene_meta", "granule_links") + "select 'copernicus' as provider, scene_id as product_id, collection, product_type from scenes where collection <> 'landsat_ot_c2_l2' union all select 'usgs', entity_id, 'landsat_ot_c2_l2', split_part(display_id, '_', 2) from scene_meta union all select 'modis', granule_id, null, null from (select distinct granule_id from granule_links)",
+    "catalog_union": ctes("scenes", "scene_meta", "granule_links", "aois") + f"""
+select 'copernicus' as provider, collection, scene_id::varchar as product_id, 'P' || scene_id as name, product_type, tile_id, start_ts::varchar as start_ts, {wkt_sql("scenes")} as wkt, x0 - k as xmin, y0 + w + k as ymax, null::boolean as bulk, coalesce('productType=' || product_type || ';', '') || 'tileId=' || tile_id as attrs, null::varchar as links, (scene_id * 3)::bigint as content_length from scenes where collection <> 'landsat_ot_c2_l2' and (scene_id // 100) % 10 <> 3
+union all select 'usgs', 'landsat_ot_c2_l2', entity_id::varchar, display_id, split_part(display_id, '_', 2), null, null, null, null, null, bulk, 'Satellite=' || satellite, null, null from scene_meta where (entity_id // 50) % 4 <> 1
+union all select 'modis', null, granule_id::varchar, null, null, null, null, null, null, null, null, null, string_agg(href, ';' order by link_no, href), null from granule_links group by granule_id
+union all select 'gee', collection, 'collections/' || collection || '/' || scene_id, scene_id::varchar, null, null, start_ts::varchar, null, null, null, null, null, null, null from scenes where scene_id % 11 = 0
+union all select distinct 'cds', null, 'CAMS_' || o_orderdate::date || '.nc', 'CAMS_' || o_orderdate::date || '.nc', 'ozone', null, o_orderdate::date::timestamp::varchar, null, null, null, null, null, null, null from orders where o_orderkey % 13 = 0
+union all select 'opentopography', null, 'SRTM_' || aoi_id || '.tif', 'SRTM_' || aoi_id || '.tif', 'SRTM', null, null, {wkt_sql("aois")}, x, y + 4, null, null, 'http://d.example/' || aoi_id, null from aois""",
     "dim_products": ctes("scenes") + "select collection, product_type, count(*) as scenes from scenes where (collection, product_type) in (" + ", ".join(f"('{c}', '{p}')" for c, p in PRODUCTS) + ") group by all",
     "reject_unknown": "select * from (select c_custkey as request_id, case c_custkey % 5 when 0 then 'Copernicus' when 1 then 'USGS' when 2 then 'landsat' when 3 then 'cds' else c_mktsegment end as provider from customer) where lower(provider) not in ('copernicus', 'usgs', 'modis', 'gee', 'cds', 'opentopography')",
     "request_validate": "select c_custkey as request_id, case when c_custkey % 4 = 0 then 'no_geometry' when c_custkey % 3 = 0 then 'no_dates' else 'ok' end as verdict from customer",

@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 from skylattice.operators import raster as R
+from skylattice.sources import readers
+from skylattice.sources.readers import scratch
 
-from .views import ctes, table, view
+from .views import ctes, number_sql, table, view, wkt_sql
 
 def aois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "aois").select("aoi_id", "ring")
 
 
 def aoi_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas written as text lines and read back: points and box of each, blank and bad lines aside."""
-    lines = aois(spark, sf_dir).select("aoi_id", F.when(F.col("aoi_id") % 7 == 0, F.lit("  ")).when(F.col("aoi_id") % 11 == 0, F.lit("POINT (1 2)")).otherwise(F.concat(F.lit("  "), G.to_wkt(F.col("ring")), F.lit(" "))).alias("line"))
-    read = lines.where(F.trim("line") != "").withColumn("ring", G.from_wkt(F.col("line")))
-    return read.select("aoi_id", F.coalesce(F.size("ring"), F.lit(0)).alias("points"), G.bounds(F.col("ring")).xmin.alias("xmin"), G.bounds(F.col("ring")).ymax.alias("ymax"), F.col("ring").isNull().alias("rejected"))
+    """Areas written to a text file, one a line, and read back: points and box of each, blank lines aside, bad ones told."""
+    lines = aois(spark, sf_dir).select(F.when(F.col("aoi_id") % 7 == 0, F.lit("  ")).when(F.col("aoi_id") % 11 == 0, F.concat(F.lit("POINT (1 "), F.col("aoi_id").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("  "), G.to_wkt(F.col("ring")), F.lit(" "))).alias("value"))
+    path = scratch(spark, "areas") + ".wkt"
+    lines.write.text(path)
+    read = readers.areas(spark, path)
+    return read.select("wkt", F.coalesce(F.size("ring"), F.lit(0)).alias("points"), G.bounds(F.col("ring")).xmin.alias("xmin"), G.bounds(F.col("ring")).ymax.alias("ymax"), F.col("ring").isNull().alias("rejected"))
 
 
 def aoi_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature collections as JSON text, every feature an area."""
+    """Feature collections written to files and read back, every feature an area."""
     rows = aois(spark, sf_dir).withColumn("page", F.expr("aoi_id div 10"))
-    body = rows.groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('{"type":"Feature","properties":{"id":"'), F.lpad(F.col("aoi_id").cast("string"), 9, "0"), F.lit('"},"geometry":'), G.to_geojson(F.col("ring")), F.lit("}")))), ","), F.lit("]}")).alias("body"))
-    read = F.from_json("body", "features array<struct<properties:struct<id:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>")
-    flat = body.select(F.explode(read["features"]).alias("f")).select(F.col("f.properties.id").cast("long").alias("aoi_id"), F.col("f.geometry.coordinates")[0].alias("c"))
-    return flat.select("aoi_id", F.size("c").alias("points"), F.element_at(F.element_at("c", 3), 1).alias("x3"), F.element_at(F.element_at("c", 3), 2).alias("y3"))
+    features = F.array_join(F.collect_list(F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), G.to_geojson(F.col("ring")), F.lit("}"))), ",")
+    path = scratch(spark, "areas") + ".geojson"
+    rows.groupBy("page").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), features, F.lit("]}")).alias("value")).select("value").write.text(path)
+    return readers.areas(spark, path, lines=True).select("wkt", F.size("ring").alias("points"), F.col("ring")[2].x.alias("x3"), F.col("ring")[2].y.alias("y3"))
 
 
 def drawn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,9 +103,9 @@ def crop_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cube of ten days by eight by eight for each customer group of a nation."""
-    base = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return base.select(F.col("c_nationkey").alias("cube"), F.expr("sequence(0, 9)").alias("time"), F.expr("transform(sequence(0, 7), i -> cast(i as double) / 2 + 40)").alias("lat"), F.expr("transform(sequence(0, 7), i -> cast(i as double) / 2 + 5)").alias("lon"), F.expr("transform(sequence(0, 639), i -> cast((i * 7 + n) % 101 as double))").alias("values"))
+    """A cube of four days by four by four for each customer with orders."""
+    base = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return base.select(F.col("o_custkey").alias("cube"), F.expr("sequence(0, 3)").alias("time"), F.expr("transform(sequence(0, 3), i -> cast(i as double) / 2 + 40)").alias("lat"), F.expr("transform(sequence(0, 3), i -> cast(i as double) / 2 + 5)").alias("lon"), F.expr("transform(sequence(0, 63), i -> cast((i * 7 + n) % 101 as double))").alias("values"))
 
 
 def cube_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,17 +119,17 @@ def cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (aoi_wkt, aoi_geojson, drawn_features, aoi_bounds, ring_ops, ring_geojson, ring_wkt, aoi_route, reproject_aoi, raster_cells, crop_window, crop_raster, cube_flatten, cube_subset)}
 
 _PT = [("x", "y"), ("x+4", "y"), ("x+4", "y+2"), ("x+2", "y+2"), ("x+2", "y+4"), ("x", "y+4"), ("x", "y")]
-_NUM = lambda e: rf"regexp_replace(regexp_replace(({e})::varchar, '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+_NUM = number_sql
 _JOIN = lambda pts, a, b: f" || '{b}' || ".join(f"{_NUM(x)} || '{a}' || {_NUM(y)}" for x, y in pts)
-_WKT = f"'POLYGON ((' || {_JOIN(_PT, ' ', ', ')} || '))'"
+_WKT = wkt_sql("aois")
 _GEO = "'{\"type\":\"Polygon\",\"coordinates\":[[[' || " + _JOIN(_PT, ",", "],[") + " || ']]]}'"
 _AREA = ctes("aois", edges=("aois",))
 _CELL = "cell as (select raster_id, r.i as row, c.i as col, ((r.i*31 + c.i*17 + raster_id) % 256)::int as value, origin_x, origin_y from raster, (select unnest(range(16)) as i) r, (select unnest(range(16)) as i) c)"
-_CUBE = "with cube as (select c_nationkey as cube, count(*) as n from customer group by 1), flat as (select cube, (i // 64)::int as day, ((i // 8) % 8)::double / 2 + 40 as lat, (i % 8)::double / 2 + 5 as lon, ((i * 7 + n) % 101)::double as value from cube, (select unnest(range(640)) as i)) select * from flat"
+_CUBE = "with cube as (select o_custkey as cube, count(*) as n from orders group by 1), flat as (select cube, (i // 16)::int as day, ((i // 4) % 4)::double / 2 + 40 as lat, (i % 4)::double / 2 + 5 as lon, ((i * 7 + n) % 101)::double as value from cube, (select unnest(range(64)) as i)) select * from flat"
 _UTM = """select aoi_id, srid, x, y, radians(y) as phi, radians(x - 15) as lam, 0.00669437999014::double as e2, 0.00669437999014::double / (1 - 0.00669437999014::double) as ep2 from p"""
 ORACLES = {
-    "aoi_wkt": _AREA + "select aoi_id, case when aoi_id % 11 = 0 then 0 else 7 end as points, case when aoi_id % 11 <> 0 then x end as xmin, case when aoi_id % 11 <> 0 then y + 4 end as ymax, aoi_id % 11 = 0 as rejected from aois where aoi_id % 7 <> 0",
-    "aoi_geojson": _AREA + "select aoi_id, 7 as points, x + 4 as x3, y + 2 as y3 from aois",
+    "aoi_wkt": _AREA + f"select case when aoi_id % 11 = 0 then 'POINT (1 ' || aoi_id || ')' else {_WKT} end as wkt, case when aoi_id % 11 = 0 then 0 else 7 end as points, case when aoi_id % 11 <> 0 then x end as xmin, case when aoi_id % 11 <> 0 then y + 4 end as ymax, aoi_id % 11 = 0 as rejected from aois where aoi_id % 7 <> 0",
+    "aoi_geojson": _AREA + f"select {_WKT} as wkt, 7 as points, x + 4 as x3, y + 2 as y3 from aois",
     "drawn_features": _AREA + f"select aoi_id, case when aoi_id % 4 <> 3 then {_WKT} end as wkt, case when aoi_id % 4 = 3 then 'invalid ring' end as error from aois where aoi_id % 4 <> 2",
     "aoi_bounds": ctes("scenes") + f"select scene_id, x0 - k as xmin, y0 as ymin, x0 + w as xmax, y0 + w + k as ymax, {_NUM('y0 + w + k')} || ',' || {_NUM('x0 - k')} || ',' || {_NUM('y0')} || ',' || {_NUM('x0 + w')} as nwse from scenes",
     "ring_ops": _AREA + f"select aoi_id, 7 as points, case when aoi_id % 2 = 0 then -12.0::double else 12.0::double end as area, 12.0::double as right_area, {_JOIN(_PT, ',', ',')} as pairs from aois",

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 from skylattice.operators import files as N
 from skylattice.operators import ledger as L
-from skylattice.sources.readers import shared_folder
+from skylattice.sources import readers as R
+from skylattice.sources.readers import scratch
 from skylattice.streaming import streams as S
 
 from .views import VIEWS, ctes, table, view
@@ -81,11 +80,23 @@ def json_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One climate request a day and known variable for each customer order; unknown codes are rejected."""
+    """One climate request a day and known variable for each customer order; unknown codes go to ``rejected_codes``."""
+    days, codes = _asked_days(spark, sf_dir)
+    return days.join(F.broadcast(codes), "code").select("o_orderkey", F.col("day").cast("string").alias("day"), "variable", F.lit("12:00").alias("time"), F.concat(F.lit("CAMS_"), F.date_format("day", "yyyy-MM-dd"), F.lit(".nc")).alias("file_name"), F.replace("codes", F.lit(","), F.lit("_")).alias("folder"))
+
+
+def rejected_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with codes that no variable is known for, and the days they would be asked for."""
+    days, codes = _asked_days(spark, sf_dir)
+    unknown = days.join(F.broadcast(codes), "code", "left_anti")
+    return unknown.groupBy("o_orderkey", "code").agg(F.count("*").alias("days")).withColumn("error", F.concat(F.lit("unknown code "), "code"))
+
+
+def _asked_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     codes = spark.createDataFrame([("1", "temperature"), ("2", "ozone"), ("3", "dust")], "code string, variable string")
     asked = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"), F.expr("date_add(cast(o_orderdate as date), cast(o_orderkey % 4 - 1 as int))").alias("end"), F.expr("case o_orderkey % 3 when 0 then '1,3' when 1 then '2' else '9' end").alias("codes"))
     days = asked.select("o_orderkey", "codes", F.explode(N.daily_requests(F.col("start"), F.col("end"))).alias("day")).withColumn("code", F.explode(F.split("codes", ",")))
-    return days.join(F.broadcast(codes), "code").select("o_orderkey", F.col("day").cast("string").alias("day"), "variable", F.lit("12:00").alias("time"), F.concat(F.lit("CAMS_"), F.date_format("day", "yyyy-MM-dd"), F.lit(".nc")).alias("file_name"), F.replace("codes", F.lit(","), F.lit("_")).alias("folder"))
+    return days, codes
 
 
 def unsafe_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +109,20 @@ def single_member(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to clip of each archive; providers whose files are not clipped are told apart from those without any."""
     rows = view(spark, sf_dir, "members").withColumn("provider", F.expr("case archive % 4 when 0 then 'usgs' when 1 then 'copernicus' when 2 then 'cds' else 'opentopography' end"))
-    return rows.where(N.clipped(F.col("provider"), F.col("member_name"))).groupBy("provider", "archive").agg(F.count("*").alias("targets"))
+    counted = rows.groupBy("provider", "archive").agg(F.count_if(N.clipped(F.col("provider"), F.col("member_name"))).alias("targets"))
+    status = F.when(~F.col("provider").isin(*N.CLIPPED), "unsupported").when(F.col("targets") == 0, "nothing").otherwise("ok")
+    return counted.withColumn("status", status)
 
 
 def attempt_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "attempts").select("file_id", "seq", L.response_class(F.col("status")).alias("class"))
 
 
-def _plan(rules: L.RetryRules):
+def _plan(rules: L.RetryRules, ledger: str = "attempts"):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return L.retry_plan(view(spark, sf_dir, "attempts"), rules).select("file_id", "seq", "class", "verdict", "wait")
+        return L.retry_plan(view(spark, sf_dir, ledger), rules).select("file_id", "seq", "class", "verdict", "wait")
 
     return query
 
@@ -148,8 +162,15 @@ def envelope_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "progress").withColumn("p", N.progress(F.trim("line")))
-    return rows.where("p is not null").select("line_no", "p.*")
+    """Progress lines of log files: the table's lines written as logs of a thousand lines, which are read, split and numbered
+    again. A log's first line tells its number."""
+    folder = scratch(spark, "logs")
+    logs = view(spark, sf_dir, "progress").withColumn("log", F.expr("line_no div 1000")).groupBy("log").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    logs.select(F.concat(F.lit("log "), F.col("log").cast("string"), F.lit("\n  "), F.array_join("lines.line", " \n  "))).write.option("maxRecordsPerFile", 1).text(folder)
+    lines = R.log_lines(spark, folder)
+    heads = lines.where("line_no = 0").select("file", F.substr("line", F.lit(5)).try_cast("long").alias("log"))
+    rows = lines.withColumn("p", N.progress(F.col("line"))).where("p is not null")
+    return rows.join(heads, "file").select("log", F.col("line_no").cast("long").alias("line_no"), "p.*")
 
 
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +184,13 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the data folder by size: names and lengths only, no contents."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir).select("path", "length")
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.endswith(F.lower("path"), F.lit(".parquet")).alias("is_table")).orderBy("length", "name")
+    """Product files by size, smallest first: names and lengths only, no contents. The files are one a supplier, in folders by
+    nation, written first; other files there are left out."""
+    folder = scratch(spark, "products")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.repeat(F.lit("x"), F.expr("cast(s_suppkey % 97 + s_nationkey as int)")).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("nation").text(folder)
+    found = R.product_files(spark, folder, (".txt",))
+    return found.select(F.regexp_extract("path", r"/nation=(\d+)/", 1).cast("long").alias("nation"), "length").orderBy("length", "nation")
 
 
 def _streamed(spark: SparkSession, sf_dir: str, sql_name: str, tables: tuple[str, ...]) -> DataFrame:
@@ -180,49 +205,50 @@ def _streamed(spark: SparkSession, sf_dir: str, sql_name: str, tables: tuple[str
 
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = S.latest_progress(_streamed(spark, sf_dir, "progress", ("events",)))
-    return _finish(spark, stream, "complete")
+    return S.run_into(stream, scratch(spark, "stream"), "complete")
 
 
 def stream_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque*")
     stream = S.running_bytes(source.select(F.col("user_id").alias("file_id"), F.floor(F.col("value") * 1000).cast("long").alias("bytes")))
-    return _finish(spark, stream, "complete")
+    return S.run_into(stream, scratch(spark, "stream"), "complete")
 
 
 def stream_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts by a stateful stream over the attempt ledger, written first as the files it reads."""
-    folder = f"{shared_folder(spark)}/skylattice/attempts-{uuid.uuid4().hex}"
-    ledger = view(spark, sf_dir, "attempts").select(F.col("file_id").cast("long").alias("file_id"), F.col("seq").cast("int").alias("seq"), F.col("status").cast("int").alias("status"), F.col("retry_after").cast("int").alias("retry_after"))
-    ledger.write.parquet(folder)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", S.ROCKSDB)
-    stream = S.retry_stream(spark.readStream.schema(ledger.schema).parquet(folder))
-    return _finish(spark, stream, "append")
+    stream = S.retry_stream(_ledger_stream(spark, sf_dir))
+    with S.rocksdb(spark):
+        return S.run_into(stream, scratch(spark, "stream"), "append")
+
 
+def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state of each file by a stream in update mode, whose sink takes states as they change."""
+    return S.run_into(S.last_states(_ledger_stream(spark, sf_dir)), scratch(spark, "stream"), "update", key="file_id")
 
-def _finish(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run over what is there, into a Parquet table in the shared folder: the last batch of a complete-mode stream."""
-    out = f"{shared_folder(spark)}/skylattice/stream-{uuid.uuid4().hex}"
-    how = "append" if mode == "append" else "overwrite"
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+def _ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "attempts")
+    ledger = view(spark, sf_dir, "attempts").select(F.col("file_id").cast("long").alias("file_id"), F.col("seq").cast("int").alias("seq"), F.col("status").cast("int").alias("status"), F.col("retry_after").cast("int").alias("retry_after"))
+    ledger.write.parquet(folder)
+    return spark.readStream.schema(ledger.schema).parquet(folder)
 
 
-QUERIES = {q.__name__: q for q in (output_layout, dest_uri, manifest_odata, manifest_missing, manifest_usgs, zip_manifest, dem_url, file_names, archive_names, json_path, daily_requests, unsafe_archives, single_member, crop_targets, attempt_class, deferred, fetch_summary, batch_progress, resume_plan, size_verify, envelope_split, progress_lines, progress_latest, log_tail, file_inventory, stream_progress, stream_bytes, stream_retry)} | {"retry_plan": _plan(L.DOWNLOAD), "retry_plan_lookup": _plan(L.LOOKUP)}
+QUERIES = {q.__name__: q for q in (output_layout, dest_uri, manifest_odata, manifest_missing, manifest_usgs, zip_manifest, dem_url, file_names, archive_names, json_path, daily_requests, unsafe_archives, single_member, crop_targets, attempt_class, deferred, fetch_summary, batch_progress, resume_plan, size_verify, envelope_split, progress_lines, progress_latest, log_tail, file_inventory, rejected_codes, stream_progress, stream_bytes, stream_retry, stream_states)} | {"retry_plan": _plan(L.DOWNLOAD), "retry_plan_lookup": _plan(L.LOOKUP), "retry_plan_probe": _plan(L.DOWNLOAD, "probes"), "retry_plan_no_refresh": _plan(L.RetryRules(refreshing=False))}
 
 
-def _retry_sql(ok: str, refreshes: int | None, delay_cap: str, after_cap: str) -> str:
+def _retry_sql(ok: str, refreshes: int | None, delay_cap: str, after_cap: str, ledger: str = "attempts", refreshing: bool = True) -> str:
     """The plan as a recursive walk over each file's attempts, one at a time."""
-    kind = f"case when status in ({ok}) then 'ok' " + ("when status = 401 then 'unauthorized' " if refreshes is not None else "") + "when status = 429 then 'rate_limited' when status between 500 and 599 then 'server_error' else 'failed' end"
-    limit = f"when class = 'unauthorized' and refreshes >= {refreshes} then 'refresh_limit' " if refreshes is not None else ""
+    kind = f"case when status in ({ok}) then 'ok' " + ("when status = 401 then 'unauthorized' " if refreshes is not None else "") + "when status = -1 then 'timeout' when status = 429 then 'rate_limited' when status between 500 and 599 then 'server_error' else 'failed' end"
+    limit = "" if refreshes is None else f"when class = 'unauthorized' and refreshes >= {refreshes} then 'refresh_limit' " if refreshing else "when class = 'unauthorized' then 'unauthorized' "
     verdict = f"case when class = 'ok' then 'ok' {limit}when class not in ('ok', 'unauthorized') and spent >= 4 then 'exhausted' else 'retry' end"
-    return ctes("attempts").replace("with ", "with recursive ", 1) + f""", a as (select file_id, seq::int as seq, bytes, retry_after, {kind} as class from attempts),
+    return ctes(ledger).replace("with ", "with recursive ", 1) + f""", a as (select file_id, seq::int as seq, bytes, retry_after, {kind} as class from {ledger}),
 walk as (
-  select file_id, seq, class, 0 as refreshes, 0 as spent, 0 as failed, bytes, retry_after from a where seq = 1
+  select file_id, seq, class, 0 as refreshes, 0 as spent, 2.0::double as delay, bytes, retry_after from a where seq = 1
   union all
-  select a.file_id, a.seq, a.class, w.refreshes + (w.class = 'unauthorized')::int, w.spent + (w.class not in ('ok', 'unauthorized'))::int, w.failed + (w.class = 'failed')::int, a.bytes, a.retry_after
+  select a.file_id, a.seq, a.class, w.refreshes + (w.class = 'unauthorized')::int, w.spent + (w.class not in ('ok', 'unauthorized'))::int,
+    case w.class when 'failed' then least(w.delay * 1.5::double, {delay_cap}) when 'timeout' then least(w.delay * 2, 120.0::double) else w.delay end, a.bytes, a.retry_after
   from (select *, {verdict} as v from walk) w join a on a.file_id = w.file_id and a.seq = w.seq + 1 where w.v = 'retry'),
-plan as (select file_id, seq, class, {verdict} as verdict, bytes, case when class = 'rate_limited' then coalesce(case when retry_after is not null then least(retry_after::double, {after_cap}) end, least(2 * pow(1.5::double, failed), {delay_cap})) when class in ('ok', 'unauthorized') then 0.0::double else least(2 * pow(1.5::double, failed), {delay_cap}) end as wait from walk),
+plan as (select file_id, seq, class, {verdict} as verdict, bytes, case when class = 'rate_limited' then coalesce(case when retry_after is not null then least(retry_after::double, {after_cap}) end, delay) when class in ('ok', 'unauthorized') then 0.0::double else delay end as wait from walk),
 outcome as (select file_id, case when arg_max(verdict, seq) = 'retry' then 'pending' else arg_max(verdict, seq) end as outcome, count(*) as made, arg_max(bytes, seq) as bytes from plan group by file_id)
 """
 
@@ -255,17 +281,22 @@ ORACLES = {
     "daily_requests": "with a as (select o_orderkey, o_orderdate::date as start, o_orderkey % 4 - 1 as n, case o_orderkey % 3 when 0 then '1,3' when 1 then '2' else '9' end as codes from orders), d as (select *, start + i::int as day from a, (select unnest(range(3)) as i) where i <= n), v as (select *, unnest(string_split(codes, ',')) as code from d) select o_orderkey, day::date::varchar as day, case code when '1' then 'temperature' when '2' then 'ozone' else 'dust' end as variable, '12:00' as time, 'CAMS_' || day::date || '.nc' as file_name, replace(codes, ',', '_') as folder from v where code in ('1', '2', '3')",
     "unsafe_archives": ctes("members") + "select distinct archive from members where starts_with(member_name, '../')",
     "single_member": ctes("members") + "select ordinal // 10 as archive, count(*) as files from members group by 1 having count(*) <> 1",
-    "crop_targets": ctes("members") + ", m as (select *, case archive % 4 when 0 then 'usgs' when 1 then 'copernicus' when 2 then 'cds' else 'opentopography' end as provider, lower(member_name) as n from members) select provider, archive, count(*) as targets from m where (provider = 'usgs' and (ends_with(n, '.tif') or ends_with(n, '.tiff'))) or (provider = 'copernicus' and ends_with(n, '.jp2')) or (provider = 'opentopography' and ends_with(n, '.tif')) group by all",
+    "crop_targets": ctes("members") + ", m as (select *, case archive % 4 when 0 then 'usgs' when 1 then 'copernicus' when 2 then 'cds' else 'opentopography' end as provider, lower(member_name) as n from members), c as (select provider, archive, count(*) filter ((provider = 'usgs' and (ends_with(n, '.tif') or ends_with(n, '.tiff'))) or (provider = 'copernicus' and ends_with(n, '.jp2')) or (provider = 'opentopography' and ends_with(n, '.tif'))) as targets from m group by all) select *, case when provider = 'cds' then 'unsupported' when targets = 0 then 'nothing' else 'ok' end as status from c",
     "attempt_class": _DOWNLOAD_SQL + "select file_id, seq, class from a",
     "retry_plan": _DOWNLOAD_SQL + "select file_id, seq, class, verdict, wait from plan",
     "retry_plan_lookup": _retry_sql("200, 206", None, "1e300::double", "1e300::double") + "select file_id, seq, class, verdict, wait from plan",
+    "retry_plan_probe": _retry_sql("200, 206, 416", 3, "60.0::double", "300.0::double", "probes") + "select file_id, seq, class, verdict, wait from plan",
+    "retry_plan_no_refresh": _retry_sql("200, 206, 416", 3, "60.0::double", "300.0::double", refreshing=False) + "select file_id, seq, class, verdict, wait from plan",
     "deferred": _DOWNLOAD_SQL + "select file_id, outcome from outcome where outcome not in ('ok', 'pending')",
     "fetch_summary": _DOWNLOAD_SQL + "select outcome, count(*) as files, sum(made)::bigint as attempts, sum(bytes)::bigint as bytes from outcome group by 1",
     "batch_progress": _DOWNLOAD_SQL + "select file_id % 10 as batch, count(*) filter (outcome <> 'pending') as done, count(*) as total, (count(*) filter (outcome <> 'pending') * 100 // count(*))::bigint as percent from outcome group by 1",
     "resume_plan": ctes("attempts") + ", r as (select file_id, seq::int as seq, status, case when bytes * 40 >= 1048576 then bytes * 40 else 0 end as position from attempts) select file_id, seq, position, case when position > 0 then 'bytes=' || position || '-' end as range, case when position > 0 and status <> 200 then 'append' else 'overwrite' end as mode from r",
     "size_verify": ctes("attempts") + ", r as (select *, case seq % 3 when 0 then null when 1 then bytes - 10 else bytes end as length from attempts where status in (200, 206, 416)) select file_id, seq::int as seq, status = 416 or coalesce(length, 0) = 0 or bytes = length + case when status = 200 then 0 else 10 end as complete from r",
     "envelope_split": "select event_id, case when event_id % 9 = 0 then 'AUTH' end as error, case when event_id % 9 <> 0 then event_id end as n from events",
-    "progress_lines": _PROGRESS + "select * from p",
+    "progress_lines": _PROGRESS + ", n as (select line_no, line_no // 1000 as log, row_number() over (partition by line_no // 1000 order by line_no) as place from progress) select log::bigint as log, place::bigint as line_no, name, percent, done, total from p join n using (line_no)",
+    "file_inventory": "select s_nationkey::bigint as nation, (s_suppkey % 97 + s_nationkey + 1)::bigint as length from supplier",
+    "rejected_codes": "select o_orderkey, '9' as code, (o_orderkey % 4)::bigint as days, 'unknown code 9' as error from orders where o_orderkey % 3 = 2 and o_orderkey % 4 > 0",
+    "stream_states": ctes("attempts") + "select file_id, arg_max(status, seq)::int as status, count(*) as made from attempts group by 1",
     "progress_latest": _LATEST,
     "log_tail": ctes("progress") + "select line_no, line from progress where starts_with(line, 'plain') order by line_no desc limit 4",
     "stream_progress": _LATEST,

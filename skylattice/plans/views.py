@@ -29,6 +29,8 @@ VIEWS = {
     "attempts": """select user_id as file_id, row_number() over (partition by user_id order by ts, event_id) as seq, ts,
  case when event_id % 7 = 0 then case event_id % 3 when 0 then 200 when 1 then 206 else 416 end else case event_id % 8 when 0 then 401 when 1 then 429 when 2 then 503 when 3 then 404 when 4 then 0 when 5 then 429 when 6 then 401 else 0 end end as status,
  case when event_id % 8 = 1 then 400 when event_id % 16 = 5 then 17 else null end as retry_after, cast(floor(value*1000) as bigint) as bytes from events""",
+    "probes": """select user_id as file_id, row_number() over (partition by user_id order by ts, event_id) as seq, cast(null as int) as retry_after, cast(floor(value*1000) as bigint) as bytes,
+ case event_id % 6 when 0 then -1 when 1 then 0 when 2 then -1 when 3 then 503 when 4 then 401 else 404 end as status from events""",
     "members": """select l_suppkey as archive, l_orderkey*10 + l_linenumber as ordinal,
  case when l_suppkey % 10 = 3 and l_linenumber = 7 then '../evil.tif' when l_linenumber % 4 = 0 then concat('a/../b', cast(l_linenumber as string), '.TIF') when l_linenumber % 4 = 1 then concat('g/', cast(l_partkey as string), '.jp2') when l_linenumber % 4 = 2 then 'meta.xml' else 'a/b/c.tiff' end as member_name from lineitem""",
     "raster": "select p_partkey as raster_id, cast((p_partkey*37) % 22400 as double)/64 - 175 + cast(1 as double)/128 as origin_x, cast((p_partkey*53) % 9600 as double)/64 - 70 + cast(1 as double)/128 as origin_y from part",
@@ -95,3 +97,14 @@ hit as (
   union
   {corner(right, left, left, 'b', 'a')})
 """
+
+
+def number_sql(e: str) -> str:
+    """DuckDB SQL of a coordinate's canonical text."""
+    return rf"regexp_replace(regexp_replace(({e})::double::varchar, '(\.[0-9]*?)0+$', '\1'), '\.$', '')"
+
+
+def wkt_sql(name: str) -> str:
+    """DuckDB SQL of the text of a view's ring."""
+    points = " || ', ' || ".join(f"{number_sql(x)} || ' ' || {number_sql(y)}" for x, y in CORNERS[name])
+    return f"'POLYGON ((' || {points} || '))'"

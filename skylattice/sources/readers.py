@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 
-PRODUCT_PAGE = "value array<struct<Id:string,Name:string,Collection:struct<Name:string>,ContentDate:struct<Start:timestamp_ntz,End:timestamp_ntz>,Attributes:array<struct<Name:string,Value:string>>>>"
+PRODUCT_PAGE = "value array<struct<Id:string,Name:string,Collection:struct<Name:string>,ContentLength:long,Footprint:string,ContentDate:struct<Start:timestamp_ntz,End:timestamp_ntz>,Attributes:array<struct<Name:string,Value:string>>>>"
 SCENE_PAGE = "totalHits long, recordsReturned long, results array<struct<entityId:string,displayId:string,options:struct<bulk:boolean>,metadata:array<struct<fieldName:string,value:string>>>>"
 GRANULE_FEED = "feed struct<entry:array<struct<id:string,links:array<struct<href:string,rel:string>>>>>"
 OPTION = "available boolean, entityId string, id string, productName string"
@@ -18,32 +20,55 @@ FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; in a session without one (local tests), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``; in a local session without one, a folder of our own. On a cluster it must be
+    set: executors do not share the driver's local folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or os.environ.setdefault("SKYLATTICE_LOCAL_CHECKPOINTS", tempfile.mkdtemp(prefix="spark-"))).rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not found and "SKYLATTICE_LOCAL_CHECKPOINTS" not in os.environ:
+        os.environ["SKYLATTICE_LOCAL_CHECKPOINTS"] = tempfile.mkdtemp(prefix="spark-")
+    return (found or os.environ["SKYLATTICE_LOCAL_CHECKPOINTS"]).rstrip("/")
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder of our own under the shared one; nothing is there yet."""
+    return f"{shared_folder(spark)}/skylattice/{label}-{uuid.uuid4().hex}"
 
 
-def products(spark: SparkSession, path: str) -> DataFrame:
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Answers, one a file or (``lines``) one a line; the latter can be split."""
+    return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
+
+
+def products(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Products of catalogue pages; a page without ``value`` gives none."""
-    return _json(spark, path, PRODUCT_PAGE).select(F.explode("value").alias("p")).select("p.*")
+    return _json(spark, path, PRODUCT_PAGE, lines).select(F.explode("value").alias("p")).select("p.*")
+
+
+def scenes(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Scenes of search answers; an answer that returned none gives none."""
+    return _json(spark, path, SCENE_PAGE, lines).where(F.coalesce("recordsReturned", F.lit(0)) > 0).select(F.explode("results").alias("r")).select("r.*")
 
 
-def scenes(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, SCENE_PAGE).where(F.coalesce("recordsReturned", F.lit(0)) > 0).select(F.explode("results").alias("r")).select("r.*")
+def granules(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """Granules of feeds, with their links in an array."""
+    return _json(spark, path, GRANULE_FEED, lines).select(F.explode("feed.entry").alias("e")).select("e.*")
 
 
-def granule_links(spark: SparkSession, path: str) -> DataFrame:
-    entries = _json(spark, path, GRANULE_FEED).select(F.explode("feed.entry").alias("e"))
-    return entries.select("e.id", F.explode("e.links").alias("l")).select("id", "l.*")
+def granule_links(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+    """``id, link_no, href, rel``: links of granules, numbered from 1."""
+    links = granules(spark, path, lines=lines).select("id", F.posexplode("links").alias("at", "l"))
+    return links.select("id", (F.col("at") + 1).alias("link_no"), "l.*")
 
 
-def download_options(spark: SparkSession, path: str) -> DataFrame:
+def download_options(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Options from answers of either shape: a list, or an object with ``options``."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.trim("value").alias("value"))
+    text = spark.read.text(path, wholetext=not lines).select(F.trim("value").alias("value"))
     bare = text.where(F.startswith("value", F.lit("["))).select(F.explode(F.from_json("value", f"array<struct<{_fields(OPTION)}>>")).alias("o"))
     boxed = text.where(F.startswith("value", F.lit("{"))).select(F.explode(F.from_json("value", f"options array<struct<{_fields(OPTION)}>>")["options"]).alias("o"))
     return bare.unionByName(boxed).select("o.*")
@@ -53,10 +78,10 @@ def _fields(ddl: str) -> str:
     return ",".join(":".join(x.split()) for x in ddl.split(","))
 
 
-def areas(spark: SparkSession, path: str) -> DataFrame:
+def areas(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Areas of interest ``wkt, ring`` of a file: one WKT polygon a line, or all features of a GeoJSON file."""
     if path.endswith((".geojson", ".json")):
-        rings = _json(spark, path, FEATURES).select(F.explode("features").alias("f")).select(F.transform(F.col("f.geometry.coordinates")[0], lambda p: G.point(p[0], p[1])).alias("ring"))
+        rings = _json(spark, path, FEATURES, lines).select(F.explode("features").alias("f")).select(F.transform(F.col("f.geometry.coordinates")[0], lambda p: G.point(p[0], p[1])).alias("ring"))
         return rings.select(G.to_wkt(F.col("ring")).alias("wkt"), "ring")
     if path.endswith((".wkt", ".txt")):
         lines = spark.read.text(path).select(F.trim("value").alias("wkt")).where("wkt <> ''")
@@ -65,8 +90,10 @@ def areas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of log files, one number sequence a file."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    """``file, line_no, line`` of log files, one number sequence a file; no lines of a log that is not there yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "file string, line_no int, line string")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
 
 
@@ -86,6 +113,7 @@ def write_deferred(deferred: DataFrame, path: str) -> None:
 
 
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
-    """A catalogue partitioned by provider, collection and month; only partitions with new rows are replaced."""
+    """A catalogue partitioned by provider, collection and month; only partitions with new rows are replaced. Rows are
+    rebalanced by these, so that a month is in few files but a large one is split between tasks."""
     rows = catalogue.withColumn("month", F.date_format("start_ts", "yyyy-MM"))
-    rows.repartition("provider", "collection", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "collection", "month").parquet(path)
+    rows.hint("rebalance", "provider", "collection", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider", "collection", "month").parquet(path)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skylattice.operators.files import progress
-from skylattice.operators.ledger import DOWNLOAD, RetryRules
+from skylattice.operators.ledger import DOWNLOAD, TIMED_OUT, RetryRules
+from skylattice.sources.readers import exists
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,54 +29,95 @@ def running_bytes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"))
 
 
-def retry_stream(attempts: DataFrame, rules: RetryRules = DOWNLOAD) -> DataFrame:
-    """Verdict of each attempt (``file_id, seq, status, retry_after``) as it arrives, with the state of each file kept
-    between batches; attempts after a file's end are ignored. A file's attempts must arrive in order of ``seq``; those
-    that share a batch are put in order. State holds three counters and a flag a file and expires by the query's TTL."""
+def retry_stream(attempts: DataFrame, rules: RetryRules = DOWNLOAD, *, ttl_ms: int | None = None) -> DataFrame:
+    """Verdict of each attempt (``file_id, seq, status, retry_after``) as it arrives, by the rules of ``retry_plan``, with the
+    state of each file kept between batches; attempts after a file's end are ignored. A file's attempts must arrive in
+    order of ``seq``; those that share a batch are put in order. State holds two counters, a delay and a flag a file. A
+    stream that runs on should be given ``ttl_ms``, after which the state of a file is dropped; one that ends when there
+    is no more input (trigger ``availableNow``) must not, as Spark then always has another batch to look at the clock."""
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     # Plain values only: the workers that run the processor need not have this package.
-    tries, first_delay, growth = rules.attempts, rules.first_delay, rules.growth
-    most_delay, most_after, most_refreshes = rules.most_delay or float("inf"), rules.most_retry_after, rules.refreshes
+    tries, first_delay, growth, late_growth = rules.attempts, rules.first_delay, rules.growth, rules.timeout_growth
+    endless = float("inf")
+    most_delay, most_late, most_after = rules.most_delay or endless, rules.most_after_timeout or endless, float(rules.most_retry_after or endless)
+    most_refreshes, refreshing = rules.refreshes, rules.refreshing
+    done = (200, 206) if most_refreshes is None else (200, 206, 416)
+    timed_out = TIMED_OUT
 
     class Retry(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "refreshes int, spent int, failed int, ended boolean")
+            self.state = handle.getValueState("state", "refreshes int, spent int, delay double, ended boolean", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-            refreshes, spent, failed, ended = self.state.get() if self.state.exists() else (0, 0, 0, False)
+            refreshes, spent, delay, ended = self.state.get() if self.state.exists() else (0, 0, first_delay, False)
             out = []
             for row in pd.concat(list(rows)).sort_values("seq").itertuples():
                 if ended:
                     break
-                delay, verdict, wait = min(first_delay * growth**failed, most_delay), "retry", 0.0
-                if row.status in (200, 206, 416):
+                verdict, wait = "retry", 0.0
+                if row.status in done:
                     verdict = "ok"
-                elif row.status == 401:
+                elif row.status == 401 and most_refreshes is not None:
                     refreshes += 1
-                    verdict = "refresh_limit" if refreshes > most_refreshes else "retry"
+                    verdict = "unauthorized" if not refreshing else "refresh_limit" if refreshes > most_refreshes else "retry"
                 else:
                     spent += 1
                     wait = delay
-                    if row.status == 429 and not pd.isna(row.retry_after):
-                        wait = float(min(row.retry_after, most_after))
-                    elif row.status != 429 and not 500 <= row.status < 600:
-                        failed += 1
+                    if row.status == 429:
+                        wait = delay if pd.isna(row.retry_after) else min(float(row.retry_after), most_after)
+                    elif row.status == timed_out:
+                        delay = min(delay * late_growth, most_late)
+                    elif not 500 <= row.status < 600:
+                        delay = min(delay * growth, most_delay)
                     verdict = "exhausted" if spent >= tries else "retry"
                 ended = verdict != "retry"
                 out.append((key[0], row.seq, verdict, wait))
-            self.state.update((refreshes, spent, failed, ended))
+            self.state.update((refreshes, spent, delay, ended))
             yield pd.DataFrame(out, columns=["file_id", "seq", "verdict", "wait"])
 
         def close(self) -> None:
             pass
 
-    return attempts.groupBy("file_id").transformWithStateInPandas(statefulProcessor=Retry(), outputStructType="file_id long, seq int, verdict string, wait double", outputMode="Append", timeMode="None")
+    return attempts.groupBy("file_id").transformWithStateInPandas(statefulProcessor=Retry(), outputStructType="file_id long, seq int, verdict string, wait double", outputMode="Append", timeMode="None" if ttl_ms is None else "ProcessingTime")
 
 
-def run_available(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available now and give its result, kept in memory: for tests and small results only."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def last_states(attempts: DataFrame) -> DataFrame:
+    """Last status and number of attempts of each file; in update mode a batch gives the files it changed, as they change."""
+    return attempts.groupBy("file_id").agg(F.max_by("status", "seq").alias("status"), F.count("*").alias("made"))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, as stateful processors need; the session is left as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def run_into(stream: DataFrame, folder: str, mode: str, *, key: str | None = None) -> DataFrame:
+    """Run a stream over what is available now, into Parquet under ``folder``, and give its result.
+
+    A batch is a folder of its own, which a batch that is run again replaces, so none counts twice. The result is all
+    batches (``append``), the last one (``complete``), or the last row of each ``key`` (``update``).
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    spark = stream.sparkSession
+    if not exists(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last")).select("last.*")
+    return rows.select(stream.columns)

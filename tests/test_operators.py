@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import geometry as G
 from skylattice.operators import catalog, files, ledger
 from skylattice.operators.spatial import spatial_join
-from skylattice.sources import readers
+from skylattice.sources import adapters, readers
 from skylattice.streaming import streams
 
 RING = "array<struct<x:double,y:double>>"
@@ -43,6 +43,71 @@ def test_grid_join_is_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("unit", [1.0, 30_000.0])
+def test_grid_join_in_any_unit(spark, unit):
+    """Degrees or metres: the cells follow the boxes, and boxes thousands of times as wide still meet the others."""
+    rng = random.Random(8)
+    box = lambda big: (rng.uniform(-20, 20) * unit, rng.uniform(-20, 20) * unit, (rng.choice([30, 2000]) if big and rng.random() < 0.1 else rng.uniform(0.2, 1.5)) * unit)
+    for wide_left, wide_right in ((False, False), (True, False), (False, True), (True, True)):
+        left, right = [box(wide_left) for _ in range(80)], [box(wide_right) for _ in range(60)]
+        make = lambda rows, key: spark.createDataFrame([(i, square(*r)) for i, r in enumerate(rows)], f"{key} int, ring {RING}")
+        joined = spatial_join(make(left, "l"), make(right, "r"))
+        got = sorted((r.l, r.r) for r in joined.collect())
+        want = sorted((i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a[0] <= b[0] + b[2] and b[0] <= a[0] + a[2] and a[1] <= b[1] + b[2] and b[1] <= a[1] + a[2])
+        assert got == want
+    assert spatial_join(make(left, "l").limit(0), make(right, "r")).count() == 0
+
+
+def test_numbers_have_no_exponent(spark):
+    values = {1e7: "10000000", 12345678.5: "12345678.5", -20037508.342789244: "-20037508.342789244", 0.0: "0", -0.0: "0", 1e-4: "0.0001", -1e-13: "0", 2.50: "2.5", 100.0: "100", 1e15: "1000000000000000"}
+    rows = spark.createDataFrame([(v, w) for v, w in values.items()] + [(-0.0, "0")], "v double, w string")
+    assert [(r.v, r.n) for r in rows.select("v", "w", G.number(F.col("v")).alias("n")).where("n <> w").collect()] == []
+
+
+def test_progress_lines(spark):
+    cases = {
+        "Concurrent Downloads:  40%|####      | 2/5 [00:10<00:15,  5.00s/it]": ("Concurrent Downloads", 40, "2", "5"),
+        "Concurrent Downloads: 0%|          | 0/5 [00:00<?, ?it/s]": ("Concurrent Downloads", 0, "0", "5"),
+        "Concurrent Downloads:  40%|####| 2/5 [00:10<00:15] 5it/s": ("Concurrent Downloads", 40, "2", "5"),
+        "Concurrent Downloads:  40%|####| 2/5 [00:10<00:15] and then some": None,
+        "Concurrent Downloads:  40%|####| 2M/5M [00:10<00:15]": None,
+        "Downloading a b: c.zip:  7%|# | 1.5M/20.0M [00:01<00:19, 1.0MB/s] and then some": ("a b: c.zip", 7, "1.5M", "20.0M"),
+        "Downloading x.zip: 7%|# | 512/20.0k [00:01<?]": ("x.zip", 7, "512", "20.0k"),
+        "Uploading x.zip: 7%|# | 512/20.0k [00:01<00:02]": None,
+        "plain": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, line string").select("i", files.progress(F.col("line")).alias("p")).collect()
+    assert {r.i: tuple(r.p) if r.p else None for r in rows} == dict(enumerate(cases.values()))
+
+
+def test_catalogue_partitions_are_replaced(spark, tmp_path):
+    """Only partitions with new rows are replaced, and a large month is rebalanced, not sent to one task by its key."""
+    path = str(tmp_path / "catalogue")
+    make = lambda rows: spark.createDataFrame(rows, "provider string, collection string, product_id string, start_ts string").withColumn("start_ts", F.col("start_ts").cast("timestamp_ntz"))
+    readers.write_catalogue(make([("p", "c", "1", "2020-01-02"), ("p", "c", "2", "2020-01-03"), ("p", "c", "3", "2020-02-01"), ("q", "d", "4", None)]), path)
+    readers.write_catalogue(make([("p", "c", "5", "2020-01-09")]), path)
+    assert sorted(r.product_id for r in spark.read.parquet(path).collect()) == ["3", "4", "5"]
+    assert sorted(x.name for x in (tmp_path / "catalogue" / "provider=p" / "collection=c").iterdir()) == ["month=2020-01", "month=2020-02"]
+
+
+def test_adapters_by_name(spark):
+    images = spark.createDataFrame([("a/b/c", "a", None)], "id string, collection string, start_ts timestamp_ntz")
+    row = adapters.normalise("GEE", images).first()
+    assert row.asDict().keys() == adapters.NORMALISED.keys() and (row.provider, row.name, row.ring) == ("gee", "c", None)
+    with pytest.raises(ValueError, match="unknown provider landsat"):
+        adapters.normalise("landsat", images)
+
+
+def test_a_batch_that_runs_again_does_not_count_twice(spark, tmp_path):
+    stream = lambda: streams.last_states(spark.readStream.schema("file_id long, seq int, status int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    for i, rows in enumerate([[(1, 1, 503), (2, 1, 200)], [(1, 2, 200)]]):
+        spark.createDataFrame(rows, "file_id long, seq int, status int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = streams.run_into(stream(), str(tmp_path / "out"), "update", key="file_id")
+        assert sorted(map(tuple, got.collect())) == ([(1, 503, 1), (2, 200, 1)] if i == 0 else [(1, 200, 2), (2, 200, 1)])
+    again = streams.run_into(stream(), str(tmp_path / "out"), "update", key="file_id")
+    assert sorted(map(tuple, again.collect())) == [(1, 200, 2), (2, 200, 1)]
+
+
 def test_wkt_round_trip_and_rejects(spark):
     df = spark.createDataFrame([("POLYGON ((0 0, 1.5 0, 1 0.00025, 0 0))",), ("POLYGON ((0 0,1 0,1 1,0 0),(0 0,1 0,1 1,0 0))",), ("POINT (1 2)",)], "wkt string")
     rows = [r[0] for r in df.select(G.to_wkt(G.from_wkt(F.col("wkt")))).collect()]
@@ -76,36 +141,46 @@ def test_members_that_leave_the_base(spark, member, bad):
 
 def walk(rows, rules):
     """The retry loop by hand."""
-    refreshes = spent = failed = 0
+    refreshes = spent = 0
+    delay = rules.first_delay
     for seq, status, after in rows:
-        delay = min(rules.first_delay * rules.growth**failed, rules.most_delay)
-        if status in (200, 206, 416):
+        if status in (200, 206) or (status == 416 and rules.refreshes):
             yield seq, "ok", 0.0
             return
-        if status == 401:
+        if status == 401 and rules.refreshes:
             refreshes += 1
-            yield seq, "refresh_limit" if refreshes > rules.refreshes else "retry", 0.0
-            if refreshes > rules.refreshes:
+            verdict = "unauthorized" if not rules.refreshing else "refresh_limit" if refreshes > rules.refreshes else "retry"
+            yield seq, verdict, 0.0
+            if verdict != "retry":
                 return
             continue
         spent += 1
-        wait = float(min(after, 300)) if status == 429 and after is not None else delay
-        failed += status != 429 and not 500 <= status < 600
+        wait = float(min(after, rules.most_retry_after or after)) if status == 429 and after is not None else delay
+        if status == -1:
+            delay = min(delay * 2, 120.0)
+        elif status != 429 and not 500 <= status < 600:
+            delay = min(delay * rules.growth, rules.most_delay or 1e300)
         yield seq, "exhausted" if spent >= rules.attempts else "retry", wait
         if spent >= rules.attempts:
             return
 
 
-def test_retry_plan_is_the_loop_in_batch_and_stream(spark, tmp_path):
+RULES = [ledger.DOWNLOAD, ledger.LOOKUP, ledger.RetryRules(refreshing=False), ledger.RetryRules(attempts=30, first_delay=20.0)]
+
+
+@pytest.mark.parametrize("rules", RULES, ids=["download", "lookup", "no refresh", "long"])
+def test_retry_plan_is_the_loop_in_batch_and_stream(spark, tmp_path, rules):
     rng = random.Random(3)
-    rows = [(f, s, rng.choice([200, 401, 401, 429, 429, 503, 404, 0, 0]), rng.choice([None, 7, 900])) for f in range(80) for s in range(1, 12)]
+    rows = [(f, s, rng.choice([200, 401, 401, 416, 429, 429, 503, 404, 0, 0, -1, -1] if rules.attempts < 9 else [0, -1, -1]), rng.choice([None, 7, 900])) for f in range(80) for s in range(1, 12)]
     df = spark.createDataFrame(rows, "file_id long, seq int, status int, retry_after int")
-    want = sorted((f, *x) for f in range(80) for x in walk([(s, st, a) for g, s, st, a in rows if g == f], ledger.DOWNLOAD))
-    plan = ledger.retry_plan(df)
+    want = sorted((f, *x) for f in range(80) for x in walk([(s, st, a) for g, s, st, a in rows if g == f], rules))
+    plan = ledger.retry_plan(df, rules)
     assert sorted((r.file_id, r.seq, r.verdict, r.wait) for r in plan.collect()) == want
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = streams.run_available(spark, streams.retry_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "retry_out", "append", str(tmp_path / "state"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with streams.rocksdb(spark):
+        out = streams.run_into(streams.retry_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rules), str(tmp_path / "out"), "append")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     assert sorted((r.file_id, r.seq, r.verdict, r.wait) for r in out.collect()) == want
     ended = {r.file_id: r.outcome for r in ledger.outcomes(plan.withColumn("bytes", F.lit(0))).collect()}
     assert set(ended) == set(range(80))
@@ -128,7 +203,10 @@ def test_readers(spark, tmp_path):
     assert [r.wkt for r in readers.areas(spark, put("a.geojson", {"features": [feature, feature]})).collect()] == ["POLYGON ((0 0, 1 0, 1 1, 0 0))"] * 2
     with pytest.raises(ValueError, match="areas are read"):
         readers.areas(spark, "x.shp")
-    assert [r.line for r in readers.log_lines(spark, put("l.log", "a\n b \nc")).orderBy("line_no").collect()] == ["a", "b", "c"]
+    assert [tuple(r)[1:] for r in readers.log_lines(spark, put("l.log", "a\n b \nc")).orderBy("line_no").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    assert readers.log_lines(spark, str(tmp_path / "none.log")).count() == 0
+    put("o/long.json", json.dumps({"options": [option]}, indent=1))
+    assert readers.download_options(spark, str(tmp_path / "o")).count() == 4
 
 
 def test_deferred_list_replaces_the_last(spark, tmp_path):
