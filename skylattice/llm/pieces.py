@@ -2,8 +2,8 @@
 
 The scores of a lattice's paths add up, so the best score of any path from the start to a place (forward Viterbi) is an
 exact heuristic for a search that runs backward from the end: A* then takes paths off its queue in order of their full
-scores, and the first n that reach the start are the n best. No piece runs from one word into the next (white space only
-ever begins a piece), so a text's lattice falls apart into those of its words. Forward and backward Viterbi scores of each
+scores, and the first n that reach the start are the n best. No path runs across a place between two characters that no
+piece has side by side, so a text's lattice falls apart there into those of its words: the stretches between. Forward and backward Viterbi scores of each
 distinct word, many words at a time in numpy, give its best path and how far its second best lies behind. The n best of a
 text can differ from its best only in the n - 1 words where that is least: A* searches those, and the n best of the text
 are put together from their lists.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import heapq
 import math
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,8 +31,6 @@ from .words import mix
 SPACE = "▁"
 #: What a character without a piece costs beyond the lowest score of any piece, as unigram models have it.
 UNKNOWN_PENALTY = 10.0
-#: A stretch of a normalised text that pieces do not cross: spaces and what follows them.
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 #: Score of a path and its ids as little-endian unsigned 32-bit numbers.
 Path = tuple[float, bytes]
@@ -62,8 +59,6 @@ class Model:
         lowest = min((score for score, _ in pieces.values() if score > -1e8), default=0.0)
         byte_ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         table = [byte_ids[f"<0x{b:02X}>"] for b in range(256)] if len(byte_ids) == 256 else []
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("pieces of this model run across words")
         return cls(sp, pieces, max(map(len, pieces)), lowest - UNKNOWN_PENALTY, table)
 
     def fallback(self, char: str) -> tuple[float, bytes]:
@@ -71,6 +66,34 @@ class Model:
         ids = [self.bytes_at[b] for b in char.encode()] if self.bytes_at else [self.processor.unk_id()]
         return self.unknown, struct.pack(f"<{len(ids)}I", *ids)
 
+    @functools.cached_property
+    def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character that some piece has beside another (0: none), and which numbers stand side by side."""
+        longer = [p for p in self.pieces if len(p) > 1]
+        known = {c: i for i, c in enumerate(sorted({c for p in longer for c in p}), 1)}
+        number = np.zeros(max(map(ord, known), default=0) + 2, np.int32)
+        number[[ord(c) for c in known]] = list(known.values())
+        beside = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for piece in longer:
+            for a, b in zip(piece, piece[1:], strict=False):
+                beside[known[a], known[b]] = True
+        return number, beside
+
+    def words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of normalised texts, one after another, and where each text's begin and end among them."""
+        number, beside = self.neighbours
+        whole = "".join(texts)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        own = number[np.minimum(codes, len(number) - 1)]
+        begins = np.ones(len(codes) + 1, bool)
+        begins[1:-1] = ~beside[own[:-1], own[1:]]
+        ends = np.cumsum([0, *map(len, texts)])
+        begins[ends] = True
+        sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+        at = np.concatenate([[0], np.cumsum(sizes)])[begins].astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(whole.encode())])
+        return words, (np.cumsum(begins) - 1)[ends]
+
     @functools.cached_property
     def byte_sizes(self) -> np.ndarray:
         return np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
@@ -310,19 +333,18 @@ def coders_of(path: str, n: int) -> tuple[WordCoder, WordLists]:
     return WordCoder(model_of(path)), WordLists(model_of(path), n)
 
 
-def normalised(model: Model, text: str) -> list[str]:
-    """The words of a text as the model normalises it."""
-    return WORD.findall(model.processor.normalize(text)) if text else []
+def normalised(model: Model, text: str) -> str:
+    return model.processor.normalize(text) if text else ""
 
 
-def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: int) -> Iterator[list[tuple[float, np.ndarray, bool]]]:
-    """For each text, given as its words, the scores and ids of its ``n`` best segmentations, and whether decoding gives the
-    text back: no piece crosses words, so it does if each word's ids give that word back."""
-    flat = pa.array([w for words in texts for w in words], pa.string()).dictionary_encode()
-    distinct = flat.dictionary.to_pylist()
-    at = coder.places(distinct)[flat.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
-    ends = np.cumsum([0, *map(len, texts)])
-    for words, a, b in zip(texts, ends, ends[1:], strict=False):
+def text_n_best(coder: WordCoder, lists: WordLists, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray, bool]]]:
+    """For each normalised text the scores and ids of its ``n`` best segmentations, and whether decoding gives the text back:
+    no piece crosses words, so it does if each word's ids give that word back."""
+    words, ends = coder.model.words(texts)
+    flat = words.dictionary_encode()
+    codes, distinct = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    at = coder.places(distinct)[codes] if distinct else np.zeros(0, np.int64)
+    for a, b in zip(ends, ends[1:], strict=False):
         own = at[a:b]
         gaps, starts, sizes = coder.gaps[own], coder.starts[own], coder.starts[own + 1] - coder.starts[own]
         stops = np.cumsum(sizes)
@@ -331,7 +353,7 @@ def text_n_best(coder: WordCoder, lists: WordLists, texts: list[list[str]], n: i
         broken = int(len(whole) - whole.sum())
         close = np.sort(np.argsort(gaps, kind="stable")[: n - 1])
         close = close[np.isfinite(gaps[close])]
-        found = [lists[words[i]] for i in close]
+        found = [lists[distinct[i]] for i in codes[a + close].tolist()]
         out = []
         for cost, chosen in combine(found, n):
             parts, last, wrong = [], 0, broken
@@ -360,8 +382,8 @@ def n_best(df: DataFrame, model_path: str, *, n: int = 4, id_col: str = "doc_id"
             keys, sizes, texts = batch.columns
             for part in slices_by_bytes(sizes.to_numpy(), group_bytes):
                 rows, row_of, all_ids = [], [], []
-                words = [normalised(model, x) for x in texts[part].fill_null("").to_pylist()]
-                for r, found in enumerate(text_n_best(coder, lists, words, n)):
+                plain = [normalised(model, x) for x in texts[part].fill_null("").to_pylist()]
+                for r, found in enumerate(text_n_best(coder, lists, plain, n)):
                     for rank, (score, ids, whole) in enumerate(found, 1):
                         rows.append((rank, score, len(ids), zlib.crc32(ids.astype("<u4", copy=False).data), whole))
                         row_of.append(r)

@@ -402,18 +402,30 @@ def test_n_best_paths():
         found = pieces.lattice_n_best(model, word, 5)
         assert [s for s, _ in found] == brute_paths(model, word)[:5]
     texts = [pieces.normalised(model, "".join(rng.choice(["the", "on", " ", "  ", "é", "ing", "\n", "😀"]) for _ in range(rng.randint(0, 5)))) for _ in range(150)]
-    for words, found in zip(texts, pieces.text_n_best(coder, lists, texts, 5), strict=True):
-        assert [round(s, 6) for s, *_ in found] == [round(s, 6) for s in brute_paths(model, "".join(words))[:5]]
-        assert all(whole and pieces.decode_ids(model, ids.tolist()) == "".join(words) for _, ids, whole in found)
+    for text, found in zip(texts, pieces.text_n_best(coder, lists, texts, 5), strict=True):
+        assert [round(s, 6) for s, *_ in found] == [round(s, 6) for s in brute_paths(model, text)[:5]]
+        assert all(whole and pieces.decode_ids(model, ids.tolist()) == text for _, ids, whole in found)
 
 
 def test_words_that_decoding_does_not_restore():
     model = pieces.Model.load(path("piece_bpe_32k.model"))
     model.bytes_at = []  # without byte pieces an unknown character decodes to a replacement character
     coder, lists = pieces.WordCoder(model), pieces.WordLists(model, 3)
-    texts = [["▁the", "▁\U000f1234", "▁theon"], ["▁the", "▁theon"], []]
-    for words, found in zip(texts, pieces.text_n_best(coder, lists, texts, 3), strict=True):
-        assert [whole for *_, whole in found] == [pieces.decode_ids(model, ids.tolist()) == "".join(words) for _, ids, _ in found]
+    texts = ["▁the▁\U000f1234▁theon", "▁the▁theon", ""]
+    for text, found in zip(texts, pieces.text_n_best(coder, lists, texts, 3), strict=True):
+        assert [whole for *_, whole in found] == [pieces.decode_ids(model, ids.tolist()) == text for _, ids, _ in found]
+
+
+def test_words_are_where_no_piece_crosses():
+    model = pieces.Model.load(path("piece_bpe_32k.model"))
+    texts = [pieces.normalised(model, r) for r in ("The end, it said.\nNext (line) é😀 x", "", "a\xa0b  c")]
+    words, ends = model.words(texts)
+    assert ["".join(words[a:b].to_pylist()) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)] == texts
+    inside = {x[i : i + 2] for x in model.pieces for i in range(len(x) - 1)}
+    for text, a, b in zip(texts, ends, ends[1:], strict=False):
+        own = words[a:b].to_pylist()
+        assert all(x[-1] + y[0] not in inside for x, y in zip(own, own[1:], strict=False))
+        assert all(x[i : i + 2] in inside for x in own for i in range(len(x) - 1)) and (not text or own)
 
 
 def test_pieces_round_trip(spark, edge, empty):
