@@ -4,7 +4,8 @@ Documents with equal shingle sets are one class from the start. Each class has a
 classes together; the whole signature, folded into a parity bitmap (an *odd sketch*), lets a pair be judged by the
 population count of an XOR; what that lets through is confirmed on the full shingle sets. A bucket is never expanded
 into all its pairs: its members are first held against its smallest member. Where a bucket then still spans several
-components, sketches are compared inside the bucket, in blocks of bounded size. Members that look like a member of another
+components, sketches are compared inside the bucket, block by block: blocks are bounded in members and in bytes of text,
+and blocks of one and the same component never meet, so that a crowd of copies costs no more than its size. Members that look like a member of another
 component are fetched with their texts and confirmed there, nearest first, until no pair across components is left
 untried; only the links found leave the bucket, fewer than it has members.
 """
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch
@@ -31,8 +32,8 @@ from .words import mix, split_words, windows
 BANDS, ROWS, SAMPLES = 32, 5, 320
 #: Bits of an odd sketch.
 BITS = 1024
-#: Members of a bucket that are compared with one another in one block.
-BLOCK = 2048
+#: Members of a bucket's block, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -88,7 +89,7 @@ def most_differing_bits(threshold: float, deviations: float = 5.0, samples: int
 
 
 def fingerprints(df: DataFrame, *, k: int, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20) -> DataFrame:
-    """``doc, n_shingles, set_hi, set_lo, sketch array<long>, bands array<long>`` of each row; no bands for empty sets."""
+    """``doc, size, n_shingles, set_hi, set_lo, sketch array<long>, bands array<long>`` of each row; no bands for empty sets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +109,11 @@ def fingerprints(df: DataFrame, *, k: int, id_col: str = "doc_id", text_col: str
                         bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
                     rows.append((len(shingles), (whole >> 64) - (1 << 63), (whole & ((1 << 64) - 1)) - (1 << 63), odd_sketch(values).tolist(), bands.view(np.int64).tolist()))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([ids[part], *(pa.array(x, pa.int64() if i < 3 else pa.list_(pa.int64())) for i, x in enumerate(columns))], ["doc", "n_shingles", "set_hi", "set_lo", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[part], sizes[part], *(pa.array(x, pa.int64() if i < 3 else pa.list_(pa.int64())) for i, x in enumerate(columns))], ["doc", "size", "n_shingles", "set_hi", "set_lo", "sketch", "bands"])
 
     kind = df.schema[id_col].dataType.simpleString()
     picked = df.select(F.col(id_col).alias("doc"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(work, f"doc {kind}, n_shingles long, set_hi long, set_lo long, sketch array<bigint>, bands array<bigint>")
+    return picked.mapInArrow(work, f"doc {kind}, size long, n_shingles long, set_hi long, set_lo long, sketch array<bigint>, bands array<bigint>")
 
 
 def components(edges: DataFrame, width: int) -> DataFrame:
@@ -184,16 +185,30 @@ class _Bucket:
 
 
 def _in_blocks(placed: DataFrame) -> DataFrame:
-    """Members ``key, rep, comp, sketch, bands`` with the blocks ``i <= j`` they meet in; a crowded bucket has several."""
-    blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = placed.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch", "bands")
-
-
-def _involved(placed: DataFrame, most: int) -> DataFrame:
+    """Members ``key, rep, comp`` of ``placed`` (with ``size``) in the pairs of blocks ``i <= j`` that meet; ``own`` is the
+    member's block. A component that would fill half a block has blocks of its own, which do not meet one another."""
+    rooms = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    comps = placed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    comps = comps.withColumn("large", (F.col("n") > BLOCK // 2) | (F.col("bytes") > BLOCK_BYTES // 2))
+    mixed = comps.where("not large").groupBy("key").agg(rooms(F.sum("n"), F.sum("bytes")).alias("parts")).withColumn("of", F.lit(None).cast(placed.schema["comp"].dataType))
+    pure = comps.where("large").select("key", rooms(F.col("n"), F.col("bytes")).alias("parts"), F.col("comp").alias("of"))
+    kinds = materialise(mixed.unionByName(pure), "kinds")
+    blocks = kinds.select("key", "of", F.posexplode(F.sequence(F.lit(1), F.col("parts"))).alias("part", "_")).drop("_")
+    blocks = blocks.withColumn("own", F.row_number().over(Window.partitionBy("key").orderBy("of", "part")))
+    blocks = materialise(blocks, "blocks")
+    one, two = blocks.select("key", F.col("own").alias("i"), F.col("of").alias("a")), blocks.select("key", F.col("own").alias("j"), F.col("of").alias("b"))
+    # Pairs of blocks, not of members; the blocks of one component have nothing to find in one another.
+    meet = one.join(two, "key").where("i <= j and not coalesce(a = b, false)").select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    named = placed.join(comps.select("key", "comp", "large"), ["key", "comp"]).withColumn("of", F.when(F.col("large"), F.col("comp")))
+    mine = (F.col("named.key") == F.col("kinds.key")) & F.col("named.of").eqNullSafe(F.col("kinds.of"))
+    dealt = named.alias("named").join(kinds.alias("kinds"), mine).select("named.key", "rep", "comp", "named.of", F.pmod(F.when(F.col("large"), F.xxhash64("rep")).otherwise(F.xxhash64("comp")), F.col("parts")).cast("int").alias("part"))
+    here = (F.col("dealt.key") == F.col("blocks.key")) & (F.col("dealt.part") == F.col("blocks.part")) & F.col("dealt.of").eqNullSafe(F.col("blocks.of"))
+    return dealt.alias("dealt").join(blocks.alias("blocks"), here).select("dealt.key", "rep", "comp", "own").join(meet, ["key", "own"]).select("key", "i", "j", "own", "rep", "comp")
+
+
+def _involved(placed: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """Those members, in their blocks, that look like a member of another component."""
-    dealt = _in_blocks(placed).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = _in_blocks(placed).join(sketches, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches):
@@ -283,7 +298,7 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     width = max(12, prints.count() // 20_000)
     full = prints.where("n_shingles > 0 and doc is not null")
     same = ["set_hi", "set_lo", "n_shingles"]
-    nodes = materialise(full.groupBy(*same).agg(F.min("doc").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
+    nodes = materialise(full.groupBy(*same).agg(F.min("doc").alias("rep"), F.max("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "classes")
     rows = nodes.select("rep", F.explode("bands").alias("key"))
     crowds = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     crowded = materialise(rows.join(crowds, "key").select("key", "rep", "leader"), "crowded")
@@ -303,8 +318,8 @@ def near_duplicates(df: DataFrame, *, k: int = 5, percent: int = 80, id_col: str
     comp = materialise(components(links, width).coalesce(width), "components")
     placed = crowded.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    placed = placed.join(several, "key", "left_semi").join(nodes.select("rep", "sketch", "bands"), "rep")
-    involved = materialise(_involved(placed, most).coalesce(width), "involved")
+    placed = materialise(placed.join(several, "key", "left_semi").join(nodes.select("rep", "size"), "rep").coalesce(width), "placed")
+    involved = materialise(_involved(placed, nodes.select("rep", "sketch", "bands"), most).coalesce(width), "involved")
     found = materialise(_links_within(involved, bucketed, k, percent, most).coalesce(width), "links")
     if not found.isEmpty():
         links = found.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a <> b"))

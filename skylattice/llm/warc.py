@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.sources.readers import exists
+
 from .common import materialise, scratch
 
 END = "\r\n\r\n"
@@ -264,11 +266,6 @@ def read(spark: SparkSession, path: str, *, with_payload: bool = True, strict: b
     return files.mapInArrow(work, FIELDS)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Archive ``df`` in the shared folder and list what the reader finds there: ``id_col, payload_bytes, payload_digest,
     record_type, refers_to``, one row for each row of ``df``: what the reader cannot read of an archive written here is an
@@ -276,7 +273,7 @@ def round_trip(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     path = scratch(df.sparkSession, "warc")
     write(df, path, id_col=id_col, url_col=url_col, payload_col=payload_col)
     kind = df.schema[id_col].dataType.simpleString()
-    if not _exists(df.sparkSession, path):
+    if not exists(df.sparkSession, path):
         return df.sparkSession.createDataFrame([], f"`{id_col}` {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
     found = read(df.sparkSession, path, with_payload=False, strict=True)
     return found.select(F.col("page_id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))

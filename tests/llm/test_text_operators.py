@@ -181,6 +181,32 @@ def test_near_duplicates_in_blocks_and_chains(spark, monkeypatch):
     assert got == brute_components(rows, 2)
 
 
+@pytest.mark.parametrize(("block", "block_bytes"), [(8, 1 << 20), (2048, 1500)], ids=["members", "bytes"])
+def test_near_duplicates_with_a_crowd_of_copies(spark, monkeypatch, block, block_bytes):
+    """A large component of near copies beside strays in the same buckets, in blocks bounded by members or bytes."""
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    monkeypatch.setattr(dedup, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1 :])) for i in range(10, 70) for j in [rng.randrange(80)]]
+    for i in range(100, 130):  # strays, some of which hang together or on the crowd by a thread
+        words = list(base)
+        for _ in range(rng.randint(6, 16)):
+            words[rng.randrange(80)] = f"y{rng.randrange(12)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == brute_components(rows, 2)
+
+
+def test_pipeline_stage_is_brute_force(spark):
+    """The pipeline's near-duplicate stage, over five words, on the whole smallest table."""
+    import corpus_pipeline
+
+    docs = documents(spark)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert kept == {i for i, (_, comp) in brute_components([(r.doc_id, r.text) for r in docs.collect()], 5).items() if i == comp}
+
+
 def test_near_duplicates_edges(spark, edge, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(edge, k=2).collect()), key=str)
     assert (None, 2, None, True) in got and (1, 0, 1, True) in got and got.count((4, 1, 4, True)) == 2 and len(got) == len(EDGE)
