@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import dedup, packing, quality, secrets
-from skylattice.llm.common import materialise, ship, table
+from skylattice.llm.common import drop_scratch, last_made, made, materialise, ship, table
 from skylattice.llm.queries import tokenizer
 
 
@@ -45,8 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another on ``documents``, a Parquet table between each two."""
+    """The stages one after another on ``documents``, a Parquet table between each two; what a stage made besides, and the
+    table it read, are dropped when its own is written."""
     docs = table(spark, sf_dir, "documents")
+    first = made()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        drop_scratch(spark, first, keep=[last_made()])
     return docs
