@@ -1,7 +1,8 @@
 """Operator 9: licence scans with DataFrame functions only.
 
-Text is normalised (lower case, everything but letters and digits is a blank) and cut into passages: lines, paragraphs
-and the whole text. A passage is held against a licence template by the Dice coefficient of their sets of word bigrams,
+Text is normalised (lower case, everything but letters and digits is a blank) and cut into passages: lines, paragraphs,
+the whole text, and stretches of a template's length round each word that a match must hold, laid as that word lies in the
+template; so a notice is found within longer lines and paragraphs as well. A passage is held against a licence template by the Dice coefficient of their sets of word bigrams,
 and only against templates whose size lets the coefficient reach the threshold: ``2 * min(n, m) / (n + m)`` bounds it.
 """
 
@@ -14,17 +15,23 @@ from pyspark.sql import functions as F
 
 #: Licence templates by SPDX-like name. Fixed values.
 TEMPLATES: dict[str, str] = {
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "BSD-3-Clause": "Licensed under the BSD 3-Clause License",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License",
     "MIT-header": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 THRESHOLD = 0.8
@@ -39,18 +46,48 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
 
 
+def plain_text(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")
+
+
 def passages(text: Column) -> Column:
     """Distinct normalised passages of a text: its lines, its paragraphs and the whole."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")
+    plain = plain_text(text)
     blocks = F.split(plain, r"\n *\n")
     return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), blocks, F.array(plain)), lambda x: F.trim(F.translate(x, "\n", " "))))
 
 
+def words_in(text: str) -> list[str]:
+    """Words of a template, by the same normalisation."""
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def laid(templates: dict[str, str], threshold: float) -> dict[str, list[tuple[int, int]]]:
+    """For each word that a match must hold: how far a template begins before it, and the template's length in words. Places
+    of one word in one template count up to the third."""
+    out: dict[str, set[tuple[int, int]]] = {}
+    for name, text in templates.items():
+        words = words_in(text)
+        for word in anchors(sizes({name: text}), threshold):
+            for at in [i for i, w in enumerate(words) if w == word][:3]:
+                out.setdefault(word, set()).add((at, len(words)))
+    return {word: sorted(places) for word, places in sorted(out.items())}
+
+
+def stretches(text: Column, places: dict[str, list[tuple[int, int]]]) -> Column:
+    """The stretches of a text that templates would lie on, by each word of ``places``, as arrays of words."""
+    words = F.split(F.trim(F.translate(plain_text(text), "\n", " ")), " +")
+    lies = F.create_map(*(x for word, some in places.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(a).alias("back"), F.lit(n).alias("length")) for a, n in some)))))
+    known = F.array(*map(F.lit, places))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(known, x["word"]))
+    return F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(lies, x["word"]), lambda t: F.slice(words, F.greatest(x["at"] - t["back"], F.lit(0)) + 1, t["length"]))))
+
+
 def sizes(templates: dict[str, str]) -> dict[str, list[str]]:
     """Each template's bigrams, by the same normalisation."""
     out = {}
     for name, text in templates.items():
-        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        words = words_in(text)
         out[name] = list(dict.fromkeys(" ".join(x) for x in zip(words, words[1:], strict=False))) or words
     return out
 
@@ -93,7 +130,8 @@ def scan(df: DataFrame, *, templates: dict[str, str] | None = None, threshold: f
         return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(grams, t.grams)) / (F.size(grams) + F.size(t.grams))).alias("score"), t["name"].alias("name")))
 
     # A set of n bigrams takes n + 1 words at least; repeats can make a passage longer, so only the lower bound is on words.
-    words = F.filter(F.transform(F.filter(passages(F.col(text_col)), holds), lambda x: F.split(x, " +")), lambda w: F.size(w) > low)
+    whole = F.transform(F.filter(passages(F.col(text_col)), holds), lambda x: F.split(x, " +"))
+    words = F.filter(F.array_distinct(F.concat(whole, stretches(F.col(text_col), laid(templates or TEMPLATES, threshold)))), lambda w: F.size(w) > low)
     grams = F.filter(F.transform(words, bigrams), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
     reached = F.filter(F.flatten(F.transform(grams, compare)), lambda x: x.score <= -threshold)
     # The branch is taken by the few texts that hold an anchor.
@@ -107,15 +145,21 @@ def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in (templates or TEMPLATES).items())
     plain = r"regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     t = f"{threshold!r}::double"
+    places = ", ".join(f"('{word}', {a}, {n})" for word, some in laid(templates or TEMPLATES, threshold).items() for a, n in some)
     return f"""
 with template(name, text) as (values {values}),
 t_word as (select name, string_split(trim(replace({plain.format('text')}, chr(10), ' ')), ' ') as w from template),
 t_gram as (select distinct name, w[i] || ' ' || w[i + 1] as gram from t_word, unnest(range(1, len(w))) as r(i)),
 t_size as (select name, count(*) as m from t_gram group by name),
 body as (select doc_id, {plain.format('text')} as p from documents),
+lie(word, back, n) as (values {places}),
+worded as (select doc_id, regexp_split_to_array(trim(replace(p, chr(10), ' ')), ' +') as w from body),
+hit_word as (select doc_id, w, i - 1 as i, w[i] as word from worded, unnest(range(1, len(w) + 1)) as r(i)),
+stretch as (select doc_id, array_to_string(w[greatest(i - back, 0) + 1 : greatest(i - back, 0) + n], ' ') as p from hit_word join lie using (word)),
 passage as (
-  select distinct doc_id, trim(replace(x, chr(10), ' ')) as p
-  from (select doc_id, unnest(list_concat(string_split(p, chr(10)), list_concat(regexp_split_to_array(p, '\\n *\\n'), [p]))) as x from body)),
+  select doc_id, trim(replace(x, chr(10), ' ')) as p
+  from (select doc_id, unnest(list_concat(string_split(p, chr(10)), list_concat(regexp_split_to_array(p, '\\n *\\n'), [p]))) as x from body)
+  union select doc_id, p from stretch),
 gram as (
   select distinct doc_id, p, w[i] || ' ' || w[i + 1] as gram
   from (select doc_id, p, regexp_split_to_array(p, ' +') as w from passage), unnest(range(1, len(w))) as r(i)),

@@ -400,6 +400,15 @@ def test_licenses(spark, edge, empty):
     texts = {1: "intro\nreleased UNDER the MIT-License!\nend", 2: licenses.TEMPLATES["ISC"].replace(", ", ",\n\n"), 3: "nothing", 4: licenses.TEMPLATES["MIT-header"].replace("software", "thing", 1)}
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "ISC", 3: None, 4: "MIT-header"}
+    within = {
+        1: ("Released under the MIT License, see the LICENSE file.", "MIT", 1.0),
+        2: ("Copyright 2020 Example. Released under the MIT License. See LICENSE for details.", "MIT", 1.0),
+        3: ("def f(): pass # " + licenses.TEMPLATES["GPL-3.0-header"] + " import os and go on with the code " * 9, "GPL-3.0-header", 1.0),
+        4: (("prose before it " * 40 + licenses.TEMPLATES["BSD-2-Clause-text"] + " prose after it" * 40).replace("source code must", "source must"), "BSD-2-Clause-text", None),
+        5: ("a license of software that nobody granted or released to any person " * 30, None, None),
+    }
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, *_) in within.items()], "doc_id long, text string")).collect()}
+    assert {i: (r.license, r.score) for i, r in got.items()} == {i: (name, got[i].score if score is None else score) for i, (_, name, score) in within.items()}
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(empty).count() == 0
     assert "Python" not in licenses.scan(edge)._jdf.queryExecution().toString()
 
