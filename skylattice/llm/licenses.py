@@ -157,7 +157,7 @@ worded as (select doc_id, regexp_split_to_array(trim(replace(p, chr(10), ' ')),
 hit_word as (select doc_id, w, i - 1 as i, w[i] as word from worded, unnest(range(1, len(w) + 1)) as r(i)),
 stretch as (select doc_id, array_to_string(w[greatest(i - back, 0) + 1 : greatest(i - back, 0) + n], ' ') as p from hit_word join lie using (word)),
 passage as (
-  select doc_id, trim(replace(x, chr(10), ' ')) as p
+  select doc_id, regexp_replace(trim(replace(x, chr(10), ' ')), ' +', ' ', 'g') as p
   from (select doc_id, unnest(list_concat(string_split(p, chr(10)), list_concat(regexp_split_to_array(p, '\\n *\\n'), [p]))) as x from body)
   union select doc_id, p from stretch),
 gram as (
