@@ -9,6 +9,8 @@ arithmetic, so every piece of the corpus is placed without any of them passing t
 
 from __future__ import annotations
 
+import functools
+import logging
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -79,17 +81,36 @@ def _without(pattern: Pattern, out: tuple[int, ...], into: tuple[int, ...]) -> P
     return tuple(sorted(((n, k) for n, k in items.items() if k), reverse=True))
 
 
-def _choices(pattern: Pattern) -> list[tuple[int, ...]]:
-    """What may leave a bin together: nothing, one piece or two."""
+@functools.lru_cache(maxsize=1 << 14)
+def _choices(pattern: Pattern) -> list[tuple[int, tuple[int, ...]]]:
+    """What may leave a bin together (nothing, one piece or two) and its size, smallest first."""
     lengths = [n for n, _ in pattern]
     twice = [(n, n) for n, k in pattern if k > 1]
-    return [(), *((n,) for n in lengths), *((a, b) for i, a in enumerate(lengths) for b in lengths[i + 1 :]), *twice]
+    found = [(), *((n,) for n in lengths), *((a, b) for i, a in enumerate(lengths) for b in lengths[i + 1 :]), *twice]
+    return sorted((sum(x), x) for x in found)
+
+
+def _largest_shift(low: Pattern, high: Pattern, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+    """The exchange that moves most from ``low`` to ``high`` within its room: a move of one piece, or a swap of one for one,
+    two for one or one for two."""
+    best = None
+    back = _choices(high)
+    for size, out in _choices(low):
+        # Back comes the smallest choice that leaves the shift within the room; larger ones only shift less.
+        for i in range(bisect_left(back, (size - room,)), len(back)):
+            less, into = back[i]
+            if less >= size or (best and size - less <= best[0]):
+                break
+            if len(out) + len(into) <= 3 and (len(out) == 1 or len(into) == 1):
+                best = (size - less, out, into)
+                break
+    return best
 
 
-def improve(patterns: Counter[Pattern], capacity: int, max_moves: int = 2000) -> Counter[Pattern]:
+def improve(patterns: Counter[Pattern], capacity: int, max_moves: int = 5000) -> Counter[Pattern]:
     """Local search over underfull bins: move one piece, swap one for one, or two for one, whenever the sum of squared
-    fills grows, emptiest bins first, until no such move is left, the bins reach the volume bound, or ``max_moves`` are
-    made. A move is made in as many bins of the two patterns as there are. No piece is ever lost, only re-placed.
+    fills grows, emptiest bins first, until no such move is left, the bins reach the volume bound, or (with a warning)
+    ``max_moves`` are made. A move is made in as many bins of the two patterns as there are. No piece is ever lost, only re-placed.
     """
     bins = Counter(patterns)
     total = sum(fill_of(p) * k for p, k in bins.items())
@@ -105,22 +126,13 @@ def improve(patterns: Counter[Pattern], capacity: int, max_moves: int = 2000) ->
             for high in reversed(under[i:]):
                 if (low, high) in settled or (low == high and bins[low] < 2):
                     continue
-                room, gain_base = capacity - fill_of(high), fill_of(high) - fill_of(low)
-                found = 0
-                back = [(sum(x), x) for x in _choices(high)]
-                for out in _choices(low):
-                    for size, into in back:
-                        shift = sum(out) - size
-                        if 0 < shift <= room and len(out) + len(into) <= 3 and (len(out) == 1 or len(into) == 1 or not into):
-                            gain = 2 * shift * (gain_base + shift)
-                            if len(out) == 2 and not into:
-                                continue  # two moves of one piece each
-                            if gain > found:
-                                found = gain
-                                if gain > best:
-                                    best, move = gain, (low, high, out, into)
-                if not found:
+                if (found := _largest_shift(low, high, capacity - fill_of(high))) is None:
                     settled.add((low, high))
+                    continue
+                shift, out, into = found
+                gain = 2 * shift * (fill_of(high) - fill_of(low) + shift)
+                if gain > best:
+                    best, move = gain, (low, high, out, into)
             if move:
                 break
         if not move:
@@ -132,6 +144,8 @@ def improve(patterns: Counter[Pattern], capacity: int, max_moves: int = 2000) ->
             if new := _without(pattern, gone, come):
                 bins[new] += times
         bins = +bins
+    else:
+        logging.getLogger(__name__).warning("The local search was ended after %d moves, with %d bins above the volume bound", max_moves, sum(bins.values()) - floor)
     return bins
 
 
@@ -194,7 +208,8 @@ def pack(df: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: in
     spark = df.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = encode_pieces(df, tokenizer_path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids)
-    pieces = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    # Salted by place, so that repeated rows do not share one; the table is written once, so that its salts stay.
+    pieces = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")), "pieces")
     part = pieces.where(F.col("length") < capacity)
     counts = part.groupBy("length", "salt").count()
     histogram = {x["length"]: x["n"] for x in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
