@@ -87,14 +87,16 @@ def daily_requests(start: Column, end: Column) -> Column:
     return F.when(start <= end, F.sequence(start, end, F.expr("interval 1 day"))).otherwise(F.expr("array()").cast("array<date>"))
 
 
-def progress(line: Column) -> Column:
-    """``name, percent, done, total`` of a progress line, null for any other line."""
+def progress(line: Column, strict: bool = False) -> Column:
+    """``name, percent, done, total`` of a progress line, null for any other line. A resumed download counts as one, unless
+    ``strict``."""
     # Both kinds of line: description, percent, bar, counts, and times in brackets with a speed behind them at most.
     bar = r"^([^|]*\S) *: *(\d{1,3})%\|[^\[]*\| *([^\s/|]+)/([^\s/|]+) *\[ *([0-9:?]+)<([^\]]*)\](.*)$"
     part = lambda i: F.regexp_extract(line, bar, i)
     counts, sizes = r"^\d+$", r"^[0-9.]+[kMGTP]?$"
     both = lambda kind: F.rlike(part(3), F.lit(kind)) & F.rlike(part(4), F.lit(kind))
     batch = (part(1) == "Concurrent Downloads") & both(counts) & (part(6) != "") & F.rlike(part(7), F.lit(r"^\s*\S*$"))
-    single = F.startswith(part(1), F.lit("Downloading ")) & both(sizes) & F.rlike(part(6), F.lit(r"^[0-9:?-]+(,.*)?$")) & ~F.contains(part(5), F.lit("?"))
+    name = F.regexp_extract(part(1), r"^Downloading +(.*)$" if strict else r"^(?:Downloading|Resuming) +(.*)$", 1)
+    single = (name != "") & both(sizes) & F.rlike(part(6), F.lit(r"^[0-9:?-]+(,.*)?$")) & ~F.contains(part(5), F.lit("?"))
     row = lambda name: F.struct(name.alias("name"), part(2).cast("int").alias("percent"), part(3).alias("done"), part(4).alias("total"))
-    return F.when(batch, row(part(1))).when(single, row(F.trim(F.substr(part(1), F.lit(13)))))
+    return F.when(batch, row(part(1))).when(single, row(name))

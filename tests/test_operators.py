@@ -73,11 +73,14 @@ def test_progress_lines(spark):
         "Concurrent Downloads:  40%|####| 2M/5M [00:10<00:15]": None,
         "Downloading a b: c.zip:  7%|# | 1.5M/20.0M [00:01<00:19, 1.0MB/s] and then some": ("a b: c.zip", 7, "1.5M", "20.0M"),
         "Downloading x.zip: 7%|# | 512/20.0k [00:01<?]": ("x.zip", 7, "512", "20.0k"),
+        "Resuming x.zip: 7%|# | 512/20.0k [00:01<00:02]": ("x.zip", 7, "512", "20.0k"),
         "Uploading x.zip: 7%|# | 512/20.0k [00:01<00:02]": None,
         "plain": None,
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, line string").select("i", files.progress(F.col("line")).alias("p")).collect()
     assert {r.i: tuple(r.p) if r.p else None for r in rows} == dict(enumerate(cases.values()))
+    resumed = spark.createDataFrame([("Resuming x.zip: 7%|# | 512/20.0k [00:01<00:02]",)], "line string")
+    assert resumed.where(files.progress(F.col("line"), strict=True).isNotNull()).count() == 0
 
 
 def test_catalogue_partitions_are_replaced(spark, tmp_path):
