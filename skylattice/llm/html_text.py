@@ -66,7 +66,8 @@ def mark_of(names: str, inside: bool) -> int | None:
     for name in names.split():
         parts = {x for x in PARTS.split(re.sub("(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
         found = parts & known
-        if found and parts <= known | BESIDE:
+        # Beside a mark short prefixes mean nothing either, as in wp-comments; but no-sidebar is no sidebar.
+        if found and all(x in known or x in BESIDE or (len(x) < 3 and x != "no") for x in parts):
             return DROP_BUT_TRUSTED if found <= MARKS_OF_WRAPPERS else DROP_BUT_MAIN
     return None
 
