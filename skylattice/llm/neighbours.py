@@ -149,16 +149,16 @@ def fit(queries: np.ndarray, found: list[np.ndarray], others: np.ndarray, scale:
     last = np.array([(found[i] @ queries[i]).min() / lengths[i] if len(found[i]) else np.inf for i in range(len(queries))])
     apart = np.sqrt(np.maximum(0, 2 - 2 * (queries @ others.T) / (lengths[:, None] * scale))) if len(others) else np.zeros((len(queries), 0))
     best: tuple | None = None
-    one_hash = {w: share_a_cell(apart, w) for w in {w for _, w in CHOICES} | ({width} if width else set())}
-    for m, w in CHOICES:
-        m, w = hashes or m, width or w
+    # In small tables there is nothing to choose: few probes are worth as much as scoring all nodes.
+    choices = CHOICES if nodes > 2 * WORTH * tables else ((8, 2.0),)
+    choices = sorted({(hashes or m, width or w) for m, w in choices})
+    one_hash = {w: share_a_cell(apart, w) for w in {w for _, w in choices}}
+    for m, w in choices:
         probes, floor = fit_probes(queries, found, scale, nodes, tables=tables, hashes=m, width=w)
         met = np.minimum(1, tables * probes * (one_hash[w] ** m).mean(axis=1)) if apart.shape[1] else np.zeros(len(queries))
         cost = np.where(last <= floor, nodes, 0) + tables * probes * WORTH + met * nodes
         if best is None or cost.sum() < best[0]:
             best = (cost.sum(), probes, floor, m, w)
-        if hashes and width:
-            break
     _, probes, floor, m, w = best
     log = logging.getLogger(__name__)
     log.info("%d hashes of width %g, %d probes", m, w, probes)
