@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from skylattice.llm import html_text, neighbours, queries, warc
+from skylattice.llm import common, html_text, neighbours, queries, warc
 from skylattice.llm.common import ship, table
 
 
@@ -114,6 +114,7 @@ def test_main_text_by_structure():
         ('<article><p class="related-work">In<div class="related-posts">Out</div></article>', "In"),
         ('<div class="banner"><main><p>In</main></div><div class="sidebar"><article>Out</article></div>', "In"),
         ('<div class="sidebarLeft site-menu">Out</div><div class="comment-list"><article>Out</article></div><p>In', "In"),
+        ('<div class="wp-block-comments">Out</div><div class="cc-banner">Out</div><div class="has-ads">In</div>', "In"),
         ("<head><title>Out</title><meta charset=x><body><p>In", "In"),
         ("<ul><li class=ad><a>Out<li>In</ul>", "In"),
         ("<p>a<![foo[x]]>b", "ab"),
@@ -329,7 +330,9 @@ def test_pipeline(spark):
     judged = {r.doc_id: r for r in queries.op5_crf_quality(spark, sf).collect()}
     assert all(judged[i].kept for i in kept)
     assert not [t for t in kept.values() if "AKIA" in t and any(len(x) >= 18 for x in t.split() if x.startswith("AKIA"))]
+    before = common.made()
     packed = P.run(spark, sf)
+    assert common.made() == before + 1  # what the stages made besides is gone
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
     assert sum(bool(labels.get(i)) for i in kept) > 0
 
