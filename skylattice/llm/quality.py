@@ -117,7 +117,7 @@ class LineField:
         edge = np.exp(alpha[:, :-1, :, None] + self.steps + (e + beta)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
         return z, node, edge
 
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.1, penalty: float = 1e-3) -> LineField:
+    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.2, penalty: float = 1e-4) -> LineField:
         """Adam on the penalised conditional log-likelihood."""
         gold = np.eye(2)[y] * mask[..., None]
         gold_w = np.einsum("bts,btf->sf", gold, x)
