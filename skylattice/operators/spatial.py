@@ -43,8 +43,8 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
 
     Both sides go to the grid cells that their boxes cover and meet by one equi-join; a pair is kept only in the cell of
     its boxes' lower left common corner, so nothing needs to be made distinct. The predicate stands behind a CASE, since
-    the optimiser may put its dear part before the cheap one, and edges are made of the rings of those pairs alone. Cells
-    are as wide as the larger side's median box, whatever the units, if ``cell`` is not given; a look at the extents of
+    the optimiser may put its dear part before the cheap one. Edges are made once a row: within the predicate they would be
+    made again for every edge of the other side. Cells are as wide as the larger side's median box, whatever the units, if ``cell`` is not given; a look at the extents of
     both sides comes first. A box of more than ``MOST_CELLS`` cells (an area that spans continents) takes the cells of a
     grid ``COARSE`` times wider instead, where the other side's boxes also wait for it if there are such boxes: tag 0 is
     narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with wide.
@@ -56,7 +56,7 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
 
     def dealt(df: DataFrame, r: str, side: str, mixed: int, other: int, own_wide: bool, others_wide: bool) -> DataFrame:
         box = F.col(f"{side}_box")
-        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_ring": F.col(r)}).drop(r)
+        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_edges": G.edges(F.col(r)) if exact else F.lit(None)}).drop(r)
         keys = F.concat(_cells(box, cell, 0), _cells(box, coarse, mixed)) if others_wide else _cells(box, cell, 0)
         if own_wide:
             keys = F.when(_wide(box, cell), F.concat(_cells(box, coarse, other), _cells(box, coarse, 3))).otherwise(keys)
@@ -66,5 +66,5 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
     x, y, tag = F.greatest("l_box.xmin", "r_box.xmin"), F.greatest("l_box.ymin", "r_box.ymin"), F.pmod("_key", F.lit(4))
     corner = F.when(tag == 0, _cell(x, y, cell) * 4).otherwise(_cell(x, y, coarse) * 4 + tag)
     near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & (F.col("_key") == corner)
-    rest = G.polygons_meet(G.edges(F.col("l_ring")), G.edges(F.col("r_ring"))) if exact else F.lit(True)
-    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_ring", "r_ring")
+    rest = G.polygons_meet(F.col("l_edges"), F.col("r_edges")) if exact else F.lit(True)
+    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_edges", "r_edges")
