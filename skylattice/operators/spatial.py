@@ -44,10 +44,11 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
     Both sides go to the grid cells that their boxes cover and meet by one equi-join; a pair is kept only in the cell of
     its boxes' lower left common corner, so nothing needs to be made distinct. The predicate stands behind a CASE, since
     the optimiser may put its dear part before the cheap one. Edges are made once a row: within the predicate they would be
-    made again for every edge of the other side. Cells are as wide as the larger side's median box, whatever the units, if ``cell`` is not given; a look at the extents of
-    both sides comes first. A box of more than ``MOST_CELLS`` cells (an area that spans continents) takes the cells of a
-    grid ``COARSE`` times wider instead, where the other side's boxes also wait for it if there are such boxes: tag 0 is
-    narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with wide.
+    made again for every edge of the other side. Cells are as wide as the larger side's median box, whatever the units, if
+    ``cell`` is not given; a look at the extents of both sides comes first. A box of more than ``MOST_CELLS`` cells (an
+    area that spans continents) takes the cells of a grid ``COARSE`` times wider instead, where the other side's boxes also
+    wait for it if there are such boxes: tag 0 is narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with
+    wide.
     """
     extents = _extent(left, left_ring), _extent(right, right_ring)
     cell = cell or max(extents[0][0], extents[1][0]) or 1.0
