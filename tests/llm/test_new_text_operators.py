@@ -1,16 +1,21 @@
 """The merge coder, importance resampling and spelling variants against libraries, SQL and brute force."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from conftest import SF
+from oracles import same
 from tokenizers import Tokenizer
 
-from skylattice.llm import merges, queries
+from skylattice.llm import merges, queries, resample
 from skylattice.llm.common import ship, table
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
@@ -94,3 +99,49 @@ def test_other_files_are_refused(tmp_path):
     path.write_text(json.dumps(spec))
     with pytest.raises(ValueError):
         merges.Merges(str(path), library(FILES[0]))
+
+
+def brute_draw(docs, target, grams, buckets, percent, least, seed):
+    """``resample`` as it is defined, a row at a time."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs = lambda t: [zlib.crc32(" ".join(words(t)[i : i + n]).encode()) % buckets for n in range(1, grams + 1) for i in range(len(words(t)) - n + 1)]
+    found = [runs(t) for _, t in docs]
+    s, t = Counter(b for x in found for b in x), Counter(b for x in target for b in runs(x))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets))))
+    rows = []
+    for (i, text), own in zip(docs, found, strict=True):
+        weight = sum(map(gain, own)) // len(own) if own else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(text)) >= least))
+    order = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is not None, r[0] or 0))
+    drawn = [(*r[:4], k + 1) for k, r in enumerate(order[: percent * len(order) // 100])]
+    rest = Counter(r[:4] for r in rows)
+    rest.subtract(r[:4] for r in drawn)
+    return Counter(drawn) + Counter({(*r, None): n for r, n in rest.items() if n > 0})
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_gram_crcs_come_from_prefixes(n):
+    rng = random.Random(n)
+    docs = [[("".join(rng.choice("abcé中9") for _ in range(rng.choice([1, 2, 7, 40, 3000])))).encode() for _ in range(k)] for k in (0, 3, 200, 0, 1, 7, 0)]
+    got, rows = resample.gram_crcs(resample.scan(b" ".join(d) for d in docs), n)
+    assert list(zip(got.tolist(), rows.tolist(), strict=True)) == [(zlib.crc32(b" ".join(d[i : i + n])), k) for k, d in enumerate(docs) for i in range(len(d) - n + 1)]
+
+
+def test_op11_equals_its_sql(spark):
+    same(queries.op11_crc_resample(spark, SF), queries.ORACLES["op11_crc_resample"], SF)
+
+
+@pytest.mark.parametrize(("grams", "percent", "least"), [(1, 10, 20), (3, 50, 1), (2, 100, 0), (1, 0, 0)])
+def test_op11_edges(spark, edge, empty, grams, percent, least):
+    rng = random.Random(7)
+    target = [None, "", "The word1 word2, WORD3", "é one"]
+    docs = [(i, t) for i, t, *_ in edge_rows() if i != 5] + [(100 + k, " ".join(rng.choice(["Ab", "cd", "é", "word1", "x-y", "9"]) for _ in range(rng.randint(0, 30)))) for k in range(150)]
+    docs += [(99, "copy of one text " * 6)] * 40
+    df = spark.createDataFrame([(i, t, *["x"] * 6) for i, t in docs], SCHEMA).repartition(7)
+    aim = spark.createDataFrame([(t, "x") for t in target], "text string, doc_id string")
+    got = resample.resample(df, aim, grams=grams, buckets=500, percent=percent, least_words=least, seed=5)
+    assert Counter(map(tuple, got.collect())) == brute_draw(docs, target, grams, 500, percent, least, 5)
+    assert resample.resample(empty, aim).collect() == []
+    assert resample.resample(edge, aim.limit(0)).count() == len(edge_rows())
