@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, html_text, licenses, merges, neighbours, packing, pieces, quality, resample, secrets, tokens, warc
+from . import dedup, html_text, licenses, merges, neighbours, packing, pieces, quality, resample, secrets, spelling, tokens, warc
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_trie_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merge_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.code(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -77,7 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_multiprobe": op6_multiprobe,
     "op7_token_counts": op7_token_counts,
     "op11_crc_resample": op11_crc_resample,
+    "op12_trie_variants": op12_trie_variants,
     "op13_merge_queue": op13_merge_queue,
 }
 
-ORACLES: dict[str, str] = {"op9_license_dice": licenses.oracle(), "op11_crc_resample": resample.oracle()}
+ORACLES: dict[str, str] = {"op9_license_dice": licenses.oracle(), "op11_crc_resample": resample.oracle(), "op12_trie_variants": spelling.oracle()}

@@ -13,9 +13,10 @@ import pyarrow as pa
 import pytest
 from conftest import SF
 from oracles import same
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm import merges, queries, resample
+from skylattice.llm import merges, queries, resample, spelling
 from skylattice.llm.common import ship, table
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
@@ -145,3 +146,57 @@ def test_op11_edges(spark, edge, empty, grams, percent, least):
     assert Counter(map(tuple, got.collect())) == brute_draw(docs, target, grams, 500, percent, least, 5)
     assert resample.resample(empty, aim).collect() == []
     assert resample.resample(edge, aim.limit(0)).count() == len(edge_rows())
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_op12_equals_its_sql(spark):
+    same(queries.op12_trie_variants(spark, SF), queries.ORACLES["op12_trie_variants"], SF)
+
+
+def test_crcs_without_a_letter():
+    word = "abcéàxyzzz"
+    assert spelling.without_each(word).tolist() == [zlib.crc32((word[:i] + word[i + 1 :]).encode("latin-1")) for i in range(len(word))]
+
+
+@pytest.mark.parametrize("most_letters", [6, 9, 64])
+def test_near_pairs_equal_brute_force(spark, most_letters):
+    """Dense words over two or three letters: runs, repeats, prefixes that are words, words at the bound of long ones."""
+    ship(spark)
+    rng = random.Random(most_letters)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(220)} | {"a" * k for k in range(1, 13)} | {"ab" * k for k in range(1, 7)} | {"b" + "ab" * k for k in range(5)}
+    got = spelling.near_pairs(spark.createDataFrame([(w,) for w in words], "word string").repartition(5), most_letters).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in words for b in words if one_edit(a, b))
+
+
+def test_op12_edges(spark, edge, empty):
+    base = "letters"
+    texts = [base] * 90 + ["lettters"] * 18 + ["letters" + "q"] * 5 + ["lettrters"] * 3 + ["LETTERSé"] * 5 + ["x" * 70] * 40 + ["x" * 69 + "y"] * 6 + ["x" * 71] * 5 + ["y" * 3000] * 5 + [None, "", "short"]
+    df = spark.createDataFrame([(None, t, *["x"] * 6) for t in texts], SCHEMA)
+    got = {r.word: r for r in spelling.variants(df, every=1 << 33).collect()}
+    assert set(got) == {base, "lettters", "lettersq", "lettersé", "x" * 70, "x" * 69 + "y", "x" * 71, "y" * 3000}
+    assert tuple(got["lettters"]) == ("lettters", base, base, 18, 1, 90)
+    assert tuple(got["lettersé"]) == ("lettersé", base, base, 5, 2, 90)
+    assert got["x" * 71].form == got["x" * 69 + "y"].root == "x" * 70 and got["x" * 70].n_near == 2
+    assert got["y" * 3000].n_near == 0 and got[base].form is None and got[base].root == base
+    assert spelling.variants(empty).collect() == []
+    assert spelling.variants(edge).count() == 0
+
+
+def test_roots_follow_chains(spark):
+    rows = [(f"w{i}", f"w{i + 1}") for i in range(9)] + [("a", "w9"), ("b", "a")]
+    got = dict(spelling.roots(spark.createDataFrame(rows, "word string, form string"), 11).collect())
+    assert set(got.values()) == {"w9"} and len(got) == 11
+
+
+def test_op12_joins_are_equi_joins(spark):
+    ship(spark)
+    keys = spelling.both_ways(spark.createDataFrame([("lettera",), ("letterb",)], "word string"))
+    states = keys.select("key", F.expr("left(key, 5)").alias("node"), F.lit(5).alias("pos"), F.lit(0).alias("edits"))
+    text = spelling.step(states, spelling.edge_table(keys, 4).where("depth = 5"), 5)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
