@@ -1,14 +1,17 @@
 """Polygon functions as Column expressions. A ring is ``array<struct<x double, y double>>``, an edge list
-``array<struct<ax, ay, bx, by>>``; coordinates are planar longitude and latitude."""
+``array<struct<ax, ay, bx, by>>``, a shape an array of parts, each its outer ring and its holes; coordinates are planar longitude
+and latitude. What lies in a shape follows from the even-odd rule over all its edges."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 RING = "array<struct<x:double,y:double>>"
+SHAPE = f"array<array<{RING}>>"
 
 
 def point(x: Column | float, y: Column | float) -> Column:
@@ -85,6 +88,82 @@ def from_wkt(text: Column) -> Column:
     return F.when(inner != "", F.transform(points, lambda p: F.struct(F.get(p.c, 0).try_cast("double").alias("x"), F.get(p.c, 1).try_cast("double").alias("y"))))
 
 
+def _parsed(rings: Column) -> Column:
+    """``shape, error`` of parts of rings whose points may lack numbers; the shape is null where there is an error."""
+    flat = F.flatten(rings)
+    bad = F.exists(flat, lambda r: F.exists(r, lambda p: p.x.isNull() | p.y.isNull() | F.isnan(p.x) | F.isnan(p.y)))
+    short, open_ = F.exists(flat, lambda r: F.size(r) < 4), F.exists(flat, lambda r: r[0] != F.element_at(r, -1))
+    error = F.when(rings.isNull(), "not a polygon").when(bad, "bad number").when(short, "short ring").when(open_, "open ring")
+    return F.struct(F.when(error.isNull(), rings).alias("shape"), error.alias("error"))
+
+
+def shape_from_wkt(text: Column) -> Column:
+    """``shape, error`` of a ``POLYGON`` or ``MULTIPOLYGON``, holes and parts and all; further coordinates than two are left
+    out. Other texts have an error: ``not a polygon``, ``empty``, ``bad number``, ``short ring`` or ``open ring``."""
+    given = F.trim(F.regexp_replace(text, r"\s+", " "))
+    kind = F.upper(F.regexp_extract(given, r"^([A-Za-z]+)", 1))
+    body = F.regexp_replace(given, r"^[A-Za-z]+ ?(?:Z |M |ZM )?", "")
+    body = F.when(kind == "POLYGON", F.concat(F.lit("("), body, F.lit(")"))).when(kind == "MULTIPOLYGON", body)
+    # Rings, parts and the whole are closed up one after another, which leaves one letter of a well-formed text.
+    frame = body
+    for inner, mark in ((r"\([^()]+\)", "R"), (r"\([R,]+\)", "P"), (r"\([P,]+\)", "M")):
+        frame = F.regexp_replace(F.regexp_replace(frame, inner, mark), " ", "")
+        frame = F.when(F.rlike(frame, F.lit(r",,|\(,|,\)")), F.lit("")).otherwise(frame)
+    parts = F.regexp_extract_all(body, F.lit(r"\( ?(\([^()]*\)(?: ?, ?\([^()]*\))*+) ?\)"), F.lit(1))
+    read = lambda p: F.transform(F.array(F.split(F.trim(p), " ")), lambda c: F.struct(F.get(c, 0).try_cast("double").alias("x"), F.get(c, 1).try_cast("double").alias("y")))[0]
+    rings = F.transform(parts, lambda part: F.transform(F.regexp_extract_all(part, F.lit(r"\(([^()]*)\)"), F.lit(1)), lambda r: F.transform(F.split(r, ","), read)))
+    found = _parsed(F.when(frame == "M", rings))
+    empty = F.rlike(given, F.lit(r"^(?i)(MULTI)?POLYGON ?(Z|M|ZM)? ?EMPTY$"))
+    return F.when(empty, F.struct(F.lit(None).cast(SHAPE).alias("shape"), F.lit("empty").alias("error"))).otherwise(found)
+
+
+def shape_from_geojson(kind: Column, coordinates: Column) -> Column:
+    """``shape, error`` of a GeoJSON geometry's type and the text of its coordinates."""
+    rings = "array<array<array<double>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(coordinates, rings))).when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{rings}>"))
+    shape = F.transform(parts, lambda part: F.transform(part, lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("x"), F.get(p, 1).alias("y")))))
+    whole = F.coalesce(~F.exists(parts, lambda part: part.isNull() | (F.size(part) == 0)), F.lit(False)) & (F.size(parts) > 0)
+    return _parsed(F.when(whole, shape))
+
+
+def shape_to_wkt(shape: Column) -> Column:
+    ring_text = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", number(p.x), number(p.y))), ", "), F.lit(")"))
+    part_text = lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, ring_text), ", "), F.lit(")"))
+    parts = F.transform(shape, part_text)
+    return F.when(F.size(shape) == 1, F.concat(F.lit("POLYGON "), parts[0])).otherwise(F.concat(F.lit("MULTIPOLYGON ("), F.array_join(parts, ", "), F.lit(")")))
+
+
+def shape_area(shape: Column) -> Column:
+    """Area of the parts less that of their holes, however the rings run."""
+    part_area = lambda part: F.aggregate(F.transform(part, lambda r: F.abs(signed_area(r))), F.lit(0.0), lambda s, a: s - a) + 2 * F.abs(signed_area(part[0]))
+    return F.aggregate(F.transform(shape, part_area), F.lit(0.0), lambda s, a: s + a)
+
+
+def _nested(df: DataFrame, column: str) -> bool:
+    """Whether a column holds shapes and not single rings."""
+    return isinstance(df.schema[column].dataType.elementType, ArrayType)
+
+
+def is_shape(df: DataFrame, column: str) -> Column:
+    """Whether all rings of a row's shape have at least four points."""
+    c = F.col(column)
+    return (F.size(c) > 0) & ~F.exists(F.flatten(c), lambda r: F.size(r) < 4) if _nested(df, column) else F.size(c) > 3
+
+
+def edges_of(df: DataFrame, column: str) -> Column:
+    """Edges of all rings of a ring or shape column."""
+    return F.flatten(F.transform(F.flatten(F.col(column)), edges)) if _nested(df, column) else edges(F.col(column))
+
+
+def corners_of(df: DataFrame, column: str) -> Column:
+    """One corner of each ring of a ring or shape column."""
+    return F.transform(F.flatten(F.col(column)), lambda r: r[0]) if _nested(df, column) else F.array(F.col(column)[0])
+
+
+def bounds_of(df: DataFrame, column: str) -> Column:
+    return bounds(F.flatten(F.flatten(F.col(column))) if _nested(df, column) else F.col(column))
+
+
 def _turn(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
     return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
 
@@ -120,6 +199,13 @@ def polygons_meet(e: Column, f: Column) -> Column:
     return F.when(inside, F.lit(True)).otherwise(F.exists(e, lambda x: F.exists(f, lambda y: edges_meet(x, y))))
 
 
+def shapes_meet(e: Column, e_corners: Column, f: Column, f_corners: Column) -> Column:
+    """As ``polygons_meet`` for shapes of several rings, with one corner of each: where no edges meet, a ring lies wholly within
+    the other shape or wholly outside."""
+    inside = F.exists(e_corners, lambda p: holds_point(f, p.x, p.y)) | F.exists(f_corners, lambda p: holds_point(e, p.x, p.y))
+    return F.when(inside, F.lit(True)).otherwise(F.exists(e, lambda x: F.exists(f, lambda y: edges_meet(x, y))))
+
+
 def reproject(r: Column, srid: Column) -> Column:
     """A WGS84 ring in web Mercator (3857) or UTM (326xx, 327xx), by closed forms; null for any other system."""
     return F.when(srid == 3857, F.transform(r, _mercator)).when(((srid > 32600) & (srid <= 32660)) | ((srid > 32700) & (srid <= 32760)), F.transform(r, lambda p: _utm(p, srid)))

@@ -55,6 +55,6 @@ def newest(df: DataFrame, by: list[str], ts: str, key: str, k: int) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(ts), key))).where(F.col("rank") <= k)
 
 
-def search(catalogue: DataFrame, areas: DataFrame, *, k: int = 1000, area_id: str = "aoi_id", ts: str = "start_ts", key: str = "scene_id", cell: float | None = None) -> DataFrame:
+def search(catalogue: DataFrame, areas: DataFrame, *, k: int = 1000, area_id: str = "aoi_id", ts: str = "start_ts", key: str = "scene_id", levels: list[int] | None = None) -> DataFrame:
     """Newest ``k`` products whose footprint meets each area."""
-    return newest(spatial_join(catalogue, areas, cell=cell), [area_id], ts, key, k)
+    return newest(spatial_join(catalogue, areas, levels=levels), [area_id], ts, key, k)

@@ -1,4 +1,4 @@
-"""Spatial joins by grid cells: an equi-join on cells, then one guarded exact predicate."""
+"""Spatial joins by grid cells of several sizes: one equi-join on cells, then one guarded exact predicate."""
 
 from __future__ import annotations
 
@@ -7,65 +7,159 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 
-#: Cells of a box beyond which it is joined by its bounds instead of its cells.
-MOST_CELLS = 1000
+#: Cells of one level are so many times as wide as those of the level below.
+RATIO = 8
+#: Levels above the lowest one that is used; smaller boxes share the lowest.
+ABOVE = 7
 
+CELL = "array<struct<z:int,x:bigint,y:bigint>>"
 
-#: Cells of the coarse grid are this many times as wide.
-COARSE = 64
 
+def _own_level(box: Column) -> Column:
+    """The level whose cells are just wide enough for a box and an eighth of a cell; null for a box without extent."""
+    side = F.greatest(box.xmax - box.xmin, box.ymax - box.ymin)
+    return F.ceil(F.log(side * RATIO / (RATIO - 1)) / F.log(F.lit(float(RATIO)))).cast("int")
 
-def _cell(x: Column, y: Column, size: float) -> Column:
-    return F.floor(x / size).cast("long") * 1_000_003 + F.floor(y / size).cast("long")
 
+def levels_of(df: DataFrame, r: str = "ring") -> list[int]:
+    """Levels of the boxes of a table: a scan of its shapes, for callers that keep them with a catalogue."""
+    rows = _valid(df, r).select(_own_level(G.bounds_of(df, r)).alias("level")).distinct().collect()
+    return sorted(x.level for x in rows if x.level is not None)
 
-def _cells(box: Column, size: float, tag: int) -> Column:
-    """Keys of the cells that a box covers; keys of different tags never meet."""
-    span = lambda a, b: F.sequence(F.floor(a / size).cast("long"), F.floor(b / size).cast("long"))
-    return F.flatten(F.transform(span(box.xmin, box.xmax), lambda x: F.transform(span(box.ymin, box.ymax), lambda y: (x * 1_000_003 + y) * 4 + tag)))
 
+def _valid(df: DataFrame, r: str) -> DataFrame:
+    return df.where(G.is_shape(df, r))
 
-def _wide(box: Column, size: float) -> Column:
-    return (F.floor(box.xmax / size) - F.floor(box.xmin / size) + 1) * (F.floor(box.ymax / size) - F.floor(box.ymin / size) + 1) > MOST_CELLS
 
+def _snap(level: Column, ladder: list[int]) -> Column:
+    """The lowest rung at or above ``level``; the highest for anything above all."""
+    out = F.when(level.isNull(), ladder[0])
+    for rung in ladder[:-1]:
+        out = out.when(level <= rung, rung)
+    return out.otherwise(ladder[-1]).cast("int")
 
-def _extent(df: DataFrame, r: str) -> tuple[float, float, float]:
-    """Median of the longer sides of the boxes, and the largest width and height."""
-    box = G.bounds(F.col(r))
-    sides = df.where(F.size(r) > 3).select((box.xmax - box.xmin).alias("w"), (box.ymax - box.ymin).alias("h"))
-    found = sides.agg(F.percentile_approx(F.greatest("w", "h"), F.lit(0.5)), F.max("w"), F.max("h")).first()
-    return found[0] or 0.0, found[1] or 0.0, found[2] or 0.0
 
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(float(RATIO)), level.cast("double"))
 
-def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring", right_ring: str = "ring", cell: float | None = None, exact: bool = True) -> DataFrame:
-    """Pairs of rows whose polygons (``exact``) or boxes meet; all columns of both sides but the rings, whose names must
-    differ otherwise. Null rings and rings of fewer than four points meet nothing.
 
-    Both sides go to the grid cells that their boxes cover and meet by one equi-join; a pair is kept only in the cell of
-    its boxes' lower left common corner, so nothing needs to be made distinct. The predicate stands behind a CASE, since
-    the optimiser may put its dear part before the cheap one. Edges are made once a row: within the predicate they would be
-    made again for every edge of the other side. Cells are as wide as the larger side's median box, whatever the units, if
-    ``cell`` is not given; a look at the extents of both sides comes first. A box of more than ``MOST_CELLS`` cells (an
-    area that spans continents) takes the cells of a grid ``COARSE`` times wider instead, where the other side's boxes also
-    wait for it if there are such boxes: tag 0 is narrow with narrow, 1 narrow with wide, 2 wide with narrow, 3 wide with
-    wide.
+def _place(v: Column, size: Column) -> Column:
+    return F.floor(v / size).cast("long")
+
+
+def _key(rung: Column, tag: int, x: Column, y: Column) -> Column:
+    return F.struct((rung * 4 + tag).cast("int").alias("z"), x.alias("x"), y.alias("y"))
+
+
+def _cells(box: Column, rung: Column, tag: int, slack: Column | float = 0.0) -> Column:
+    """Keys of the cells that a box covers, grown to the lower left by ``slack`` of a cell."""
+    size = _size(rung)
+    span = lambda a, b: F.sequence(_place(a - size * slack, size), _place(b, size))
+    return F.flatten(F.transform(span(box.xmin, box.xmax), lambda x: F.transform(span(box.ymin, box.ymax), lambda y: _key(rung, tag, x, y))))
+
+
+def keys_of(box: Column, own: list[int], other: list[int], meets: int) -> Column:
+    """Join keys of a box in a table with levels ``own`` against one with levels ``other``; ``meets`` is 1 on the left and 2 on
+    the right.
+
+    Boxes of one level meet in the cells that they cover (tag 0), four each at most. Of two levels, the wider box waits in the
+    cells of its own level, grown by the width of the narrower (tag ``meets``), four again, and the narrower one comes to the
+    one cell of its lower left corner at each higher level where there are wider ones. So a row has 8 keys and one for each
+    higher level, at most, however wide it is; a pair of two levels meets once.
+    """
+    ladder = sorted({*own, *other})
+    rung = _snap(_own_level(box), ladder)
+    none = F.lit(None)
+    same = F.when(rung.isin(other), _cells(box, rung, 0))
+    waiting = F.when(rung > min(other), _cells(box, rung, meets, 1 / RATIO)) if min(other) < max(own) else none.cast(CELL)
+    coming = F.array_compact(F.array(*(F.when(rung < z, _key(F.lit(z), 3 - meets, _place(box.xmin, _size(F.lit(z))), _place(box.ymin, _size(F.lit(z))))) for z in other if z > min(own))))
+    return F.flatten(F.array_compact(F.array(same, waiting, coming.cast(CELL))))
+
+
+def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring", right_ring: str = "ring", exact: bool = True, ids: tuple[str, str] | None = None, levels: list[int] | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose polygons (``exact``) or boxes meet; all columns of both sides but the shapes, whose names must
+    differ otherwise. Shapes are rings or polygons of several rings (``geometry``); null ones and rings of fewer than four
+    points meet nothing.
+
+    Both sides go to grid cells as wide as their boxes (``keys_of``) and meet by one equi-join, to which ``on`` adds columns
+    that both sides share. The predicate stands behind a CASE, since the optimiser may put its dear part before the cheap one.
+    Which sizes of cells are needed is asked first, by a scan of the shapes of both sides in one job, unless ``levels`` tells
+    (``levels_of``, kept with a catalogue); levels that miss some boxes only make these take more cells. Edges are made once
+    a row. With ``ids``, the names of a unique column of each side, only ids and boxes are shuffled to the cells, and the rest
+    is joined to the pairs whose boxes meet: the way for large shapes or wide rows.
+    """
+    sides = {"l": (_valid(left, left_ring), left_ring), "r": (_valid(right, right_ring), right_ring)}
+    if levels is None:
+        seen = [df.select(F.lit(s).alias("side"), _own_level(G.bounds_of(df, r)).alias("level")) for s, (df, r) in sides.items()]
+        found = seen[0].unionByName(seen[1]).distinct().collect()
+        most = max([x.level for x in found if x.level is not None], default=0)
+        held = {s: sorted({max(most - ABOVE if x.level is None else x.level, most - ABOVE) for x in found if x.side == s}) or [most] for s in sides}
+    else:
+        held = {s: sorted(set(levels)) for s in sides}
+
+    def rows(s: str) -> DataFrame:
+        df, r = sides[s]
+        shape = {f"{s}_edges": G.edges_of(df, r), f"{s}_corners": G.corners_of(df, r)} if exact else {}
+        return df.withColumns({f"{s}_box": G.bounds_of(df, r), **shape}).drop(r)
+
+    def dealt(s: str) -> DataFrame:
+        df = rows(s) if ids is None else sides[s][0].select(ids["lr".index(s)], *on, G.bounds_of(*sides[s]).alias(f"{s}_box"))
+        keys = keys_of(F.col(f"{s}_box"), held[s], held["r" if s == "l" else "l"], 1 if s == "l" else 2)
+        return df.withColumn("_key", F.explode(keys)).select("*", F.col("_key.z").alias("_z"), F.col("_key.x").alias("_x"), F.col("_key.y").alias("_y")).drop("_key")
+
+    pairs = dealt("l").join(dealt("r"), [*on, "_z", "_x", "_y"])
+    size = _size(F.floor(F.col("_z") / 4))
+    corner = (_place(F.greatest("l_box.xmin", "r_box.xmin"), size) == F.col("_x")) & (_place(F.greatest("l_box.ymin", "r_box.ymin"), size) == F.col("_y"))
+    near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & ((F.pmod("_z", F.lit(4)) != 0) | corner)
+    rest = G.shapes_meet(*(F.col(c) for c in ("l_edges", "l_corners", "r_edges", "r_corners"))) if exact else F.lit(True)
+    if ids is None:
+        met = pairs.where(F.when(~near, F.lit(False)).otherwise(rest))
+    else:
+        met = pairs.where(near).select(*ids, *on)
+        for s, key in zip("lr", ids, strict=True):
+            met = met.join(rows(s).drop(f"{s}_box", *(on if s == "r" else ())), [key, *(on if s == "l" else ())])
+        met = met.where(rest)
+    return met.drop("_z", "_x", "_y", "l_box", "r_box", "l_edges", "r_edges", "l_corners", "r_corners")
+
+
+def _edge_rows(df: DataFrame, r: str, key: str, side: str) -> DataFrame:
+    """``key``, the edge as ``<side>e`` and as a ring of its two ends there and back."""
+    e = F.col(f"{side}e")
+    line = G.ring((e.ax, e.ay), (e.bx, e.by), (e.ax, e.ay), (e.bx, e.by))
+    return _valid(df, r).select(key, F.explode(G.edges_of(df, r)).alias(f"{side}e")).withColumn("ring", line)
+
+
+def _corners_held(points: DataFrame, point_ring: str, point_id: str, shapes: DataFrame, ring: str, shape_id: str, per_slab: int = 4) -> DataFrame:
+    """Pairs of ids where a corner of the first side's shapes lies within a shape of the second, by the even-odd rule.
+
+    A corner meets the shapes whose boxes hold it, and of each only the edges of its own slab: a shape's height is cut into
+    slabs of about ``per_slab`` edges, and an edge goes to those that it spans.
+    """
+    corners = _valid(points, point_ring).select(point_id, F.posexplode(G.corners_of(points, point_ring)).alias("_n", "p")).withColumn("ring", F.array_repeat("p", 4))
+    box = G.bounds_of(shapes, ring)
+    edges = G.edges_of(shapes, ring)
+    height = F.greatest((box.ymax - box.ymin) * per_slab / F.size(edges), F.lit(1e-300))
+    own = _valid(shapes, ring).withColumns({"_low": box.ymin, "_height": height})
+    slab = lambda y: F.floor((y - F.col("_low")) / F.col("_height")).cast("long")
+    met = spatial_join(corners, own.select(shape_id, "_low", "_height", F.col(ring).alias("ring")), exact=False).withColumn("_slab", slab(F.col("p.y")))
+    sides = own.select(shape_id, "_low", "_height", F.explode(edges).alias("e"))
+    sides = sides.where("e.ay <> e.by").select(shape_id, "e", F.explode(F.sequence(slab(F.least("e.ay", "e.by")), slab(F.greatest("e.ay", "e.by")))).alias("_slab"))
+    e, p = F.col("e"), F.col("p")
+    crossed = ((e.ay > p.y) != (e.by > p.y)) & (p.x < (e.bx - e.ax) * (p.y - e.ay) / F.nullif(e.by - e.ay, F.lit(0.0)) + e.ax)
+    crossings = met.join(sides, [shape_id, "_slab"]).where(crossed).groupBy(point_id, shape_id, "_n").agg(F.count("*").alias("crossings"))
+    return crossings.where("crossings % 2 = 1").select(point_id, shape_id)
+
+
+def long_ring_join(left: DataFrame, right: DataFrame, ids: tuple[str, str], *, left_ring: str = "ring", right_ring: str = "ring") -> DataFrame:
+    """As ``spatial_join``, for shapes of many thousand edges (coasts, borders): pairs of ``ids``, each unique on its side.
+
+    Nothing is done for each pair of shapes with all their edges. The edges of all shapes of a side are rows of one table and
+    meet those of the other side by cells as wide as they are; shapes without a common edge point meet if one holds a corner
+    of the other, for which a corner looks at the edges of one slab. The work grows with the edges and with those that are
+    close to each other.
     """
-    extents = _extent(left, left_ring), _extent(right, right_ring)
-    cell = cell or max(extents[0][0], extents[1][0]) or 1.0
-    coarse = cell * COARSE
-    wide = [(w / cell + 2) * (h / cell + 2) > MOST_CELLS for _, w, h in extents]
-
-    def dealt(df: DataFrame, r: str, side: str, mixed: int, other: int, own_wide: bool, others_wide: bool) -> DataFrame:
-        box = F.col(f"{side}_box")
-        rows = df.where(F.size(r) > 3).withColumns({f"{side}_box": G.bounds(F.col(r)), f"{side}_edges": G.edges(F.col(r)) if exact else F.lit(None)}).drop(r)
-        keys = F.concat(_cells(box, cell, 0), _cells(box, coarse, mixed)) if others_wide else _cells(box, cell, 0)
-        if own_wide:
-            keys = F.when(_wide(box, cell), F.concat(_cells(box, coarse, other), _cells(box, coarse, 3))).otherwise(keys)
-        return rows.withColumn("_key", F.explode(keys))
-
-    pairs = dealt(left, left_ring, "l", 1, 2, *wide).join(dealt(right, right_ring, "r", 2, 1, *wide[::-1]), "_key")
-    x, y, tag = F.greatest("l_box.xmin", "r_box.xmin"), F.greatest("l_box.ymin", "r_box.ymin"), F.pmod("_key", F.lit(4))
-    corner = F.when(tag == 0, _cell(x, y, cell) * 4).otherwise(_cell(x, y, coarse) * 4 + tag)
-    near = G.boxes_overlap(F.col("l_box"), F.col("r_box")) & (F.col("_key") == corner)
-    rest = G.polygons_meet(F.col("l_edges"), F.col("r_edges")) if exact else F.lit(True)
-    return pairs.where(F.when(~near, F.lit(False)).otherwise(rest)).drop("_key", "l_box", "r_box", "l_edges", "r_edges")
+    a, b = _edge_rows(left, left_ring, ids[0], "l"), _edge_rows(right, right_ring, ids[1], "r")
+    touching = spatial_join(a, b, exact=False).where(G.edges_meet(F.col("le"), F.col("re"))).select(*ids)
+    inside = _corners_held(left, left_ring, ids[0], right, right_ring, ids[1])
+    around = _corners_held(right, right_ring, ids[1], left, left_ring, ids[0])
+    return touching.unionByName(inside).unionByName(around).distinct()

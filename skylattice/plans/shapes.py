@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
 from skylattice.operators import raster as R
+from skylattice.operators.spatial import long_ring_join, spatial_join
 from skylattice.sources import readers
 from skylattice.sources.readers import scratch
 
-from .views import ctes, number_sql, table, view, wkt_sql
+from .views import border_edges, borders, ctes, meets_sql, number_sql, table, view, wkt_sql
+
 
 def aois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "aois").select("aoi_id", "ring")
@@ -34,6 +36,46 @@ def aoi_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.areas(spark, path, lines=True).select("wkt", F.size("ring").alias("points"), F.col("ring")[2].x.alias("x3"), F.col("ring")[2].y.alias("y3"))
 
 
+def _shape_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of several rings as text, some of them broken in one way each."""
+    shape, kind = F.col("shape"), F.col("shape_id") % 8
+    text = F.when(kind == 0, G.shape_to_wkt(F.slice(shape, 1, 1))).when(kind == 1, F.concat(F.lit("LINESTRING ("), F.col("shape_id").cast("string"), F.lit(" 1, 2 2)")))
+    text = text.when(kind == 2, F.lit("MULTIPOLYGON EMPTY")).when(kind == 3, F.lit("POLYGON ((0 0, 1 0, 1 x, 0 0))")).when(kind == 4, F.lit("polygon((0 0, 1 0, 1 1, 0 1))"))
+    text = text.when(kind == 5, F.lit("POLYGON ((0 0, 1 0, 0 0))")).when(kind == 6, F.lit("POLYGON ((0 0, 1 0, 1 1, 0 0)")).otherwise(G.shape_to_wkt(shape))
+    return view(spark, sf_dir, "shapes").select("shape_id", text.alias("value"))
+
+
+def aoi_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas with holes and several parts written to a text file and read back: parts, rings and area, or what is wrong."""
+    path = scratch(spark, "areas") + ".wkt"
+    _shape_texts(spark, sf_dir).select("value").write.text(path)
+    shape = F.col("shape")
+    return readers.areas(spark, path).select("wkt", "error", F.when(shape.isNotNull(), F.size(shape)).alias("parts"), F.size(F.flatten(shape)).alias("rings"), G.shape_area(shape).alias("area"), F.col("ring").isNotNull().alias("one_ring"))
+
+
+def aoi_shapes_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of GeoJSON features, ten a line."""
+    pairs = lambda r: F.concat(F.lit("["), F.array_join(F.transform(r, lambda p: F.concat(F.lit("["), G.number(p.x), F.lit(","), G.number(p.y), F.lit("]"))), ","), F.lit("]"))
+    nested = lambda items: F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    parts = F.transform("shape", lambda part: nested(F.transform(part, pairs)))
+    body = F.when(F.col("shape_id") % 3 == 0, F.concat(F.lit('"Polygon","coordinates":'), parts[0])).when(F.col("shape_id") % 3 == 1, F.concat(F.lit('"MultiPolygon","coordinates":'), nested(parts))).otherwise('"Point","coordinates":[1,2]')
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"a":"b"},"geometry":{"type":'), body, F.lit("}}"))
+    path = scratch(spark, "areas") + ".geojson"
+    pages = view(spark, sf_dir, "shapes").groupBy(F.expr("shape_id div 10").alias("page")).agg(F.array_join(F.collect_list(feature), ",").alias("f"))
+    pages.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value")).write.text(path)
+    return readers.areas(spark, path, lines=True).select("wkt", "error", F.size(F.flatten("shape")).alias("rings"), G.shape_area(F.col("shape")).alias("area"))
+
+
+def shape_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes that meet areas with a hole and a second part."""
+    return spatial_join(view(spark, sf_dir, "scenes").select("scene_id", "ring"), view(spark, sf_dir, "shapes").select("shape_id", "shape"), right_ring="shape", ids=("scene_id", "shape_id"))
+
+
+def border_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes that meet a nation's border or lie within it; a border has an edge for each customer, twice."""
+    return long_ring_join(view(spark, sf_dir, "scenes").select("scene_id", "ring"), borders(spark, sf_dir), ("scene_id", "nation"), right_ring="border")
+
+
 def drawn_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn shapes: polygons and rectangles become areas, rings too short become error rows, other kinds go."""
     rows = aois(spark, sf_dir).select("aoi_id", F.expr("case aoi_id % 4 when 0 then 'Polygon' when 1 then 'Rectangle' when 2 then 'Circle' else 'Polygon' end").alias("kind"), F.when(F.col("aoi_id") % 4 == 3, F.slice("ring", 1, 2)).otherwise(F.col("ring")).alias("ring"))
@@ -116,7 +158,7 @@ def cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_flatten(spark, sf_dir).where("lat between 41 and 43 and lon between 6 and 7.5 and day in (2, 3)")
 
 
-QUERIES = {q.__name__: q for q in (aoi_wkt, aoi_geojson, drawn_features, aoi_bounds, ring_ops, ring_geojson, ring_wkt, aoi_route, reproject_aoi, raster_cells, crop_window, crop_raster, cube_flatten, cube_subset)}
+QUERIES = {q.__name__: q for q in (aoi_wkt, aoi_geojson, aoi_shapes, aoi_shapes_geojson, shape_search, border_search, drawn_features, aoi_bounds, ring_ops, ring_geojson, ring_wkt, aoi_route, reproject_aoi, raster_cells, crop_window, crop_raster, cube_flatten, cube_subset)}
 
 _PT = [("x", "y"), ("x+4", "y"), ("x+4", "y+2"), ("x+2", "y+2"), ("x+2", "y+4"), ("x", "y+4"), ("x", "y")]
 _NUM = number_sql
@@ -127,7 +169,16 @@ _AREA = ctes("aois", edges=("aois",))
 _CELL = "cell as (select raster_id, r.i as row, c.i as col, ((r.i*31 + c.i*17 + raster_id) % 256)::int as value, origin_x, origin_y from raster, (select unnest(range(16)) as i) r, (select unnest(range(16)) as i) c)"
 _CUBE = "with cube as (select o_custkey as cube, count(*) as n from orders group by 1), flat as (select cube, (i // 16)::int as day, ((i // 4) % 4)::double / 2 + 40 as lat, (i % 4)::double / 2 + 5 as lon, ((i * 7 + n) % 101)::double as value from cube, (select unnest(range(64)) as i)) select * from flat"
 _UTM = """select aoi_id, srid, x, y, radians(y) as phi, radians(x - 15) as lam, 0.00669437999014::double as e2, 0.00669437999014::double / (1 - 0.00669437999014::double) as ep2 from p"""
+_RING = lambda a, b, c, d: "'(' || " + _JOIN([(f"x+{a}", f"y+{b}"), (f"x+{c}", f"y+{b}"), (f"x+{c}", f"y+{d}"), (f"x+{a}", f"y+{d}"), (f"x+{a}", f"y+{b}")], " ", ", ") + " || ')'"
+_HOLED = f"'(' || {_RING(0, 0, 4, 4)} || ', ' || {_RING(1, 1, 3, 3)} || ')'"
+_MULTI = f"'MULTIPOLYGON (' || {_HOLED} || ', (' || {_RING(6, 0, 7, 1)} || '))'"
 ORACLES = {
+    "aoi_shapes": ctes("shapes") + f"""select case k when 0 then 'POLYGON ' || {_HOLED} when 1 then 'LINESTRING (' || shape_id || ' 1, 2 2)' when 2 then 'MULTIPOLYGON EMPTY' when 3 then 'POLYGON ((0 0, 1 0, 1 x, 0 0))' when 4 then 'polygon((0 0, 1 0, 1 1, 0 1))' when 5 then 'POLYGON ((0 0, 1 0, 0 0))' when 6 then 'POLYGON ((0 0, 1 0, 1 1, 0 0)' else {_MULTI} end as wkt,
+ case k when 1 then 'not a polygon' when 2 then 'empty' when 3 then 'bad number' when 4 then 'open ring' when 5 then 'short ring' when 6 then 'not a polygon' end as error,
+ case k when 0 then 1 when 7 then 2 end as parts, case k when 0 then 2 when 7 then 3 end as rings, case k when 0 then 12.0::double when 7 then 13.0::double end as area, false as one_ring from (select *, shape_id % 8 as k from shapes)""",
+    "aoi_shapes_geojson": ctes("shapes") + f"select case shape_id % 3 when 0 then 'POLYGON ' || {_HOLED} when 1 then {_MULTI} else '[1,2]' end as wkt, case when shape_id % 3 = 2 then 'not a polygon' end as error, case shape_id % 3 when 0 then 2 when 1 then 3 end as rings, case shape_id % 3 when 0 then 12.0::double when 1 then 13.0::double end as area from shapes",
+    "shape_search": ctes("scenes", "shapes", edges=("scenes", "shapes")) + ", " + meets_sql("scenes", "shapes") + "select a as scene_id, b as shape_id from hit",
+    "border_search": ctes("scenes", "border_points", edges=("scenes",)).rstrip() + ",\n" + border_edges() + ", " + meets_sql("scenes", "borders") + "select a as scene_id, b as nation from hit",
     "aoi_wkt": _AREA + f"select case when aoi_id % 11 = 0 then 'POINT (1 ' || aoi_id || ')' else {_WKT} end as wkt, case when aoi_id % 11 = 0 then 0 else 7 end as points, case when aoi_id % 11 <> 0 then x end as xmin, case when aoi_id % 11 <> 0 then y + 4 end as ymax, aoi_id % 11 = 0 as rejected from aois where aoi_id % 7 <> 0",
     "aoi_geojson": _AREA + f"select {_WKT} as wkt, 7 as points, x + 4 as x3, y + 2 as y3 from aois",
     "drawn_features": _AREA + f"select aoi_id, case when aoi_id % 4 <> 3 then {_WKT} end as wkt, case when aoi_id % 4 = 3 then 'invalid ring' end as error from aois where aoi_id % 4 <> 2",

@@ -18,6 +18,8 @@ VIEWS = {
  cast((o_orderkey*37) % 22400 as double)/64 - 175 as x0, cast((o_custkey*53) % 9600 as double)/64 - 75 as y0,
  cast(32 + o_orderkey % 64 as double)/64 as w, cast(o_custkey % 16 as double)/64 as k from orders""",
     "aois": "select s_suppkey as aoi_id, cast((s_suppkey*911) % 22400 as double)/64 - 175 as x, cast((s_suppkey*577) % 9600 as double)/64 - 75 as y from supplier",
+    "shapes": "select s_suppkey as shape_id, cast((s_suppkey*911) % 22400 as double)/64 - 175 as x, cast((s_suppkey*577) % 9600 as double)/64 - 75 as y from supplier",
+    "border_points": "select c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) as i, cast(c_nationkey*14 - 175 as double) as x, cast((c_nationkey*37) % 100 - 50 as double) + cast((c_custkey*13) % 64 as double)/64 as low, cast((c_nationkey*37) % 100 - 46 as double) + cast((c_custkey*29) % 64 as double)/64 as high from customer",
     "tiles": "select concat('T', cast(p_partkey as string)) as name, -180 + 6*(p_partkey % 60) as x, -90 + 6*cast(floor(p_partkey/60) as int) as y from part where p_partkey < 1800",
     "product_info": "select o_orderkey as product_id, concat('P_', cast(o_orderkey as string), '_', o_orderstatus) as name from orders where o_orderkey % 7 <> 0",
     "scene_meta": """select o_orderkey as entity_id, (o_orderkey % 3 <> 0) as bulk,
@@ -42,6 +44,9 @@ CORNERS = {
     "aois": [("x", "y"), ("x+4", "y"), ("x+4", "y+2"), ("x+2", "y+2"), ("x+2", "y+4"), ("x", "y+4"), ("x", "y")],
     "tiles": [("x", "y"), ("x+6", "y"), ("x+6", "y+6"), ("x", "y+6"), ("x", "y")],
 }
+#: Parts of the shapes over the view ``shapes``: a square with a square hole, and a smaller square beside it.
+_BOX = lambda a, b, c, d: [(f"x+{a}", f"y+{b}"), (f"x+{c}", f"y+{b}"), (f"x+{c}", f"y+{d}"), (f"x+{a}", f"y+{d}"), (f"x+{a}", f"y+{b}")]
+PARTS = [[_BOX(0, 0, 4, 4), _BOX(1, 1, 3, 3)], [_BOX(6, 0, 7, 1)]]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -55,11 +60,35 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.sql(sql)
     if name in CORNERS:
         df = df.withColumn("ring", G.ring(*((F.expr(x), F.expr(y)) for x, y in CORNERS[name])))
+    if name == "shapes":
+        rings = [[G.ring(*((F.expr(x), F.expr(y)) for x, y in r)) for r in part] for part in PARTS]
+        df = df.withColumn("shape", F.array(*(F.array(*part) for part in rings)))
     if name == "scenes":
         df = df.withColumn("start_ts", F.expr("acq_date + make_dt_interval(0, 0, 0, sec_of_day)"))
     return df
 
 
+def _box_sql(name: str) -> str:
+    return f"{name}_box as (select id, min(x1) as xmin, min(y1) as ymin, max(x1) as xmax, max(y1) as ymax from {name}_edge group by id)"
+
+
+def borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long ring for each nation: along its customers' high points and back along the low ones."""
+    rows = view(spark, sf_dir, "border_points").select("nation", "i", F.expr("x + i / 16D").alias("x"), "low", "high")
+    chain = rows.groupBy("nation").agg(F.sort_array(F.collect_list(F.struct("i", "x", "low", "high"))).alias("p"))
+    there, back = F.transform("p", lambda p: G.point(p.x, p.high)), F.reverse(F.transform("p", lambda p: G.point(p.x, p.low)))
+    return chain.select("nation", G.close_ring(F.concat(there, back)).alias("border"))
+
+
+def border_edges() -> str:
+    """CTEs for DuckDB: edges and boxes of ``borders``."""
+    lead = "lead({}) over (partition by nation order by i)"
+    ends = lambda f, y: f"select nation as id, {n_of[f]} as n, {'true' if f == 'min' else 'false'} as first, x + i / 16.0::double as x1, high as y1, x + i / 16.0::double as x2, low as y2 from border_points where (nation, i) in (select nation, {f}(i) from border_points group by 1)"
+    n_of = {"min": "0", "max": "-1"}
+    chain = lambda y, n: f"select * from (select nation as id, {n} * i as n, false as first, x + i / 16.0::double as x1, {y} as y1, {lead.format('x + i / 16.0::double')} as x2, {lead.format(y)} as y2 from border_points) where x2 is not null"
+    return f"borders_edge as ({ends('min', 'high')} union all {ends('max', 'high')} union all {chain('high', 10)} union all {chain('low', -10)}),\n{_box_sql('borders')}"
+
+
 def ctes(*names: str, edges: tuple[str, ...] = ()) -> str:
     """``with`` clause for DuckDB: the named views (``scenes`` with ``start_ts``) and, for ``edges``, tables
     ``<view>_edge(id, n, x1, y1, x2, y2)`` and ``<view>_box``."""
@@ -70,11 +99,12 @@ def ctes(*names: str, edges: tuple[str, ...] = ()) -> str:
             sql = f"select *, acq_date + to_seconds(sec_of_day) as start_ts from ({sql})"
         out.append(f"{name} as ({sql})")
     for name in edges:
-        key = {"scenes": "scene_id", "aois": "aoi_id", "tiles": "name"}[name]
-        corners = CORNERS[name]
-        sides = " union all ".join(f"select {key} as id, {n} as n, ({a[0]})::double as x1, ({a[1]})::double as y1, ({b[0]})::double as x2, ({b[1]})::double as y2 from {name}" for n, (a, b) in enumerate(zip(corners, corners[1:], strict=False)))
+        key = {"scenes": "scene_id", "aois": "aoi_id", "tiles": "name", "shapes": "shape_id"}[name]
+        rings = [r for part in PARTS for r in part] if name == "shapes" else [CORNERS[name]]
+        lines = [(a, b, n == 0) for r in rings for n, (a, b) in enumerate(zip(r, r[1:], strict=False))]
+        sides = " union all ".join(f"select {key} as id, {n} as n, {first} as first, ({a[0]})::double as x1, ({a[1]})::double as y1, ({b[0]})::double as x2, ({b[1]})::double as y2 from {name}" for n, (a, b, first) in enumerate(lines))
         out.append(f"{name}_edge as ({sides})")
-        out.append(f"{name}_box as (select id, min(x1) as xmin, min(y1) as ymin, max(x1) as xmax, max(y1) as ymax from {name}_edge group by id)")
+        out.append(_box_sql(name))
     return "with " + ",\n".join(out) + "\n"
 
 
@@ -83,8 +113,8 @@ def meets_sql(left: str, right: str) -> str:
     turn = lambda p, q, r: f"sign(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
     e1, e2, f1, f2 = (("e.x1", "e.y1"), ("e.x2", "e.y2"), ("f.x1", "f.y1"), ("f.x2", "f.y2"))
     on = lambda p, a, b: f"({p[0]} between least({a[0]}, {b[0]}) and greatest({a[0]}, {b[0]}) and {p[1]} between least({a[1]}, {b[1]}) and greatest({a[1]}, {b[1]}))"
-    corner = lambda a, b, edge, own, other: f"""select near.a, near.b from near join {a}_edge c on c.id = near.{own} and c.n = 0 join {edge}_edge g on g.id = near.{other}
-  where (g.y1 > c.y1) <> (g.y2 > c.y1) and c.x1 < (g.x2 - g.x1) * (c.y1 - g.y1) / (g.y2 - g.y1) + g.x1 group by near.a, near.b having count(*) % 2 = 1"""
+    corner = lambda a, b, edge, own, other: f"""select near.a, near.b from near join {a}_edge c on c.id = near.{own} and c.first join {edge}_edge g on g.id = near.{other}
+  where (g.y1 > c.y1) <> (g.y2 > c.y1) and c.x1 < (g.x2 - g.x1) * (c.y1 - g.y1) / (g.y2 - g.y1) + g.x1 group by near.a, near.b, c.n having count(*) % 2 = 1"""
     return f"""near as (select l.id as a, r.id as b from {left}_box l, {right}_box r where l.xmin <= r.xmax and r.xmin <= l.xmax and l.ymin <= r.ymax and r.ymin <= l.ymax),
 side as (
   select near.a, near.b, {turn(f1, f2, e1)} as s, {turn(f1, f2, e2)} as t, {turn(e1, e2, f1)} as u, {turn(e1, e2, f2)} as v,

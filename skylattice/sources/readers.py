@@ -16,7 +16,7 @@ PRODUCT_PAGE = "value array<struct<Id:string,Name:string,Collection:struct<Name:
 SCENE_PAGE = "totalHits long, recordsReturned long, results array<struct<entityId:string,displayId:string,options:struct<bulk:boolean>,metadata:array<struct<fieldName:string,value:string>>>>"
 GRANULE_FEED = "feed struct<entry:array<struct<id:string,links:array<struct<href:string,rel:string>>>>>"
 OPTION = "available boolean, entityId string, id string, productName string"
-FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -79,14 +79,20 @@ def _fields(ddl: str) -> str:
 
 
 def areas(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Areas of interest ``wkt, ring`` of a file: one WKT polygon a line, or all features of a GeoJSON file."""
+    """Areas of interest ``wkt, ring, shape, error`` of a file: one WKT polygon or multipolygon a line, or all features of a
+    GeoJSON file. ``shape`` has all parts and holes; ``ring`` is null where there are several rings. What is no polygon, or a
+    broken one, has an ``error`` (``geometry.shape_from_wkt``) and no shape; the area's own text (of GeoJSON: its coordinates)
+    stays as ``wkt``."""
     if path.endswith((".geojson", ".json")):
-        rings = _json(spark, path, FEATURES, lines).select(F.explode("features").alias("f")).select(F.transform(F.col("f.geometry.coordinates")[0], lambda p: G.point(p[0], p[1])).alias("ring"))
-        return rings.select(G.to_wkt(F.col("ring")).alias("wkt"), "ring")
-    if path.endswith((".wkt", ".txt")):
-        lines = spark.read.text(path).select(F.trim("value").alias("wkt")).where("wkt <> ''")
-        return lines.withColumn("ring", G.from_wkt(F.col("wkt")))
-    raise ValueError(f"areas are read from .wkt, .txt, .geojson or .json files, not {path}")
+        found = _json(spark, path, FEATURES, lines).select(F.explode("features").alias("f")).select("f.geometry.*")
+        read = found.select(F.col("coordinates").alias("wkt"), G.shape_from_geojson(F.col("type"), F.col("coordinates")).alias("p"))
+        read = read.withColumn("wkt", F.when(F.col("p.error").isNull(), G.shape_to_wkt(F.col("p.shape"))).otherwise(F.col("wkt")))
+    elif path.endswith((".wkt", ".txt")):
+        read = spark.read.text(path).select(F.trim("value").alias("wkt")).where("wkt <> ''").withColumn("p", G.shape_from_wkt(F.col("wkt")))
+    else:
+        raise ValueError(f"areas are read from .wkt, .txt, .geojson or .json files, not {path}")
+    one = F.when(F.size(F.flatten("p.shape")) == 1, F.flatten("p.shape")[0])
+    return read.select("wkt", one.alias("ring"), "p.shape", "p.error")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
