@@ -4,8 +4,6 @@ and latitude. What lies in a shape follows from the even-odd rule over all its e
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -14,6 +12,12 @@ RING = "array<struct<x:double,y:double>>"
 SHAPE = f"array<array<{RING}>>"
 
 
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` that are worked out once a row. The optimiser repeats the expression of a plain column in every
+    filter and projection that it moves past it, long ones many times over; it moves nothing past a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def point(x: Column | float, y: Column | float) -> Column:
     as_double = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("double")
     return F.struct(as_double(x).alias("x"), as_double(y).alias("y"))
@@ -139,7 +143,7 @@ def shape_area(shape: Column) -> Column:
     return F.aggregate(F.transform(shape, part_area), F.lit(0.0), lambda s, a: s + a)
 
 
-def _nested(df: DataFrame, column: str) -> bool:
+def is_nested(df: DataFrame, column: str) -> bool:
     """Whether a column holds shapes and not single rings."""
     return isinstance(df.schema[column].dataType.elementType, ArrayType)
 
@@ -147,21 +151,21 @@ def _nested(df: DataFrame, column: str) -> bool:
 def is_shape(df: DataFrame, column: str) -> Column:
     """Whether all rings of a row's shape have at least four points."""
     c = F.col(column)
-    return (F.size(c) > 0) & ~F.exists(F.flatten(c), lambda r: F.size(r) < 4) if _nested(df, column) else F.size(c) > 3
+    return (F.size(c) > 0) & ~F.exists(F.flatten(c), lambda r: F.size(r) < 4) if is_nested(df, column) else F.size(c) > 3
 
 
 def edges_of(df: DataFrame, column: str) -> Column:
     """Edges of all rings of a ring or shape column."""
-    return F.flatten(F.transform(F.flatten(F.col(column)), edges)) if _nested(df, column) else edges(F.col(column))
+    return F.flatten(F.transform(F.flatten(F.col(column)), edges)) if is_nested(df, column) else edges(F.col(column))
 
 
 def corners_of(df: DataFrame, column: str) -> Column:
     """One corner of each ring of a ring or shape column."""
-    return F.transform(F.flatten(F.col(column)), lambda r: r[0]) if _nested(df, column) else F.array(F.col(column)[0])
+    return F.transform(F.flatten(F.col(column)), lambda r: r[0]) if is_nested(df, column) else F.array(F.col(column)[0])
 
 
 def bounds_of(df: DataFrame, column: str) -> Column:
-    return bounds(F.flatten(F.flatten(F.col(column))) if _nested(df, column) else F.col(column))
+    return bounds(F.flatten(F.flatten(F.col(column))) if is_nested(df, column) else F.col(column))
 
 
 def _turn(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column) -> Column:
@@ -204,26 +208,3 @@ def shapes_meet(e: Column, e_corners: Column, f: Column, f_corners: Column) -> C
     the other shape or wholly outside."""
     inside = F.exists(e_corners, lambda p: holds_point(f, p.x, p.y)) | F.exists(f_corners, lambda p: holds_point(e, p.x, p.y))
     return F.when(inside, F.lit(True)).otherwise(F.exists(e, lambda x: F.exists(f, lambda y: edges_meet(x, y))))
-
-
-def reproject(r: Column, srid: Column) -> Column:
-    """A WGS84 ring in web Mercator (3857) or UTM (326xx, 327xx), by closed forms; null for any other system."""
-    return F.when(srid == 3857, F.transform(r, _mercator)).when(((srid > 32600) & (srid <= 32660)) | ((srid > 32700) & (srid <= 32760)), F.transform(r, lambda p: _utm(p, srid)))
-
-
-def _mercator(p: Column) -> Column:
-    return point(F.radians(p.x) * 6378137.0, F.log(F.tan(F.lit(math.pi / 4) + F.radians(p.y) / 2)) * 6378137.0)
-
-
-def _utm(p: Column, srid: Column) -> Column:
-    """Transverse Mercator of the WGS84 ellipsoid by the usual series to the sixth order."""
-    a, e2 = 6378137.0, 0.00669437999014
-    ep2 = e2 / (1 - e2)
-    phi, lam = F.radians(p.y), F.radians(p.x - ((srid % 100) * 6 - 183))
-    n = a / F.sqrt(1 - e2 * F.pow(F.sin(phi), F.lit(2.0)))
-    t, c, s = F.pow(F.tan(phi), F.lit(2.0)), ep2 * F.pow(F.cos(phi), F.lit(2.0)), F.cos(phi) * lam
-    m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi))
-    p2, p3, p4, p5, p6 = (F.pow(s, F.lit(float(i))) for i in range(2, 7))
-    east = 0.9996 * n * (s + (1 - t + c) * p3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * p5 / 120) + 500000.0
-    north = 0.9996 * (m + n * F.tan(phi) * (p2 / 2 + (5 - t + 9 * c + 4 * c * c) * p4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * p6 / 720))
-    return point(east, north + F.when(srid > 32700, 10000000.0).otherwise(0.0))

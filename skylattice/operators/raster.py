@@ -1,11 +1,23 @@
-"""Raster windows, masks and grid cubes on tables of cells."""
+"""Raster windows, masks and grid cubes on tables of blocks and cells.
+
+A raster is a row of its header and a row for each square block of cells and band: ``raster_id, band, block_row, block_col,
+values`` with the values row by row. Blocks at the right and lower rim are as small as the raster leaves them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from skylattice.functions import geometry as G
+from skylattice.functions import projections as P
+
+from .spatial import spatial_join
+
+HEADER = ("origin_x", "origin_y", "px", "py", "width", "height")
 
 
 def window_of(header: Column, box: Column) -> Column:
@@ -19,37 +31,144 @@ def window_of(header: Column, box: Column) -> Column:
     return F.struct(a.alias("col0"), b.alias("col1"), c.alias("row0"), d.alias("row1"), (header.origin_x + a * header.px).alias("new_x"), (header.origin_y - c * header.py).alias("new_y"), status.alias("status"))
 
 
-def mask_cells(cells: DataFrame, headers: DataFrame, areas: DataFrame, *, nodata: int = 0) -> DataFrame:
-    """Cells of each raster inside the window of each area it overlaps; centres outside the area become ``nodata``.
+def to_blocks(cells: DataFrame, block: int = 256) -> DataFrame:
+    """Blocks of a table of cells ``raster_id, band, row, col, value``, which must hold each cell of a block once."""
+    keys = [F.col("raster_id"), F.col("band"), F.expr(f"row div {block}").cast("int").alias("block_row"), F.expr(f"col div {block}").cast("int").alias("block_col")]
+    ordered = F.sort_array(F.collect_list(F.struct("row", "col", "value")))
+    return cells.groupBy(*keys).agg(F.transform(ordered, lambda c: c["value"]).alias("values"))
+
+
+def frames(headers: DataFrame, pieces: int = 16, srids: Collection[int] | None = None) -> DataFrame:
+    """``raster_id`` and the box of each raster as a ``ring`` of longitudes and latitudes. The rim is followed in ``pieces`` a
+    side through the inverse projection, with as much to spare. Headers without ``srid``, or of one that is not known, count
+    as being in the areas' system."""
+    x, y = F.col("origin_x"), F.col("origin_y")
+    x1, y0 = x + F.col("px") * F.col("width"), y - F.col("py") * F.col("height")
+    rim = G.ring((x, y0), (x1, y0), (x1, y), (x, y), (x, y0))
+    if "srid" not in headers.columns:
+        return headers.select("raster_id", rim.alias("ring"))
+    rims = headers.select("raster_id", "srid", rim.alias("rim"), (F.col("srid") != 4326).alias("far"))
+    moved = G.hold(G.hold(rims, moved=P.unproject(F.col("rim"), F.col("srid"), pieces, srids)), b=G.bounds(F.col("moved")))
+    dx, dy, b = F.when(F.col("far"), (F.col("b.xmax") - F.col("b.xmin")) / pieces).otherwise(0.0), F.when(F.col("far"), (F.col("b.ymax") - F.col("b.ymin")) / pieces).otherwise(0.0), F.col("b")
+    box = G.ring((b.xmin - dx, b.ymin - dy), (b.xmax + dx, b.ymin - dy), (b.xmax + dx, b.ymax + dy), (b.xmin - dx, b.ymax + dy), (b.xmin - dx, b.ymin - dy))
+    return moved.select("raster_id", F.when(F.col("moved").isNull(), F.col("rim")).otherwise(box).alias("ring"))
 
-    ``headers`` (raster_id, origin_x, origin_y, px, py, width, height) meet ``areas`` (aoi_id, ring) by grid cells on
-    their boxes; only cells of the window are joined, and the polygon test runs on those alone.
+
+def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, block: int = 256, nodata: int | float = 0, ring: str = "ring", pieces: int = 16, levels: list[int] | None = None, srids: Collection[int] | None = None) -> DataFrame:
+    """Blocks of each raster cut to the window of each area (``aoi_id, ring``, a ring or shape) that it overlaps, all bands:
+    ``aoi_id, raster_id, band, block_row, block_col, row0, row1, col0, col1`` (the part within the window, ends excluded), its
+    ``values`` with ``nodata`` where a cell's centre is outside, ``mask``, ``class`` and ``status``.
+
+    Areas go to a raster's own system by ``srid``, their edges cut into ``pieces``; where that is not known they stay as they are
+    (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and areas meet by their boxes. A pair's window is laid out in rows of blocks, each with the
+    area's edges at its height and, for each row of cells, where they cross it; a block that no edge touches is ``inside`` or
+    ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), only ``edge`` blocks decide cell by cell.
+    Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.
     """
-    from .spatial import spatial_join
-
-    x1, y0 = F.col("origin_x") + F.col("px") * F.col("width"), F.col("origin_y") - F.col("py") * F.col("height")
-    frames = headers.withColumn("ring", G.ring((F.col("origin_x"), y0), (x1, y0), (x1, F.col("origin_y")), (F.col("origin_x"), F.col("origin_y")), (F.col("origin_x"), y0)))
-    boxes = areas.withColumn("area", F.col("ring"))
-    pairs = spatial_join(frames, boxes, exact=False)
-    header = F.struct("origin_x", "origin_y", "px", "py", "width", "height")
-    pairs = pairs.withColumn("w", window_of(header, G.bounds(F.col("area")))).where("w.status = 'ok'").withColumn("sides", G.edges(F.col("area"))).drop("area")
-    joined = cells.join(pairs, "raster_id").where("col >= w.col0 and col < w.col1 and row >= w.row0 and row < w.row1")
-    x, y = F.col("origin_x") + (F.col("col") + 0.5) * F.col("px"), F.col("origin_y") - (F.col("row") + 0.5) * F.col("py")
-    inside = G.holds_point(F.col("sides"), x, y)
-    return joined.select("aoi_id", "raster_id", "row", "col", F.when(inside, F.col("value")).otherwise(F.lit(nodata)).alias("value"), inside.alias("inside"))
-
-
-def flatten_cube(cubes: DataFrame, axes: tuple[str, str, str] = ("time", "lat", "lon"), values: str = "values") -> DataFrame:
-    """One row a cell of each cube: the axes' values and the variable at ``(t * n_lat + i) * n_lon + j``. Axis by axis, each
-    with its slices of the values, so that no row bears more than its own slice."""
+    known = "srid" in headers.columns
+    if known and srids is None:
+        srids = [x.srid for x in headers.select("srid").distinct().collect()]
+    pairs = spatial_join(frames(headers, pieces, srids), areas.select("aoi_id", F.col(ring).alias("ring")), exact=False, ids=("raster_id", "aoi_id"), levels=levels)
+    rings = F.flatten(F.col(ring)) if G.is_nested(areas, ring) else F.array(F.col(ring))
+    pairs = pairs.join(areas.select("aoi_id", rings.alias("_given")), "aoi_id").join(headers.select("raster_id", *HEADER, *(["srid"] if known else [])), "raster_id")
+    if known:
+        pairs = G.hold(pairs, _moved=F.when(P.is_known(F.col("srid")), F.transform("_given", lambda r: P.reproject(r, F.col("srid"), pieces, srids))))
+        pairs = G.hold(pairs, _rings=F.coalesce("_moved", "_given"), status=F.when(F.col("_moved").isNull(), "as_is").otherwise("reprojected"))
+    else:
+        pairs = pairs.withColumns({"_rings": F.col("_given"), "status": F.lit("same")})
+    pairs = G.hold(pairs, _box=G.bounds(F.flatten("_rings")), _edges=F.flatten(F.transform("_rings", G.edges)))
+    pairs = G.hold(pairs, w=window_of(F.struct(*HEADER), F.col("_box"))).where("w.status = 'ok'")
+
+    part = lambda low, high, at: (F.greatest(F.col(low), F.col(at) * block).alias(f"_{low}"), F.least(F.col(high), (F.col(at) + 1) * block).alias(f"_{high}"))
+    last = lambda high: F.expr(f"({high} - 1) div {block}")
+    y_of, x_of = lambda row: F.col("origin_y") - (row + 0.5) * F.col("py"), lambda col: F.col("origin_x") + (col + 0.5) * F.col("px")
+    rows = pairs.select("aoi_id", "raster_id", *HEADER, "status", "w.row0", "w.row1", "w.col0", "w.col1", "_edges", F.explode(F.sequence(F.expr(f"w.row0 div {block}"), last("w.row1"))).alias("block_row"))
+    rows = rows.select("*", *part("row0", "row1", "block_row"))
+    high, low = y_of(F.col("_row0")), y_of(F.col("_row1") - 1)
+    rows = G.hold(rows.withColumnRenamed("_edges", "_all"), _edges=F.filter("_all", lambda e: (F.least(e.ay, e.by) <= high) & (F.greatest(e.ay, e.by) >= low))).drop("_all")
+    crossing = lambda e, y: (e.bx - e.ax) * (y - e.ay) / F.nullif(e.by - e.ay, F.lit(0.0)) + e.ax
+    at_row = lambda y: F.transform(F.filter("_edges", lambda e: (e.ay > y) != (e.by > y)), lambda e: crossing(e, y))
+    rows = G.hold(rows, _crossings=F.transform(F.sequence("_row0", F.col("_row1") - 1), lambda r: at_row(y_of(r))))
+    laid = rows.select("*", F.explode(F.sequence(F.expr(f"col0 div {block}"), last("col1"))).alias("block_col")).select("*", *part("col0", "col1", "block_col"))
+    left, right = x_of(F.col("_col0")), x_of(F.col("_col1") - 1)
+    odd = lambda xs, x: F.size(F.filter(xs, lambda v: x < v)) % 2 == 1
+    touched = F.exists("_edges", lambda e: (F.least(e.ax, e.bx) <= right) & (F.greatest(e.ax, e.bx) >= left))
+    kind = F.when(touched, "edge").when(odd(F.col("_crossings")[0], left), "inside").otherwise("outside")
+    plain = lambda c: F.col(f"_{c}").cast("int").alias(c)
+    laid = laid.select("aoi_id", "raster_id", "status", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), *map(plain, ("row0", "row1", "col0", "col1")), "origin_x", "px", "width", kind.alias("class"), F.when(touched, F.col("_crossings")).alias("_crossings"))
+
+    joined = laid.join(blocks, ["raster_id", "block_row", "block_col"])
+    wide = F.least(F.lit(block), F.col("width") - F.col("block_col") * block)
+    across, size = F.col("col1") - F.col("col0"), (F.col("row1") - F.col("row0")) * (F.col("col1") - F.col("col0"))
+    own = F.flatten(F.transform(F.sequence("row0", F.col("row1") - 1), lambda r: F.slice("values", ((r - F.col("block_row") * block) * wide + F.col("col0") - F.col("block_col") * block + 1).cast("int"), across)))
+    by_cell = F.flatten(F.transform("_crossings", lambda xs: F.transform(F.sequence("col0", F.col("col1") - 1), lambda c: odd(xs, x_of(c)))))
+    mask = F.when(F.col("class") == "edge", by_cell).otherwise(F.array_repeat(F.col("class") == "inside", size))
+    value = joined.schema["values"].dataType.elementType.simpleString()
+    blank = F.lit(nodata).cast(value)
+    joined = G.hold(joined, mask=mask, _own=F.when(F.col("class") != "outside", own))
+    kept = F.when(F.col("class") == "inside", F.col("_own")).when(F.col("class") == "outside", F.array_repeat(blank, size)).otherwise(F.zip_with("_own", "mask", lambda v, m: F.when(m, v).otherwise(blank)))
+    return joined.select("aoi_id", "raster_id", "band", "block_row", "block_col", "row0", "row1", "col0", "col1", kept.alias("values"), "mask", "class", "status")
+
+
+def cells_of(cropped: DataFrame) -> DataFrame:
+    """``aoi_id, raster_id, band, row, col, value, inside`` of cropped blocks, a row a cell."""
+    across = F.col("col1") - F.col("col0")
+    flat = cropped.select("aoi_id", "raster_id", "band", "row0", "col0", across.alias("n"), F.posexplode(F.arrays_zip(F.col("values").alias("value"), F.col("mask").alias("inside"))).alias("at", "c"))
+    return flat.select("aoi_id", "raster_id", "band", (F.col("row0") + F.expr("at div n")).cast("int").alias("row"), (F.col("col0") + F.expr("at % n")).cast("int").alias("col"), "c.value", "c.inside")
+
+
+def mask_cells(cells: DataFrame, headers: DataFrame, areas: DataFrame, *, nodata: int = 0, block: int = 256) -> DataFrame:
+    """``crop_blocks`` for a table of cells, with a row a cell: cells within the window of each area their raster overlaps, those
+    outside the area ``nodata``. Cells without ``band`` are of one band, 1."""
+    banded = cells if "band" in cells.columns else cells.withColumn("band", F.lit(1))
+    return cells_of(crop_blocks(to_blocks(banded, block), headers, areas, block=block, nodata=nodata))
+
+
+def flatten_cube(cubes: DataFrame, axes: tuple[str, str, str] = ("time", "lat", "lon"), values: str | tuple[str, ...] = "values") -> DataFrame:
+    """One row a cell of each cube: the axes' values and each variable at ``(t * n_lat + i) * n_lon + j``, under its own name if
+    ``values`` is a tuple and as ``value`` if it is one name. Axis by axis, each with its slices of the values, so that no row
+    bears more than its own slice."""
     t, y, x = axes
-    rest = [F.col(c) for c in cubes.columns if c not in (t, y, x, values)]
+    names = {values: "value"} if isinstance(values, str) else {v: v for v in values}
+    rest = [F.col(c) for c in cubes.columns if c not in (t, y, x, *names)]
 
-    def slices(axis: str, array: str, size: Column, name: str) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.size(axis) - 1), lambda i: F.slice(array, i * size + 1, size))
-        return F.inline(F.arrays_zip(F.col(axis).alias(f"{axis}_value"), parts.alias(name)))
+    def slices(axis: str, size: Column) -> Column:
+        part = lambda v: F.transform(F.sequence(F.lit(0), F.size(axis) - 1), lambda i: F.slice(v, i * size + 1, size)).alias(v)
+        return F.inline(F.arrays_zip(F.col(axis).alias(f"{axis}_value"), *map(part, names)))
 
     some = cubes.where((F.size(t) > 0) & (F.size(y) > 0) & (F.size(x) > 0))
-    planes = some.select(*rest, y, x, slices(t, values, F.size(y) * F.size(x), "_plane"))
-    rows = planes.select(*rest, f"{t}_value", x, slices(y, "_plane", F.size(x), "_row"))
-    return rows.select(*rest, f"{t}_value", f"{y}_value", F.inline(F.arrays_zip(F.col(x).alias(f"{x}_value"), F.col("_row").alias("value"))))
+    planes = some.select(*rest, y, x, slices(t, F.size(y) * F.size(x)))
+    rows = planes.select(*rest, f"{t}_value", x, slices(y, F.size(x)))
+    return rows.select(*rest, f"{t}_value", f"{y}_value", F.inline(F.arrays_zip(F.col(x).alias(f"{x}_value"), *(F.col(v).alias(out) for v, out in names.items()))))
+
+
+def to_chunks(cubes: DataFrame, variables: tuple[str, ...], shape: tuple[int, int, int], axes: tuple[str, str, str] = ("time", "lat", "lon")) -> DataFrame:
+    """Cubes cut into chunks of ``shape``: each has its first index on every axis (``<axis>0``), its part of the axes with their
+    least and greatest value (``<axis>_min``, ``<axis>_max``) and its part of each variable. A table of chunks is what a cube of
+    any size is kept as; cubes that come as one row a file are cut right after they are read."""
+    t, y, x = axes
+    rest = [c for c in cubes.columns if c not in (*axes, *variables)]
+    out = cubes.where((F.size(t) > 0) & (F.size(y) > 0) & (F.size(x) > 0)).withColumns({"_ny": F.size(y), "_nx": F.size(x)})
+    for axis, size in zip(axes, shape, strict=True):
+        out = out.select("*", F.explode(F.sequence(F.lit(0), F.size(axis) - 1, F.lit(size))).alias(f"{axis}0"))
+    out = G.hold(out, **{f"_{axis}": F.slice(axis, F.col(f"{axis}0") + 1, size) for axis, size in zip(axes, shape, strict=True)})
+    own = {axis: F.col(f"_{axis}") for axis in axes}
+    span = lambda axis: F.sequence(F.col(f"{axis}0"), F.col(f"{axis}0") + F.size(own[axis]) - 1)
+    at = lambda i, j: ((i * F.col("_ny") + j) * F.col("_nx") + F.col(f"{x}0") + 1).cast("int")
+    part = lambda v: F.flatten(F.transform(span(t), lambda i: F.flatten(F.transform(span(y), lambda j: F.slice(v, at(i, j), F.size(own[x]))))))
+    limits = [f(own[axis]).alias(f"{axis}_{name}") for axis in axes for f, name in ((F.array_min, "min"), (F.array_max, "max"))]
+    return out.select(*rest, *(f"{a}0" for a in axes), *(own[a].alias(a) for a in axes), *limits, *(part(v).alias(v) for v in variables))
+
+
+def subset_chunks(chunks: DataFrame, variables: tuple[str, ...], axes: tuple[str, str, str] = ("time", "lat", "lon"), **ranges: tuple) -> DataFrame:
+    """Cells of the chunks within the closed ``ranges`` of the axes named, a row a cell and a column a variable. Chunks are chosen
+    by plain comparisons, which reach the scan of a stored table; only variables asked for are read, only chunks that are
+    touched are flattened."""
+    touched, within = F.lit(True), F.lit(True)
+    for axis, (low, high) in ranges.items():
+        touched &= (F.col(f"{axis}_max") >= low) & (F.col(f"{axis}_min") <= high)
+        within &= F.col(f"{axis}_value").between(low, high)
+    inner = {f"{a}0" for a in axes} | {f"{a}_{m}" for a in axes for m in ("min", "max")}
+    rest = [c for c in chunks.columns if c not in inner and c not in axes and not c.startswith("_")]
+    other = [c for c in rest if c not in variables and not isinstance(chunks.schema[c].dataType, ArrayType)]
+    return flatten_cube(chunks.where(touched).select(*other, *axes, *variables), axes, variables).where(within)

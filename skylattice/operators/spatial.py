@@ -15,7 +15,7 @@ ABOVE = 7
 CELL = "array<struct<z:int,x:bigint,y:bigint>>"
 
 
-def _own_level(box: Column) -> Column:
+def own_level(box: Column) -> Column:
     """The level whose cells are just wide enough for a box and an eighth of a cell; null for a box without extent."""
     side = F.greatest(box.xmax - box.xmin, box.ymax - box.ymin)
     return F.ceil(F.log(side * RATIO / (RATIO - 1)) / F.log(F.lit(float(RATIO)))).cast("int")
@@ -23,7 +23,7 @@ def _own_level(box: Column) -> Column:
 
 def levels_of(df: DataFrame, r: str = "ring") -> list[int]:
     """Levels of the boxes of a table: a scan of its shapes, for callers that keep them with a catalogue."""
-    rows = _valid(df, r).select(_own_level(G.bounds_of(df, r)).alias("level")).distinct().collect()
+    rows = _valid(df, r).select(own_level(G.bounds_of(df, r)).alias("level")).distinct().collect()
     return sorted(x.level for x in rows if x.level is not None)
 
 
@@ -68,7 +68,7 @@ def keys_of(box: Column, own: list[int], other: list[int], meets: int) -> Column
     higher level, at most, however wide it is; a pair of two levels meets once.
     """
     ladder = sorted({*own, *other})
-    rung = _snap(_own_level(box), ladder)
+    rung = _snap(own_level(box), ladder)
     none = F.lit(None)
     same = F.when(rung.isin(other), _cells(box, rung, 0))
     waiting = F.when(rung > min(other), _cells(box, rung, meets, 1 / RATIO)) if min(other) < max(own) else none.cast(CELL)
@@ -90,7 +90,7 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
     """
     sides = {"l": (_valid(left, left_ring), left_ring), "r": (_valid(right, right_ring), right_ring)}
     if levels is None:
-        seen = [df.select(F.lit(s).alias("side"), _own_level(G.bounds_of(df, r)).alias("level")) for s, (df, r) in sides.items()]
+        seen = [df.select(F.lit(s).alias("side"), own_level(G.bounds_of(df, r)).alias("level")) for s, (df, r) in sides.items()]
         found = seen[0].unionByName(seen[1]).distinct().collect()
         most = max([x.level for x in found if x.level is not None], default=0)
         held = {s: sorted({max(most - ABOVE if x.level is None else x.level, most - ABOVE) for x in found if x.side == s}) or [most] for s in sides}
@@ -100,12 +100,12 @@ def spatial_join(left: DataFrame, right: DataFrame, *, left_ring: str = "ring",
     def rows(s: str) -> DataFrame:
         df, r = sides[s]
         shape = {f"{s}_edges": G.edges_of(df, r), f"{s}_corners": G.corners_of(df, r)} if exact else {}
-        return df.withColumns({f"{s}_box": G.bounds_of(df, r), **shape}).drop(r)
+        return G.hold(df, **{f"{s}_box": G.bounds_of(df, r)}, **shape).drop(r)
 
     def dealt(s: str) -> DataFrame:
-        df = rows(s) if ids is None else sides[s][0].select(ids["lr".index(s)], *on, G.bounds_of(*sides[s]).alias(f"{s}_box"))
+        df = rows(s) if ids is None else G.hold(sides[s][0], **{f"{s}_box": G.bounds_of(*sides[s])}).select(ids["lr".index(s)], *on, f"{s}_box")
         keys = keys_of(F.col(f"{s}_box"), held[s], held["r" if s == "l" else "l"], 1 if s == "l" else 2)
-        return df.withColumn("_key", F.explode(keys)).select("*", F.col("_key.z").alias("_z"), F.col("_key.x").alias("_x"), F.col("_key.y").alias("_y")).drop("_key")
+        return G.hold(df, _keys=keys).withColumn("_key", F.explode("_keys")).drop("_keys").select("*", F.col("_key.z").alias("_z"), F.col("_key.x").alias("_x"), F.col("_key.y").alias("_y")).drop("_key")
 
     pairs = dealt("l").join(dealt("r"), [*on, "_z", "_x", "_y"])
     size = _size(F.floor(F.col("_z") / 4))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import geometry as G
 from skylattice.operators import catalog as C
 from skylattice.operators.spatial import spatial_join
-from skylattice.sources import adapters, readers
+from skylattice.sources import adapters, readers, snapshots
 from skylattice.sources.readers import scratch
 
 from .views import ctes, meets_sql, table, view, wkt_sql
@@ -178,6 +178,19 @@ def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("provider", "collection", "product_id", "name", "product_type", "tile_id", F.col("start_ts").cast("string").alias("start_ts"), G.to_wkt(F.col("ring")).alias("wkt"), "bbox.xmin", "bbox.ymax", "bulk", attrs.alias("attrs"), links.alias("links"), "content_length")
 
 
+def snapshot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest three products of each area from a catalogue in versions: written once, then one collection replaced by its
+    products with a type, then searched by the files whose boxes meet an area."""
+    path = scratch(spark, "catalogue")
+    rows = scenes(spark, sf_dir).select("scene_id", "collection", "product_type", "start_ts", "ring")
+    snapshots.write(rows, path, keys=("collection",), token="all")
+    snapshots.write(rows.where("collection = 'SENTINEL-2' and product_type is not null"), path, keys=("collection",), replace=True, token="typed")
+    areas = view(spark, sf_dir, "aois").select("aoi_id", "ring")
+    last, _ = snapshots.listing(spark, path)
+    found = C.search(snapshots.read(spark, path, areas=areas).select("scene_id", "collection", "start_ts", "ring"), areas, k=3)
+    return found.select("aoi_id", "scene_id", "collection", F.col("start_ts").cast("string").alias("start_ts"), "rank", F.lit(last.number).cast("long").alias("version"))
+
+
 def dim_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenes that the dimension of products knows; a label's first word is its code."""
     labels = spark.createDataFrame([(c, f"{p} {c} product") for c, p in PRODUCTS], "collection string, label string")
@@ -202,7 +215,7 @@ QUERIES = {
     "catalog_search": catalog_search, "search_counts": search_counts, "bbox_search": bbox_search, "tiles_for_aoi": tiles_for_aoi, "tile_scan": tile_scan,
     "date_open_open": _by_window(C.open_window, "1997-03-01", "1997-03-31"), "date_closed": _by_window(C.closed_window, "1997-03-01", "1997-03-31"), "date_half_open": _by_window(C.half_open_window, "1997-03-01", "1997-03-31"),
     "date_acq": date_acq, "date_defaults": date_defaults, "attr_any": attr_any, "tile_filter": tile_filter, "scene_filter": scene_filter, "topk_global": topk_global, "image_search": image_search,
-    "cap_granules": cap_granules, "granule_links": granule_links, "download_options": download_options, "catalog_scan": catalog_scan, "scene_scan": scene_scan, "catalog_union": catalog_union,
+    "cap_granules": cap_granules, "granule_links": granule_links, "download_options": download_options, "catalog_scan": catalog_scan, "scene_scan": scene_scan, "catalog_union": catalog_union, "snapshot_search": snapshot_search,
     "dim_products": dim_products, "reject_unknown": reject_unknown, "request_validate": request_validate,
 }
 
@@ -210,6 +223,7 @@ SCENE_AREA = ctes("scenes", "aois", edges=("scenes", "aois")) + ", " + meets_sql
 DAY = "select scene_id, start_ts::varchar as start_ts from scenes where start_ts"
 ORACLES = {
     "catalog_search": SCENE_AREA + f"select aoi_id, scene_id, collection, start_ts::varchar as start_ts, rank from (select h.b as aoi_id, scene_id, collection, start_ts, row_number() over (partition by h.b order by start_ts desc, scene_id) as rank from hit h join scenes on scene_id = h.a where start_ts > timestamp '{FIRST} 00:00:00' and start_ts < timestamp '{LAST} 23:59:59') where rank <= 3",
+    "snapshot_search": SCENE_AREA + "select aoi_id, scene_id, collection, start_ts::varchar as start_ts, rank, 2::bigint as version from (select h.b as aoi_id, scene_id, collection, start_ts, row_number() over (partition by h.b order by start_ts desc, scene_id) as rank from hit h join scenes on scene_id = h.a where collection <> 'SENTINEL-2' or product_type is not null) where rank <= 3",
     "search_counts": SCENE_AREA + "select b as aoi_id, collection, count(*) as total, least(count(*), 1000) as returned from hit join scenes on scene_id = a group by all",
     "bbox_search": SCENE_AREA + "select a as scene_id, b as aoi_id from near",
     "tiles_for_aoi": ctes("tiles", "aois", edges=("tiles", "aois")) + ", " + meets_sql("tiles", "aois") + "select name, x::bigint as x, y::bigint as y from tiles where name in (select a from hit)",

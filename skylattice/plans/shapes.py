@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
+from skylattice.functions import projections as P
 from skylattice.operators import raster as R
 from skylattice.operators.spatial import long_ring_join, spatial_join
 from skylattice.sources import readers
@@ -14,6 +15,10 @@ from skylattice.sources.readers import scratch
 from .views import border_edges, borders, ctes, meets_sql, number_sql, table, view, wkt_sql
 
 
+#: Metres across a tile of the sinusoidal grid. A fixed value.
+TILE = 1111950.519667
+
+
 def aois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "aois").select("aoi_id", "ring")
 
@@ -113,7 +118,7 @@ def aoi_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reproject_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     srid = F.expr("case aoi_id % 3 when 0 then 3857 when 1 then 32633 else 2154 end")
     near = aois(spark, sf_dir).select("aoi_id", srid.alias("srid"), F.transform("ring", lambda p: G.point(F.lit(15.0) + p.x / 100, F.lit(45.0) + p.y / 10)).alias("ring"))
-    moved = near.withColumn("moved", G.reproject(F.col("ring"), F.col("srid")))
+    moved = near.withColumn("moved", P.reproject(F.col("ring"), F.col("srid")))
     return moved.select("aoi_id", "srid", F.when(F.col("moved").isNull(), "as_is").otherwise("reprojected").alias("status"), F.round(F.coalesce("moved", "ring")[2].x, 2).alias("x"), F.round(F.coalesce("moved", "ring")[2].y, 2).alias("y"))
 
 
@@ -139,9 +144,45 @@ def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("raster_id", window.alias("w")).select("raster_id", "w.*")
 
 
+def _blocks(of: DataFrame, block: int, value: str) -> DataFrame:
+    """Blocks of rasters, made by their headers alone; ``value`` is a cell's, of ``band``, ``r`` and ``c``."""
+    count = lambda n: F.sequence(F.lit(0), F.expr(f"({n} - 1) div {block}").cast("int"))
+    rows = of.select("raster_id", "band", "width", "height", F.explode(count("height")).alias("block_row")).select("*", F.explode(count("width")).alias("block_col"))
+    span = lambda at, n: f"sequence({at} * {block}, least(({at} + 1) * {block}, {n}) - 1)"
+    return rows.select("raster_id", "band", "block_row", "block_col", F.expr(f"flatten(transform({span('block_row', 'height')}, r -> transform({span('block_col', 'width')}, c -> cast({value} as int))))").alias("values"))
+
+
+def _crop_totals(cropped: DataFrame, *keys: str) -> DataFrame:
+    total = F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s + v)
+    return cropped.groupBy(*keys).agg(F.sum(F.size("mask")).alias("cells"), F.sum(F.size(F.filter("mask", lambda m: m))).alias("kept"), F.sum(total).alias("total"))
+
+
 def crop_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = R.mask_cells(cells(spark, sf_dir), headers(spark, sf_dir), aois(spark, sf_dir))
-    return masked.groupBy("aoi_id", "raster_id").agg(F.count("*").alias("cells"), F.count_if("inside").alias("kept"), F.sum("value").alias("total"))
+    head = headers(spark, sf_dir)
+    blocks = _blocks(head.withColumn("band", F.lit(1)), 8, "(r * 31 + c * 17 + raster_id) % 256")
+    return _crop_totals(R.crop_blocks(blocks, head, aois(spark, sf_dir), block=8), "aoi_id", "raster_id")
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of rasters on tiles of the sinusoidal grid."""
+    return view(spark, sf_dir, "grids").select("raster_id", F.lit(6974).alias("srid"), "origin_x", "origin_y", F.lit(TILE / 40).alias("px"), F.lit(TILE / 40).alias("py"), F.lit(40).alias("width"), F.lit(40).alias("height"))
+
+
+def crop_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two bands of rasters in the sinusoidal system clipped to areas in longitude and latitude."""
+    head = grids(spark, sf_dir)
+    banded = head.withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
+    blocks = _blocks(banded, 16, "(r * 31 + c * 17 + raster_id * band) % 256")
+    return _crop_totals(R.crop_blocks(blocks, head, aois(spark, sf_dir), block=16), "aoi_id", "raster_id", "band")
+
+
+def reproject_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of areas in the sinusoidal and the two conic systems, and how far the way back misses them."""
+    srid = F.expr("case aoi_id % 3 when 0 then 6974 when 1 then 3034 else 5070 end")
+    near = aois(spark, sf_dir).select("aoi_id", srid.alias("srid"), F.transform("ring", lambda p: G.point(F.when(F.col("aoi_id") % 3 == 2, -100.0).otherwise(15.0) + p.x / 10, F.lit(45.0) + p.y / 10)).alias("ring"))
+    moved = near.withColumn("moved", P.reproject(F.col("ring"), F.col("srid"))).withColumn("back", P.unproject(F.col("moved"), F.col("srid")))
+    misses = F.exists(F.zip_with("ring", "back", lambda a, b: (F.abs(a.x - b.x) > 1e-9) | (F.abs(a.y - b.y) > 1e-9)), lambda m: m)
+    return moved.select("aoi_id", "srid", F.round(F.col("moved")[2].x, 2).alias("x"), F.round(F.col("moved")[2].y, 2).alias("y"), misses.alias("misses"))
 
 
 def cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +199,17 @@ def cube_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_flatten(spark, sf_dir).where("lat between 41 and 43 and lon between 6 and 7.5 and day in (2, 3)")
 
 
-QUERIES = {q.__name__: q for q in (aoi_wkt, aoi_geojson, aoi_shapes, aoi_shapes_geojson, shape_search, border_search, drawn_features, aoi_bounds, ring_ops, ring_geojson, ring_wkt, aoi_route, reproject_aoi, raster_cells, crop_window, crop_raster, cube_flatten, cube_subset)}
+def cube_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three variables of chunked cubes, of which an area on two days is read from the chunks that hold some of it."""
+    more = lambda k: F.expr(f"transform(values, v -> v * {k} + 1)")
+    whole = cubes(spark, sf_dir).select("cube", "time", "lat", "lon", F.col("values").alias("ozone"), more(2).alias("dust"), more(3).alias("smoke"))
+    folder = scratch(spark, "chunks")
+    R.to_chunks(whole, ("ozone", "dust", "smoke"), (2, 2, 3)).write.parquet(folder)
+    found = R.subset_chunks(spark.read.parquet(folder), ("ozone", "smoke"), time=(2, 3), lat=(41.0, 43.0), lon=(6.0, 6.0))
+    return found.select("cube", F.col("time_value").alias("day"), F.col("lat_value").alias("lat"), F.col("lon_value").alias("lon"), "ozone", "smoke")
+
+
+QUERIES = {q.__name__: q for q in (aoi_wkt, aoi_geojson, aoi_shapes, aoi_shapes_geojson, shape_search, border_search, drawn_features, aoi_bounds, ring_ops, ring_geojson, ring_wkt, aoi_route, reproject_aoi, reproject_systems, raster_cells, crop_window, crop_raster, crop_grid, cube_flatten, cube_subset, cube_chunks)}
 
 _PT = [("x", "y"), ("x+4", "y"), ("x+4", "y+2"), ("x+2", "y+2"), ("x+2", "y+4"), ("x", "y+4"), ("x", "y")]
 _NUM = number_sql
@@ -169,6 +220,29 @@ _AREA = ctes("aois", edges=("aois",))
 _CELL = "cell as (select raster_id, r.i as row, c.i as col, ((r.i*31 + c.i*17 + raster_id) % 256)::int as value, origin_x, origin_y from raster, (select unnest(range(16)) as i) r, (select unnest(range(16)) as i) c)"
 _CUBE = "with cube as (select o_custkey as cube, count(*) as n from orders group by 1), flat as (select cube, (i // 16)::int as day, ((i // 4) % 4)::double / 2 + 40 as lat, (i % 4)::double / 2 + 5 as lon, ((i * 7 + n) % 101)::double as value from cube, (select unnest(range(64)) as i)) select * from flat"
 _UTM = """select aoi_id, srid, x, y, radians(y) as phi, radians(x - 15) as lam, 0.00669437999014::double as e2, 0.00669437999014::double / (1 - 0.00669437999014::double) as ep2 from p"""
+_D = lambda v: f"{v!r}::double"
+_E = 0.0066943800229**0.5
+_CHI = f"(tan(pi()/4 - phi/2) / pow((1 - {_D(_E)}*sin(phi))/(1 + {_D(_E)}*sin(phi)), {_D(_E / 2)}))"
+_M = f"(cos(phi) / sqrt(1 - {_D(_E * _E)}*pow(sin(phi), 2)))"
+_Q = f"((1 - {_D(_E * _E)}) * (sin(phi)/(1 - {_D(_E * _E)}*pow(sin(phi), 2)) - ln((1 - {_D(_E)}*sin(phi))/(1 + {_D(_E)}*sin(phi)))/{_D(2 * _E)}))"
+_AT = lambda f, deg: f.replace("phi", f"radians({deg}::double)")
+_N1 = f"((ln({_AT(_M, 35)}) - ln({_AT(_M, 65)})) / (ln({_AT(_CHI, 35)}) - ln({_AT(_CHI, 65)})))"
+_R1 = lambda t: f"(6378137 * {_AT(_M, 35)} / (n * pow({_AT(_CHI, 35)}, n)) * pow({t}, n))"
+_N2 = f"((pow({_AT(_M, 29.5)}, 2) - pow({_AT(_M, 45.5)}, 2)) / ({_AT(_Q, 45.5)} - {_AT(_Q, 29.5)}))"
+_R2 = lambda q: f"(6378137 * sqrt(pow({_AT(_M, 29.5)}, 2) + m*{_AT(_Q, 29.5)} - m*{q}) / m)"
+_SYSTEMS = ctes("aois") + f""", p as (select aoi_id, aoi_id % 3 as k, case when aoi_id % 3 = 2 then -100.0::double else 15.0::double end + (x + 4) / 10 as lon, 45 + (y + 2) / 10 as lat, {_N1} as n, {_N2} as m from aois),
+u as (select *, radians(lat) as phi from p)
+select aoi_id, (case k when 0 then 6974 when 1 then 3034 else 5070 end)::int as srid,
+ round(case k when 0 then 6371007.181::double * radians(lon) * cos(phi) when 1 then 4000000 + {_R1(_CHI)} * sin(n * radians(lon - 10)) else {_R2(_Q)} * sin(m * radians(lon + 96)) end, 2) as x,
+ round(case k when 0 then 6371007.181::double * phi when 1 then 2800000 + {_R1(_AT(_CHI, 52))} - {_R1(_CHI)} * cos(n * radians(lon - 10)) else {_R2(_AT(_Q, 23))} - {_R2(_Q)} * cos(m * radians(lon + 96)) end, 2) as y, false as misses from u"""
+_CROP_GRID = ctes("grids", "aois", edges=("aois",)) + """, cut as (select id, x1 + (x2 - x1) * i / 16 as x1, y1 + (y2 - y1) * i / 16 as y1, case when i = 15 then x2 else x1 + (x2 - x1) * (i + 1) / 16 end as x2, case when i = 15 then y2 else y1 + (y2 - y1) * (i + 1) / 16 end as y2 from aois_edge, (select unnest(range(16)) as i)),
+side as (select id, 6371007.181::double * cos(radians(y1)) * radians(x1) as x1, 6371007.181::double * radians(y1) as y1, 6371007.181::double * cos(radians(y2)) * radians(x2) as x2, 6371007.181::double * radians(y2) as y2 from cut),
+box as (select id, least(min(x1), min(x2)) as xmin, least(min(y1), min(y2)) as ymin, greatest(max(x1), max(x2)) as xmax, greatest(max(y1), max(y2)) as ymax from side group by id),
+near as (select raster_id, id as aoi_id, origin_x, origin_y, xmin, ymin, xmax, ymax, 1111950.519667::double / 40 as px from grids, box where xmin < origin_x + 1111950.519667::double and origin_x < xmax and origin_y - 1111950.519667::double < ymax and ymin < origin_y),
+cell as (select *, origin_x + (c + 0.5::double) * px as cx, origin_y - (r + 0.5::double) * px as cy from near, (select unnest(range(40)) as r), (select unnest(range(40)) as c)),
+win as (select * from cell where cx + px/2 > xmin and cx - px/2 < xmax and cy + px/2 > ymin and cy - px/2 < ymax),
+hits as (select aoi_id, raster_id, r, c, count(*) as n from win join side on side.id = aoi_id and (y1 > cy) <> (y2 > cy) and cx < (x2 - x1) * (cy - y1) / (y2 - y1) + x1 group by all)
+select aoi_id, raster_id, band, count(*) as cells, count(*) filter (coalesce(n, 0) % 2 = 1) as kept, sum(case when coalesce(n, 0) % 2 = 1 then (r * 31 + c * 17 + raster_id * band) % 256 else 0 end)::bigint as total from win left join hits using (aoi_id, raster_id, r, c), (select unnest([1, 2])::int as band) group by all"""
 _RING = lambda a, b, c, d: "'(' || " + _JOIN([(f"x+{a}", f"y+{b}"), (f"x+{c}", f"y+{b}"), (f"x+{c}", f"y+{d}"), (f"x+{a}", f"y+{d}"), (f"x+{a}", f"y+{b}")], " ", ", ") + " || ')'"
 _HOLED = f"'(' || {_RING(0, 0, 4, 4)} || ', ' || {_RING(1, 1, 3, 3)} || ')'"
 _MULTI = f"'MULTIPOLYGON (' || {_HOLED} || ', (' || {_RING(6, 0, 7, 1)} || '))'"
@@ -197,10 +271,13 @@ select aoi_id, srid, case when srid = 2154 then 'as_is' else 'reprojected' end a
     "crop_window": ctes("raster", "aois") + """, j as (select raster_id, origin_x, origin_y, case when raster_id % 2 = 0 then origin_x + 0.3::double else x end as ax, case when raster_id % 2 = 0 then origin_y - 0.7::double else y end as ay from raster join aois on aoi_id = raster_id % 10 + 1),
 k as (select *, greatest(0, least(16, floor((ax - origin_x) * 16)::bigint)) as col0, greatest(0, least(16, ceil((ax + 4 - origin_x) * 16)::bigint)) as col1, greatest(0, least(16, floor((origin_y - (ay + 4)) * 16)::bigint)) as row0, greatest(0, least(16, ceil((origin_y - ay) * 16)::bigint)) as row1 from j)
 select raster_id, col0::bigint as col0, col1::bigint as col1, row0::bigint as row0, row1::bigint as row1, origin_x + col0 / 16 as new_x, origin_y - row0 / 16 as new_y, case when col0 < col1 and row0 < row1 then 'ok' else 'no_overlap' end as status from k""",
+    "reproject_systems": _SYSTEMS,
+    "crop_grid": _CROP_GRID,
     "crop_raster": ctes("raster", "aois") + f""", {_CELL}, j as (select aoi_id, cell.*, x, y, origin_x + (col + 0.5::double)/16 as cx, origin_y - (row + 0.5::double)/16 as cy from cell, aois where x <= origin_x + 1 and origin_x <= x + 4 and y <= origin_y and origin_y - 1 <= y + 4),
 w as (select * from j where cx + 1.0::double/32 > x and cx - 1.0::double/32 < x + 4 and cy + 1.0::double/32 > y and cy - 1.0::double/32 < y + 4),
 i as (select *, (cx > x and cx < x + 4 and cy > y and cy < y + 2) or (cx > x and cx < x + 2 and cy > y and cy < y + 4) as inside from w)
 select aoi_id, raster_id, count(*) as cells, count(*) filter (inside) as kept, sum(case when inside then value else 0 end)::bigint as total from i group by all""",
     "cube_flatten": _CUBE,
     "cube_subset": _CUBE + " where lat between 41 and 43 and lon between 6 and 7.5 and day in (2, 3)",
+    "cube_chunks": f"select cube, day, lat, lon, value as ozone, value * 3 + 1 as smoke from ({_CUBE}) where lat between 41 and 43 and lon = 6 and day in (2, 3)",
 }

@@ -11,6 +11,7 @@ from skylattice.operators import ledger as L
 from skylattice.sources import readers as R
 from skylattice.sources.readers import scratch
 from skylattice.streaming import streams as S
+from skylattice.streaming import tail
 
 from .views import VIEWS, ctes, table, view
 
@@ -226,6 +227,38 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_into(S.last_states(_ledger_stream(spark, sf_dir)), scratch(spark, "stream"), "update", key="file_id")
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each file by six hours of event time, of windows that are over by a day."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parque*")
+    chunks = source.select(F.col("user_id").alias("file_id"), "ts", F.floor(F.col("value") * 1000).cast("long").alias("bytes"))
+    out = S.run_into(S.bytes_by_time(chunks, width="6 hours", lateness="1 day"), scratch(spark, "stream"), "append")
+    return out.select("file_id", *(F.col(c).cast("timestamp_ntz").cast("string").alias(c) for c in ("start", "end")), "bytes", "chunks")
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    """The table's lines as eight logs, one file each, in order."""
+    folder = scratch(spark, "logs")
+    rows = view(spark, sf_dir, "progress").withColumn("log", F.col("line_no") % 8)
+    rows.repartition("log").sortWithinPartitions("log", "line_no").select("log", F.col("line").alias("value")).write.partitionBy("log").text(folder)
+    return folder
+
+
+def log_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a few long logs numbered within each, read in splits."""
+    return R.log_lines(spark, _logs(spark, sf_dir)).select(F.regexp_extract("file", r"/log=(\d+)/", 1).cast("long").alias("log"), "line_no", "line")
+
+
+def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest state of each download of each log, by a source that follows the logs."""
+    tail.register(spark)
+    folder = _logs(spark, sf_dir)
+    lines = spark.readStream.format("log_tail").option("path", folder).option("suffix", ".txt").load()
+    rows = lines.withColumn("p", N.progress(F.trim("line"))).where("p is not null")
+    last = F.max_by(F.struct("p.percent", "p.done", "p.total"), "position")
+    found = rows.groupBy(F.regexp_extract("file", r"/log=(\d+)/", 1).cast("long").alias("log"), F.col("p.name").alias("name")).agg(last.alias("last"), F.count("*").alias("lines"))
+    return S.run_into(found.select("log", "name", "lines", "last.*"), scratch(spark, "stream"), "complete")
+
+
 def _ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "attempts")
     ledger = view(spark, sf_dir, "attempts").select(F.col("file_id").cast("long").alias("file_id"), F.col("seq").cast("int").alias("seq"), F.col("status").cast("int").alias("status"), F.col("retry_after").cast("int").alias("retry_after"))
@@ -233,7 +266,7 @@ def _ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(ledger.schema).parquet(folder)
 
 
-QUERIES = {q.__name__: q for q in (output_layout, dest_uri, manifest_odata, manifest_missing, manifest_usgs, zip_manifest, dem_url, file_names, archive_names, json_path, daily_requests, unsafe_archives, single_member, crop_targets, attempt_class, deferred, fetch_summary, batch_progress, resume_plan, size_verify, envelope_split, progress_lines, progress_latest, log_tail, file_inventory, rejected_codes, stream_progress, stream_bytes, stream_retry, stream_states)} | {"retry_plan": _plan(L.DOWNLOAD), "retry_plan_lookup": _plan(L.LOOKUP), "retry_plan_probe": _plan(L.DOWNLOAD, "probes"), "retry_plan_no_refresh": _plan(L.RetryRules(refreshing=False))}
+QUERIES = {q.__name__: q for q in (output_layout, dest_uri, manifest_odata, manifest_missing, manifest_usgs, zip_manifest, dem_url, file_names, archive_names, json_path, daily_requests, unsafe_archives, single_member, crop_targets, attempt_class, deferred, fetch_summary, batch_progress, resume_plan, size_verify, envelope_split, progress_lines, progress_latest, log_tail, file_inventory, rejected_codes, log_numbers, stream_tail, stream_windows, stream_progress, stream_bytes, stream_retry, stream_states)} | {"retry_plan": _plan(L.DOWNLOAD), "retry_plan_lookup": _plan(L.LOOKUP), "retry_plan_probe": _plan(L.DOWNLOAD, "probes"), "retry_plan_no_refresh": _plan(L.RetryRules(refreshing=False))}
 
 
 def _retry_sql(ok: str, refreshes: int | None, delay_cap: str, after_cap: str, ledger: str = "attempts", refreshing: bool = True) -> str:
@@ -300,6 +333,9 @@ ORACLES = {
     "progress_latest": _LATEST,
     "log_tail": ctes("progress") + "select line_no, line from progress where starts_with(line, 'plain') order by line_no desc limit 4",
     "stream_progress": _LATEST,
+    "log_numbers": ctes("progress") + "select (line_no % 8)::bigint as log, (row_number() over (partition by line_no % 8 order by line_no) - 1)::bigint as line_no, line from progress",
+    "stream_tail": _PROGRESS + "select (line_no % 8)::bigint as log, name, count(*) as lines, arg_max(percent, line_no) as percent, arg_max(done, line_no) as done, arg_max(total, line_no) as total from p group by all",
+    "stream_windows": "with w as (select user_id as file_id, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as start, floor(value * 1000)::bigint as bytes from events) select file_id, start::varchar as start, (start + interval 6 hours)::varchar as end, sum(bytes)::bigint as bytes, count(*) as chunks from w where start + interval 6 hours <= (select date_trunc('milliseconds', max(ts)) - interval 1 day from events) group by file_id, start",
     "stream_bytes": "select user_id as file_id, sum(floor(value * 1000)::bigint)::bigint as bytes, count(*) as chunks from events group by 1",
     "stream_retry": _DOWNLOAD_SQL + "select file_id, seq, verdict, wait from plan",
 }

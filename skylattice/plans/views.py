@@ -36,6 +36,7 @@ VIEWS = {
     "members": """select l_suppkey as archive, l_orderkey*10 + l_linenumber as ordinal,
  case when l_suppkey % 10 = 3 and l_linenumber = 7 then '../evil.tif' when l_linenumber % 4 = 0 then concat('a/../b', cast(l_linenumber as string), '.TIF') when l_linenumber % 4 = 1 then concat('g/', cast(l_partkey as string), '.jp2') when l_linenumber % 4 = 2 then 'meta.xml' else 'a/b/c.tiff' end as member_name from lineitem""",
     "raster": "select p_partkey as raster_id, cast((p_partkey*37) % 22400 as double)/64 - 175 + cast(1 as double)/128 as origin_x, cast((p_partkey*53) % 9600 as double)/64 - 70 + cast(1 as double)/128 as origin_y from part",
+    "grids": "select p_partkey as raster_id, cast(-20015109.354 as double) + cast(1111950.519667 as double) * (p_partkey % 36) as origin_x, cast(10007554.677 as double) - cast(1111950.519667 as double) * cast(floor(p_partkey / 36) as int) as origin_y from part where p_partkey < 648",
     "progress": """select event_id as line_no, case when event_type = 'error' then concat('plain message ', cast(event_id as string)) when event_type = 'view' then concat('Concurrent Downloads:  ', cast(event_id % 101 as string), '%|##  | ', cast(event_id % 101 as string), '/100 [00:05<00:05]') else concat('Downloading F', cast(user_id as string), '.zip:  ', cast(event_id % 101 as string), '%|##  | 1.0M/10.0M [00:01<00:09]') end as line from events""",
 }
 #: Corners of the rings over the views above, as SQL of either engine.

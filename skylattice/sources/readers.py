@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import geometry as G
@@ -96,11 +96,22 @@ def areas(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, line`` of log files, one number sequence a file; no lines of a log that is not there yet."""
+    """``file, line_no, line`` of log files, numbered from 0 in each; no lines of a log that is not there yet.
+
+    A log of any length is read in splits. A split's lines follow one another as they are read, and splits follow by where
+    they start in the file, so a line's number is its place in its split and the lines of the splits before it: a count for
+    each split, the only thing that is added up. The text is read twice, once for the counts.
+    """
     if not exists(spark, path):
-        return spark.createDataFrame([], "file string, line_no int, line string")
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+        return spark.createDataFrame([], "file string, line_no long, line string")
+    at = F.monotonically_increasing_id()
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    lines = spark.read.text(path).select(*split, "value", at.alias("_at"))
+    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file", "start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = lines.join(starts, ["file", "start"])
+    return numbered.select("file", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), F.trim("value").alias("line"))
 
 
 def product_files(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tif", ".tiff", ".jp2", ".zip", ".tar", ".tar.gz", ".tgz")) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from skylattice.operators.files import progress
@@ -29,6 +30,34 @@ def running_bytes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"))
 
 
+def bytes_by_time(chunks: DataFrame, *, width: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """Bytes and chunks of each file (``file_id, ts, bytes``) in windows of event time, in append mode: a window comes once,
+    when the newest chunk is ``lateness`` beyond its end, and its state is dropped then. Chunks that come later still are
+    dropped too and counted (``late_rows``), so state is bounded by the files of the last windows."""
+    rows = chunks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    found = rows.groupBy(F.window("ts", width).alias("w"), "file_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("chunks"))
+    return found.select("file_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "bytes", "chunks")
+
+
+def progress_sessions(lines: DataFrame, *, gap: str = "1 hour") -> DataFrame:
+    """Last state of each download (``line, position, ts``) once it has been silent for ``gap``, in append mode; then its state
+    is dropped. A download that goes on after such a silence is a new one."""
+    rows = lines.withColumns({"p": progress(F.trim("line")), "ts": F.col("ts").cast("timestamp")}).where("p is not null").withWatermark("ts", gap)
+    last = F.max_by(F.struct("p.percent", "p.done", "p.total"), F.struct("ts", "position"))
+    found = rows.groupBy(F.session_window("ts", gap).alias("w"), F.col("p.name").alias("name")).agg(last.alias("last"), F.count("*").alias("lines"))
+    return found.select("name", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "lines", "last.*")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stream has dropped since they came after their window, over the progress reports it keeps."""
+    return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows of state after each batch reported."""
+    return [sum(op["numRowsTotal"] for op in report["stateOperators"]) for report in query.recentProgress]
+
+
 def retry_stream(attempts: DataFrame, rules: RetryRules = DOWNLOAD, *, ttl_ms: int | None = None) -> DataFrame:
     """Verdict of each attempt (``file_id, seq, status, retry_after``) as it arrives, by the rules of ``retry_plan``, with the
     state of each file kept between batches; attempts after a file's end are ignored. A file's attempts must arrive in
