@@ -200,3 +200,22 @@ def test_op12_joins_are_equi_joins(spark):
     states = keys.select("key", F.expr("left(key, 5)").alias("node"), F.lit(5).alias("pos"), F.lit(0).alias("edits"))
     text = spelling.step(states, spelling.edge_table(keys, 4).where("depth = 5"), 5)._jdf.queryExecution().toString()
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_wrapped_base64_takes_time_in_proportion():
+    """Twice the lines of one wrapped payload take about twice the time, where a copy a line made it four times."""
+    import base64
+    import time
+
+    from skylattice.llm import secrets
+
+    def seconds(lines):
+        text = base64.encodebytes(b"some words and nothing else in it, " * (lines * 57 // 35)).decode()
+        found = next(secrets.WRAPPED.finditer(text))
+        began = time.perf_counter()
+        for _ in range(3):
+            secrets._from_base64(found)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * seconds(20_000) + 0.5
