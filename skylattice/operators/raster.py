@@ -60,7 +60,8 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     ``values`` with ``nodata`` where a cell's centre is outside, ``mask``, ``class`` and ``status``.
 
     Areas go to a raster's own system by ``srid``, their edges cut into ``pieces``; where that is not known they stay as they are
-    (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and areas meet by their boxes. A pair's window is laid out in rows of blocks, each with the
+    (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and areas meet by their boxes in longitude
+    and latitude; pairs without a cell inside come where their boxes meet in both systems. A pair's window is laid out in rows of blocks, each with the
     area's edges at its height and, for each row of cells, where they cross it; a block that no edge touches is ``inside`` or
     ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), only ``edge`` blocks decide cell by cell.
     Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.

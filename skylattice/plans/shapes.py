@@ -169,11 +169,11 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two bands of rasters in the sinusoidal system clipped to areas in longitude and latitude."""
+    """Two bands of rasters in the sinusoidal system clipped to areas in longitude and latitude, where any cell is inside."""
     head = grids(spark, sf_dir)
     banded = head.withColumn("band", F.explode(F.array(F.lit(1), F.lit(2))))
     blocks = _blocks(banded, 16, "(r * 31 + c * 17 + raster_id * band) % 256")
-    return _crop_totals(R.crop_blocks(blocks, head, aois(spark, sf_dir), block=16), "aoi_id", "raster_id", "band")
+    return _crop_totals(R.crop_blocks(blocks, head, aois(spark, sf_dir), block=16), "aoi_id", "raster_id", "band").where("kept > 0")
 
 
 def reproject_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +242,7 @@ near as (select raster_id, id as aoi_id, origin_x, origin_y, xmin, ymin, xmax, y
 cell as (select *, origin_x + (c + 0.5::double) * px as cx, origin_y - (r + 0.5::double) * px as cy from near, (select unnest(range(40)) as r), (select unnest(range(40)) as c)),
 win as (select * from cell where cx + px/2 > xmin and cx - px/2 < xmax and cy + px/2 > ymin and cy - px/2 < ymax),
 hits as (select aoi_id, raster_id, r, c, count(*) as n from win join side on side.id = aoi_id and (y1 > cy) <> (y2 > cy) and cx < (x2 - x1) * (cy - y1) / (y2 - y1) + x1 group by all)
-select aoi_id, raster_id, band, count(*) as cells, count(*) filter (coalesce(n, 0) % 2 = 1) as kept, sum(case when coalesce(n, 0) % 2 = 1 then (r * 31 + c * 17 + raster_id * band) % 256 else 0 end)::bigint as total from win left join hits using (aoi_id, raster_id, r, c), (select unnest([1, 2])::int as band) group by all"""
+select aoi_id, raster_id, band, count(*) as cells, count(*) filter (coalesce(n, 0) % 2 = 1) as kept, sum(case when coalesce(n, 0) % 2 = 1 then (r * 31 + c * 17 + raster_id * band) % 256 else 0 end)::bigint as total from win left join hits using (aoi_id, raster_id, r, c), (select unnest([1, 2])::int as band) group by all having count(*) filter (coalesce(n, 0) % 2 = 1) > 0"""
 _RING = lambda a, b, c, d: "'(' || " + _JOIN([(f"x+{a}", f"y+{b}"), (f"x+{c}", f"y+{b}"), (f"x+{c}", f"y+{d}"), (f"x+{a}", f"y+{d}"), (f"x+{a}", f"y+{b}")], " ", ", ") + " || ')'"
 _HOLED = f"'(' || {_RING(0, 0, 4, 4)} || ', ' || {_RING(1, 1, 3, 3)} || ')'"
 _MULTI = f"'MULTIPOLYGON (' || {_HOLED} || ', (' || {_RING(6, 0, 7, 1)} || '))'"
