@@ -12,7 +12,7 @@ from collections.abc import Callable, Collection
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import point
+from .geometry import let, point
 
 A = 6378137.0
 #: Squared eccentricities of WGS84 and GRS80, and the radius of the sinusoidal grid's sphere. Fixed values.
@@ -21,12 +21,6 @@ E2_WGS84, E2_GRS80, SPHERE = 0.00669437999014, 0.0066943800229, 6371007.181
 CONICS = {3034: ("conformal", 52.0, 10.0, 35.0, 65.0, 4000000.0, 2800000.0), 5070: ("equal_area", 23.0, -96.0, 29.5, 45.5, 0.0, 0.0)}
 
 
-def let(f: Callable[[Column], Column], **values: Column) -> Column:
-    """``f`` of a struct of ``values``, each of which is worked out once; as plain expressions they would be repeated wherever
-    they are used."""
-    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f)[0]
-
-
 def is_known(srid: Column) -> Column:
     return F.coalesce(srid.isin(4326, 3857, 6974, *CONICS) | _is_utm(srid), F.lit(False))
 

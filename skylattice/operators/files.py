@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.geometry import let
+
 #: Suffixes of the files that are clipped for a provider. Fixed values.
 CLIPPED = {"usgs": (".tif", ".tiff"), "copernicus": (".jp2",), "opentopography": (".tif",)}
 
@@ -92,11 +94,17 @@ def progress(line: Column, strict: bool = False) -> Column:
     ``strict``."""
     # Both kinds of line: description, percent, bar, counts, and times in brackets with a speed behind them at most.
     bar = r"^([^|]*\S) *: *(\d{1,3})%\|[^\[]*\| *([^\s/|]+)/([^\s/|]+) *\[ *([0-9:?]+)<([^\]]*)\](.*)$"
-    part = lambda i: F.regexp_extract(line, bar, i)
+    # One look at the line: a match is written as its parts, and what is no match has none.
+    parts = F.split(F.regexp_replace(F.replace(line, F.lit("\x01"), F.lit(" ")), bar, "\x01".join(f"${i}" for i in range(1, 8))), "\x01")
     counts, sizes = r"^\d+$", r"^[0-9.]+[kMGTP]?$"
-    both = lambda kind: F.rlike(part(3), F.lit(kind)) & F.rlike(part(4), F.lit(kind))
-    batch = (part(1) == "Concurrent Downloads") & both(counts) & (part(6) != "") & F.rlike(part(7), F.lit(r"^\s*\S*$"))
-    name = F.regexp_extract(part(1), r"^Downloading +(.*)$" if strict else r"^(?:Downloading|Resuming) +(.*)$", 1)
-    single = (name != "") & both(sizes) & F.rlike(part(6), F.lit(r"^[0-9:?-]+(,.*)?$")) & ~F.contains(part(5), F.lit("?"))
-    row = lambda name: F.struct(name.alias("name"), part(2).cast("int").alias("percent"), part(3).alias("done"), part(4).alias("total"))
-    return F.when(batch, row(part(1))).when(single, row(name))
+
+    def kinds(v: Column) -> Column:
+        part = lambda i: F.get(v.parts, i - 1)
+        both = lambda kind: F.rlike(part(3), F.lit(kind)) & F.rlike(part(4), F.lit(kind))
+        batch = (part(1) == "Concurrent Downloads") & both(counts) & (part(6) != "") & F.rlike(part(7), F.lit(r"^\s*\S*$"))
+        name = F.regexp_extract(part(1), r"^Downloading +(.*)$" if strict else r"^(?:Downloading|Resuming) +(.*)$", 1)
+        single = (name != "") & both(sizes) & F.rlike(part(6), F.lit(r"^[0-9:?-]+(,.*)?$")) & ~F.contains(part(5), F.lit("?"))
+        row = lambda name: F.struct(name.alias("name"), part(2).cast("int").alias("percent"), part(3).alias("done"), part(4).alias("total"))
+        return F.when(F.size(v.parts) < 7, None).when(batch, row(part(1))).when(single, row(name))
+
+    return let(kinds, parts=parts)

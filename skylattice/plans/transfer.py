@@ -170,7 +170,7 @@ def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.select(F.concat(F.lit("log "), F.col("log").cast("string"), F.lit("\n  "), F.array_join("lines.line", " \n  "))).write.option("maxRecordsPerFile", 1).text(folder)
     lines = R.log_lines(spark, folder)
     heads = lines.where("line_no = 0").select("file", F.substr("line", F.lit(5)).try_cast("long").alias("log"))
-    rows = lines.withColumn("p", N.progress(F.col("line"))).where("p is not null")
+    rows = G.hold(lines, p=N.progress(F.col("line"))).where("p is not null")
     return rows.join(heads, "file").select("log", F.col("line_no").cast("long").alias("line_no"), "p.*")
 
 
@@ -253,7 +253,7 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail.register(spark)
     folder = _logs(spark, sf_dir)
     lines = spark.readStream.format("log_tail").option("path", folder).option("suffix", ".txt").load()
-    rows = lines.withColumn("p", N.progress(F.trim("line"))).where("p is not null")
+    rows = G.hold(lines, p=N.progress(F.trim("line"))).where("p is not null")
     last = F.max_by(F.struct("p.percent", "p.done", "p.total"), "position")
     found = rows.groupBy(F.regexp_extract("file", r"/log=(\d+)/", 1).cast("long").alias("log"), F.col("p.name").alias("name")).agg(last.alias("last"), F.count("*").alias("lines"))
     return S.run_into(found.select("log", "name", "lines", "last.*"), scratch(spark, "stream"), "complete")

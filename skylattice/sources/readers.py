@@ -30,9 +30,25 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or os.environ["SKYLATTICE_LOCAL_CHECKPOINTS"]).rstrip("/")
 
 
+#: Scratch folders that were named and not dropped yet.
+_named: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder of our own under the shared one; nothing is there yet."""
-    return f"{shared_folder(spark)}/skylattice/{label}-{uuid.uuid4().hex}"
+    _named.append(f"{shared_folder(spark)}/skylattice/{label}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch folders named so far, for callers whose results are written: lazy ones may still read them. What is
+    written under such a name with a suffix goes too."""
+    for path in _named:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in store.globStatus(where.suffix("*")) or []:
+            store.delete(found.getPath(), True)
+    _named.clear()
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from skylattice.functions.geometry import hold
 from skylattice.operators.files import progress
 from skylattice.operators.ledger import DOWNLOAD, TIMED_OUT, RetryRules
 from skylattice.sources.readers import exists
@@ -20,7 +21,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def latest_progress(lines: DataFrame) -> DataFrame:
     """Last state of each download by position in the log; a stream gives it in update or complete mode."""
-    rows = lines.withColumn("p", progress(F.trim("line"))).where("p is not null")
+    rows = hold(lines, p=progress(F.trim("line"))).where("p is not null")
     last = F.max_by(F.struct("p.percent", "p.done", "p.total"), "line_no")
     return rows.groupBy(F.col("p.name").alias("name")).agg(last.alias("last")).select("name", "last.*")
 
@@ -42,7 +43,7 @@ def bytes_by_time(chunks: DataFrame, *, width: str = "1 hour", lateness: str = "
 def progress_sessions(lines: DataFrame, *, gap: str = "1 hour") -> DataFrame:
     """Last state of each download (``line, position, ts``) once it has been silent for ``gap``, in append mode; then its state
     is dropped. A download that goes on after such a silence is a new one."""
-    rows = lines.withColumns({"p": progress(F.trim("line")), "ts": F.col("ts").cast("timestamp")}).where("p is not null").withWatermark("ts", gap)
+    rows = hold(lines.withColumn("ts", F.col("ts").cast("timestamp")), p=progress(F.trim("line"))).where("p is not null").withWatermark("ts", gap)
     last = F.max_by(F.struct("p.percent", "p.done", "p.total"), F.struct("ts", "position"))
     found = rows.groupBy(F.session_window("ts", gap).alias("w"), F.col("p.name").alias("name")).agg(last.alias("last"), F.count("*").alias("lines"))
     return found.select("name", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "lines", "last.*")

@@ -218,3 +218,11 @@ def test_deferred_list_replaces_the_last(spark, tmp_path):
         readers.write_deferred(spark.createDataFrame([(url, "n")], "url string, file_name string"), path)
     readers.write_deferred(spark.createDataFrame([], "url string, file_name string"), path)
     assert [r.value for r in spark.read.text(path).collect()] == ["b\tn"]
+
+
+def test_scratch_folders_go(spark):
+    path = readers.scratch(spark, "some") + ".wkt"
+    spark.range(3).selectExpr("cast(id as string) as value").write.text(path)
+    assert readers.exists(spark, path)
+    readers.drop_scratch(spark)
+    assert not readers.exists(spark, path)
