@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.functions.geometry import hold, let
+
 #: Licence templates by SPDX-like name. Fixed values.
 TEMPLATES: dict[str, str] = {
     "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -50,11 +52,10 @@ def plain_text(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")
 
 
-def passages(text: Column) -> Column:
-    """Distinct normalised passages of a text: its lines, its paragraphs and the whole."""
-    plain = plain_text(text)
+def passages(plain: Column) -> Column:
+    """Distinct normalised passages of a text made plain: its lines, its paragraphs and the whole."""
     blocks = F.split(plain, r"\n *\n")
-    return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), blocks, F.array(plain)), lambda x: F.trim(F.translate(x, "\n", " "))))
+    return F.array_distinct(F.transform(F.concat(F.split(plain, "\n"), blocks, F.array(plain)), lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))))
 
 
 def words_in(text: str) -> list[str]:
@@ -74,13 +75,12 @@ def laid(templates: dict[str, str], threshold: float) -> dict[str, list[tuple[in
     return {word: sorted(places) for word, places in sorted(out.items())}
 
 
-def stretches(text: Column, places: dict[str, list[tuple[int, int]]]) -> Column:
-    """The stretches of a text that templates would lie on, by each word of ``places``, as arrays of words."""
-    words = F.split(F.trim(F.translate(plain_text(text), "\n", " ")), " +")
+def stretches(words: Column, places: dict[str, list[tuple[int, int]]], radix: int) -> Column:
+    """Where templates would lie in an array of words by each word of ``places``: distinct numbers ``start * radix + length``."""
     lies = F.create_map(*(x for word, some in places.items() for x in (F.lit(word), F.array(*(F.struct(F.lit(a).alias("back"), F.lit(n).alias("length")) for a, n in some)))))
-    known = F.array(*map(F.lit, places))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(known, x["word"]))
-    return F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(lies, x["word"]), lambda t: F.slice(words, F.greatest(x["at"] - t["back"], F.lit(0)) + 1, t["length"]))))
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(*places))
+    number = lambda x, t: F.greatest(x["at"] - t["back"], F.lit(0)).cast("long") * radix + t["length"]
+    return F.array_distinct(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(lies, x["word"]), lambda t: number(x, t)))))
 
 
 def sizes(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -116,12 +116,17 @@ def scan(df: DataFrame, *, templates: dict[str, str] | None = None, threshold: f
     ``license`` is the template with the best Dice coefficient of ``threshold`` or more over all passages (ties: the first
     name in alphabetical order) and ``score`` that coefficient; both are null if there is none. ``n_matches`` counts the
     pairs of distinct passage and template that reach the threshold. A null or empty text matches nothing. Null ids and
-    repeated rows pass through. Whole texts are read; other columns are not.
+    repeated rows pass through. Whole texts are read; other columns are not. The work grows with a text's length, however many
+    anchors it holds: of its stretches those that are equal are looked at once, and those most of whose bigrams no template
+    has not at all.
     """
     known = sizes(templates or TEMPLATES)
+    places = laid(templates or TEMPLATES, threshold)
+    radix = 1 + max(n for some in places.values() for _, n in some)
     bounds = {name: (len(x) * threshold / (2 - threshold), len(x) * (2 - threshold) / threshold) for name, x in known.items()}
     low, high = min(a for a, _ in bounds.values()), max(b for _, b in bounds.values())
     stencils = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, x)).alias("grams"), F.lit(bounds[name][0]).alias("low"), F.lit(bounds[name][1]).alias("high")) for name, x in sorted(known.items())))
+    every = sorted({g for grams in known.values() for g in grams})
     anchor = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(anchors(known, threshold))})(?![\p{{L}}\p{{N}}])"
     holds = lambda x: F.rlike(x, F.lit(anchor))
 
@@ -129,15 +134,34 @@ def scan(df: DataFrame, *, templates: dict[str, str] | None = None, threshold: f
         fits = F.filter(stencils, lambda t: (F.size(grams) >= t.low) & (F.size(grams) <= t.high))
         return F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(grams, t.grams)) / (F.size(grams) + F.size(t.grams))).alias("score"), t["name"].alias("name")))
 
+    def cut(x: Column, of: str, less: int = 0) -> Column:
+        return F.slice(of, (F.floor(x / radix) + 1).cast("int"), (x % radix - less).cast("int"))
+
+    # Each step is worked out once a row. All but the few texts that hold an anchor go through the steps as null.
+    some = df.select(F.col(id_col).alias("doc"), F.when(holds(F.lower(F.coalesce(F.col(text_col), F.lit("")))), plain_text(F.col(text_col))).alias("plain"))
+    some = hold(some, words=F.split(F.trim(F.translate("plain", "\n", " ")), " +"), whole=F.filter(passages(F.col("plain")), holds)).drop("plain")
+    # A bigram is a number of its own, above 0 if any template has it.
+    gram = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1)))
+    code = F.transform(gram, lambda g: F.when(g.isin(*every), F.abs(F.xxhash64(g))).otherwise(-F.abs(F.xxhash64(g))))
+    some = hold(some, codes=F.when(F.size("words") > 1, code).otherwise(F.when(F.col("words").isNotNull(), F.array().cast("array<bigint>"))), laid=stretches(F.col("words"), places, radix))
+    # Equal stretches of a text become neighbours by their hashes, and one of them is looked at.
+    some = hold(some, sorted=F.sort_array(F.transform("laid", lambda x: F.struct(F.xxhash64(cut(x, "words")).alias("hash"), x.alias("at"))))).drop("laid")
+    as_before = lambda x, y: (x["hash"] == y["hash"]) & (cut(x["at"], "words") == cut(y["at"], "words"))
+    new = F.filter("sorted", lambda x, i: (i == 0) | ~F.coalesce(as_before(x, F.get("sorted", i - 1)), F.lit(False)))
+    some = hold(some, new=F.transform(new, lambda x: x["at"])).drop("sorted")
+
+    def may_reach(x: Column) -> Column:
+        # A coefficient of t takes t / (2 - t) of a passage's own bigrams.
+        own = F.array_distinct(cut(x, "codes", 1))
+        return let(lambda v: F.size(F.filter(v["own"], lambda c: c > 0)) >= F.size(v["own"]) * (threshold / (2 - threshold)) - 1e-9, own=own)
+
+    some = hold(some, near=F.transform(F.filter("new", may_reach), lambda x: F.concat_ws(" ", cut(x, "words")))).drop("new", "codes", "words")
     # A set of n bigrams takes n + 1 words at least; repeats can make a passage longer, so only the lower bound is on words.
-    whole = F.transform(F.filter(passages(F.col(text_col)), holds), lambda x: F.split(x, " +"))
-    words = F.filter(F.array_distinct(F.concat(whole, stretches(F.col(text_col), laid(templates or TEMPLATES, threshold)))), lambda w: F.size(w) > low)
+    words = F.filter(F.transform(F.array_distinct(F.concat("whole", "near")), lambda x: F.split(x, " +")), lambda w: F.size(w) > low)
     grams = F.filter(F.transform(words, bigrams), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
-    reached = F.filter(F.flatten(F.transform(grams, compare)), lambda x: x.score <= -threshold)
-    # The branch is taken by the few texts that hold an anchor.
-    found = df.select(F.col(id_col), F.when(holds(F.lower(F.coalesce(F.col(text_col), F.lit("")))), reached).alias("reached"))
+    found = hold(some, reached=F.filter(F.flatten(F.transform(grams, compare)), lambda x: x.score <= -threshold))
     best = F.array_min("reached")
-    return found.select(id_col, best["name"].alias("license"), F.round(-best["score"], 6).alias("score"), F.coalesce(F.size("reached"), F.lit(0)).cast("long").alias("n_matches"))
+    return found.select(F.col("doc").alias(id_col), best["name"].alias("license"), F.round(-best["score"], 6).alias("score"), F.coalesce(F.size("reached"), F.lit(0)).cast("long").alias("n_matches"))
 
 
 def oracle(templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> str:

@@ -8,6 +8,7 @@ import re
 import struct
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF
 from oracles import same
+from pyspark.sql import functions as F
 
 from skylattice.llm import dedup, licenses, packing, pieces, quality, queries, secrets, tokens
 from skylattice.llm.common import ship, table
@@ -473,3 +475,36 @@ def test_pieces_round_trip(spark, edge, empty):
             assert all(r.n_pieces == len(r.ids) // (4 if ids_as == "binary" else 1) for r in back)
             assert {r.doc_id for r in back} == set(texts)
     assert pieces.n_best(empty, model_path).count() == 0
+
+
+def test_licenses_of_dense_texts_equal_their_sql(spark, tmp_path):
+    """Texts full of anchors, of broken and of repeated templates."""
+    rng = random.Random(4)
+    templates = [t.split() for t in licenses.TEMPLATES.values()]
+    texts = [" ".join(rng.choice(rng.choice(templates)) for _ in range(300)) for _ in range(4)]
+    for _ in range(12):
+        parts = [[w for w in rng.choice(templates) if rng.random() > 0.12] for _ in range(4)]
+        texts.append(rng.choice([" ", "\n", "\n\n"]).join(" ".join(x) for x in parts + parts[:1]))
+    texts += ["the license and software " * 40, (licenses.TEMPLATES["MIT-header"] + "\n") * 3, None, "", "license", "Some line.\n" + licenses.TEMPLATES["GPL-3.0"] + ".\n\n  " + licenses.TEMPLATES["MIT"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    same(licenses.scan(df), licenses.oracle(), str(tmp_path))
+    clash = df.select(F.col("doc_id").alias("words"), F.col("text").alias("laid"))
+    assert licenses.scan(clash, id_col="words", text_col="laid").columns == ["words", "license", "score", "n_matches"]
+    assert licenses.scan(clash, id_col="words", text_col="laid").count() == len(texts)
+
+
+@pytest.mark.parametrize("kind", ["periodic", "random"])
+def test_licenses_take_time_as_the_text_is_long(spark, kind):
+    rng = random.Random(5)
+    words = [w for t in licenses.TEMPLATES.values() for w in licenses.words_in(t)]
+
+    def seconds(size):
+        text = "the license and software " * (size // 25) if kind == "periodic" else " ".join(rng.choice(words) for _ in range(size // 7))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.monotonic()
+        assert [r.n_matches for r in licenses.scan(df).collect()] == [0]
+        return time.monotonic() - start
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 60  # in the square of the anchors 50 kB took minutes
