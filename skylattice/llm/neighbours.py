@@ -26,7 +26,9 @@ from .common import materialise
 
 TABLES = 8
 #: Hashes of a table and cell widths to choose from.
-CHOICES = tuple(itertools.product((6, 8, 10, 12), (1.0, 2.0)))
+CHOICES = tuple(itertools.product((2, 3, 4, 6, 8, 10, 12), (1.0, 2.0)))
+#: Hashes of a table that so many nodes are worth, at most: (nodes, hashes).
+FINER = ((0, 4), (20_000, 8), (1_000_000, 12))
 #: Queries that the number of probes is fitted on, at most, and groups of them by density.
 SAMPLE_QUERIES, STRATA = 256, 8
 #: Nodes that are scored in about the time that one probe takes to be made, sent and looked up.
@@ -116,55 +118,50 @@ def share_a_cell(distance: np.ndarray, width: float) -> np.ndarray:
     return 1 - tail - math.sqrt(2 / math.pi) / r * (1 - np.exp(-(r**2) / 2))
 
 
-def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, nodes: int, *, recall: float = 0.96, most: int = 1024, tables: int, hashes: int, width: float) -> tuple[int, float]:
-    """Probes a table that find ``recall`` of the nearest vectors ``found`` for each of the ``queries``, and a floor.
+def fit_probes(queries: np.ndarray, found: list[np.ndarray], scale: float, *, recall: float = 0.96, most: int = 1024, tables: int, hashes: int, width: float) -> int | None:
+    """Probes a table that find ``recall`` of the nearest vectors ``found`` for the ``queries``; none, if ``most`` do not.
 
-    Queries are put into groups by the score of their last answer, over their length, and every group must reach
-    ``recall``. Where that takes more than ``most`` probes, or more than scoring all ``nodes`` is worth, the floor is the
-    best such score of the group: a query whose last answer is no better is not served by the probes (minus infinity if
-    there is no such group).
+    Queries are put into groups by the score of their last answer, over their length, and every group must reach ``recall``.
     """
-    most = min(most, max(1, nodes // (WORTH * tables)))
     some = [i for i in range(len(queries)) if len(found[i])]
     if not some:
-        return 1, -np.inf
+        return 1
+    most = min(most, 3**hashes)
     ranks = {i: probe_ranks(queries[i], found[i], scale, most=most, tables=tables, hashes=hashes, width=width) for i in some}
     last = {i: float((found[i] @ queries[i]).min() / np.linalg.norm(queries[i])) for i in some}
     some.sort(key=lambda i: last[i])
-    probes, floor = 1, -np.inf
-    for group in np.array_split(np.array(some), min(STRATA, len(some))):
-        need = int(np.quantile(np.concatenate([ranks[i] for i in group.tolist()]), recall, method="higher"))
-        if need > most:
-            floor = max(floor, *(last[i] for i in group.tolist()), -np.inf)
-        else:
-            probes = max(probes, need)
-    return probes, floor
-
-
-def fit(queries: np.ndarray, found: list[np.ndarray], others: np.ndarray, scale: float, nodes: int, *, tables: int, hashes: int | None, width: float | None) -> tuple[int, float, int, int | float]:
-    """Hashes and width (where they are not given), probes and floor that make the sample's queries cheapest, in nodes scored:
-    those that the probes serve make, send and look these up and score what is in their buckets, as many of all ``nodes``
-    as of the sample ``others``; the rest are held against all nodes."""
+    groups = np.array_split(np.array(some), min(STRATA, len(some)))
+    need = max(int(np.quantile(np.concatenate([ranks[i] for i in group.tolist()]), recall, method="higher")) for group in groups)
+    return need if need <= most else None
+
+
+def fit(queries: np.ndarray, found: list[np.ndarray], others: np.ndarray, scale: float, nodes: int, *, tables: int, hashes: int | None, width: float | None) -> tuple[int, int, float, float]:
+    """Probes, hashes and width (where they are not given) that serve all of the sample's queries at the least cost, and the
+    share of the nodes that a query is then held against at most. The cost, in nodes scored, is that of making, sending and
+    looking up the probes and of scoring what is in their buckets, as many of all ``nodes`` as of the sample ``others``."""
     lengths = np.linalg.norm(queries, axis=1)
-    last = np.array([(found[i] @ queries[i]).min() / lengths[i] if len(found[i]) else np.inf for i in range(len(queries))])
     apart = np.sqrt(np.maximum(0, 2 - 2 * (queries @ others.T) / (lengths[:, None] * scale))) if len(others) else np.zeros((len(queries), 0))
-    best: tuple | None = None
-    # In small tables there is nothing to choose: few probes are worth as much as scoring all nodes.
-    choices = CHOICES if nodes > 2 * WORTH * tables else ((8, 2.0),)
-    choices = sorted({(hashes or m, width or w) for m, w in choices})
+    finest = max(m for least, m in FINER if nodes >= least)
+    choices = sorted({(hashes or m, width or w) for m, w in CHOICES if m <= finest})
     one_hash = {w: share_a_cell(apart, w) for w in {w for _, w in choices}}
+    best: tuple | None = None
     for m, w in choices:
-        probes, floor = fit_probes(queries, found, scale, nodes, tables=tables, hashes=m, width=w)
-        met = np.minimum(1, tables * probes * (one_hash[w] ** m).mean(axis=1)) if apart.shape[1] else np.zeros(len(queries))
-        cost = np.where(last <= floor, nodes, 0) + tables * probes * WORTH + met * nodes
-        if best is None or cost.sum() < best[0]:
-            best = (cost.sum(), probes, floor, m, w)
-    _, probes, floor, m, w = best
+        if (probes := fit_probes(queries, found, scale, tables=tables, hashes=m, width=w)) is None:
+            continue
+        met = np.minimum(1, probes * (one_hash[w] ** m).mean(axis=1)) if apart.shape[1] else np.zeros(len(queries))
+        cost = tables * (probes * WORTH + met.mean() * nodes)
+        if best is None or cost < best[0]:
+            best = (cost, probes, m, w, float(met.mean()))
     log = logging.getLogger(__name__)
-    log.info("%d hashes of width %g, %d probes", m, w, probes)
-    if floor > -np.inf:
-        log.warning("Probes do not serve queries whose last answer scores %.6g or less; these are searched exactly", floor)
-    return probes, floor, m, w
+    if best is None:
+        m, w = choices[0]
+        best = (0.0, 3**m if m < 7 else 1024, m, w, 1.0)
+        log.warning("No choice of hashes reaches the recall on the sample; %d hashes of width %g are taken with all their probes", m, w)
+    _, probes, m, w, share = best
+    log.info("%d hashes of width %g, %d probes a table, %.3g of the nodes in them", m, w, probes, share)
+    if share > 0.25:
+        log.warning("Vectors have so little structure that probes meet %.2g of all nodes: the work grows as queries times rows", share)
+    return probes, m, w, share
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -179,6 +176,30 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
         yield own, _vectors(own["vector"])
 
 
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``vectors`` are among each query's ``k`` best, with what ties them but for rounding."""
+    rough = queries @ vectors.T
+    if len(vectors) <= k:
+        return np.nonzero(np.ones_like(rough, bool))
+    low = np.partition(rough, len(vectors) - k, axis=1)[:, len(vectors) - k]
+    slack = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1).max()
+    return np.nonzero(rough >= (low - slack)[:, None])
+
+
+def best_of(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best distinct nodes of each query among ``(query, node, score)``, ties to the smaller node."""
+    who, what, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((-score, what, who))
+    who, what, score = who[order], what[order], score[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
+    who, what, score = who[new], what[new], score[new]
+    order = np.lexsort((what, -score, who))
+    who, what, score = who[order], what[order], score[order]
+    kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[kept], what[kept], score[kept]
+
+
 def exactly(nodes: DataFrame, asking: pa.Table, k: int) -> DataFrame:
     """``query, node, score``: each task's best ``k + 1`` nodes for each row of ``asking`` (node, vector; all of one
     length and few, as they are sent to every task), by inner products with all nodes of that length."""
@@ -228,8 +249,9 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id; only
     vectors of one length are compared with one another. Repeated rows with one id count once. All rows are indexed. Hashes,
     width and probes (where they are not given) are fitted on the true neighbours of at most ``SAMPLE_QUERIES`` queries, so
-    that each group of them by density reaches the recall at the least cost. Queries beyond the reach of the probes, and those left with
-    fewer than ``k`` answers though there are more rows, are searched exactly. An empty table gives an empty result.
+    that each group of them by density reaches the recall at the least cost; every query is answered by its probes. Only
+    queries left with fewer than ``k`` answers though there are more rows, and those of a length that nothing was fitted
+    on, are searched exactly. An empty table gives an empty result.
     Other columns are not read.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -247,7 +269,7 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
     scale = float(scale or 1.0)
     asking = nodes.select("node", "vector").join(asked.select("node").distinct(), "node", "left_semi")
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    floor, fitted = -np.inf, None
+    fitted = None
     if probes is None:
         probes = 1
         common = asking.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -259,7 +281,7 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
             known_of, known_vectors = np.array(known["query"].to_pylist(), object), _vectors(known["vector"].combine_chunks()) if known.num_rows else None
             found = [known_vectors[np.flatnonzero(known_of == q)] if known.num_rows else np.zeros((0, fitted)) for q in sample["node"].to_pylist()]
             others = nodes.where(F.size("vector") == fitted).orderBy(F.xxhash64("node", F.lit(3)), "node").limit(max(256, min(SAMPLE_NODES, (1 << 23) // fitted))).select("vector").toArrow()
-            probes, floor, hashes, width = fit(_vectors(sample["vector"].combine_chunks()), found, _vectors(others["vector"].combine_chunks()), scale, n, tables=tables, hashes=hashes, width=width)
+            probes, hashes, width, _ = fit(_vectors(sample["vector"].combine_chunks()), found, _vectors(others["vector"].combine_chunks()), scale, n, tables=tables, hashes=hashes, width=width)
     hashes, width = hashes or 8, width or 2.0
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,49 +324,51 @@ def nearest(df: DataFrame, *, queries: str, k: int = 20, id_col: str = "vec_id",
             return schema.empty_table()
         key = left["key"].to_numpy()
         order = np.argsort(key, kind="stable")
-        key = key[order]
-        node = left["node"].to_numpy()[order]
-        vector = left["vector"].combine_chunks()
-        sizes = np.diff(vector.offsets.to_numpy())[order]
-        asks, theirs = right["keys"].combine_chunks(), right["vector"].combine_chunks()
-        probe, ends = asks.flatten().to_numpy(), asks.offsets.to_numpy() - asks.offsets[0].as_py()
-        low, high = np.searchsorted(key, probe, "left"), np.searchsorted(key, probe, "right")
-        own_sizes = np.diff(theirs.offsets.to_numpy())
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        vector, theirs = left["vector"].combine_chunks(), right["vector"].combine_chunks()
+        sizes, own_sizes = np.diff(vector.offsets.to_numpy())[order], np.diff(theirs.offsets.to_numpy())
+        asks = right["keys"].combine_chunks()
+        probe, owner = asks.flatten().to_numpy(), np.repeat(np.arange(len(asks)), np.diff(asks.offsets.to_numpy()))
+        found: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
         for size in np.unique(own_sizes).tolist():
-            fits = np.flatnonzero(sizes == size)
+            fits, of_size = order[sizes == size], own_sizes[owner] == size
             if not len(fits):
                 continue
-            rank = np.full(len(key), -1)
-            rank[fits] = np.arange(len(fits))
-            matrix = _vectors(vector.take(pa.array(order[fits])))
-            for q in np.flatnonzero(own_sizes == size).tolist():
-                spans = [np.arange(low[p], high[p]) for p in range(ends[q], ends[q + 1]) if high[p] > low[p]]
-                if not spans:
-                    continue
-                found = np.concatenate(spans)
-                found = found[rank[found] >= 0]
-                found = found[np.unique(node[found], return_index=True)[1]]
-                scores = np.einsum("ij,j->i", matrix[rank[found]], np.array(theirs[q].as_py(), np.float64))
-                best = np.lexsort((node[found], -scores))[: k + 1]
-                out.append((np.full(len(best), q), node[found][best], scores[best]))
-        if not out:
+            matrix, own_key, own_node = _vectors(vector.take(pa.array(fits))), key[fits], left["node"].to_numpy()[fits]
+            line = np.full(len(asks), -1)
+            line[own_sizes == size] = np.arange((own_sizes == size).sum())
+            asking_of = _vectors(theirs.take(pa.array(np.flatnonzero(own_sizes == size))))
+            by_key = np.argsort(probe[of_size], kind="stable")
+            probes_of, owners_of = probe[of_size][by_key], owner[of_size][by_key]
+            known, first = np.unique(probes_of, return_index=True)
+            last = np.append(first[1:], len(probes_of))
+            low, high = np.searchsorted(own_key, known, "left"), np.searchsorted(own_key, known, "right")
+            for i in np.flatnonzero(high > low).tolist():
+                who = owners_of[first[i] : last[i]]
+                for a, c in itertools.product(range(0, len(who), 1024), range(low[i], high[i], 4096)):
+                    some, q = matrix[c : min(c + 4096, high[i])], who[a : a + 1024]
+                    x, y = best_pairs(asking_of[line[q]], some, k + 1)
+                    scores = np.einsum("ij,ij->i", some[y], asking_of[line[q[x]]])
+                    found.append((q[x], own_node[c + y], scores))
+                    waiting += len(x)
+                    if waiting > 1 << 20:
+                        found, waiting = [best_of(found, k + 1)], 0
+        if not found:
             return schema.empty_table()
-        who, what, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        who, what, score = best_of(found, k + 1)
         return pa.table([right["query"].combine_chunks().take(pa.array(who)), pa.array(what, schema.field("node").type), pa.array(score)], schema=schema)
 
     scored = entries.groupBy("shard").cogroup(probing.groupBy("shard")).applyInArrow(meet, f"query {kind}, node {kind}, score double")
     top = lambda x: x.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1)
     best = materialise(top(scored), "best")
-    # Queries that the probes do not serve are searched exactly, block by block.
+    # Queries that the probes leave short of answers are searched exactly, block by block.
     copies = nodes.select("node", F.size("ids").alias("copies"))
-    rest = best.join(copies, "node").groupBy("query").agg((F.sum("copies") - F.max((F.col("query") == F.col("node")).cast("int"))).alias("found"), F.min(F.when(F.col("query") != F.col("node"), F.col("score"))).alias("last"))
+    rest = best.join(copies, "node").groupBy("query").agg((F.sum("copies") - F.max((F.col("query") == F.col("node")).cast("int"))).alias("found"))
     rows_of = nodes.groupBy(F.size("vector").alias("size")).agg(F.sum(F.size("ids")).alias("rows"))
     state = asking.withColumn("size", F.size("vector")).join(rows_of, "size").join(rest.withColumnRenamed("query", "node"), "node", "left")
     short = F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("rows") - 1)
-    poor = F.coalesce(F.col("last") / norm <= F.lit(floor), F.lit(False)) if floor > -np.inf else F.lit(False)
     unfitted = F.col("size") != fitted if fitted is not None else F.lit(False)
-    again = materialise(state.where((F.col("rows") > 1) & (short | poor | unfitted)).select("node", "vector", "size"), "again")
+    again = materialise(state.where((F.col("rows") > 1) & (short | unfitted)).select("node", "vector", "size"), "again")
     answers = [best.select("query", "node", "score")]
     for size, count in again.groupBy("size").count().orderBy("size").collect():
         blocks = -(-count * size // BLOCK)

@@ -302,9 +302,28 @@ def test_hashes_and_width_follow_the_number_of_rows():
     queries = unit(centres + rng.normal(size=(100, 32)) * 0.05)
     found = [unit(c + rng.normal(size=(20, 32)) * 0.05) for c in centres]
     others = unit(rng.normal(size=(2000, 32)))
-    chosen = [neighbours.fit(queries, found, others, 1.0, n, tables=8, hashes=None, width=None) for n in (10**5, 10**9)]
-    (_, floor, m, w), (_, more_floor, more_m, more_w) = chosen
-    assert floor == more_floor == -np.inf and more_m / more_w > m / w
+    (_, m, w, share), (_, more_m, more_w, more_share) = [neighbours.fit(queries, found, others, 1.0, n, tables=8, hashes=None, width=None) for n in (10**5, 10**9)]
+    assert more_m / more_w > m / w and more_share < share < 0.05
+
+
+def test_queries_are_answered_by_probes(spark, monkeypatch):
+    """On vectors without structure: no more than one query in twenty is searched exactly, and recall holds all the same."""
+    asked = []
+    exactly = neighbours.exactly
+    monkeypatch.setattr(neighbours, "exactly", lambda nodes, asking, k: asked.append(asking.num_rows) or exactly(nodes, asking, k))
+    rows = table(spark, SF.replace("0.001", "0.1"), "embeddings").orderBy("vec_id").collect()
+    ids, vectors = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in queries.op6_multiprobe(spark, SF.replace("0.001", "0.1")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert asked[0] == len(got) == 100 and sum(asked[1:]) <= 5  # the first is the sample that probes are fitted on
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        if ids[i] in got:
+            scores = vectors @ vectors[i]
+            scores[i] = -np.inf
+            hits += len(set(got[ids[i]]) & set(ids[np.argsort(-scores)[:20]].tolist()))
+    assert hits >= 0.9 * 20 * sum(1 for q in got if q % 50 == 0)
 
 
 def test_probes_come_in_order_of_cost():
