@@ -52,8 +52,17 @@ MARKS_OF_WRAPPERS = frozenset("alert banner consent cookie header masthead menu
 #: no-sidebar or related-work, is no mark. Fixed values.
 BESIDE = frozenset("area article articles author bar block blog body bottom bottoms box btn button buttons center col column container content element entry fixed form global google group head heading icon icons info inner item items js left level line link links list main message mobile news next outer page panel post posts prev previous primary reader region right row secondary section signup site slot small sticky stories story text title toggle top trail unit user view wrap wrapper".split())
 
+#: Marks that say little of a wrapper whose other names speak of content: what repeats over the host decides. Fixed values.
+GENERIC = frozenset("banner header menu menubar notice notices overlay promo share sharing social sticky toolbar topbar widget widgets".split())
+#: Words of such other names. Fixed values.
+CONTENT = frozenset("article articles body content entry main page post posts story text".split())
+#: Dropped elements that often wrap a page or are left open: article and main elements within them are content. Fixed values.
+WRAPPING = frozenset(("form", "nav"))
+
 #: States of a place: undecided, content, and gone: for good, unless a main element begins, unless a main or article does.
 OPEN, KEEP, DROP, DROP_BUT_MAIN, DROP_BUT_TRUSTED = range(5)
+#: Copies of a page that are dealt out together, at most.
+CROWD = 4096
 SPACE = re.compile(r"\s+")
 COMMENT_END = re.compile("--!?>")
 PARTS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
@@ -61,15 +70,21 @@ PARTS = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 @functools.lru_cache(maxsize=1 << 14)
 def mark_of(names: str, inside: bool) -> int | None:
-    """The state that a class, id or role sets: that of its first name which marks what is not content."""
+    """The state that a class, id or role sets: that of its first name which marks what is not content. Outside of the
+    content's own element a place stays open if its marks are generic and another name speaks of content."""
     known = MARKS if inside else MARKS | MARKS_OUTSIDE
+    state, marks, content = None, set(), False
     for name in names.split():
         parts = {x for x in PARTS.split(re.sub("(?<=[a-z])(?=[A-Z])", "-", name).lower()) if x}
         found = parts & known
         # Beside a mark short prefixes mean nothing either, as in wp-comments; but no-sidebar is no sidebar.
         if found and all(x in known or x in BESIDE or (len(x) < 3 and x != "no") for x in parts):
-            return DROP_BUT_TRUSTED if found <= MARKS_OF_WRAPPERS else DROP_BUT_MAIN
-    return None
+            marks |= found
+            if state is None:
+                state = DROP_BUT_TRUSTED if found <= MARKS_OF_WRAPPERS else DROP_BUT_MAIN
+        elif not found and parts & CONTENT:
+            content = True
+    return OPEN if content and marks and marks <= GENERIC and not inside else state
 
 
 class Blocks(HTMLParser):
@@ -145,13 +160,15 @@ class Blocks(HTMLParser):
                 self.state, self.inside = KEEP, True
         elif self.state in (OPEN, KEEP):
             if tag in DROPPED or any(name == "hidden" for name, _ in attrs):
-                self.state = DROP
+                self.state = DROP_BUT_TRUSTED if tag in WRAPPING and not any(name == "hidden" for name, _ in attrs) else DROP
             elif tag == "header" and not self.inside:
                 self.state = DROP_BUT_TRUSTED
             elif tag not in ("html", "body"):
-                marks = [x for name, value in attrs if name in ("class", "id", "role") and value and (x := mark_of(value, self.inside))]
-                if marks:
-                    self.state = min(marks)
+                marks = [x for name, value in attrs if name in ("class", "id", "role") and value and (x := mark_of(value, self.inside)) is not None]
+                if gone := [x for x in marks if x != OPEN]:
+                    self.state = min(gone)
+                elif marks:
+                    self.state = OPEN
 
     def pop(self) -> None:
         tag, before, inside = self.stack.pop()
@@ -331,17 +348,19 @@ def main_texts(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     that matters to the text. ``group_bytes`` is about how much text one suffix array is built over, and has no bearing on
     the result. Whole pages are read; other columns are not.
     """
-    kind = df.schema[id_col].dataType.simpleString()
     pages = materialise(parsed_pages(df, id_col, url_col, html_col), "pages")
+    prints = materialise(pages.groupBy("host", "print").agg(F.first("size").alias("size"), F.first("has_open").alias("has_open"), F.count("*").alias("copies")), "prints")
     # Only hosts with blocks that structure leaves open, on more than one distinct page, have anything to look for.
-    hosts = pages.groupBy("host").agg(F.bool_or("has_open").alias("has_open"), F.min("print").alias("low"), F.max("print").alias("high"), F.ceil(F.sum("size") / group_bytes).alias("groups"))
+    hosts = prints.groupBy("host").agg(F.bool_or("has_open").alias("has_open"), F.count("*").alias("n"), F.ceil(F.sum("size") / group_bytes).alias("groups"))
     # As a table of known size: while hosts are few Spark sends it to the pages, and beyond that deals both out by host.
-    hosts = materialise(hosts.where("has_open and low <> high").select("host", "groups"), "hosts")
+    hosts = materialise(hosts.where("has_open and n > 1").select("host", "groups"), "hosts")
     columns = [F.col("page").alias(id_col), F.col("url").alias(url_col)]
     whole = F.array_join("texts", "\n\n")
     settled = pages.where("not has_open").unionByName(pages.where("has_open").join(hosts, "host", "left_anti").select(pages.columns)).select(*columns, whole.alias("text"))
 
-    dealt = pages.join(hosts, "host").withColumn("part", F.pmod("print", F.col("groups")))
+    # Pages that are alike are one row; each task leaves one of them before the shuffle.
+    one = pages.join(hosts, "host").groupBy("host", "print").agg(F.first("groups").alias("groups"), F.first(F.struct("states", "texts")).alias("blocks"))
+    dealt = materialise(one.select("host", "print", "groups", F.pmod("print", F.col("groups")).alias("part"), "blocks.*"), "dealt")
 
     def suffixes(rows: pa.Table) -> pa.Table:
         """Distinct hashes of the suffixes of a group, each with the smallest and largest page it is on."""
@@ -371,8 +390,16 @@ def main_texts(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 starts = np.union1d(starts, at[np.isin(found, shared["hash"].to_numpy())])
             out = list(streams.main_texts(rows, starts))
         at = pa.array([i for i, _ in out], pa.int64())
-        return pa.table([rows["page"].take(at), rows["url"].take(at), pa.array([x for _, x in out], pa.string())], [id_col, url_col, "text"])
-
-    streams = dealt.select("host", "part", "page", "url", "print", "states", "texts")
-    rest = streams.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInArrow(cut, f"`{id_col}` {kind}, `{url_col}` string, text string")
+        return pa.table([rows["host"].take(at), rows["print"].take(at), pa.array([x for _, x in out], pa.string())], ["host", "print", "text"])
+
+    streams = dealt.select("host", "part", "print", "states", "texts")
+    found = streams.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInArrow(cut, "host string, print long, text string")
+    # Back to the rows; the copies of a page that has many are dealt, and its text is sent to each deal.
+    deals = F.ceil(F.col("copies") / CROWD).cast("int")
+    crowded = materialise(prints.where(F.col("has_open") & (F.col("copies") > CROWD)).join(hosts, "host", "left_semi").select("host", "print", deals.alias("deals")), "crowded")
+    dealt_out = F.coalesce("deals", F.lit(1))
+    found = found.join(crowded, ["host", "print"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0), dealt_out - 1))).drop("deals")
+    rows = pages.where("has_open").select("page", "url", "host", "print").join(crowded, ["host", "print"], "left")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), dealt_out).cast("int")).drop("deals")
+    rest = rows.join(found, ["host", "print", "deal"]).select(*columns, "text")
     return settled.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

@@ -189,6 +189,35 @@ def test_main_text_by_repetition(spark):
     assert {r.text for r in html_text.main_texts(same).collect()} == {shared}  # equal pages are one page
 
 
+def test_wrappers_do_not_take_articles_with_them():
+    kept = ['<form id="f"><div><article><p>x', "<form><main><p>x", '<div class="content share"><article><p>x', "<nav>menu<article><p>x"]
+    left_open = ['<div class="text social"><p>x', '<div class="page header-menu"><p>x', '<div class="article-list widget"><p>x']
+    gone = ["<form><p>x", "<form hidden><article>x", '<div class="comments"><article>x', '<div class="widget widget_text"><p>x', '<div class="page menu" id="sidebar">x', '<div class="page sidebar">x']
+    for pages, expected in ((kept, [(html_text.KEEP, "x")]), (left_open, [(html_text.OPEN, "x")]), (gone, [])):
+        for page in pages:
+            assert html_text.blocks_of(page) == expected, page
+
+
+def test_pages_table_by_brute_force(spark):
+    rows = [tuple(r) for r in table(spark, SF.replace("0.001", "0.01"), "pages").select("page_id", "url", "html").collect()]
+    expected = dict(zip([r[0] for r in rows], brute_texts(rows, 8), strict=True))
+    assert {r.page_id: r.text for r in queries.op8_host_suffix_text(spark, SF.replace("0.001", "0.01")).collect()} == expected
+
+
+def test_copies_of_a_page_are_dealt_out(spark, monkeypatch):
+    """A host nine tenths of whose rows are one page, with groups so small that it has many."""
+    monkeypatch.setattr(html_text, "CROWD", 50)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(30)]
+    htmls = ["".join(f"<p>{x} {rng.choice(words)}" for x in rng.choice(lines, 4)) for _ in range(60)]
+    rows = [(i, "http://a/", htmls[0] if i % 10 else htmls[i // 10]) for i in range(600)]
+    expected = brute_texts(rows, 8)
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), group_bytes=500)
+    assert {r.page_id: r.text for r in got.collect()} == dict(enumerate(expected)) and got.count() == 600
+    assert len({x for x in expected}) > 10
+
+
 def test_suffix_array_covers_what_windows_do():
     rng = np.random.default_rng(4)
     for run in (2, 3, 5):
