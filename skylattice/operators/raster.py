@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType
 from skylattice.functions import geometry as G
 from skylattice.functions import projections as P
 
-from .spatial import spatial_join
+from .spatial import by_shuffle, spatial_join
 
 HEADER = ("origin_x", "origin_y", "px", "py", "width", "height")
 
@@ -71,7 +71,7 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
         srids = [x.srid for x in headers.select("srid").distinct().collect()]
     pairs = spatial_join(frames(headers, pieces, srids), areas.select("aoi_id", F.col(ring).alias("ring")), exact=False, ids=("raster_id", "aoi_id"), levels=levels)
     rings = F.flatten(F.col(ring)) if G.is_nested(areas, ring) else F.array(F.col(ring))
-    pairs = pairs.join(areas.select("aoi_id", rings.alias("_given")), "aoi_id").join(headers.select("raster_id", *HEADER, *(["srid"] if known else [])), "raster_id")
+    pairs = pairs.join(by_shuffle(areas.select("aoi_id", rings.alias("_given"))), "aoi_id").join(by_shuffle(headers.select("raster_id", *HEADER, *(["srid"] if known else []))), "raster_id")
     if known:
         pairs = G.hold(pairs, _moved=F.when(P.is_known(F.col("srid")), F.transform("_given", lambda r: P.reproject(r, F.col("srid"), pieces, srids))))
         pairs = G.hold(pairs, _rings=F.coalesce("_moved", "_given"), status=F.when(F.col("_moved").isNull(), "as_is").otherwise("reprojected"))
@@ -98,7 +98,7 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     plain = lambda c: F.col(f"_{c}").cast("int").alias(c)
     laid = laid.select("aoi_id", "raster_id", "status", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), *map(plain, ("row0", "row1", "col0", "col1")), "origin_x", "px", "width", kind.alias("class"), F.when(touched, F.col("_crossings")).alias("_crossings"))
 
-    joined = laid.join(blocks, ["raster_id", "block_row", "block_col"])
+    joined = laid.join(by_shuffle(blocks), ["raster_id", "block_row", "block_col"])
     wide = F.least(F.lit(block), F.col("width") - F.col("block_col") * block)
     across, size = F.col("col1") - F.col("col0"), (F.col("row1") - F.col("row0")) * (F.col("col1") - F.col("col0"))
     own = F.flatten(F.transform(F.sequence("row0", F.col("row1") - 1), lambda r: F.slice("values", ((r - F.col("block_row") * block) * wide + F.col("col0") - F.col("block_col") * block + 1).cast("int"), across)))
