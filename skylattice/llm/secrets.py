@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
 import hashlib
 import html
 import itertools
@@ -117,6 +116,10 @@ def _strict(raw: bytes) -> bool:
         return False
 
 
+class Damaged(Exception):
+    """Compressed data that is broken or ends too early."""
+
+
 def _inflating(raw: bytes) -> Iterator[bytes]:
     """What gzip, zlib or Zstandard bytes hold, in small chunks; all members of a file. Raises if they are damaged."""
     if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0):
@@ -127,7 +130,7 @@ def _inflating(raw: bytes) -> Iterator[bytes]:
                 out = stream.decompress(rest, 1 << 20)
                 rest = stream.unconsumed_tail
                 if not out and not rest and not stream.eof:
-                    raise zlib.error("cut short")
+                    raise Damaged("cut short")
                 yield out
             rest = stream.unused_data.lstrip(b"\0")
     elif raw[:4] == b"\x28\xb5\x2f\xfd":
@@ -138,15 +141,19 @@ def _inflating(raw: bytes) -> Iterator[bytes]:
             stream = zstandard.ZstdDecompressor().decompressobj()
             while not stream.eof:
                 if at >= len(raw):
-                    raise ValueError("cut short")
-                out = stream.decompress(raw[at : at + 1024])
+                    raise Damaged("cut short")
+                try:
+                    out = stream.decompress(raw[at : at + 1024])
+                except zstandard.ZstdError as error:
+                    raise Damaged(str(error)) from error
                 at = min(len(raw), at + 1024) - len(stream.unused_data)
                 yield out
 
 
 def inflate(raw: bytes) -> Iterator[bytes]:
     """What gzip, zlib or Zstandard bytes hold, in overlapping pieces; nothing if they are none of these or damaged before
-    the first piece is full. Of data damaged later the pieces before the damage are given."""
+    the first piece is full. Of data damaged later the pieces before the damage are given. Only damaged data is passed over:
+    a missing library, a lack of memory or any other error is raised, as nothing found would look like a clean text."""
     held, fresh, first = bytearray(), False, True
     try:
         for chunk in _inflating(raw):
@@ -156,11 +163,7 @@ def inflate(raw: bytes) -> Iterator[bytes]:
                 yield bytes(held)
                 del held[:-OVERLAP]
                 fresh = first = False
-    except (zlib.error, gzip.BadGzipFile, ImportError, ValueError, OSError, MemoryError):
-        fresh = fresh and not first
-    except Exception as e:  # zstandard's own error class, whose module may be absent
-        if type(e).__name__ != "ZstdError":
-            raise
+    except (zlib.error, Damaged):
         fresh = fresh and not first
     if fresh:
         yield bytes(held)

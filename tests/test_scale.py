@@ -9,3 +9,25 @@ from skylattice.plans import registry
 @pytest.mark.parametrize("name", ["crop_raster", "border_search"])
 def test_no_derived_table_goes_through_the_driver(spark, name):
     assert "Broadcast" not in registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("error", [ImportError, MemoryError, OSError, ValueError])
+def test_only_damaged_data_is_passed_over(monkeypatch, error):
+    """A failure while data is inflated is no clean text, in ``find`` and in ``mask`` alike."""
+    import base64
+    import zlib
+
+    from skylattice.llm import secrets
+
+    packed = zlib.compress(b"token = abcdefghijkl123456, and some more text to inflate")
+    assert list(secrets.inflate(packed[:-3])) == [] and list(secrets.inflate(b"\x28\xb5\x2f\xfd" + bytes(9))) == []
+    text = "see " + base64.b64encode(packed).decode()
+    assert secrets.find_secrets(text)[1]
+
+    def broken(raw):
+        raise error("no such thing")
+        yield
+
+    monkeypatch.setattr(secrets, "_inflating", broken)
+    with pytest.raises(error):
+        secrets.find_secrets(text)
