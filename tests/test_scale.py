@@ -31,3 +31,23 @@ def test_only_damaged_data_is_passed_over(monkeypatch, error):
     monkeypatch.setattr(secrets, "_inflating", broken)
     with pytest.raises(error):
         secrets.find_secrets(text)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_slices_of_a_search_are_one_search(spark, monkeypatch, descending):
+    """Slices of a few rows, equal times, nulls and areas with fewer products than asked for; most pairs are not made."""
+    from pyspark.sql import functions as F
+
+    from skylattice.functions import geometry as G
+    from skylattice.operators import catalog as C
+
+    square = lambda x, side: G.ring((x, F.lit(0.0)), (x + side, F.lit(0.0)), (x + side, F.lit(side)), (x, F.lit(side)), (x, F.lit(0.0)))
+    rows = spark.range(3000).select(F.col("id").alias("scene_id"), F.expr("case when id % 97 > 0 then (id * 7919) % 500 end").alias("t"), square((F.col("id") * 31 % 100).cast("double"), 1.0).alias("ring"))
+    areas = spark.range(30).select(F.col("id").alias("aoi_id"), square(F.when(F.col("id") % 10 == 9, F.col("id") + 80.5).otherwise(F.col("id") * 3).cast("double"), 2.0).alias("ring"))
+    want = C.first_met(rows, areas, "t", "scene_id", 70, descending=descending).select("aoi_id", "rank", "scene_id").collect()
+    made = []
+    join = C.spatial_join
+    monkeypatch.setattr(C, "SLICE", 2)
+    monkeypatch.setattr(C, "spatial_join", lambda *a, **b: made.append(join(*a, **b)) or made[-1])
+    got = C.first_met(rows, areas, "t", "scene_id", 70, descending=descending).select("aoi_id", "rank", "scene_id").collect()
+    assert len(made) > 1 and sorted(map(tuple, got)) == sorted(map(tuple, want))
