@@ -189,7 +189,9 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, written first; other files there are left out."""
     folder = scratch(spark, "products")
     rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.repeat(F.lit("x"), F.expr("cast(s_suppkey % 97 + s_nationkey as int)")).alias("value"))
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("nation").text(folder)
+    # A file a row from many tasks, which each put theirs in place; by default the driver moves all files one after another.
+    spread = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+    spread.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("nation").text(folder)
     found = R.product_files(spark, folder, (".txt",))
     return found.select(F.regexp_extract("path", r"/nation=(\d+)/", 1).cast("long").alias("nation"), "length").orderBy("length", "nation")
 
