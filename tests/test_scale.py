@@ -120,3 +120,21 @@ def test_few_pairs_come_to_one_cell_without_meeting(spark):
 def test_pairs_are_not_shuffled_again(spark):
     text = registry.QUERIES["shape_search"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Join Inner") == 1
+
+
+def test_areas_of_equal_shape_are_counted_for_once(spark, monkeypatch, tmp_path):
+    """Suppliers 67200 keys apart have areas of equal shape."""
+    import os
+
+    from skylattice.plans import search
+
+    for name in os.listdir(SF):
+        os.symlink(f"{SF}/{name}", tmp_path / name)
+    os.unlink(tmp_path / "supplier.parquet")
+    spark.sql(f"select s_suppkey + 67200 * i as s_suppkey, s_name, s_nationkey from parquet.`{SF}/supplier.parquet`, (select explode(array(0, 1, 2)) as i)").write.parquet(str(tmp_path / "supplier.parquet"))
+    sides, join = [], search.spatial_join
+    monkeypatch.setattr(search, "spatial_join", lambda a, b, **c: sides.append(b) or join(a, b, **c))
+    from oracles import same
+
+    same(search.search_counts(spark, str(tmp_path)), registry.ORACLES["search_counts"], str(tmp_path))
+    assert 3 * sides[0].count() == spark.read.parquet(str(tmp_path / "supplier.parquet")).count()
