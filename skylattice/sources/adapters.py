@@ -31,7 +31,8 @@ def _attribute(attrs: Column, name: str) -> Column:
 def copernicus(products: DataFrame) -> DataFrame:
     """Products as ``readers.products`` gives them."""
     attrs = F.transform("Attributes", lambda a: F.struct(a["Name"].alias("name"), a["Value"].alias("value")))
-    ring = G.from_wkt(F.regexp_extract("Footprint", r"(?i)POLYGON.*\)\)", 0))
+    # Each column of a box would parse the text anew.
+    products, ring = G.hold(products, _ring=G.from_wkt(F.regexp_extract("Footprint", r"(?i)POLYGON.*\)\)", 0))), F.col("_ring")
     return _shaped(products, "copernicus", collection=F.col("Collection.Name"), product_id=F.col("Id"), name=F.col("Name"), product_type=_attribute(attrs, "productType"), tile_id=_attribute(attrs, "tileId"), start_ts=F.col("ContentDate.Start"), ring=ring, attrs=attrs, content_length=F.col("ContentLength"))
 
 

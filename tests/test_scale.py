@@ -138,3 +138,16 @@ def test_areas_of_equal_shape_are_counted_for_once(spark, monkeypatch, tmp_path)
 
     same(search.search_counts(spark, str(tmp_path)), registry.ORACLES["search_counts"], str(tmp_path))
     assert 3 * sides[0].count() == spark.read.parquet(str(tmp_path / "supplier.parquet")).count()
+
+
+def test_footprints_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from skylattice.functions import geometry as G
+    from skylattice.sources import adapters, readers
+
+    pages = spark.createDataFrame([], readers.PRODUCT_PAGE)
+    products = pages.select(F.explode("value").alias("p")).select("p.*")
+    found = adapters.copernicus(products).select("bbox.xmin", "bbox.ymax", G.to_wkt(F.col("ring")).alias("wkt"))
+    # A parse names its pattern where it looks for a text and where it splits it.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?i:POLYGON)") <= 2
