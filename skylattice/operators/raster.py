@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -18,6 +18,8 @@ from skylattice.functions import projections as P
 from .spatial import by_shuffle, spatial_join
 
 HEADER = ("origin_x", "origin_y", "px", "py", "width", "height")
+#: Rasters of one system that an area is moved for at once.
+TOGETHER = 64
 
 
 def window_of(header: Column, box: Column) -> Column:
@@ -54,61 +56,110 @@ def frames(headers: DataFrame, pieces: int = 16, srids: Collection[int] | None =
     return moved.select("raster_id", F.when(F.col("moved").isNull(), F.col("rim")).otherwise(box).alias("ring"))
 
 
+def _groups(met: DataFrame) -> DataFrame:
+    """``aoi_id, _rasters`` of pairs of an area and a header: the headers that an area meets, by system and ``TOGETHER`` a row at
+    most, so that an area is moved to a system once for many rasters and a row stays small for an area that meets all."""
+    by = ["aoi_id"] + (["srid"] if "srid" in met.columns else [])
+    at = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("raster_id")) - 1) / TOGETHER)
+    numbered = met.repartition("aoi_id").withColumn("_at", at)
+    return numbered.groupBy(*by, "_at").agg(F.collect_list(F.struct("raster_id", *HEADER)).alias("_rasters"))
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    """The groups dealt to a fixed number of tasks: they are short rows with much work behind each, which would be put together
+    in few tasks by their bytes."""
+    spark = groups.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return groups.repartition(tasks, "aoi_id", *(["srid"] if "srid" in groups.columns else []), "_at")
+
+
+def _turns() -> Column:
+    """``row, col`` of each place where one of ``_edges`` crosses the middle of a row from ``_row0`` to ``_row1``, within the
+    window; ``col`` is the first column whose centre is not left of it. Which rows and columns are near follows from the
+    distances, which of them it is from the centres, so the work grows with the crossings and not with the cells."""
+    y_of, x_of = lambda row: F.col("origin_y") - (row + 0.5) * F.col("py"), lambda col: F.col("origin_x") + (col + 0.5) * F.col("px")
+    row = lambda at: F.greatest(F.col("_row0"), F.least(F.col("_row1") - 1, F.floor(at)))
+
+    def crossed(e: Column) -> Column:
+        # No number counts as above all others, as it does in comparisons.
+        near = F.sequence(row(F.nanvl((F.col("origin_y") - F.greatest(e.ay, e.by)) / F.col("py") - 0.5, F.lit(float("-inf")))), row((F.col("origin_y") - F.least(e.ay, e.by)) / F.col("py") + 0.5))
+        spans = F.filter(F.transform(near, lambda r: F.struct(r.alias("row"), y_of(r).alias("y"))), lambda t: (e.ay > t.y) != (e.by > t.y))
+        x = lambda y: (e.bx - e.ax) * (y - e.ay) / F.nullif(e.by - e.ay, F.lit(0.0)) + e.ax
+        return F.transform(spans, lambda t: F.struct(t.row.alias("row"), x(t.y).alias("x")))
+
+    about = lambda x: F.floor(F.greatest(F.col("col0") - 1.0, F.least(F.col("col1") + 0.0, (x - F.col("origin_x")) / F.col("px") - 0.5)))
+    after = lambda x, c: c + F.when(x_of(c) < x, 1).otherwise(0) + F.when(x_of(c + 1) < x, 1).otherwise(0)
+    near = F.transform(F.flatten(F.transform(F.filter("_edges", lambda e: e.ay != e.by), crossed)), lambda t: F.struct(t.row.alias("row"), t.x.alias("x"), about(t.x).alias("c")))
+    return F.transform(near, lambda t: F.struct(t.row.alias("row"), F.greatest(F.col("col0"), F.least(F.col("col1"), after(t.x, t.c))).alias("col")))
+
+
+def _paired(turns: Column) -> Column:
+    """The turns of rings that may be open: what crosses a row an odd number of times leaves its start inside."""
+    odd = lambda r: F.size(F.filter(turns, lambda t: t.row == r)) % 2 == 1
+    starts = F.transform(F.filter(F.sequence("_row0", F.col("_row1") - 1), odd), lambda r: F.struct(r.alias("row"), F.col("col0").alias("col")))
+    return F.concat(turns, starts)
+
+
 def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, block: int = 256, nodata: int | float = 0, ring: str = "ring", pieces: int = 16, levels: list[int] | None = None, srids: Collection[int] | None = None) -> DataFrame:
     """Blocks of each raster cut to the window of each area (``aoi_id, ring``, a ring or shape) that it overlaps, all bands:
     ``aoi_id, raster_id, band, block_row, block_col, row0, row1, col0, col1`` (the part within the window, ends excluded), its
     ``values`` with ``nodata`` where a cell's centre is outside, ``mask``, ``class`` and ``status``.
 
     Areas go to a raster's own system by ``srid``, their edges cut into ``pieces``; where that is not known they stay as they are
-    (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and areas meet by their boxes in longitude
-    and latitude; pairs without a cell inside come where their boxes meet in both systems. A pair's window is laid out in rows of blocks, each with the
-    area's edges at its height and, for each row of cells, where they cross it; a block that no edge touches is ``inside`` or
-    ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), only ``edge`` blocks decide cell by cell.
-    Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.
+    (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and
+    areas meet by their boxes in longitude and latitude; pairs without a cell inside come where their boxes meet in both systems.
+    An area is moved once for many rasters of a system (``_groups``), by a fixed number of tasks (``_dealt``). A pair's window is laid
+    out in rows of blocks, each with the area's edges at its height and the cells at which they cross its rows; a block that no edge
+    touches is ``inside`` or ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), ``edge`` blocks consist of
+    runs of cells between crossings. Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.
     """
     known = "srid" in headers.columns
     if known and srids is None:
         srids = [x.srid for x in headers.select("srid").distinct().collect()]
-    pairs = spatial_join(frames(headers, pieces, srids), areas.select("aoi_id", F.col(ring).alias("ring")), exact=False, ids=("raster_id", "aoi_id"), levels=levels)
+    met = spatial_join(frames(headers, pieces, srids), areas.select("aoi_id", F.col(ring).alias("ring")), exact=False, levels=levels)
+    groups = _groups(met.join(by_shuffle(headers.select("raster_id", *HEADER, *(["srid"] if known else []))), "raster_id"))
     rings = F.flatten(F.col(ring)) if G.is_nested(areas, ring) else F.array(F.col(ring))
-    pairs = pairs.join(by_shuffle(areas.select("aoi_id", rings.alias("_given"))), "aoi_id").join(by_shuffle(headers.select("raster_id", *HEADER, *(["srid"] if known else []))), "raster_id")
+    groups = _dealt(groups.join(by_shuffle(areas.select("aoi_id", rings.alias("_given"))), "aoi_id"))
     if known:
-        pairs = G.hold(pairs, _moved=F.when(P.is_known(F.col("srid")), F.transform("_given", lambda r: P.reproject(r, F.col("srid"), pieces, srids))))
-        pairs = G.hold(pairs, _rings=F.coalesce("_moved", "_given"), status=F.when(F.col("_moved").isNull(), "as_is").otherwise("reprojected"))
+        groups = G.hold(groups, _moved=F.when(P.is_known(F.col("srid")), F.transform("_given", lambda r: P.reproject(r, F.col("srid"), pieces, srids))))
+        groups = G.hold(groups, _rings=F.coalesce("_moved", "_given"), status=F.when(F.col("_moved").isNull(), "as_is").otherwise("reprojected"))
     else:
-        pairs = pairs.withColumns({"_rings": F.col("_given"), "status": F.lit("same")})
-    pairs = G.hold(pairs, _box=G.bounds(F.flatten("_rings")), _edges=F.flatten(F.transform("_rings", G.edges)))
+        groups = groups.withColumns({"_rings": F.col("_given"), "status": F.lit("same")})
+    groups = G.hold(groups, _box=G.bounds(F.flatten("_rings")), _edges=F.flatten(F.transform("_rings", G.edges)))
+    pairs = G.hold(groups, _open=F.coalesce(F.exists("_rings", lambda r: r[0] != F.element_at(r, -1)), F.lit(True))).select("aoi_id", "status", "_box", "_edges", "_open", F.inline("_rasters"))
     pairs = G.hold(pairs, w=window_of(F.struct(*HEADER), F.col("_box"))).where("w.status = 'ok'")
 
     part = lambda low, high, at: (F.greatest(F.col(low), F.col(at) * block).alias(f"_{low}"), F.least(F.col(high), (F.col(at) + 1) * block).alias(f"_{high}"))
     last = lambda high: F.expr(f"({high} - 1) div {block}")
     y_of, x_of = lambda row: F.col("origin_y") - (row + 0.5) * F.col("py"), lambda col: F.col("origin_x") + (col + 0.5) * F.col("px")
-    rows = pairs.select("aoi_id", "raster_id", *HEADER, "status", "w.row0", "w.row1", "w.col0", "w.col1", "_edges", F.explode(F.sequence(F.expr(f"w.row0 div {block}"), last("w.row1"))).alias("block_row"))
+    rows = pairs.select("aoi_id", "raster_id", *HEADER, "status", "w.row0", "w.row1", "w.col0", "w.col1", "_edges", "_open", F.explode(F.sequence(F.expr(f"w.row0 div {block}"), last("w.row1"))).alias("block_row"))
     rows = rows.select("*", *part("row0", "row1", "block_row"))
     high, low = y_of(F.col("_row0")), y_of(F.col("_row1") - 1)
     rows = G.hold(rows.withColumnRenamed("_edges", "_all"), _edges=F.filter("_all", lambda e: (F.least(e.ay, e.by) <= high) & (F.greatest(e.ay, e.by) >= low))).drop("_all")
-    crossing = lambda e, y: (e.bx - e.ax) * (y - e.ay) / F.nullif(e.by - e.ay, F.lit(0.0)) + e.ax
-    at_row = lambda y: F.transform(F.filter("_edges", lambda e: (e.ay > y) != (e.by > y)), lambda e: crossing(e, y))
-    rows = G.hold(rows, _crossings=F.transform(F.sequence("_row0", F.col("_row1") - 1), lambda r: at_row(y_of(r))))
+    rows = G.hold(rows, _turns=G.let(lambda v: F.when(F.col("_open"), _paired(v.turns)).otherwise(v.turns), turns=_turns()))
     laid = rows.select("*", F.explode(F.sequence(F.expr(f"col0 div {block}"), last("col1"))).alias("block_col")).select("*", *part("col0", "col1", "block_col"))
     left, right = x_of(F.col("_col0")), x_of(F.col("_col1") - 1)
-    odd = lambda xs, x: F.size(F.filter(xs, lambda v: x < v)) % 2 == 1
     touched = F.exists("_edges", lambda e: (F.least(e.ax, e.bx) <= right) & (F.greatest(e.ax, e.bx) >= left))
-    kind = F.when(touched, "edge").when(odd(F.col("_crossings")[0], left), "inside").otherwise("outside")
+    inside = F.size(F.filter("_turns", lambda t: (t.row == F.col("_row0")) & (t.col > F.col("_col0")))) % 2 == 1
+    across, size = F.col("_col1") - F.col("_col0"), (F.col("_row1") - F.col("_row0")) * (F.col("_col1") - F.col("_col0"))
+    # Cells of a part, counted row by row, where it changes from outside to inside and back.
+    changes = F.sort_array(F.transform("_turns", lambda t: (t.row - F.col("_row0")) * across + F.greatest(F.col("_col0"), F.least(F.col("_col1"), t.col)) - F.col("_col0")))
+    laid = G.hold(laid, **{"class": F.when(touched, "edge").when(inside, "inside").otherwise("outside")})
     plain = lambda c: F.col(f"_{c}").cast("int").alias(c)
-    laid = laid.select("aoi_id", "raster_id", "status", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), *map(plain, ("row0", "row1", "col0", "col1")), "origin_x", "px", "width", kind.alias("class"), F.when(touched, F.col("_crossings")).alias("_crossings"))
+    ends = F.when(F.col("class") == "edge", F.concat(F.array(F.lit(0)), changes, F.array(size))).when(F.col("class") == "inside", F.array(F.lit(0), F.lit(0), size)).otherwise(F.array(F.lit(0), size))
+    laid = laid.select("aoi_id", "raster_id", "status", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), *map(plain, ("row0", "row1", "col0", "col1")), "width", "class", ends.cast("array<int>").alias("_ends"))
 
+    # Mask and values are put together from runs of cells that are all outside or all inside, and not cell by cell.
     joined = laid.join(by_shuffle(blocks), ["raster_id", "block_row", "block_col"])
-    wide = F.least(F.lit(block), F.col("width") - F.col("block_col") * block)
-    across, size = F.col("col1") - F.col("col0"), (F.col("row1") - F.col("row0")) * (F.col("col1") - F.col("col0"))
+    wide, across = F.least(F.lit(block), F.col("width") - F.col("block_col") * block), F.col("col1") - F.col("col0")
     own = F.flatten(F.transform(F.sequence("row0", F.col("row1") - 1), lambda r: F.slice("values", ((r - F.col("block_row") * block) * wide + F.col("col0") - F.col("block_col") * block + 1).cast("int"), across)))
-    by_cell = F.flatten(F.transform("_crossings", lambda xs: F.transform(F.sequence("col0", F.col("col1") - 1), lambda c: odd(xs, x_of(c)))))
-    mask = F.when(F.col("class") == "edge", by_cell).otherwise(F.array_repeat(F.col("class") == "inside", size))
-    value = joined.schema["values"].dataType.elementType.simpleString()
-    blank = F.lit(nodata).cast(value)
-    joined = G.hold(joined, mask=mask, _own=F.when(F.col("class") != "outside", own))
-    kept = F.when(F.col("class") == "inside", F.col("_own")).when(F.col("class") == "outside", F.array_repeat(blank, size)).otherwise(F.zip_with("_own", "mask", lambda v, m: F.when(m, v).otherwise(blank)))
-    return joined.select("aoi_id", "raster_id", "band", "block_row", "block_col", "row0", "row1", "col0", "col1", kept.alias("values"), "mask", "class", "status")
+    joined = G.hold(joined, _own=F.when(F.col("class") != "outside", own))
+    length = lambda i: F.col("_ends")[i + 1] - F.col("_ends")[i]
+    runs = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), f))
+    blank = F.lit(nodata).cast(joined.schema["values"].dataType.elementType.simpleString())
+    kept = runs(lambda i: F.when(i % 2 == 1, F.slice("_own", F.col("_ends")[i] + 1, length(i))).otherwise(F.array_repeat(blank, length(i))))
+    mask = runs(lambda i: F.array_repeat(i % 2 == 1, length(i)))
+    return joined.select("aoi_id", "raster_id", "band", "block_row", "block_col", "row0", "row1", "col0", "col1", kept.alias("values"), mask.alias("mask"), "class", "status")
 
 
 def cells_of(cropped: DataFrame) -> DataFrame:

@@ -89,3 +89,42 @@ def test_unknown_systems_keep_the_area(spark):
     rows = {(r.aoi_id, r.raster_id): (r.status, sum(r.mask), sum(r["values"])) for r in got.collect()}
     assert rows == {(1, 1): ("as_is", 8, 12.0), (1, 2): ("reprojected", 8, 12.0), (2, 3): ("reprojected", 16, 24.0)}
     assert raster.frames(heads).select(G.bounds(F.col("ring")).alias("b")).where("b.xmin is null").count() == 0
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_turns_are_brute_force(spark, block):
+    """Edges through cell centres, corners on them and areas far beyond the raster; in one block also rings that are not closed."""
+    rng = random.Random(4)
+    spot = lambda: (rng.randrange(-8, 40) / 4, rng.randrange(-8, 40) / 4)
+    areas = {i: [[spot() for _ in range(rng.choice([4, 5, 9]))]] for i in range(60)}
+    for i, (r,) in areas.items():
+        if i % 3 or block < 64:
+            r.append(r[0])
+    areas |= {60: [[(-1e9, -1e9), (1e9, -1e9), (3.0, 1e9), (-1e9, -1e9)]]}
+    headers = [(1, 0.0, 8.0, 0.5, 0.25, 16, 32), (2, 0.25, 8.25, 0.5, 0.5, 13, 11)]
+    heads = spark.createDataFrame(headers, "raster_id int, origin_x double, origin_y double, px double, py double, width int, height int")
+    cells = spark.createDataFrame([(i, r, c, 1) for i, *_, w, h in headers for r in range(h) for c in range(w)], "raster_id int, row int, col int, value int")
+    want = brute(headers, areas)
+    got = raster.mask_cells(cells, heads, spark.createDataFrame([(a, [rings]) for a, rings in areas.items()], f"aoi_id int, ring array<array<{RING}>>"), block=block).collect()
+    assert {(r.aoi_id, r.raster_id, r.row, r.col): (r.inside, r.value) for r in got} == {k: (m, int(m)) for k, m in want.items()}
+    assert len(got) == len(want) and 0 < sum(want.values()) < len(want)
+
+
+def test_areas_are_moved_once_for_many_rasters(spark):
+    """An area that meets 150 rasters of one system and 3 of another, and one that meets 1."""
+    heads = spark.range(153).select(F.col("id").alias("raster_id"), *(F.lit(1.0).alias(c) for c in raster.HEADER[:4]), *(F.lit(1).alias(c) for c in raster.HEADER[4:]), F.when(F.col("id") < 150, 3857).otherwise(6974).alias("srid"))
+    met = heads.withColumn("aoi_id", F.lit(1)).unionByName(heads.limit(1).withColumn("aoi_id", F.lit(2)))
+    groups = raster._groups(met).select("aoi_id", "srid", F.size("_rasters").alias("n"), F.expr("transform(_rasters, r -> r.raster_id)").alias("ids")).collect()
+    assert sorted((g.aoi_id, g.srid, g.n) for g in groups) == [(1, 3857, 22), (1, 3857, 64), (1, 3857, 64), (1, 6974, 3), (2, 3857, 1)]
+    assert sorted(i for g in groups if g.aoi_id == 1 for i in g.ids) == list(range(153))
+
+
+def test_few_bytes_are_dealt_to_many_tasks(spark):
+    """Pairs of an area and a raster are short rows; the work behind them is not put together in one task."""
+    from conftest import SF
+
+    from skylattice.plans import registry
+
+    text = registry.QUERIES["crop_grid"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # The plan is read from its end: what is moved comes out of an exchange that keeps its number of tasks.
+    assert "REPARTITION_BY_NUM" in text[text.index("_moved") :]
