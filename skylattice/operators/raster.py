@@ -65,12 +65,11 @@ def _groups(met: DataFrame) -> DataFrame:
     return numbered.groupBy(*by, "_at").agg(F.collect_list(F.struct("raster_id", *HEADER)).alias("_rasters"))
 
 
-def _dealt(groups: DataFrame) -> DataFrame:
-    """The groups dealt to a fixed number of tasks: they are short rows with much work behind each, which would be put together
-    in few tasks by their bytes."""
-    spark = groups.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return groups.repartition(tasks, "aoi_id", *(["srid"] if "srid" in groups.columns else []), "_at")
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to a fixed number of tasks: short ones with much work behind each, which would be put together in few
+    tasks by their bytes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def _turns() -> Column:
@@ -108,7 +107,7 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     Areas go to a raster's own system by ``srid``, their edges cut into ``pieces``; where that is not known they stay as they are
     (``status`` ``as_is``). Which systems there are is asked first, one distinct over the headers, unless ``srids`` tells. Rasters and
     areas meet by their boxes in longitude and latitude; pairs without a cell inside come where their boxes meet in both systems.
-    An area is moved once for many rasters of a system (``_groups``), by a fixed number of tasks (``_dealt``). A pair's window is laid
+    An area is moved once for many rasters of a system (``_groups``), by a fixed number of tasks (``dealt``). A pair's window is laid
     out in rows of blocks, each with the area's edges at its height and the cells at which they cross its rows; a block that no edge
     touches is ``inside`` or ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), ``edge`` blocks consist of
     runs of cells between crossings. Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.
@@ -119,7 +118,7 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     met = spatial_join(frames(headers, pieces, srids), areas.select("aoi_id", F.col(ring).alias("ring")), exact=False, levels=levels)
     groups = _groups(met.join(by_shuffle(headers.select("raster_id", *HEADER, *(["srid"] if known else []))), "raster_id"))
     rings = F.flatten(F.col(ring)) if G.is_nested(areas, ring) else F.array(F.col(ring))
-    groups = _dealt(groups.join(by_shuffle(areas.select("aoi_id", rings.alias("_given"))), "aoi_id"))
+    groups = dealt(groups.join(by_shuffle(areas.select("aoi_id", rings.alias("_given"))), "aoi_id"), "aoi_id", *(["srid"] if known else []), "_at")
     if known:
         groups = G.hold(groups, _moved=F.when(P.is_known(F.col("srid")), F.transform("_given", lambda r: P.reproject(r, F.col("srid"), pieces, srids))))
         groups = G.hold(groups, _rings=F.coalesce("_moved", "_given"), status=F.when(F.col("_moved").isNull(), "as_is").otherwise("reprojected"))

@@ -169,3 +169,30 @@ def test_areas_of_equal_shape_are_clipped_to_once(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(shapes.R, "crop_blocks", lambda a, b, c, **d: sides.append(c) or crop(a, b, c, **d))
     same(shapes.crop_grid(spark, str(tmp_path)), registry.ORACLES["crop_grid"], str(tmp_path))
     assert 3 * sides[0].count() == spark.read.parquet(str(tmp_path / "supplier.parquet")).count()
+
+
+def test_rasters_of_one_frame_are_clipped_once(spark, monkeypatch, tmp_path):
+    """Rasters 67200 keys apart have one frame, those 134400 apart equal cells too; areas 67200 keys apart have equal shapes. A
+    raster's negative key is the remainder of none."""
+    from oracles import same
+
+    from skylattice.plans import shapes
+
+    spark.sql("select id + 67200 * i as p_partkey from range(-300, 300), (select explode(array(0, 1, 2)) as i)").write.parquet(str(tmp_path / "part.parquet"))
+    spark.sql("select id + 67200 * i as s_suppkey from range(200), (select explode(array(0, 1, 2)) as i)").write.parquet(str(tmp_path / "supplier.parquet"))
+    given, crop = [], shapes.R.crop_blocks
+    monkeypatch.setattr(shapes.R, "crop_blocks", lambda *a, **b: given.append(a) or crop(*a, **b))
+    found = shapes.crop_raster(spark, str(tmp_path))
+    assert found.select("raster_id").distinct().count() > 100
+    same(found, registry.ORACLES["crop_raster"], str(tmp_path))
+    blocks, heads, areas = given[0]
+    assert areas.count() == 200 and heads.count() < 1800 and heads.count() == heads.select("origin_x", "origin_y").distinct().count()
+    assert blocks.where("raster_id between 0 and 299").count() == 4 * 2 * 300
+
+
+def test_blocks_are_made_by_many_tasks(spark):
+    """The headers that blocks are made from are few bytes."""
+    from skylattice.plans import shapes
+
+    head = shapes.headers(spark, SF).selectExpr("*", "1 as band")
+    assert "REPARTITION_BY_NUM" in shapes._blocks(head, 8, "r")._jdf.queryExecution().executedPlan().toString()
