@@ -110,7 +110,8 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     An area is moved once for many rasters of a system (``_groups``), by a fixed number of tasks (``dealt``). A pair's window is laid
     out in rows of blocks, each with the area's edges at its height and the cells at which they cross its rows; a block that no edge
     touches is ``inside`` or ``outside`` as a whole (decided at one cell, values kept or blanked as a whole), ``edge`` blocks consist of
-    runs of cells between crossings. Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks.
+    runs of cells between crossings. Blocks are looked up by raster, row and column, so a raster of any size is dealt over many tasks,
+    again by a fixed number of them.
     """
     known = "srid" in headers.columns
     if known and srids is None:
@@ -145,19 +146,24 @@ def crop_blocks(blocks: DataFrame, headers: DataFrame, areas: DataFrame, *, bloc
     changes = F.sort_array(F.transform("_turns", lambda t: (t.row - F.col("_row0")) * across + F.greatest(F.col("_col0"), F.least(F.col("_col1"), t.col)) - F.col("_col0")))
     laid = G.hold(laid, **{"class": F.when(touched, "edge").when(inside, "inside").otherwise("outside")})
     plain = lambda c: F.col(f"_{c}").cast("int").alias(c)
-    ends = F.when(F.col("class") == "edge", F.concat(F.array(F.lit(0)), changes, F.array(size))).when(F.col("class") == "inside", F.array(F.lit(0), F.lit(0), size)).otherwise(F.array(F.lit(0), size))
+    ends = F.when(F.col("class") == "edge", F.concat(F.array(F.lit(0)), changes, F.array(size)))
     laid = laid.select("aoi_id", "raster_id", "status", F.col("block_row").cast("int").alias("block_row"), F.col("block_col").cast("int").alias("block_col"), *map(plain, ("row0", "row1", "col0", "col1")), "width", "class", ends.cast("array<int>").alias("_ends"))
 
-    # Mask and values are put together from runs of cells that are all outside or all inside, and not cell by cell.
-    joined = laid.join(by_shuffle(blocks), ["raster_id", "block_row", "block_col"])
+    # Mask and values of edge blocks are put together from runs of cells that are all outside or all inside, and not cell by cell.
+    at = ["raster_id", "block_row", "block_col"]
+    joined = dealt(laid, *at).join(by_shuffle(blocks), at)
     wide, across = F.least(F.lit(block), F.col("width") - F.col("block_col") * block), F.col("col1") - F.col("col0")
-    own = F.flatten(F.transform(F.sequence("row0", F.col("row1") - 1), lambda r: F.slice("values", ((r - F.col("block_row") * block) * wide + F.col("col0") - F.col("block_col") * block + 1).cast("int"), across)))
+    size = ((F.col("row1") - F.col("row0")) * across).cast("int")
+    rows = F.flatten(F.transform(F.sequence("row0", F.col("row1") - 1), lambda r: F.slice("values", ((r - F.col("block_row") * block) * wide + F.col("col0") - F.col("block_col") * block + 1).cast("int"), across)))
+    # Rows of a part as wide as the block follow each other.
+    own = F.when(across == wide, F.slice("values", ((F.col("row0") - F.col("block_row") * block) * wide + 1).cast("int"), size)).otherwise(rows)
     joined = G.hold(joined, _own=F.when(F.col("class") != "outside", own))
     length = lambda i: F.col("_ends")[i + 1] - F.col("_ends")[i]
     runs = lambda f: F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), f))
     blank = F.lit(nodata).cast(joined.schema["values"].dataType.elementType.simpleString())
     kept = runs(lambda i: F.when(i % 2 == 1, F.slice("_own", F.col("_ends")[i] + 1, length(i))).otherwise(F.array_repeat(blank, length(i))))
-    mask = runs(lambda i: F.array_repeat(i % 2 == 1, length(i)))
+    kept = F.when(F.col("class") == "edge", kept).when(F.col("class") == "inside", F.col("_own")).otherwise(F.array_repeat(blank, size))
+    mask = F.when(F.col("class") == "edge", runs(lambda i: F.array_repeat(i % 2 == 1, length(i)))).otherwise(F.array_repeat(F.col("class") == "inside", size))
     return joined.select("aoi_id", "raster_id", "band", "block_row", "block_col", "row0", "row1", "col0", "col1", kept.alias("values"), mask.alias("mask"), "class", "status")
 
 

@@ -196,3 +196,12 @@ def test_blocks_are_made_by_many_tasks(spark):
 
     head = shapes.headers(spark, SF).selectExpr("*", "1 as band")
     assert "REPARTITION_BY_NUM" in shapes._blocks(head, 8, "r")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_meet_areas_in_many_tasks(spark):
+    """Parts of windows are short rows whose cells are put together after they met their blocks; no side is shuffled twice for it."""
+    import re
+
+    text = registry.QUERIES["crop_raster"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"hashpartitioning\(raster_id#\w+, block_row#\w+, block_col#\w+, (\d+)\), (\w+)", text)
+    assert sorted(kind for _, kind in found) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_NUM"] and len({n for n, _ in found}) == 1
